@@ -23,6 +23,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), keep_ids=False)
 
 
+def op3_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.jaccard_forest import ngram_jaccard_join
+
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op4_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.repair_store import store_tokens
 
@@ -42,7 +48,7 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op4_repair": op4_repair, "op5_line_rules": op5_line_rules, "op9_winnowing": op9_winnowing}
+    return {"op1_bpe": op1_bpe, "op3_jaccard_forest": op3_jaccard_forest, "op4_repair": op4_repair, "op5_line_rules": op5_line_rules, "op9_winnowing": op9_winnowing}
 
 
 def oracle_sql() -> dict[str, str]:

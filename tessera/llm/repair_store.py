@@ -34,7 +34,7 @@ MAGIC = b"RPR1"
 
 
 class WordBPE:
-    """Ids as the tokenizers library gives them. Pieces of texts below U+0300 (which normalisation leaves alone but
+    """Ids as the tokenizers library gives them. Pieces of texts below U+0234 (which normalisation leaves alone but
     for case) come from a bounded cache that the library fills; all other texts go to the library as a whole."""
 
     @staticmethod
@@ -52,7 +52,7 @@ class WordBPE:
         self.library.no_padding()
         self.library.no_truncation()
         self.vocab_size = self.library.get_vocab_size(with_added_tokens=True)
-        self.odd = re.compile("[^\x00-\u02ff]|<\\|")
+        self.odd = re.compile("[^\x00-\u0233]|<\\|")
         self.split = self.pieces()
         self.ids = Bounded(lambda w: np.array(self.library.encode(w, add_special_tokens=False).ids, "<u2").tobytes(), 600_000)
 
