@@ -47,8 +47,14 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.compaction import shard_arrivals
+
+    return shard_arrivals(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_jaccard_forest": op3_jaccard_forest, "op4_repair": op4_repair, "op5_line_rules": op5_line_rules, "op9_winnowing": op9_winnowing}
+    return {"op1_bpe": op1_bpe, "op3_jaccard_forest": op3_jaccard_forest, "op4_repair": op4_repair, "op5_line_rules": op5_line_rules, "op9_winnowing": op9_winnowing, "op10_compaction": op10_compaction}
 
 
 def oracle_sql() -> dict[str, str]:
