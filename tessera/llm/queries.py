@@ -23,6 +23,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), keep_ids=False)
 
 
+def op2_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality_crf import quality_classifier
+
+    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.jaccard_forest import ngram_jaccard_join
 
@@ -54,7 +60,7 @@ def op10_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_jaccard_forest": op3_jaccard_forest, "op4_repair": op4_repair, "op5_line_rules": op5_line_rules, "op9_winnowing": op9_winnowing, "op10_compaction": op10_compaction}
+    return {"op1_bpe": op1_bpe, "op2_line_crf": op2_line_crf, "op3_jaccard_forest": op3_jaccard_forest, "op4_repair": op4_repair, "op5_line_rules": op5_line_rules, "op9_winnowing": op9_winnowing, "op10_compaction": op10_compaction}
 
 
 def oracle_sql() -> dict[str, str]:
