@@ -47,6 +47,18 @@ def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_rare_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op7_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.pii import find_pii
+
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.decontam import decontaminate
 
@@ -60,7 +72,7 @@ def op10_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_line_crf": op2_line_crf, "op3_jaccard_forest": op3_jaccard_forest, "op4_repair": op4_repair, "op5_line_rules": op5_line_rules, "op9_winnowing": op9_winnowing, "op10_compaction": op10_compaction}
+    return {"op1_bpe": op1_bpe, "op2_line_crf": op2_line_crf, "op3_jaccard_forest": op3_jaccard_forest, "op4_repair": op4_repair, "op5_line_rules": op5_line_rules, "op6_rare_tokens": op6_rare_tokens, "op7_skip_chain": op7_skip_chain, "op9_winnowing": op9_winnowing, "op10_compaction": op10_compaction}
 
 
 def oracle_sql() -> dict[str, str]:
