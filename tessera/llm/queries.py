@@ -59,6 +59,12 @@ def op7_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
+def op8_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.suffix_dedup import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.decontam import decontaminate
 
@@ -72,7 +78,7 @@ def op10_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_line_crf": op2_line_crf, "op3_jaccard_forest": op3_jaccard_forest, "op4_repair": op4_repair, "op5_line_rules": op5_line_rules, "op6_rare_tokens": op6_rare_tokens, "op7_skip_chain": op7_skip_chain, "op9_winnowing": op9_winnowing, "op10_compaction": op10_compaction}
+    return {"op1_bpe": op1_bpe, "op2_line_crf": op2_line_crf, "op3_jaccard_forest": op3_jaccard_forest, "op4_repair": op4_repair, "op5_line_rules": op5_line_rules, "op6_rare_tokens": op6_rare_tokens, "op7_skip_chain": op7_skip_chain, "op8_sparse_suffixes": op8_sparse_suffixes, "op9_winnowing": op9_winnowing, "op10_compaction": op10_compaction}
 
 
 def oracle_sql() -> dict[str, str]:
