@@ -1 +1,64 @@
-"""Queries to come."""
+"""Conversation queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tessera.operators import chat as C
+from tessera.operators import retrieval as R
+from tessera.plans.corpus import document_pages, table
+from tessera.plans.registry import query
+
+
+@query("chat_history", "SELECT conv_id, turn, role, pos FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS pos FROM conversations WHERE role IN ('user', 'assistant')) WHERE pos <= 10")
+def chat_history(spark, sf_dir):
+    return C.last_messages(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "pos")
+
+
+@query("chat_summaries", "SELECT conv_id, count(*) AS n_messages, max(turn) AS last_turn, left(arg_min(text, turn) FILTER (WHERE role = 'user'), 50) AS title FROM conversations GROUP BY conv_id")
+def chat_summaries(spark, sf_dir):
+    return C.summaries(table(spark, sf_dir, "conversations"))
+
+
+@query("chat_without_last_answer", "SELECT conv_id, turn, role FROM conversations c WHERE NOT (role = 'assistant' AND turn = (SELECT max(turn) FROM conversations d WHERE d.conv_id = c.conv_id AND role = 'assistant'))")
+def chat_without_last_answer(spark, sf_dir):
+    return C.without_last_answer(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role")
+
+
+@query("chat_latest", "SELECT conv_id, last_turn FROM (SELECT conv_id, max(turn) AS last_turn FROM conversations GROUP BY 1) ORDER BY last_turn DESC, conv_id LIMIT 20")
+def chat_latest(spark, sf_dir):
+    s = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last_turn"))
+    return s.orderBy(F.desc("last_turn"), "conv_id").limit(20)
+
+
+CITED = "CASE WHEN turn % 4 = 1 THEN text || ' [1] [3] [1]' WHEN turn % 4 = 3 THEN text || ' [9] <!-- cited: 2, 4 -->' ELSE text END"
+
+
+@query(
+    "chat_citations",
+    f"""WITH a AS (SELECT conv_id, turn, {CITED} AS text FROM conversations WHERE role = 'assistant'),
+c AS (SELECT conv_id, turn, regexp_extract(text, '<!--\\s*cited:\\s*([0-9,\\s]+?)\\s*-->', 1) AS listed, regexp_extract_all(text, '\\[([0-9]{{1,3}})\\]', 1) AS br FROM a)
+SELECT DISTINCT conv_id, turn, trim(ref)::INT AS ref FROM (SELECT conv_id, turn, unnest(CASE WHEN listed <> '' THEN string_split(listed, ',') ELSE br END) AS ref FROM c)""",
+)
+def chat_citations(spark, sf_dir):
+    """Answers with references added by turn, resolved to the numbers that they cite."""
+    mod = F.col("turn") % 4
+    text = F.when(mod == 1, F.concat("text", F.lit(" [1] [3] [1]"))).when(mod == 3, F.concat("text", F.lit(" [9] <!-- cited: 2, 4 -->"))).otherwise(F.col("text"))
+    return C.citations(table(spark, sf_dir, "conversations").where("role = 'assistant'").withColumn("text", text))
+
+
+@query("chat_context_pack")
+def chat_context_pack(spark, sf_dir):
+    """The top pages of four queries packed under a budget, in order of title match and rank."""
+    pages = document_pages(spark, sf_dir)
+    parts = []
+    for i, q in enumerate(("the andthe thation", "ouwhea rend", "der und sch", "ererst of heting")):
+        top = R.top_pages(R.score_pages(pages, q))
+        parts.append(top.select(F.lit(i).alias("query_id"), F.when(F.col("title_match"), 0).otherwise(1).alias("priority"), "path", "score"))
+    hits = parts[0]
+    for p in parts[1:]:
+        hits = hits.union(p)
+    hits = hits.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "path")))
+    full = pages.select("path", "content").join(F.broadcast(hits), "path")
+    return C.pack_greedily(full.select("query_id", "priority", "pos", "path", "content"), 20_000, 6_000).select("query_id", "number", "path", F.length("content").alias("n_chars"))

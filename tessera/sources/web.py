@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.arrow import arrow
 from tessera.functions.text import decode_entities, title_slug
 
 MOST_CHARS = 50_000
@@ -137,7 +138,7 @@ def to_markdown(page: str | None) -> str | None:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(x if x.startswith(("  ", "|")) else x.strip() for x in lines)).strip()
 
 
-@F.pandas_udf("string")
+@arrow("string")
 def markdown(pages: pd.Series) -> pd.Series:
     return pages.map(to_markdown, na_action="ignore")
 
