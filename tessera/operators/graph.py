@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import link_id
+from tessera.session import checkpointed
 
 #: Weights and type affinities of the relevance rule: fixed values.
 DIRECT, SHARED_SOURCE, COMMON_NEIGHBOUR, OTHER_AFFINITY = 3.0, 4.0, 1.5, 0.5
@@ -160,7 +161,7 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 12, checkpoint
     Each round is checkpointed through ``checkpoint`` (default: reliable checkpoint of Spark). The stopping rule is a
     round pair without a move.
     """
-    keep = checkpoint or (lambda df: df.checkpoint(eager=True))
+    keep = checkpoint or checkpointed
     both = edges.select(F.col("a").alias("id"), F.col("b").alias("n"), "weight").union(edges.select(F.col("b").alias("id"), F.col("a").alias("n"), "weight"))
     both = keep(both.groupBy("id", "n").agg(F.sum("weight").alias("weight")))
     strength = keep(both.groupBy("id").agg(F.sum("weight").alias("k")))

@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tessera.plans.corpus import table
 from tessera.plans.registry import query
+from tessera.session import shared_dir
 from tessera.streaming import queues as S
 
 
-def scratch(spark, name: str) -> str:
-    """A fresh folder in the shared storage that the session names, or a temporary one where it names none."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def _events(spark, sf_dir, per_trigger: int | None = None):
     """The events as a stream; one table is one file or folder."""
     schema = table(spark, sf_dir, "events").schema
@@ -37,7 +29,7 @@ def _commands(events):
 @query("queue_states")
 def queue_states(spark, sf_dir):
     """Users as tasks, their events as commands: the state of each after the whole stream."""
-    out = S.replay(_events(spark, sf_dir), lambda e: S.queue_states(_commands(e)), scratch(spark, "queue"), scratch(spark, "queue-checkpoint"), "update")
+    out = S.replay(_events(spark, sf_dir), lambda e: S.queue_states(_commands(e)), shared_dir(spark, "queue"), shared_dir(spark, "queue-checkpoint"), "update")
     return S.latest(out, "task_id")
 
 
@@ -49,14 +41,14 @@ def queue_summary(spark, sf_dir):
 @query("enqueued_once", "SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id FROM events) GROUP BY 1")
 def enqueued_once(spark, sf_dir):
     """Each key enters the queue once."""
-    out = S.replay(_events(spark, sf_dir), lambda e: S.enqueued_once(e.select("user_id"), "user_id"), scratch(spark, "once"), scratch(spark, "once-checkpoint"))
+    out = S.replay(_events(spark, sf_dir), lambda e: S.enqueued_once(e.select("user_id"), "user_id"), shared_dir(spark, "once"), shared_dir(spark, "once-checkpoint"))
     return out.groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 @query("stream_windows", "SELECT start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS start FROM events) GROUP BY 1, 2")
 def stream_windows(spark, sf_dir):
     """Hourly counts by type from a stream (an addition to the reference's operators)."""
-    out = S.replay(_events(spark, sf_dir), lambda e: S.windowed_counts(e.withColumn("ts", F.col("ts").cast("timestamp")), "1 hour", "10 minutes"), scratch(spark, "windows"), scratch(spark, "windows-checkpoint"), "update")
+    out = S.replay(_events(spark, sf_dir), lambda e: S.windowed_counts(e.withColumn("ts", F.col("ts").cast("timestamp")), "1 hour", "10 minutes"), shared_dir(spark, "windows"), shared_dir(spark, "windows-checkpoint"), "update")
     return out.groupBy(F.col("start").cast("timestamp_ntz").alias("start"), "event_type").agg(F.max_by("n", "batch").alias("n"), F.max_by("value", "batch").alias("value"))
 
 
@@ -64,5 +56,5 @@ def stream_windows(spark, sf_dir):
 def stream_reviews(spark, sf_dir):
     """Review items merged as they arrive."""
     items = lambda e: e.groupBy(F.col("event_type").alias("type"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("title")).agg(F.count("*").alias("n_merged"))
-    out = S.replay(_events(spark, sf_dir), items, scratch(spark, "reviews"), scratch(spark, "reviews-checkpoint"), "update")
+    out = S.replay(_events(spark, sf_dir), items, shared_dir(spark, "reviews"), shared_dir(spark, "reviews-checkpoint"), "update")
     return out.groupBy("type", "title").agg(F.max_by("n_merged", "batch").alias("n_merged"))

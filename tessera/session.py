@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -19,6 +21,28 @@ def workers_find_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_own_dir: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession, name: str | None = None) -> str:
+    """A fresh folder that the driver and every executor can reach (without a name, the folder that holds them).
+
+    It lies in the folder that the session names in ``spark.checkpoint.dir``; only where that is unset (tests, a
+    single machine) a temporary folder of this machine serves, and it is set as the checkpoint folder.
+    """
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_dir.get(spark.sparkContext.applicationId)
+    if not base:
+        base = _own_dir[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/") + (f"/{name}-{uuid.uuid4().hex[:12]}" if name else "")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` in the shared checkpoint folder, its lineage cut."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def local_session(cores: int = 8, memory: str = "8g", shuffle_partitions: int = 8) -> SparkSession:
     """A session on this machine, for tests and the bench. On a cluster, pass the cluster's own session instead."""
     spark = (
