@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.session import shared_dir
@@ -14,7 +15,7 @@ from tessera.session import shared_dir
 #: Words of the contamination, licence and near-duplicate operators, after A-Z are lower-cased: fixed values.
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _alnum = re.compile(ALNUM_WORD)
-LOWER_ASCII = {c: c + 32 for c in range(65, 91)}
+
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends there, and Catalyst knows the size."""
@@ -34,8 +35,18 @@ def paths_of(df: DataFrame) -> list[str]:
     return sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()})
 
 
+def lower_ascii(text: str) -> str:
+    """A-Z in lower case; bytes know no other letters."""
+    return text.lower() if text.isascii() else text.encode().lower().decode()
+
+
 def alnum_words(text: str | None) -> list[str]:
-    return _alnum.findall(text.translate(LOWER_ASCII)) if text else []
+    return _alnum.findall(lower_ascii(text)) if text else []
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    """64-bit hashes of words, the same in every process."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def rows(batches: Iterator[pa.RecordBatch], max_chars: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:

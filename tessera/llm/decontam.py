@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import alnum_words, gram_hashes, rows, sliding_min, written
+from tessera.llm.common import alnum_words, gram_hashes, rows, sliding_min, word_hashes, written
 
 WINDOW, K = 13, 5
 W = WINDOW - K + 1
@@ -136,14 +136,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind.simpleString()}, {RESULT}")
 
 
-def word_numbers(words: list[str]) -> np.ndarray:
-    """A number of 64 bits for each word, the same in every process."""
-    return np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in words], np.uint64)
-
-
 def fingerprints(words: list[str]) -> set[int]:
     """What winnowing keeps of a text; for a text of fewer than ``WINDOW`` words, its first word."""
-    ids = word_numbers(words)
+    ids = word_hashes(words)
     if len(ids) < WINDOW:
         return set(ids[:1].view(np.int64).tolist())
     h = gram_hashes(ids, K)
@@ -169,7 +164,7 @@ def decontaminate_large(docs: DataFrame, items: DataFrame, id_col: str = "doc_id
                     words = alnum_words(t)
                     got = fingerprints(words) if words else set()
                     if short:  # short items are looked up by their first word
-                        got |= set(word_numbers(sorted(set(words))).view(np.int64).tolist())
+                        got |= set(word_hashes(sorted(set(words))).view(np.int64).tolist())
                     at += [i] * len(got)
                     out += got
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(out, pa.int64())], names=["k", "fp"])

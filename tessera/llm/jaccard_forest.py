@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Bounded, alnum_words, gram_hashes, mix, paths_of, remove, rows, written
+from tessera.llm.common import alnum_words, gram_hashes, mix, paths_of, remove, rows, word_hashes, written
 from tessera.llm.components import components
 
 SHINGLE = 5
@@ -48,13 +48,8 @@ def prefix_length(threshold: float, trees: int = TREES, depth: int = DEPTH, reca
     return d
 
 
-def word_hash(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-
-
-def shingle_set(text: str, hashes: dict) -> np.ndarray:
-    words = alnum_words(text)
-    ids = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+def shingle_set(text: str) -> np.ndarray:
+    ids = word_hashes(alnum_words(text))
     return np.unique(gram_hashes(ids, min(SHINGLE, len(ids)))) if len(ids) else np.empty(0, np.uint64)
 
 
@@ -66,11 +61,10 @@ def _signatures(df: DataFrame, threshold: float) -> DataFrame:
     b = rng.integers(0, 1 << 32, TREES * depth, np.uint64).astype(np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Bounded(word_hash)
         for batch in batches:
             both = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int32()), batch.column(2)], names=["i", "text"])
             for at, texts in rows([both], 600_000):
-                sets = [shingle_set(t, hashes) for t in texts]
+                sets = [shingle_set(t) for t in texts]
                 full = [s for s in sets if len(s)]
                 labels: list[list[int]] = []
                 if full:
@@ -138,7 +132,7 @@ def _verified(texts: DataFrame, threshold: float) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([comp] * len(group), pa.int64()), pa.array(cids), pa.array(ok.sum(1), pa.int64()), pa.array(cids[_roots(ok)])], names=["comp", "cid", "n", "lead"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, group = Bounded(word_hash), []
+        group: list[tuple] = []
         for batch in batches:
             cols = [batch.column(k).to_pylist() for k in range(5)]
             for k, key in enumerate(zip(*cols)):
@@ -146,7 +140,7 @@ def _verified(texts: DataFrame, threshold: float) -> DataFrame:
                     yield judge(group)
                     group = []
                 if not group or group[-1][3] != key[3]:  # a repeated row comes once
-                    group.append((*key, shingle_set(batch.column(5)[k].as_py() or "", hashes)))
+                    group.append((*key, shingle_set(batch.column(5)[k].as_py() or "")))
         if group:
             yield judge(group)
 

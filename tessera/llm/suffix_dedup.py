@@ -21,6 +21,8 @@ text count as one row. Words are compared by 64- and 32-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Bounded, alnum_words, gram_hashes, paths_of, remove, rows, sliding_min, written
-from tessera.llm.jaccard_forest import word_hash
+from tessera.llm.common import alnum_words, gram_hashes, mix, paths_of, remove, rows, word_hashes, written
 
 MIN_WORDS = 50
 K = 12
@@ -41,34 +42,62 @@ LEFT, RIGHT = SAMPLE - 1, MIN_WORDS
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 
 
-class _Words:
-    """Word hashes and retained places of texts."""
+def _retained(h: np.ndarray, w: int) -> np.ndarray:
+    """Places of the least hash of every ``w`` in a row, the rightmost of equals (the high bits of the hashes count)."""
+    mask = np.uint64((1 << max(1, len(h).bit_length())) - 1)
+    m = (h & ~mask) | (mask - np.arange(len(h), dtype=np.uint64))
+    if len(h) < w:
+        return np.empty(0, np.int64)
+    wide, k = {1: m}, 1
+    while 2 * k <= w:
+        wide[2 * k] = np.minimum(wide[k][:-k], wide[k][k:])
+        k *= 2
+    least, done = wide[k], k
+    for step in sorted(wide, reverse=True):
+        if done + step <= w:
+            n = len(h) - done - step + 1
+            least, done = np.minimum(least[:n], wide[step][done : done + n]), done + step
+    chosen = np.zeros(len(h), bool)
+    chosen[(mask - (least & mask)).astype(np.int64)] = True
+    return np.flatnonzero(chosen)
+
+
+def _places(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words' hashes in a row, where each text starts and ends, the runs' hashes, the retained places (runs across
+    two texts and those of texts under ``MIN_WORDS`` words are not retained)."""
+    per = [alnum_words(t) for t in texts]
+    size = np.array([len(p) for p in per], np.int64)
+    ends = np.cumsum(size)
+    flat = word_hashes(list(chain.from_iterable(per)))
+    h = gram_hashes(flat, K)
+    if not len(h):
+        return flat, ends - size, ends, h, np.empty(0, np.int64)
+    inside = np.repeat(np.where(size >= MIN_WORDS, ends - K, -1), size)[: len(h)] >= np.arange(len(h))
+    h[~inside] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    at = _retained(h, SAMPLE)
+    return flat, ends - size, ends, h, at[inside[at]]
+
+
+def _runs(texts: DataFrame) -> DataFrame:
+    """One row for each text (``_id, _row, n_words``) and one for each retained run (``h``), written."""
+    kind = texts.schema["_id"].dataType.simpleString()
 
-    def __init__(self):
-        self.hashes = Bounded(word_hash)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int32()), batch.column(2)], names=["i", "text"])
+            for i, some in rows([both], 2_000_000):
+                _, starts, ends, h, at = _places(some)
+                mine, n = batch.take(pa.array(i, pa.int32())), len(at)
+                for cols in ([mine.column(0), mine.column(1), pa.array(ends - starts, pa.int64()), pa.nulls(len(i), pa.int64())], [pa.nulls(n, mine.column(0).type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(h[at].view(np.int64))]):
+                    yield pa.RecordBatch.from_arrays(cols, names=["_id", "_row", "n_words", "h"])
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Words, hashes of the runs of ``K`` words, retained places."""
-        words = alnum_words(text)
-        ids = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
-        if len(ids) < MIN_WORDS:
-            return ids, np.empty(0, np.uint64), np.empty(0, np.int64)
-        h = gram_hashes(ids, K)
-        return ids, h, sliding_min(h, SAMPLE)
+    return written(texts.select("_id", "_row", "text").mapInArrow(run, f"_id {kind}, _row long, n_words long, h long"), "runs")
 
 
-def _repeated_bitmap(texts: DataFrame) -> tuple[np.ndarray, int]:
+def _repeated_bitmap(runs: DataFrame) -> tuple[np.ndarray, int]:
     """Bits (packed) of the runs retained twice or more, and the number of bits. Counting is distributed; the driver
     gets at most ``MOST_BITS`` bits as 64-bit words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
-        for _, some in rows(batches):
-            kept = [h[at] for _, h, at in map(words, some)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kept).view(np.int64) if kept else [], pa.int64())], names=["h"])
-
-    often = texts.select("_row", "text").mapInArrow(run, "h long").groupBy("h").count().where("count > 1").select("h")
-    often = written(often, "repeated-runs")
+    often = written(runs.where("h IS NOT NULL").groupBy("h").count().where("count > 1").select("h"), "repeated-runs")
     bits = LEAST_BITS
     n = often.count()
     while bits < MOST_BITS and bits < 16 * n:
@@ -79,43 +108,62 @@ def _repeated_bitmap(texts: DataFrame) -> tuple[np.ndarray, int]:
     out = np.zeros(bits // 64, np.int64)
     out[got["w"].to_numpy()] = got["b"].to_numpy()
     for p in paths_of(often):
-        remove(texts.sparkSession, p)
+        remove(runs.sparkSession, p)
     return out.view(np.uint8), bits
 
 
 def _suffixes(texts: DataFrame, bitmap) -> DataFrame:
-    """``_row, pos, right, left``: the retained suffixes that may match. ``right`` is the first ``RIGHT`` words as
-    big-endian 32-bit hashes, so that binary order is suffix order; ``left`` is the words before, nearest first, with
-    lengths cut at the ends of the text."""
+    """``h, _row, pos, nr, nl, right, left``: the retained suffixes that may match. ``right`` is the next ``RIGHT`` words
+    as big-endian 32-bit hashes, so that binary order is suffix order, and ``left`` the ``LEFT`` words before, nearest
+    first; both are padded, and ``nr`` and ``nl`` say how many words the text really has there."""
     shared = texts.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, (table, bits) = _Words(), shared.value
+        table, bits = shared.value
         for ids, some in rows(batches, 2_000_000):
-            row, pos, right, left = [], [], [], []
-            for i, text in zip(ids, some):
-                w, h, at = words(text)
-                low = (h[at] & np.uint64(bits - 1)).astype(np.int64)
-                at = at[(table[low >> 3] >> (low & 7).astype(np.uint8)) & 1 > 0]
-                if not len(at):
-                    continue
-                raw = (w >> np.uint64(32)).astype(">u4")
-                forward, backward = raw.tobytes(), raw[::-1].tobytes()
-                n = len(w)
-                for p in at.tolist():
-                    row.append(i)
-                    pos.append(p)
-                    right.append(forward[4 * p : 4 * (p + RIGHT)])
-                    left.append(backward[4 * (n - p) : 4 * (n - p + LEFT)])
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(pos, pa.int64()), pa.array(right, pa.binary()), pa.array(left, pa.binary())], names=["_row", "pos", "right", "left"])
-
-    return texts.select("_row", "text").mapInArrow(run, "_row long, pos long, right binary, left binary")
-
-
-def _padded(values: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words as a table of ``width`` columns, and how many each row really has."""
-    n = np.array([len(v) // 4 for v in values])
-    return np.frombuffer(b"".join(v.ljust(4 * width, b"\0") for v in values), ">u4").reshape(-1, width), n
+            flat, starts, ends, h, at = _places(some)
+            low = (h[at] & np.uint64(bits - 1)).astype(np.int64)
+            at = at[(table[low >> 3] >> (low & 7).astype(np.uint8)) & 1 > 0]
+            doc = np.searchsorted(ends, at, "right")
+            nr, nl = np.minimum(ends[doc] - at, RIGHT), np.minimum(at - starts[doc], LEFT)
+            short = np.concatenate([np.zeros(LEFT, ">u4"), (flat >> np.uint64(32)).astype(">u4"), np.zeros(RIGHT, ">u4")])
+            for lo in range(0, len(at), 8192):
+                s = slice(lo, lo + 8192)
+                right = short[LEFT + at[s, None] + np.arange(RIGHT)] * (np.arange(RIGHT) < nr[s, None])
+                left = short[LEFT - 1 + at[s, None] - np.arange(LEFT)] * (np.arange(LEFT) < nl[s, None])
+                cells = lambda x: pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * x.shape[1]), len(x), [None, pa.py_buffer(x.astype(">u4").tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(h[at[s]].view(np.int64)), pa.array(np.array(ids, np.int64)[doc[s]]), pa.array(at[s] - starts[doc[s]], pa.int64()),
+                    pa.array(nr[s], pa.int32()), pa.array(nl[s], pa.int32()), cells(right), cells(left),
+                ], names=["h", "_row", "pos", "nr", "nl", "right", "left"])
+
+    return texts.select("_row", "text").mapInArrow(run, "h long, _row long, pos long, nr int, nl int, right binary, left binary")
+
+
+@dataclass
+class _Block:
+    """Rows of the sorted suffixes as arrays."""
+
+    row: np.ndarray
+    pos: np.ndarray
+    nr: np.ndarray
+    nl: np.ndarray
+    right: np.ndarray
+    left: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.row)
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> _Block:
+        cell = lambda k, w: np.frombuffer(b"".join(batch.column(k).to_pylist()), ">u4").astype(np.uint32).reshape(-1, w)
+        return cls(*(batch.column(k).to_numpy() for k in range(4)), cell(4, RIGHT), cell(5, LEFT))
+
+    def __getitem__(self, s: slice) -> _Block:
+        return _Block(*(x[s] for x in vars(self).values()))
+
+    def __add__(self, other: _Block) -> _Block:
+        return _Block(*(np.concatenate([x, y]) for x, y in zip(vars(self).values(), vars(other).values())))
 
 
 def _common(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -125,91 +173,123 @@ def _common(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.
     return np.minimum(first, np.minimum(na, nb))
 
 
-def _compare(block: list[tuple], lo: int, hi: int) -> tuple[list[tuple], list[tuple]]:
-    """Rows ``lo:hi`` of a sorted block against neighbours: (spans ``_row, start, end``), (windows ``_row, start, hash``)
-    of the rows that more than ``NEAR`` neighbours on a side agree with."""
-    n = len(block)
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = np.array([pow(_BASE, i, 1 << 64) for i in range(LEFT + RIGHT)], np.uint64)
+_BACK = np.array([pow(_BASE, -i, 1 << 64) for i in range(LEFT + 1)], np.uint64)
+
+
+def _window_hashes(b: _Block, a_least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of the block, words before the place, hash) of the windows of ``MIN_WORDS`` words around each place that
+    start ``a_least`` words before it or more and lie inside the text."""
+    around = np.concatenate([b.left[:, ::-1], b.right], 1).astype(np.uint64) + np.uint64(1)
+    total = np.concatenate([np.zeros((len(b), 1), np.uint64), np.cumsum(around * _POWERS, axis=1, dtype=np.uint64)], 1)
+    starts = LEFT - np.arange(LEFT + 1)  # of the window with a words before the place, a = 0, 1, ...
+    h = mix((total[:, starts + MIN_WORDS] - total[:, starts]) * _BACK[starts])
+    a = np.arange(LEFT + 1)
+    ok = (a >= a_least[:, None]) & (a <= b.nl[:, None]) & (MIN_WORDS - a <= b.nr[:, None])
+    i, k = np.nonzero(ok)
+    return i, k, h[i, k]
+
+
+def _compare(b: _Block, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows ``lo:hi`` of a sorted block against neighbours: spans (``_row, start, end``) and windows (``_row, start,
+    hash``) still to be counted, one set for each distinct surrounding, of rows that more than ``NEAR`` neighbours on a
+    side agree with. A window can only repeat if its words from the place on do, so shorter common prefixes rule the
+    others out."""
+    n = len(b)
+    none = np.empty((0, 3), np.int64)
     if n < 2:
-        return [], []
-    right, nr = _padded([x[2] for x in block], RIGHT)
-    left, nl = _padded([x[3] for x in block], LEFT)
-    place = np.array([x[:2] for x in block], np.int64)
-    most_l, most_r = np.full(n, -1), np.full(n, -1)
-    deep = np.zeros(n, bool)
+        return none, none
+    most_l, most_r, longest = np.full(n, -1), np.full(n, -1), np.zeros(n, np.int64)
+    deep, again = np.zeros(n, bool), np.zeros(n, bool)
     for step in range(1, min(NEAR, n - 1) + 1):
-        r = _common(right[:-step], nr[:-step], right[step:], nr[step:])
-        l = _common(left[:-step], nl[:-step], left[step:], nl[step:])
-        k = np.flatnonzero((l + r >= MIN_WORDS) & (place[:-step] != place[step:]).any(1))
+        r = _common(b.right[:-step], b.nr[:-step], b.right[step:], b.nr[step:])
+        l = np.zeros(len(r), np.int64)
+        near = np.flatnonzero(r >= MIN_WORDS - LEFT)
+        l[near] = _common(b.left[near], b.nl[near], b.left[near + step], b.nl[near + step])
+        k = np.flatnonzero((l + r >= MIN_WORDS) & ((b.row[:-step] != b.row[step:]) | (b.pos[:-step] != b.pos[step:])))
         for at in (k, k + step):
             most_l[at] = np.maximum(most_l[at], l[k])
             most_r[at] = np.maximum(most_r[at], r[k])
+        if step == 1:
+            longest[:-1] = r
+            longest[1:] = np.maximum(longest[1:], r)
+            same = (r == b.nr[:-1]) & (r == b.nr[1:]) & (l == b.nl[:-1]) & (l == b.nl[1:])
+            again[1:] = same & ((b.row[:-1] != b.row[1:]) | (b.pos[:-1] != b.pos[1:]))
         if step == NEAR:
-            far = np.flatnonzero(r >= MIN_WORDS - LEFT)
-            deep[far] = deep[far + step] = True
-    spans, windows = [], []
-    for i in range(lo, hi):
-        row, pos = block[i][:2]
-        if most_r[i] >= 0:
-            spans.append((row, pos - int(most_l[i]), pos + int(most_r[i])))
-        if deep[i]:
-            around = np.concatenate([left[i, : nl[i]][::-1], right[i, : nr[i]]]).astype(np.uint64)
-            h = gram_hashes(around, MIN_WORDS)
-            windows += [(row, pos - int(nl[i]) + k, x) for k, x in enumerate(h.view(np.int64).tolist())]
-    return spans, windows
+            deep[near] = deep[near + step] = True
+    here = np.zeros(n, bool)
+    here[lo:hi] = True
+    k = np.flatnonzero(here & (most_r >= 0))
+    spans = np.stack([b.row[k], b.pos[k] - most_l[k], b.pos[k] + most_r[k]], 1)
+    # rows of one surrounding know each other's matches: the first speaks for all
+    k = np.flatnonzero(here & deep & ~again)
+    i, a, h = _window_hashes(_Block(*(x[k] for x in vars(b).values())), MIN_WORDS - longest[k])
+    return spans, np.stack([b.row[k][i], b.pos[k][i] - a, h.view(np.int64)], 1)
 
 
 #: What a sorted partition returns: spans (0), windows still to be counted (1), its first (2) and last (3) rows.
-FOUND = "kind int, _row long, start long, end long, h long, part int, i int, right binary, left binary"
+FOUND = "kind int, _row long, start long, end long, h long, part int, i int, nr int, nl int, right binary, left binary"
+_KINDS = dict(zip((f.split()[0] for f in FOUND.split(", ")), (pa.int32(), *[pa.int64()] * 4, *[pa.int32()] * 4, pa.binary(), pa.binary())))
+
 
+def _found(kind: int, n: int, **columns) -> pa.RecordBatch:
+    columns["kind"] = np.full(n, kind, np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in _KINDS.items()], names=list(_KINDS))
 
-def _found(spans=(), windows=(), ends=()) -> pa.RecordBatch:
-    data = [(0, r, s, e, None, None, None, None, None) for r, s, e in spans]
-    data += [(1, r, s, s + MIN_WORDS, h, None, None, None, None) for r, s, h in windows]
-    data += [(kind, x[0], x[1], None, None, part, i, x[2], x[3]) for kind, part, i, x in ends]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    cols = zip(*data) if data else [[]] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[f.split()[0] for f in FOUND.split(", ")])
+
+def _of_compare(spans: np.ndarray, windows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if len(spans):
+        yield _found(0, len(spans), _row=spans[:, 0], start=spans[:, 1], end=spans[:, 2])
+    if len(windows):
+        yield _found(1, len(windows), _row=windows[:, 0], start=windows[:, 1], end=windows[:, 1] + MIN_WORDS, h=windows[:, 2])
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One sorted partition, a few thousand rows at a time with ``NEAR`` rows of overlap."""
-    part, held, lo, first, last = TaskContext.get().partitionId(), [], 0, [], []
+    """One sorted partition, some thousand rows at a time with ``NEAR`` rows of overlap."""
+    part, held, lo, first = TaskContext.get().partitionId(), None, 0, None
     for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            new = list(zip(*(c.to_pylist() for c in batch.slice(at, 4096).columns)))
-            held += new
-            first += new[: NEAR - len(first)]
-            last = (last + new)[-NEAR:]
+        for at in range(0, batch.num_rows, 8192):
+            new = _Block.of(batch.slice(at, 8192))
+            held = new if held is None else held + new
+            first = new[:NEAR] if first is None else (first + new)[:NEAR]
             hi = len(held) - NEAR
             if hi > lo:
-                yield _found(*_compare(held, lo, hi))
+                yield from _of_compare(*_compare(held, lo, hi))
                 cut = max(0, hi - NEAR)
                 held, lo = held[cut:], hi - cut
-    yield _found(*_compare(held, lo, len(held)), [(2, part, i, x) for i, x in enumerate(first)] + [(3, part, i, x) for i, x in enumerate(last)])
+    if held is None:
+        return
+    yield from _of_compare(*_compare(held, lo, len(held)))
+    for kind, b in ((2, first), (3, held[-NEAR:])):
+        cells = lambda x: [r.astype(">u4").tobytes() for r in x]
+        yield _found(kind, len(b), part=np.full(len(b), part), i=np.arange(len(b)), _row=b.row, start=b.pos, nr=b.nr, nl=b.nl, right=cells(b.right), left=cells(b.left))
 
 
 def _over_boundaries(found: DataFrame) -> DataFrame:
     """Spans and windows of rows that lie on both sides of a boundary. The driver sees ``2 * NEAR`` rows of each
     partition, however large they are."""
-    ends: dict[tuple[int, int], list] = {}
-    for r in sorted(found.where("kind >= 2").collect(), key=lambda r: (r.part, r.kind, r.i)):
-        ends.setdefault((r.part, r.kind), []).append((r._row, r.start, bytes(r.right), bytes(r.left)))
+    ends: dict[tuple[int, int], _Block] = {}
+    got = found.where("kind >= 2").orderBy("part", "kind", "i").select("part", "kind", "_row", "start", "nr", "nl", "right", "left").toArrow()
+    for b in got.to_batches():
+        for i in range(b.num_rows):
+            key, row = (b.column(0)[i].as_py(), b.column(1)[i].as_py()), _Block.of(pa.RecordBatch.from_arrays(b.slice(i, 1).columns[2:], names=list("abcdef")))
+            ends[key] = ends[key] + row if key in ends else row
     parts = sorted({p for p, _ in ends})
-    spans, windows = [], []
+    data = []
     for k in range(1, len(parts)):
-        before, after = [], []
-        for p in parts[:k][::-1]:
-            before = ends[p, 3] + before
+        before, after = ends[parts[k - 1], 3], ends[parts[k], 2]
+        for p in parts[: k - 1][::-1]:
             if len(before) >= NEAR:
                 break
-        for p in parts[k:]:
-            after = after + ends[p, 2]
+            before = ends[p, 3] + before
+        for p in parts[k + 1 :]:
             if len(after) >= NEAR:
                 break
+            after = after + ends[p, 2]
         block = before[-NEAR:] + after[:NEAR]
-        s, w = _compare(block, 0, len(block))
-        spans, windows = spans + s, windows + w
-    data = [(0, r, s, e, None) for r, s, e in spans] + [(1, r, s, s + MIN_WORDS, h) for r, s, h in windows]
+        spans, windows = _compare(block, 0, len(block))
+        data += [(0, *x, None) for x in spans.tolist()] + [(1, r, s, s + MIN_WORDS, h) for r, s, h in windows.tolist()]
     return found.sparkSession.createDataFrame(data, "kind int, _row long, start long, end long, h long")
 
 
@@ -233,9 +313,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """``doc_id, n_words, n_repeated_words, n_passages, passages`` of each row; passages are ``start:end`` in words."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias("_row"), F.col(text_col).alias("text"))
-    suffixes = _suffixes(texts, _repeated_bitmap(texts)).withColumn("salt", F.xxhash64("_row", "pos"))
-    ordered = suffixes.repartitionByRange("right", "left", "salt").sortWithinPartitions("right", "left", "salt")
-    found = written(ordered.select("_row", "pos", "right", "left").mapInArrow(_neighbours, FOUND), "neighbours")
+    # suffixes that agree begin with one run, so the run's hash may lead the order: it is even and quick to compare
+    order = ["h", "right", "left", "salt"]
+    runs = _runs(texts)
+    suffixes = _suffixes(texts, _repeated_bitmap(runs)).withColumn("salt", F.xxhash64("_row", "pos"))
+    ordered = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
+    found = written(ordered.select("_row", "pos", "nr", "nl", "right", "left").mapInArrow(_neighbours, FOUND), "neighbours")
     both = found.where("kind < 2").select("kind", "_row", "start", "end", "h").union(_over_boundaries(found))
     windows = both.where("kind = 1").withColumn("place", F.xxhash64("_row", "start"))
     again = written(windows.groupBy("h").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("h"), "repeated-windows")
@@ -244,7 +327,6 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     for gone in (found, again):
         for p in paths_of(gone):
             remove(spark, p)
-    counted = texts.select("_id", "_row", F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long").alias("n_words"))
-    out = counted.join(merged, "_row", "left")
+    out = runs.where("h IS NULL").join(merged, "_row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select(F.col("_id").alias(id_col), "n_words", zero("n_repeated_words"), zero("n_passages"), F.coalesce("passages", F.lit("")).alias("passages"))
