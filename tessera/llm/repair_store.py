@@ -13,6 +13,7 @@ empty and holds the end id alone; repeated rows are stored as often as they come
 from __future__ import annotations
 
 import functools
+import json
 import re
 import struct
 import unicodedata
@@ -25,23 +26,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Bounded, rows, shared_dir
+from tessera.llm.common import rows, shared_dir
 
 SHARD_TOKENS = 1 << 20
-MIN_COUNT = 6
+MIN_COUNT = 8
 SYMBOLS = 1 << 16
+#: Pieces and characters of each of the cache's two generations.
+CACHED, CACHED_CHARS = 600_000, 16_000_000
 MAGIC = b"RPR1"
 
 
 class WordBPE:
-    """Ids as the tokenizers library gives them. Pieces of texts below U+0234 (which normalisation leaves alone but
-    for case) come from a bounded cache that the library fills; all other texts go to the library as a whole."""
+    """Ids as the tokenizers library gives them. Texts below U+0234 (which normalisation leaves alone but for case)
+    are put together from a bounded cache of their pieces that the library fills; others go to it as a whole."""
 
     @staticmethod
-    def pieces() -> re.Pattern:
-        """The format's piece pattern (contractions, letters, single digits, other signs) for characters below U+0300,
-        whose classes are listed."""
-        of = lambda kind: "".join(re.escape(chr(c)) for c in range(0x300) if unicodedata.category(chr(c))[0] == kind)
+    def pieces(end: int) -> re.Pattern:
+        """The format's piece pattern (contractions, letters, single digits, other signs) for lower-case text of
+        characters below ``end``, whose classes are listed."""
+        of = lambda kind: "".join(re.escape(c) for c in map(chr, range(end)) if unicodedata.category(c)[0] == kind and c == c.lower()[:1])
         space = "\t-\r \x85\xa0"
         return re.compile(f"'(?:[stmd]|re|ve|ll)|[{of('L')}]+|[{of('N')}]|[^{space}{of('L')}{of('N')}]+")
 
@@ -52,15 +55,60 @@ class WordBPE:
         self.library.no_padding()
         self.library.no_truncation()
         self.vocab_size = self.library.get_vocab_size(with_added_tokens=True)
-        self.odd = re.compile("[^\x00-\u0233]|<\\|")
-        self.split = self.pieces()
-        self.ids = Bounded(lambda w: np.array(self.library.encode(w, add_special_tokens=False).ids, "<u2").tobytes(), 600_000)
-
-    def encode(self, text: str, end: bytes) -> bytes:
-        """Ids as little-endian unsigned 16-bit integers, then ``end``."""
-        if self.odd.search(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes() + end
-        return b"".join([*map(self.ids.__getitem__, self.split.findall(text.lower())), end])
+        self.odd = re.compile("[^\x00-\u0233]")
+        self.split, self.split_ascii = self.pieces(0x300), self.pieces(0x80)
+        self.prose = b" \n.," + bytes(c for c in range(256) if unicodedata.category(chr(c))[0] == "L" and chr(c) == chr(c).lower())
+        vocab = self.library.get_vocab()
+        self.ends_word = np.zeros(1 + max(vocab.values()), bool)
+        self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.ids: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
+        # the same model for pieces that are normalised and split already
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+        self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": steps}}))
+
+    def _learn(self, pieces: list[list[str]]) -> None:
+        """Have the library encode pieces that are not in the cache: as one text, since each piece ends in a token that
+        ends a word."""
+        distinct = set().union(*pieces)
+        missing = distinct.difference(self.ids)
+        if len(self.ids) + len(missing) > CACHED or self.held > CACHED_CHARS:  # what is still in use moves over
+            self.ids, self.old, self.held, missing = {}, self.ids, 0, distinct
+        self.ids.update((p, self.old[p]) for p in missing if p in self.old)
+        missing = [p for p in missing if p not in self.ids]
+        if missing:
+            coded = np.array(self.bare.encode_batch_fast([" ".join(missing)], add_special_tokens=False)[0].ids, "<u2")
+            ends = (2 * (np.flatnonzero(self.ends_word[coded]) + 1)).tolist()
+            raw = coded.tobytes()
+            self.ids.update(zip(missing, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+            self.held += sum(map(len, missing))
+
+    def _pieces(self, text: str) -> list[str] | None:
+        """Pieces of a text, or None if the library must see it as a whole. Prose of Latin-1 letters with single full
+        stops and commas needs no pattern: the stops are set apart, and white space separates the pieces."""
+        if "<|" in text:
+            return None
+        low = text.lower()
+        try:
+            simple = not low.encode("latin-1").translate(None, self.prose)
+        except UnicodeEncodeError:
+            simple = False
+        if simple and not any(x in low for x in ("..", ",,", ".,", ",.")):
+            return low.replace(".", " . ").replace(",", " , ").split()
+        if text.isascii():
+            return self.split_ascii.findall(low)
+        return None if self.odd.search(text) else self.split.findall(low)
+
+    def encode(self, texts: list[str], end: bytes) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 16-bit integers, then ``end``."""
+        plain = list(map(self._pieces, texts))
+        self._learn([p for p in plain if p])
+        of = self.ids.__getitem__
+        whole = lambda t: np.array(self.library.encode(t, add_special_tokens=False).ids, "<u2").tobytes()
+        return [(whole(t) if p is None else b"".join(map(of, p))) + end for t, p in zip(texts, plain)]
 
 
 @functools.lru_cache(2)
@@ -86,15 +134,23 @@ def compress(seq: np.ndarray, last: np.ndarray, first_symbol: int, min_count: in
         at = np.flatnonzero(ok & heavy[bucket])
         if not len(at):
             break
-        pairs, which, n = np.unique(key[at], return_inverse=True, return_counts=True)
-        floor = max(min_count, int(n.max()) // 64)
+        key, bucket = key[at], bucket[at]
+        run = np.sort(key)
+        edge = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+        pairs, n = run[edge], np.diff(np.append(edge, len(run)))
+        floor = max(min_count, int(n.max()) // 256)
         chosen = np.flatnonzero(n >= floor)
+        if not len(chosen):
+            break
         if len(chosen) > SYMBOLS - free:
-            chosen = np.sort(chosen[np.argsort(-n[chosen], kind="stable")[: SYMBOLS - free]])
-        rank = np.full(len(pairs), -1)
-        rank[chosen] = np.arange(len(chosen))
-        which = rank[which]
-        at, which = at[which >= 0], which[which >= 0]
+            chosen = chosen[np.argsort(-n[chosen], kind="stable")[: SYMBOLS - free]]
+        chosen = chosen[np.argsort(n[chosen], kind="stable")]
+        # one pair for each bucket, the most frequent one; others have their turn in a later round
+        table = np.full(1 << 20, -1, np.int32)
+        table[(pairs[chosen] * np.uint32(0x9E3779B1)) >> np.uint32(12)] = np.arange(len(chosen))
+        which = table[bucket]
+        hit = (which >= 0) & (pairs[chosen][which] == key)
+        at, which = at[hit], which[hit]
         if not len(at):
             break
         new_run = np.concatenate([[True], np.diff(at) != 1])
@@ -117,7 +173,7 @@ def compress(seq: np.ndarray, last: np.ndarray, first_symbol: int, min_count: in
         stay[at + 1] = False
         seq, last = seq[stay], last[stay]
         free += len(rules)
-        if before - len(seq) < before // 100 and floor == min_count:
+        if before - len(seq) < before // 25:  # what is left is not worth another round
             break
     return seq, last, rounds
 
@@ -184,13 +240,14 @@ class Shard:
         skipped = int(ends[a - 1]) if a else 0
         return self.expand(symbols[a : b + 1])[start - skipped : stop - skipped]
 
+    def tokens(self) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and how many each document has."""
+        n = np.add.reduceat(self.lengths[self.seq], np.concatenate([[0], self.ends[:-1]])) if self.n_docs else np.empty(0, np.int64)
+        return self.expand(self.seq), n
+
     def docs(self) -> Iterator[np.ndarray]:
-        ids = self.expand(self.seq)
-        n = np.add.reduceat(self.lengths[self.seq], np.concatenate([[0], self.ends[:-1]])) if self.n_docs else []
-        at = 0
-        for k in n:
-            yield ids[at : at + k]
-            at += k
+        ids, n = self.tokens()
+        yield from np.split(ids, np.cumsum(n)[:-1]) if self.n_docs else ()
 
 
 def write_shards(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS, min_count: int = MIN_COUNT) -> None:
@@ -214,9 +271,8 @@ def write_shards(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_c
 
         for batch in batches:
             id_type = batch.column(0).type
-            for some, texts in rows([batch]):
-                for i, text in zip(some, texts):
-                    coded = model.encode(text, end)
+            for some, texts in rows([batch], 1_000_000):
+                for i, coded in zip(some, model.encode(texts, end)):
                     ids.append(i)
                     docs.append(coded)
                     size += len(coded) // 2
@@ -247,11 +303,11 @@ def read_shards(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
             id_type = batch.column(3).type.value_type
             for i in range(batch.num_rows):
                 part, shard, before = (batch.column(k)[i].as_py() for k in range(3))
-                ids, n, crc = batch.column(3)[i].as_py(), [], []
-                for doc in Shard(batch.column(4)[i].as_py()).docs():
-                    n.append(len(doc))
-                    crc.append(zlib.crc32(doc.astype("<u4").tobytes()))
-                start = offset[part] + before + np.cumsum(n) - n
+                ids = batch.column(3)[i].as_py()
+                flat, n = Shard(batch.column(4)[i].as_py()).tokens()
+                ends = np.cumsum(n)
+                start, raw = offset[part] + before + ends - n, memoryview(flat.astype("<u4")).cast("B")
+                crc = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), n.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array([f"{part}/{shard}"] * len(n))], names=[id_col, "start", "n_tokens", "ids_crc32", "shard_id"])
 
     return shards.select("part", "shard", "before", "ids", "blob").mapInArrow(run, f"{id_col} {kind}, start long, n_tokens long, ids_crc32 long, shard_id string")
