@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame
 from tessera.llm.common import Bounded, rows
 
 #: The pre-tokenizer's pattern and white space (Unicode White_Space), fixed values of the public format.
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
     rf"| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 )
 
 
+
 def _byte_chars() -> dict[str, int]:
     """The format's stand-in character of each byte: itself if printable Latin-1, else the next free one from 256."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
