@@ -175,7 +175,8 @@ class ShardedTable:
         now = self.spark._jvm.System.currentTimeMillis()
         for d in self._fs.listStatus(self._path(f"{self.root}/data")):
             for f in self._fs.listStatus(d.getPath()):
-                if f.getPath().toString() not in named and now - f.getModificationTime() >= older_than_ms:
+                mine = f.getPath().getName().endswith(".parquet") and f.getPath().toString() not in named
+                if mine and now - f.getModificationTime() >= older_than_ms:
                     self._fs.delete(f.getPath(), True)
                     n += 1
         return n
