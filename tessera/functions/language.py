@@ -62,14 +62,43 @@ PERSIAN_WORDS = "این است که برای های را در به از می ی
 ARABIC_WORDS = "ال في من على هذا هذه إلى التي الذي كان"
 
 
-def _test(letters: str, words: str) -> str:
-    """One pattern for a test. Word ends are those of ASCII letters, digits and underscores."""
-    parts = [f"[{letters}]"] * bool(letters)
-    if words:
-        each = [rf"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]){w}" if w[0].isascii() else rf"(?<=[A-Za-z0-9_]){w}" for w in words.split()]
-        each = [x + ("(?![A-Za-z0-9_])" if w[-1].isascii() else "(?=[A-Za-z0-9_])") for x, w in zip(each, words.split())]
-        parts += each
-    return "|".join(parts)
+def _ascii_words(words: str) -> list[str]:
+    return [w for w in words.split() if w.isascii()]
+
+
+def _other_words(words: str) -> str:
+    """A pattern for the words that are not all ASCII. Word ends are those of ASCII letters, digits and underscores, so a
+    word that begins with another letter needs a word character before it."""
+    ends = lambda c, yes, no: no if c.isascii() else yes
+    rest = [w for w in words.split() if not w.isascii()]
+    return "|".join(ends(w[0], "(?<=[A-Za-z0-9_])", "(?<![A-Za-z0-9_])") + w + ends(w[-1], "(?=[A-Za-z0-9_])", "(?![A-Za-z0-9_])") for w in rest)
+
+
+_WORDS = sorted({w for _, tests in LATIN for _, words in tests for w in _ascii_words(words)})
+
+
+def _test(s: Column, letters: str, words: str) -> Column:
+    """One test of the cascade on what a text holds: ``s`` has its ``words``, ``letters`` and ``lower`` text."""
+    of = lambda xs: F.array(*map(F.lit, xs))
+    parts = [F.arrays_overlap(s["letters"], of(letters))] * bool(letters)
+    if plain := _ascii_words(words):
+        parts.append(F.arrays_overlap(s["words"], of(plain)))
+    if other := _other_words(words):
+        parts.append(s["lower"].rlike(other))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out | p
+    return out
+
+
+def _latin(s: Column) -> Column:
+    out = F.lit("English")
+    for name, tests in reversed(LATIN):
+        hit = F.lit(True)
+        for t in tests:
+            hit = hit & _test(s, *t)
+        out = F.when(hit, name).otherwise(out)
+    return out
 
 
 def script_counts(text: Column) -> Column:
@@ -88,20 +117,22 @@ def _arabic_script(text: Column) -> Column:
     return F.when((persian >= 3) & (persian > arabic), "Persian").otherwise("Arabic")
 
 
+def _other_script(s: Column) -> Column:
+    counts = F.array(*(F.struct(F.regexp_count(s["other"], F.lit(f"[{cls}]")).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("s")) for i, (name, cls) in enumerate(SCRIPTS)))
+    top = F.array_max(counts)
+    mixed = s["other"].rlike(f"[{SCRIPTS[0][1]}]") & s["other"].rlike(f"[{SCRIPTS[1][1]}]")
+    return F.when(mixed, "Japanese").when(top["n"] < 2, _latin(s)).when(top["s"] == "Arabic", _arabic_script(s["text"])).otherwise(top["s"])
+
+
 def detect_language(text: Column) -> Column:
+    """What a text holds (its characters beyond ASCII, and the words that the cascade asks for) is sought once; the tests
+    then look at these few."""
     text = F.coalesce(text, F.lit(""))
-    lower = F.lower(text)
-    latin = F.lit("English")
-    for name, tests in reversed(LATIN):
-        hit = F.lit(True)
-        for letters, words in tests:
-            hit = hit & lower.rlike(_test(letters, words))
-        latin = F.when(hit, name).otherwise(latin)
-    counts = F.array(*(F.struct(F.regexp_count(text, F.lit(f"[{cls}]")).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("s")) for i, (name, cls) in enumerate(SCRIPTS)))
-    top = F.array_max(counts)
-    other = F.when(text.rlike(f"[{SCRIPTS[0][1]}]") & text.rlike(f"[{SCRIPTS[1][1]}]"), "Japanese").when(top["n"] < 2, latin).when(top["s"] == "Arabic", _arabic_script(text)).otherwise(top["s"])
-    # most texts hold no character of those scripts, and nothing is counted in them
-    return F.when(text.rlike("[" + "".join(c for _, c in SCRIPTS) + "]"), other).otherwise(latin)
+    lower, other = F.lower(text), F.regexp_replace(text, r"[\x00-\x7F]+", "")
+    words = F.array_intersect(F.split(lower, "[^A-Za-z0-9_]+"), F.array(*map(F.lit, _WORDS)))
+    held = F.struct(text.alias("text"), lower.alias("lower"), other.alias("other"), words.alias("words"), F.array_distinct(F.split(F.lower(other), "")).alias("letters"))
+    scripts = "[" + "".join(c for _, c in SCRIPTS) + "]"
+    return F.transform(F.array(held), lambda s: F.when(s["other"].rlike(scripts), _other_script(s)).otherwise(_latin(s)))[0]
 
 
 #: Openers that count as greetings: fixed values.
