@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The form of a link: a fixed value.
 WIKILINK = r"\[\[([^\]|]+?)(?:\|[^\]]+?)?\]\]"
 #: Punctuation that separates or surrounds query terms: a fixed value.
 QUERY_PUNCTUATION = r"\s,，。！？、；：\"'（）()\-_/\\·~～…"
+#: Prefixes of review titles, by kind: fixed values.
 REVIEW_PREFIXES = r"(?i)^(missing[\s-]?page[:：]\s*|duplicate[\s-]?page[:：]\s*|possible[\s-]?duplicate[:：]\s*|缺失页面[:：]\s*|缺少页面[:：]\s*|重复页面[:：]\s*|疑似重复[:：]\s*)"
 
 
