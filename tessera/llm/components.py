@@ -8,16 +8,26 @@ from pyspark.sql import functions as F
 from tessera.llm.common import paths_of, remove, written
 
 
+#: A node of very many edges is dealt to this many tasks where its edges meet their least node.
+SALTS = 16
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges ``a, b`` with the ``m`` of their ``a``: each edge takes one salt by its ``b``, each ``m`` takes all."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    return salted.join(least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["a", "salt"])
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return _with_least(both, least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = _with_least(down, least).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
@@ -30,7 +40,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round is written to the shared folder, so lineage stays short and a lost executor costs one round; what the
     driver sees of a round is its row count and checksum. Minima are combined before the shuffle, and the joins that
-    follow are ones that adaptive execution may split where a node has very many edges.
+    follow are salted.
     """
     spark = edges.sparkSession
     now = written(edges.select("a", "b").where("a <> b").distinct(), "edges")

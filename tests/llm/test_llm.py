@@ -176,7 +176,9 @@ def near_family(n, size=200, seed=3):
     return out
 
 
-def test_jaccard_join_is_exact(spark):
+@pytest.mark.parametrize("broadcast", [jaccard_forest.BROADCAST_ROWS, -1])
+def test_jaccard_join_is_exact(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(jaccard_forest, "BROADCAST_ROWS", broadcast)
     rng = random.Random(4)
     every = near_family(300) + [prose(rng, 120) for _ in range(60)] + ["", None, "a b", "a b", "A, b!"] + near_family(5, 60, 9)
     rows = list(enumerate(every))
