@@ -62,9 +62,9 @@ def deleted_keys(pages: DataFrame) -> DataFrame:
     return pages.select(F.explode(F.array("slug", "title")).alias("x")).select(link_key(F.col("x")).alias("key")).where("key <> ''").distinct()
 
 
-def clean_index(pages: DataFrame, keys: DataFrame, most_keys: int = 100_000) -> DataFrame:
-    """Contents without list lines whose first link is a deleted page. Keys are gathered per page by joining the
-    page's own links, so their number is bounded by the page."""
+def clean_index(pages: DataFrame, keys: DataFrame) -> DataFrame:
+    """Contents without list lines whose first link is a deleted page: lines are joined with the keys and put together
+    again, so neither the keys nor a page's lines have to be few."""
     subject = lambda line: F.regexp_extract(line, r"^\s*[-*]\s*\[\[([^\]|]+?)(?:\|[^\]]+)?\]\]", 1)
     lines = pages.select("path", F.posexplode(F.split("content", "\n")).alias("i", "line")).withColumn("key", link_key(F.trim(subject(F.col("line")))))
     gone = keys.withColumn("_gone", F.lit(True))

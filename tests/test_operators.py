@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import chat as C
 from tessera.operators import graph as G
 from tessera.operators import hygiene as H
+from tessera.operators import ingest as N
 from tessera.operators import insights as I
 from tessera.operators import retrieval as R
 from tessera.operators import vectors as V
@@ -147,6 +148,36 @@ def test_web(spark):
     assert sorted(tuple(r) for r in web.search_results(raw).collect()) == [("T", "https://www.x.org/a", "c", "x.org"), ("U", "https://y.org", "s", "Y")]
 
 
+def test_ingest(spark):
+    page = "---\ntype: source\ntitle: \"Paper\"\nsources: [\"paper.pdf\", \"b.pdf\"]\nrelated: [\"x\"]\n---\n\nfirst words\n\nmore"
+    p = pages(spark, **{"paper": page, "index": "# I\n- [[paper]] a\n- [[x]] b", "o": '---\ntitle: "O"\nrelated: ["Paper", "x"]\n---\nsee [[paper|it]]'})
+    e = {r.slug: r for r in N.entity_summaries(p).collect()}["paper"]
+    assert (e.type, e.title, e.description, e.tags) == ("source", "Paper", "first words", [])
+    out = N.cascade_delete(p, spark.createDataFrame([("wiki/paper.md",)], "path string"))
+    left = {r.path: r.content for r in out["pages"].collect()}
+    assert left == {"wiki/index.md": "# I\n- [[x]] b", "wiki/o.md": '---\ntitle: "O"\nrelated: ["x"]\n---\nsee it'}
+    assert [r.folder for r in out["media"].collect()] == ["wiki/media/paper"]
+    fate = N.delete_sources(p, spark.createDataFrame([("paper.pdf",)], "source string")).collect()
+    assert [(r.path, r.action, r.sources) for r in fate] == [("wiki/paper.md", "keep", ["b.pdf"])]
+    files = spark.createDataFrame([("wiki/log.md", "new"), ("wiki/index.md", "i"), ("wiki/concepts/c.md", "das ist und der die nicht ein Text auf Deutsch"), ("wiki/concepts/d.md", "это русский текст, довольно длинный")], "path string, content string")
+    routed = {r.path: r.action for r in N.route(files, F.lit("English")).collect()}
+    assert routed == {"wiki/log.md": "append", "wiki/index.md": "overwrite", "wiki/concepts/c.md": "merge"}
+    old = spark.createDataFrame([("wiki/log.md", "old\n"), ("wiki/index.md", "i")], "path string, content string")
+    written = {r.path: (r.content, r.backup) for r in N.merged_pages(N.route(files), old, "2024-01-01").collect()}
+    assert written["wiki/log.md"] == ("old\n\nnew\n", "old\n") and "wiki/index.md" not in written
+
+
+def test_images(spark):
+    p = pages(spark, a="before ![x](u.png) after")
+    r = N.image_references(p).first()
+    assert (r.alt, r.url, r.before, r.after) == ("x", "u.png", "before ", " after")
+    plan = N.caption_plan(spark.createDataFrame([("u", "h"), ("u", "h"), ("v", "g")], "url string, sha256 string"), spark.createDataFrame([("h", "cap")], "sha256 string, caption string"))
+    assert {(x.url, x.caption, x.fresh) for x in plan.collect()} == {("u", "cap", False), ("v", None, True)}
+    once = p.select(N.with_image_section(F.col("content"), F.lit("S$1")).alias("c"))
+    twice = once.select(N.with_image_section(F.col("c"), F.lit("T")).alias("c")).first().c
+    assert once.first().c.endswith("S$1\n<!-- images:end -->\n") and twice.count("images:start") == 1 and "T\n<!-- images:end -->" in twice
+
+
 def test_vector_store(spark, tmp_path):
     store = stores.VectorStore(spark, str(tmp_path / "v"), 64)
     assert store.count() == 0
