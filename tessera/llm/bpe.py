@@ -68,8 +68,8 @@ class ForcedBoundaryBPE:
         self.never = [frozenset(c) for c in self.cut]
         self.pieces = regex.compile(PIECES)
         self.stop = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.fragment = Bounded(self._merge)
-        self.piece = Bounded(self._piece)
+        self.fragment = Bounded(self._merge, 100_000)
+        self.piece = Bounded(self._piece, 250_000)
 
     def _merge(self, raw: bytes) -> bytes:
         """Ids of one fragment: the lowest-ranked pair is merged first, the leftmost of equals."""
@@ -127,6 +127,8 @@ class ForcedBoundaryBPE:
 
     def _piece(self, piece: str) -> bytes:
         parts = self.fragments(piece.encode())
+        if len(parts) == 1:  # the piece's own place in the cache is enough
+            return self._merge(parts[0])
         if len(parts[0]) > 4096 or len(parts) > 4096:  # too long to be worth a place in the cache
             return b"".join(map(self._merge, parts))
         return b"".join(map(self.fragment.__getitem__, parts))

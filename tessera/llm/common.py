@@ -49,7 +49,7 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def rows(batches: Iterator[pa.RecordBatch], max_chars: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:
+def rows(batches: Iterator[pa.RecordBatch], max_chars: int = 1_000_000) -> Iterator[tuple[list, list[str]]]:
     """(ids, texts) of two-column batches, in slices of about ``max_chars`` characters, so that memory follows the
     longest text and not the number of rows of a batch. Null texts come as empty ones."""
     for batch in batches:
