@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import rows, shared_dir
 
 SHARD_TOKENS = 1 << 20
-MIN_COUNT = 8
+MIN_COUNT = 6
 SYMBOLS = 1 << 16
 #: Pieces and characters of each of the cache's two generations.
 CACHED, CACHED_CHARS = 600_000, 16_000_000
@@ -123,7 +123,8 @@ def compress(seq: np.ndarray, last: np.ndarray, first_symbol: int, min_count: in
     """Symbols, the flags of documents' last symbols, and the rules of each round as rows (left, right).
 
     Each round counts all pairs inside documents and replaces every pair that is frequent enough, most frequent
-    pairs first if room is short; where chosen pairs overlap, every other one of the run is taken.
+    pairs first if room is short; where chosen pairs overlap, every other one of the run is taken. Rounds go on until no
+    pair stands ``min_count`` times or the symbols are used up, however little a round saves.
     """
     rounds, free = [], first_symbol
     while free < SYMBOLS and len(seq) > 1:
@@ -165,7 +166,6 @@ def compress(seq: np.ndarray, last: np.ndarray, first_symbol: int, min_count: in
         at, which = at[worth[which]], which[worth[which]]
         rules = pairs[chosen[worth]]
         rounds.append(np.stack([rules >> np.uint32(16), rules & np.uint32(0xFFFF)], 1).astype("<u2"))
-        before = len(seq)
         seq, last = seq.copy(), last.copy()
         seq[at] = free + number[which]
         last[at] = last[at + 1]
@@ -173,8 +173,6 @@ def compress(seq: np.ndarray, last: np.ndarray, first_symbol: int, min_count: in
         stay[at + 1] = False
         seq, last = seq[stay], last[stay]
         free += len(rules)
-        if before - len(seq) < before // 25:  # what is left is not worth another round
-            break
     return seq, last, rounds
 
 

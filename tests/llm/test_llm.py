@@ -224,6 +224,22 @@ def test_repair_round_trip_and_random_access():
         assert (shard.doc(i, a, b) == s[a:b]).all() and (shard.doc(i) == s).all()
 
 
+def test_repair_goes_on_below_a_hot_pair():
+    rng = np.random.default_rng(2)
+    ids = rng.integers(10, 49408, 300_000)
+    at = rng.permutation(75_000)[:5_250] * 4
+    ids[at], ids[at + 1] = 3, 4  # one pair 5120 times, 13 others 10 times each
+    for k in range(13):
+        ids[at[5_120 + 10 * k : 5_130 + 10 * k]] = 5
+        ids[at[5_120 + 10 * k : 5_130 + 10 * k] + 1] = 10 + k
+    shard = repair_store.Shard(repair_store.pack([x.astype("<u2").tobytes() for x in np.split(ids, 100)], 49408))
+    assert (np.concatenate(list(shard.docs())) == ids).all() and len(shard.lengths) < repair_store.SYMBOLS
+    inside = np.ones(len(shard.seq), bool)
+    inside[shard.ends - 1] = False
+    pairs = (shard.seq[:-1].astype(np.int64) << 16 | shard.seq[1:])[inside[:-1]]
+    assert np.unique(pairs, return_counts=True)[1].max() < 6
+
+
 def test_token_files(docs, texts):
     library, at, want = Tokenizer.from_file(P.path("word_bpe_49k.json")), 0, {}
     for i in sorted(texts):
