@@ -3,8 +3,10 @@
 Base spans of four kinds come from fixed patterns and checks. Beyond them, every token with a digit or an at sign is
 a node of a random field over the kinds, ``secret`` (credentials) and ``none``; base spans are nodes too. Adjacent
 nodes of a text share a chain potential; nodes whose contents are equal or similar (same letters and digits, or the
-same last ``TAIL`` digits), however far apart, share a skip potential. Loopy message passing then settles the labels,
-so that what is personal in one place is personal wherever the text repeats it. Tokens without digits or at signs are
+same last ``TAIL`` digits), however far apart, share a skip potential. A content that one mention settles by itself (a
+card or phone number, a sure credential) is given in all its mentions, which many mentions without a cue cannot
+outvote; so what is personal in one place is personal wherever the text repeats it. Loopy message passing, until the
+messages no longer change, settles the other labels. Tokens without digits or at signs are
 taken as ``none``; nodes of one content are linked in a row, each with the next, so a text's links grow with its nodes.
 
 Weights are fitted by pseudo-likelihood on silver labels (base kinds; quoted or bare strings assigned to a credential
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +36,8 @@ NONE = len(KINDS)
 RANK = {k: i for i, k in enumerate(KINDS)}
 
 MAX_TRAIN_DOCS = 2000
-ROUNDS, SURE, TAIL = 12, 0.9, 7
+#: The rounds are a bound that is warned of, not the usual end.
+ROUNDS, STILL, SURE, TAIL = 5000, 1e-4, 0.9, 7
 STEPS, RATE, L2, ATTRACTION, CERTAIN = 300, 0.1, 2e-4, 4.0, 12.0
 
 # the definition's patterns, so written that long runs cost linear time
@@ -181,12 +185,16 @@ class SkipChainCRF:
         params[2] = params[2] + np.eye(k) * ATTRACTION
         return cls(*params)
 
-    def marginals(self, x: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> np.ndarray:
-        """Loopy message passing on the links of all texts at once; damped, a fixed number of rounds."""
+    def marginals(self, x: np.ndarray, chain: np.ndarray, skip: np.ndarray, given: np.ndarray | None = None) -> np.ndarray:
+        """Loopy message passing on the links of all texts at once; damped, until no message changes by
+        more than ``STILL``. ``given``: a kind for each node, or -1."""
         unary = x @ self.node
         if not len(x):
             return unary
         unary[:, : len(BASE_KINDS)] += CERTAIN * x[:, 1 : 1 + len(BASE_KINDS)]  # base spans are given
+        if given is not None:
+            at = np.flatnonzero(given >= 0)
+            unary[at, given[at]] += CERTAIN
         a, b = np.concatenate([chain, skip]).T
         pots = np.concatenate([np.broadcast_to(self.chain, (len(chain), *self.chain.shape)), np.broadcast_to(self.skip, (len(skip), *self.skip.shape))])
         src, dst = np.concatenate([a, b]), np.concatenate([b, a])
@@ -199,18 +207,45 @@ class SkipChainCRF:
             out = belief[src] - msg[back]
             new = np.logaddexp.reduce(out[:, :, None] + pots, axis=1)
             new -= np.logaddexp.reduce(new, axis=1, keepdims=True)
+            change = np.abs(new - msg).max()
             msg = 0.5 * msg + 0.5 * new
+            if change <= STILL:
+                break
+        else:
+            if len(src):
+                warnings.warn(f"messages still change by {change:.2g} after {ROUNDS} rounds", stacklevel=2)
         belief = unary.copy()
         np.add.at(belief, dst, msg)
         return _softmax(belief)
 
+    def settled(self, x: np.ndarray, per: list[list]) -> np.ndarray:
+        """The kind of each node outside base spans whose content is settled by one of its mentions in the text, or -1."""
+        own, secret = _softmax(x @ self.node), RANK["secret"]
+        base = x[:, 1 : 1 + len(BASE_KINDS)] > 0
+        kind = np.where(own[:, secret] >= SURE, secret, NONE)
+        for k in ("phone", "card"):  # their digits are the content; short addresses may be equal to other numbers
+            kind[base[:, RANK[k]]] = RANK[k]
+        kind[base.any(1) & (kind == secret)] = NONE
+        out, at = np.full(len(x), -1), 0
+        for found in per:
+            known: dict[str, int] = {}
+            for i, n in enumerate(found, at):
+                if kind[i] != NONE:
+                    known[n[3]] = min(kind[i], known.get(n[3], NONE))
+            for i, n in enumerate(found, at):
+                if not base[i].any():
+                    out[i] = known.get(n[3], -1)
+            at += len(found)
+        return out
+
     def added(self, texts: list[str], bases: list[list]) -> list[list[tuple[int, str, int]]]:
         """Spans of each text that the field adds to the base ones."""
         per = [nodes(t, b) for t, b in zip(texts, bases)]
         flat = [n for p in per for n in p]
         if not flat:
             return [[] for _ in texts]
-        p = self.marginals(np.stack([n[2] for n in flat]).astype(np.float64), *links(per))
+        x = np.stack([n[2] for n in flat]).astype(np.float64)
+        p = self.marginals(x, *links(per), self.settled(x, per))
         best, sure = p.argmax(1), p.max(1) >= SURE
         out, at = [], 0
         for found, base in zip(per, bases):

@@ -323,6 +323,30 @@ def test_pii_base(texts):
         assert pii.joined(pii.base_spans(t)) == pii_brute(t)
 
 
+def test_pii_many_repeats_of_one_cue(spark):
+    model = pii.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    for cued in (0, 25, 49):
+        t = " and ".join(f'token = "{key}"' if i == cued else f"beta {key}" for i in range(50))
+        at = [m.start() for m in re.finditer(key, t)]
+        assert model.added([t], [pii.base_spans(t)])[0] == [(i, "secret", i + len(key)) for i in at]
+    t = "call +15550109999 or " + " or ".join(["15550109999"] * 50)
+    assert [k for _, k, _ in model.added([t], [pii.base_spans(t)])[0]] == ["phone"] * 50
+    t = " and ".join(["beta 83920174"] * 50)
+    assert model.added([t], [pii.base_spans(t)]) == [[]]
+
+
+def test_pii_messages_reach_far_nodes():
+    k, n = pii.NONE + 1, 40
+    model = pii.SkipChainCRF(np.zeros((len(pii.FEATURES), k)), np.zeros((k, k)), 4 * np.eye(k))
+    x = np.zeros((n, len(pii.FEATURES)))
+    x[0, 1] = 1  # an address, the only evidence
+    row = np.array([(i, i + 1) for i in range(n - 1)])
+    p = model.marginals(x, np.empty((0, 2), np.int64), row)[:, 0]
+    less = ((np.exp(4) - 1) / (np.exp(4) + k - 1)) ** np.arange(n)
+    assert np.abs(p - (1 - less) / k - less * p[0]).max() < 1e-3
+
+
 def test_pii_adds_secrets_and_repeats(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = pii.train(docs)
