@@ -153,13 +153,14 @@ def cohesion(members: DataFrame, edges: DataFrame) -> DataFrame:
     return sizes.join(inner, "community", "left").select("community", "n_nodes", e.alias("n_edges"), (e / F.when(n > 1, n * (n - 1) / 2).otherwise(1.0)).alias("cohesion"))
 
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 12, checkpoint=None) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 1000, checkpoint=None) -> DataFrame:
     """``id, community``: greedy modularity moves (resolution 1) over the whole edge table, deterministic.
 
     Each round a node looks at the communities of its neighbours and moves to the one of the largest modularity gain;
-    nodes of even and of odd hash take turns, so that two do not swap for ever. Labels are the least id of a community.
-    Each round is checkpointed through ``checkpoint`` (default: reliable checkpoint of Spark). The stopping rule is a
-    round pair without a move.
+    each round another half of the nodes, by a hash of id and round, has its turn, so that two do not swap for ever.
+    Labels are the least id of a community. Each round is checkpointed through ``checkpoint`` (default: reliable
+    checkpoint of Spark). The stopping rule is that no node, on turn or not, gains by a move; an error is raised where
+    ``rounds`` do not get there.
     """
     keep = checkpoint or checkpointed
     both = edges.select(F.col("a").alias("id"), F.col("b").alias("n"), "weight").union(edges.select(F.col("b").alias("id"), F.col("a").alias("n"), "weight"))
@@ -169,7 +170,6 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 12, checkpoint
     label = keep(nodes.select("id", F.col("id").alias("c")))
     if not total:
         return label.select("id", F.col("c").alias("community"))
-    quiet = 0
     for r in range(rounds):
         known = label.join(strength, "id", "left").na.fill(0.0, ["k"])
         mass = known.groupBy("c").agg(F.sum("k").alias("m"))
@@ -179,12 +179,14 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 12, checkpoint
         left = F.col("m") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
         gain = F.round(F.col("w") - F.col("k") * left / total, 9)
         best = options.groupBy("id").agg(F.max(F.struct(gain.alias("g"), (F.col("c") == F.col("own")).alias("stay"), F.col("c").alias("c"))).alias("x"), F.first("own").alias("own"))
-        turn = F.pmod(F.xxhash64("id"), F.lit(2)) == r % 2
-        label = keep(best.select("id", F.when(turn, F.col("x.c")).otherwise(F.col("own")).alias("c"), (turn & (F.col("x.c") != F.col("own"))).alias("moved")))
-        quiet = 0 if label.where("moved").limit(1).count() else quiet + 1
+        turn = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0
+        label = keep(best.select("id", F.when(turn, F.col("x.c")).otherwise(F.col("own")).alias("c"), (F.col("x.c") != F.col("own")).alias("gains")))
+        done = not label.where("gains").limit(1).count()
         label = label.select("id", "c")
-        if quiet == 2:
+        if done:
             break
+    else:
+        raise RuntimeError(f"nodes still gain by moves after {rounds} rounds")
     names = label.groupBy("c").agg(F.min("id").alias("community"))
     return label.join(names, "c").select("id", "community")
 

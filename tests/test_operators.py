@@ -72,6 +72,21 @@ def test_communities_find_two_cliques(spark):
     assert [(r.id, r.n) for r in gaps.collect()] == [("h", 3)]
 
 
+def test_communities_end_where_no_node_gains(spark):
+    pairs = [(f"x{i}", f"y{i}") for i in range(40)] + [(f"z{i:03}", f"z{i + 1:03}") for i in range(100)]
+    ids = sorted({x for p in pairs for x in p})
+    got = {r.id: r.community for r in G.communities(spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame([(*p, 1.0) for p in pairs], "a string, b string, weight double")).collect()}
+    near, mass = {i: [] for i in ids}, dict.fromkeys(ids, 0)
+    for a, b in pairs:
+        near[a].append(b)
+        near[b].append(a)
+    for i in ids:
+        mass[got[i]] += len(near[i])
+    gain = lambda i, c: sum(got[n] == c for n in near[i]) - len(near[i]) * (mass[c] - (c == got[i]) * len(near[i])) / (2 * len(pairs))
+    assert all(gain(i, got[n]) <= gain(i, got[i]) + 1e-6 for i in ids for n in near[i])
+    assert all(got[f"x{i}"] == got[f"y{i}"] for i in range(40))
+
+
 def test_reviews_and_cleanup(spark):
     items = spark.createDataFrame([("1", 1, "duplicate", "Possible duplicate: X", "old", None, ["a"], None), ("2", 2, "duplicate", "x", "", "s", ["b", "a"], ["q"])], "id string, seq long, type string, title string, description string, source_path string, affected_pages array<string>, search_queries array<string>")
     r = H.merge_reviews(items).first()
