@@ -11,9 +11,10 @@ from tessera.streaming import queues as S
 
 
 def _events(spark, sf_dir, per_trigger: int | None = None):
-    """The events as a stream; one table is one file or folder."""
+    """The events as a stream; one table is one file or folder, read in one batch unless ``per_trigger`` files are asked for."""
     schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", per_trigger or 1000).parquet(f"{sf_dir}/events.parque[t]")
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
+    return (stream.option("maxFilesPerTrigger", per_trigger) if per_trigger else stream).parquet(f"{sf_dir}/events.parque[t]")
 
 
 COMMANDS = {"view": "enqueue", "signup": "enqueue", "click": "start", "error": "fail", "purchase": "finish"}
@@ -48,7 +49,7 @@ def enqueued_once(spark, sf_dir):
 @query("stream_windows", "SELECT start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS start FROM events) GROUP BY 1, 2")
 def stream_windows(spark, sf_dir):
     """Hourly counts by type from a stream (an addition to the reference's operators)."""
-    out = S.replay(_events(spark, sf_dir), lambda e: S.windowed_counts(e.withColumn("ts", F.col("ts").cast("timestamp")), "1 hour", "10 minutes"), shared_dir(spark, "windows"), shared_dir(spark, "windows-checkpoint"), "update")
+    out = S.replay(_events(spark, sf_dir), lambda e: S.windowed_counts(e.withColumn("ts", F.col("ts").cast("timestamp")), "1 hour"), shared_dir(spark, "windows"), shared_dir(spark, "windows-checkpoint"), "update")
     return out.groupBy(F.col("start").cast("timestamp_ntz").alias("start"), "event_type").agg(F.max_by("n", "batch").alias("n"), F.max_by("value", "batch").alias("value"))
 
 

@@ -1,7 +1,11 @@
 import io
 import json
+import os
 import zipfile
+from datetime import datetime, timedelta
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tessera.operators import chat as C
@@ -11,6 +15,7 @@ from tessera.operators import ingest as N
 from tessera.operators import insights as I
 from tessera.operators import retrieval as R
 from tessera.operators import vectors as V
+from tessera.plans import streams
 from tessera.sources import files, office, stores, web
 from tessera.streaming import queues as Q
 
@@ -121,6 +126,27 @@ def test_queue_transitions():
     assert Q.next_status("pending", 1, "enqueue") == ("pending", 1)
 
 
+def test_streams_of_many_files_out_of_order(spark, tmp_path, monkeypatch):
+    kinds = ["view", "click", "error", "purchase", "signup"]
+    rows = [{"event_id": i, "ts": datetime(2024, 1, 1) + timedelta(minutes=i), "user_id": i * 7 % 11, "event_type": kinds[i * i % 13 % 5], "value": 1.0} for i in range(1005)]
+    folder = tmp_path / "events.parquet"
+    folder.mkdir()
+    for r in rows:
+        pq.write_table(pa.Table.from_pylist([r]), f := folder / f"{r['event_id']}.parquet")
+        os.utime(f, (1.7e9 - r["event_id"],) * 2)  # the newest event is the oldest file
+    state, command = {}, lambda k: streams.COMMANDS.get(k, "restore")
+    for r in rows:
+        state[r["user_id"]] = Q.next_status(*state.get(r["user_id"], (None, 0)), command(r["event_type"]))
+    got = {r.task_id: (None if r.status == "done" else r.status, r.retries) for r in streams.queue_states(spark, str(tmp_path)).collect()}
+    assert got == state
+    for f in folder.iterdir():
+        if int(f.stem) % 200:
+            f.unlink()
+    events = streams._events
+    monkeypatch.setattr(streams, "_events", lambda s, d: events(s, d, 1))
+    assert streams.stream_windows(spark, str(tmp_path)).agg({"n": "sum"}).first()[0] == 6
+
+
 def test_files(spark, tmp_path):
     for name in ("a/x.md", "a/.hid/y.md", "b.pdf", "c.docx"):
         f = tmp_path / name
