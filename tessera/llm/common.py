@@ -8,7 +8,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.session import shared_dir
 
@@ -31,6 +32,17 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """128 bits of a hash of id and text (null texts as empty ones, null ids as a value of their own)."""
+    key, text = F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit(""))
+    return F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.length(key).cast("string"), F.lit(":"), key), F.lit("-")), F.lit("\n"), text)))
+
+
+def packed(df: DataFrame, *more: Column) -> DataFrame:
+    """The rows of ``df`` as one column ``row`` beside ``more``, so that no name of theirs clashes with others."""
+    return df.select(*more, F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+
+
 def paths_of(df: DataFrame) -> list[str]:
     return sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()})
 

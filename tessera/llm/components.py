@@ -35,12 +35,13 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """``node, comp`` for every node of an edge (columns ``a, b``, longs): ``comp`` is the least node reachable.
 
     Each round is written to the shared folder, so lineage stays short and a lost executor costs one round; what the
     driver sees of a round is its row count and checksum. Minima are combined before the shuffle, and the joins that
-    follow are salted.
+    follow are salted. Rounds grow with the logarithm of the longest path; edges that are not settled after
+    ``most_rounds`` raise an error.
     """
     spark = edges.sparkSession
     now = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
@@ -53,5 +54,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        if before[0]:
+            raise RuntimeError(f"components are not settled after {most_rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(roots)

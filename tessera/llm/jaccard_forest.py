@@ -1,21 +1,29 @@
 """N-gram Jaccard join with a MinHash LSH forest.
 
-Texts are sets of 5-word shingles (a text of fewer words is one shingle). Each text gets ``TREES`` signatures of up to
-``DEPTH`` minhashes; a tree is the sorted list of these signatures, and texts that agree on a prefix meet. The prefix
-is shortened from full length until the chance that texts at the threshold meet in some tree, ``1 - (1 - s**d)**TREES``,
-reaches ``RECALL``; a shorter prefix would only add candidates. Candidates are then verified exactly, on whole sets.
-
-Texts with equal sets are one class, so copies are never compared with each other. Members of a prefix group are tied
-to its least class, the ties' connected components are small sets that hold every candidate pair, and each set is
-verified as blocks: components of more than ``BLOCK`` classes are split into blocks, each pair of blocks is a task of
-its own, and what a task returns grows with its classes (links counted, one tie each), never with its pairs.
+Texts are sets of 5-word shingles (a text of fewer words is one shingle); texts with equal sets are one class, so copies
+are never compared with each other. Each class has one signature of ``DEPTH`` minhashes in each of ``TREES`` trees. A
+tree is its signatures in sorted order, in which every prefix is a run of neighbours: a node of the prefix trie. All
+nodes of the levels ``ROOT`` to ``DEPTH`` are counted.
+
+Each class starts with its full signature in every tree and shortens the matched prefix level by level until a class at
+the threshold meets it somewhere with probability ``RECALL``. Nodes of more than ``CROWD`` classes are left out of that
+where it can be afforded: a prefix that is crowded stays long. As what crowds a prefix (text that very many share) is
+found in near-duplicates as well, the trees left out are taken off every tree's chance of a match, ``s**depth - share``,
+and not only off their number; where no depth gives the recall without the crowded nodes, they are matched like all
+others. A node that some class stops at is open: all classes below it are candidates of each other.
+
+Candidates are verified exactly on whole sets before anything is connected. Classes are laid out in blocks of at most
+``BLOCK`` in the order of their groups' least classes; a pair of blocks is a task if some open node has classes in both,
+and then it holds the classes of the nodes that do (all of both blocks, for nodes that span more than ``NARROW``
+blocks). What a task returns grows with its classes (links counted, one tie each), never with its pairs. Connected
+components are taken of verified links alone.
 
 Each row of the result has ``class_id`` (least id of the rows with the same set), ``n_links`` (other classes of
 similarity ``THRESHOLD`` or more) and ``group_id`` (least id of the rows that links connect).
 
 Null and wordless texts have the empty set: they are one class without links. Null ids are passed over when the least
-id is sought; a group of null ids alone has a null id. Repeated rows are rows of one class. Sets and classes are told
-apart by 64-bit hashes.
+id is sought; a group of null ids alone has a null id. Repeated rows are rows of one class. Rows are told apart by 128
+bits of a hash of id and text; shingles and classes by 64 bits.
 """
 
 from __future__ import annotations
@@ -25,27 +33,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import alnum_words, gram_hashes, mix, paths_of, remove, rows, word_hashes, written
+from tessera.llm.common import alnum_words, gram_hashes, mix, packed, paths_of, remove, row_key, rows, word_hashes, written
 from tessera.llm.components import components
 
 SHINGLE = 5
 THRESHOLD = 0.8
-TREES, DEPTH, RECALL = 40, 10, 0.9999
-BLOCK, BLOCK_CHARS = 128, 1_000_000
+TREES, ROOT, DEPTH, RECALL = 40, 5, 10, 0.9999
+#: Bits that a minhash below the root has in a signature (equal bits of unequal minhashes only add candidates).
+BITS = 60 // (DEPTH - ROOT)
+CROWD = 32
+BLOCK, BLOCK_CHARS, NARROW = 64, 500_000, 4
 
 #: Tables of at most this many rows (of a few longs) are broadcast, after they were counted; others are shuffled.
 BROADCAST_ROWS = 1_000_000
 
 
-def prefix_length(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix at which texts at the threshold meet with probability ``recall`` or more."""
-    d = depth
-    while d > 1 and 1 - (1 - threshold**d) ** trees < recall:
-        d -= 1
-    return d
+def prefix_levels(sizes: list[list[int]], threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, crowd: int = CROWD) -> list[int]:
+    """The level (0: ``ROOT``) at which a class matches in each tree where it is not alone at the root. ``sizes``: how many
+    classes share its prefix at each level of those trees."""
+    last = DEPTH - ROOT
+    enough = lambda p: 1 - (1 - max(p, 0)) ** trees >= recall
+    for at in range(last, -1, -1):
+        left_out = sum(n[at] > crowd for n in sizes)
+        if enough(threshold ** (ROOT + at) - left_out / trees):
+            return [next((a for a in range(at, last) if n[a] <= crowd), last) for n in sizes]
+    return [max((a for a in range(last + 1) if enough(threshold ** (ROOT + a))), default=0)] * len(sizes)
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -53,12 +69,13 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(gram_hashes(ids, min(SHINGLE, len(ids)))) if len(ids) else np.empty(0, np.uint64)
 
 
-def _signatures(df: DataFrame, threshold: float) -> DataFrame:
-    """``rk, id, cid, n_chars, labels``: the hash of id and text, the set's hash, and one label per tree."""
-    depth = prefix_length(threshold)
+def _signatures(df: DataFrame) -> DataFrame:
+    """``rk, id, cid, n_chars, trees``: the row's key, the set's hash, and ``root, tail`` of the signature in each tree: the
+    hash of the first ``ROOT`` minhashes, and ``BITS`` bits of each further one, so that tails sort as signatures do."""
     rng = np.random.default_rng(20)
-    a = rng.integers(0, 1 << 32, TREES * depth, np.uint64).astype(np.uint32) | np.uint32(1)
-    b = rng.integers(0, 1 << 32, TREES * depth, np.uint64).astype(np.uint32)
+    a = rng.integers(0, 1 << 32, TREES * DEPTH, np.uint64).astype(np.uint32) | np.uint32(1)
+    b = rng.integers(0, 1 << 32, TREES * DEPTH, np.uint64).astype(np.uint32)
+    kinds = pa.struct([("root", pa.int64()), ("tail", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,22 +83,26 @@ def _signatures(df: DataFrame, threshold: float) -> DataFrame:
             for at, texts in rows([both], 600_000):
                 sets = [shingle_set(t) for t in texts]
                 full = [s for s in sets if len(s)]
-                labels: list[list[int]] = []
+                root, tail = np.empty((2, 0), np.int64)
                 if full:
                     x = (np.concatenate(full) >> np.uint64(32)).astype(np.uint32)
                     starts = np.cumsum([0, *(len(s) for s in full[:-1])])
-                    least = np.stack([np.minimum.reduceat(p * x + q, starts) for p, q in zip(a, b)], 1).reshape(len(full), TREES, depth)
+                    least = np.stack([np.minimum.reduceat(p * x + q, starts) for p, q in zip(a, b)], 1).reshape(len(full), TREES, DEPTH)
                     label = np.tile(np.arange(TREES, dtype=np.uint64), (len(full), 1))
-                    for i in range(depth):
+                    for i in range(ROOT):
                         label = mix(label + least[:, :, i].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                    labels = label.view(np.int64).tolist()
-                it = iter(labels)
+                    low = np.zeros_like(label)
+                    for i in range(ROOT, DEPTH):  # the high bits of a minimum say little before they are mixed
+                        low = (low << np.uint64(BITS)) | ((least[:, :, i] * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.uint64)
+                    root, tail = label.ravel().view(np.int64), low.ravel().view(np.int64)
+                ends = np.cumsum([0, *(TREES * (len(s) > 0) for s in sets)])
+                trees = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(root), pa.array(tail)], fields=list(kinds)))
                 cid = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
                 mine = batch.take(pa.array(at, pa.int32()))
-                yield pa.RecordBatch.from_arrays([mine.column(0), mine.column(1), pa.array(cid, pa.int64()), pa.array(map(len, texts), pa.int64()), pa.array([next(it) if len(s) else [] for s in sets], pa.list_(pa.int64()))], names=["rk", "id", "cid", "n_chars", "labels"])
+                yield pa.RecordBatch.from_arrays([mine.column(0), mine.column(1), pa.array(cid, pa.int64()), pa.array(map(len, texts), pa.int64()), trees], names=["rk", "id", "cid", "n_chars", "trees"])
 
     kind = df.schema["id"].dataType.simpleString()
-    return df.select("rk", "id", "text").mapInArrow(run, f"rk long, id {kind}, cid long, n_chars long, labels array<long>")
+    return df.select("rk", "id", "text").mapInArrow(run, f"rk binary, id {kind}, cid long, n_chars long, trees array<struct<root: long, tail: long>>")
 
 
 def sized(df: DataFrame) -> DataFrame:
@@ -123,59 +144,117 @@ def _roots(ok: np.ndarray) -> np.ndarray:
 
 
 def _verified(texts: DataFrame, threshold: float) -> DataFrame:
-    """Tasks ``comp, i, j`` of rows ``cid, side, text`` verified: ``comp, cid, n, lead`` for each class of a task."""
+    """Tasks ``i, j`` of rows ``cid, side, text`` verified: ``cid, n, lead`` for each class of a task."""
 
     def judge(group: list[tuple]) -> pa.RecordBatch:
-        comp, i, j = group[0][:3]
-        cids = np.array([g[3] for g in group], np.int64)
-        ok = _linked([g[5] for g in group], np.array([g[4] for g in group]), i != j, threshold)
-        return pa.RecordBatch.from_arrays([pa.array([comp] * len(group), pa.int64()), pa.array(cids), pa.array(ok.sum(1), pa.int64()), pa.array(cids[_roots(ok)])], names=["comp", "cid", "n", "lead"])
+        i, j = group[0][:2]
+        cids = np.array([g[2] for g in group], np.int64)
+        ok = _linked([g[4] for g in group], np.array([g[3] for g in group]), i != j, threshold)
+        return pa.RecordBatch.from_arrays([pa.array(cids), pa.array(ok.sum(1), pa.int64()), pa.array(cids[_roots(ok)])], names=["cid", "n", "lead"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
         for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in range(5)]
+            cols = [batch.column(k).to_pylist() for k in range(4)]
             for k, key in enumerate(zip(*cols)):
-                if group and group[0][:3] != key[:3]:
+                if group and group[0][:2] != key[:2]:
                     yield judge(group)
                     group = []
-                if not group or group[-1][3] != key[3]:  # a repeated row comes once
-                    group.append((*key, shingle_set(batch.column(5)[k].as_py() or "")))
+                if not group or group[-1][2] != key[2]:  # a repeated row comes once
+                    group.append((*key, shingle_set(batch.column(4)[k].as_py() or "")))
         if group:
             yield judge(group)
 
-    dealt = texts.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "cid")
-    return dealt.select("comp", "i", "j", "cid", "side", "text").mapInArrow(run, "comp long, cid long, n long, lead long")
+    dealt = texts.repartition("i", "j").sortWithinPartitions("i", "j", "cid")
+    return dealt.select("i", "j", "cid", "side", "text").mapInArrow(run, "cid long, n long, lead long")
+
+
+def _open_nodes(trie: DataFrame, threshold: float) -> DataFrame:
+    """``g, cid``: the open node that is nearest to the root on each path, with the classes below it."""
+    level = F.explode(F.sequence(F.lit(0), F.lit(DEPTH - ROOT))).alias("level")
+    nodes = trie.select("cid", "root", "tail", level)
+    nodes = nodes.select("cid", "root", "level", F.xxhash64("root", "level", F.expr(f"shiftright(tail, {BITS} * ({DEPTH - ROOT} - level))")).alias("node"))
+    sizes = written(nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "node-sizes")
+    # a class has at most TREES paths of a few levels each
+    paths = nodes.join(sized(sizes), "node").groupBy("cid").agg(F.collect_list(F.struct("root", "level", "node", "n")).alias("path"))
+
+    def stops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path in batch.column(0).to_pylist():
+                trees: dict[int, list] = {}
+                for x in path:
+                    trees.setdefault(x["root"], [(None, 1)] * (DEPTH - ROOT + 1))[x["level"]] = (x["node"], x["n"])
+                for tree, at in zip(trees.values(), prefix_levels([[n for _, n in t] for t in trees.values()], threshold)):
+                    if tree[at][0] is not None:
+                        out.append(tree[at][0])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["node"])
+
+    opened = written(paths.select("path").mapInArrow(stops, "node long").distinct(), "open-nodes")
+    first = nodes.join(sized(opened), "node").groupBy("cid", "root").agg(F.min(F.struct("level", "node")).alias("x"))
+    out = written(first.select(F.col("x.node").alias("g"), "cid"), "candidate-groups")
+    for gone in (sizes, opened):
+        for p in paths_of(gone):
+            remove(trie.sparkSession, p)
+    return out
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """``cid, rk, block`` of ``cid, rk, n_chars, anchor``: runs in the order of anchors, bounded in classes and characters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, n, chars = TaskContext.get().partitionId() << 32, 0, 0
+        for batch in batches:
+            out = []
+            for size in batch.column(2).to_pylist():
+                if n >= BLOCK or n and chars + size > BLOCK_CHARS:
+                    block, n, chars = block + 1, 0, 0
+                n, chars = n + 1, chars + size
+                out.append(block)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], names=["cid", "rk", "block"])
+
+    dealt = members.repartitionByRange("anchor", "cid").sortWithinPartitions("anchor", "cid")
+    return dealt.select("cid", "rk", "n_chars").mapInArrow(run, "cid long, rk binary, block long")
+
+
+def _tasks(groups: DataFrame, placed: DataFrame) -> DataFrame:
+    """``i, j, cid, rk, side``: the classes that each block (``i = j``) or pair of blocks compares."""
+    of = placed.select("cid", "block")
+    spans = written(groups.join(sized(of), "cid").select("g", "block", "cid"), "spans")
+    where = spans.select("g", "block").distinct()
+    wide = written(where.join(sized(written(where.groupBy("g").agg(F.count("*").alias("b")).where("b > 1"), "spanning-groups")), "g"), "group-blocks")
+    pairs = wide.select("g", "b", F.col("block").alias("i")).join(wide.select("g", F.col("block").alias("j")), "g").where("i < j")
+    few = pairs.where(F.col("b") <= NARROW).select("g", "i", "j").join(spans, "g").where("block = i OR block = j").select("i", "j", "cid").distinct()
+    many = written(pairs.where(F.col("b") > NARROW).select("i", "j").distinct(), "block-pairs")
+    whole = many.withColumn("block", F.explode(F.array("i", "j"))).join(sized(of), "block").select("i", "j", "cid")
+    own = of.select(F.col("block").alias("i"), F.col("block").alias("j"), "cid")
+    every = few.union(whole).distinct().union(own)
+    return every.join(sized(placed), "cid").select("i", "j", "cid", "rk", (F.col("block") == F.col("j")).cast("int").alias("side"))
 
 
 def link_groups(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(``rk, id, cid`` of every row, ``cid, n_links, gid`` of every class that has a candidate), both written."""
     spark = docs.sparkSession
-    keyed = docs.select(F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias("rk"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sig = written(_signatures(keyed, threshold), "signatures")
-    label = sig.select(F.explode("labels").alias("label"), "cid")
-    met = label.groupBy("label").agg(F.min("cid").alias("lead"), F.max("cid").alias("most")).where("lead <> most").select("label", "lead")
-    met = written(met, "prefix-groups")
-    ties = label.join(sized(met), "label").where("cid <> lead").select(F.col("cid").alias("a"), F.col("lead").alias("b")).distinct()
-    comp = written(components(ties).withColumnRenamed("node", "cid"), "candidate-sets")
-    members = sig.select("cid", "rk", "n_chars").join(sized(comp), "cid").groupBy("cid", "comp").agg(F.min("rk").alias("rk"), F.max("n_chars").alias("n_chars"))
-    members = written(members, "members")
-    parts = members.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n_chars") / F.lit(BLOCK_CHARS))).cast("int").alias("parts"))
-    placed = written(members.join(parts, "comp").select("rk", "cid", "comp", "parts", F.pmod(F.xxhash64("cid", F.lit("block")), F.col("parts")).cast("int").alias("side")), "blocks")
-    texts = keyed.select("rk", "text").join(sized(placed), "rk")
-    texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    texts = texts.select("comp", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "cid", "side", "text")
-    judged = written(_verified(texts, threshold), "verified")
-    split = judged.join(sized(written(parts.where("parts > 1").select("comp"), "split-sets")), "comp", "left_semi")
-    ties = split.where("cid <> lead").select(F.col("cid").alias("a"), F.col("lead").alias("b"))
-    wide = components(ties).select(F.col("node").alias("cid"), F.col("comp").alias("root"))
-    links = judged.groupBy("cid").agg(F.sum("n").alias("n_links"), F.min("lead").alias("lead"))
-    groups = links.join(wide, "cid", "left").select("cid", "n_links", F.coalesce("root", "lead").alias("gid"))
-    groups = written(groups, "link-groups")
-    for gone in (met, comp, members, placed, judged):
+    keyed = docs.select(row_key(id_col, text_col).alias("rk"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sig = written(_signatures(keyed), "signatures")
+    each = sig.select("cid", F.inline("trees"))
+    met = written(each.groupBy("root").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("root"), "shared-roots")
+    trie = written(each.join(sized(met), "root").distinct().repartitionByRange("root", "tail").sortWithinPartitions("root", "tail"), "trie")
+    groups = _open_nodes(trie, threshold)
+    lead = written(groups.groupBy("g").agg(F.min("cid").alias("lead")), "group-leads")
+    anchors = written(groups.join(sized(lead), "g").groupBy("cid").agg(F.min("lead").alias("anchor")), "anchors")
+    members = written(sig.select("cid", "rk", "n_chars").join(sized(anchors), "cid").groupBy("cid", "anchor").agg(F.min("rk").alias("rk"), F.max("n_chars").alias("n_chars")), "members")
+    placed = written(_blocks(members), "blocks")
+    tasks = written(_tasks(groups, placed), "tasks")
+    judged = written(_verified(keyed.select("rk", "text").join(sized(tasks), "rk"), threshold), "verified")
+    joined = components(judged.where("cid <> lead").select(F.col("cid").alias("a"), F.col("lead").alias("b")))
+    links = judged.groupBy("cid").agg(F.sum("n").alias("n_links"))
+    found = links.join(joined.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "n_links", F.coalesce("comp", "cid").alias("gid"))
+    found = written(found, "link-groups")
+    for gone in (met, trie, groups, lead, anchors, members, placed, tasks, judged):
         for p in paths_of(gone):
             remove(spark, p)
-    return sig.select("rk", "id", "cid"), groups
+    return sig.select("rk", "id", "cid"), found
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -189,17 +268,16 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each group the row of the least id stays (of equal ids, that
-    of the least text hash), once."""
+    """The rows of ``docs`` without near-duplicates: of each group the row of the least id stays (of equal ids, that of the
+    least hash of id and text), once; of rows that are equal in both, the one whose columns come first as JSON."""
     sig, groups = link_groups(docs, id_col, text_col, threshold)
     ranked = sig.join(groups.select("cid", "gid"), "cid", "left").select("rk", "id", F.coalesce("gid", "cid").alias("gid"))
     per_row = ranked.groupBy("gid", "rk", "id").agg(F.count("*").alias("copies"))
     first = per_row.groupBy("gid").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "rk")).alias("x")).select("gid", F.col("x.rk").alias("keep"))
     marked = per_row.join(first, "gid").select("rk", (F.col("rk") == F.col("keep")).alias("stays"), "copies")
     odd = written(marked.where("NOT stays OR copies > 1"), "rows-to-drop")
-    keyed = docs.withColumn("_rk", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
-    drop = sized(odd)
-    single = keyed.join(drop.select(F.col("rk").alias("_rk")), "_rk", "left_anti")
-    again = odd.where("stays").select(F.col("rk").alias("_rk"))
-    once = keyed.join(sized(again), "_rk", "left_semi").dropDuplicates(["_rk"])
-    return single.union(once).select(*docs.columns)
+    keyed = packed(docs, row_key(id_col, text_col).alias("rk"))
+    single = keyed.join(sized(odd).select("rk"), "rk", "left_anti").select("row")
+    again = keyed.join(sized(written(odd.where("stays").select("rk"), "rows-that-repeat")), "rk", "left_semi")
+    once = again.groupBy("rk").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+    return single.union(once).select("row.*")

@@ -189,9 +189,29 @@ def test_jaccard_join_is_exact(spark, monkeypatch, broadcast):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted({g for _, _, g in got.values()})
 
 
-def test_prefix_is_shortened_to_the_recall():
-    d = jaccard_forest.prefix_length(0.8)
-    assert 1 - (1 - 0.8**d) ** jaccard_forest.TREES >= jaccard_forest.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** jaccard_forest.TREES
+def test_prefixes_are_shortened_until_the_recall():
+    levels, depths, trees = jaccard_forest.prefix_levels, jaccard_forest.DEPTH - jaccard_forest.ROOT + 1, jaccard_forest.TREES
+    recall = lambda d: 1 - (1 - 0.8**d) ** trees
+    assert levels([]) == [] and levels([[2] * depths] * trees) == [2] * trees and recall(7) >= jaccard_forest.RECALL > recall(8)
+    # one crowded prefix stays long, and the others are shortened for it
+    assert levels([[2] * depths] * 39 + [[900, 900, 900, 900, 2, 1]]) == [1] * 39 + [4]
+    # in a family that crowds every tree nothing is left out
+    assert levels([[900] * depths] * trees) == [2] * trees
+    assert levels([[2] * depths] * trees, threshold=0.95) == [depths - 1] * trees
+
+
+def test_jaccard_join_of_texts_that_share_most_words(spark):
+    rng = random.Random(14)
+    shared, rows = prose(rng, 150, 4000).split(), []
+    for _ in range(150):  # families of near-duplicates, all with the same 150 words
+        own = prose(rng, 60, 4000).split()
+        for _ in range(rng.randrange(1, 4)):
+            w = list(own)
+            for _ in range(rng.randrange(0, 6)):
+                w[rng.randrange(len(w))] = f"y{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(shared + w)))
+    got = {r.doc_id: (r.class_id, r.n_links, r.group_id) for r in jaccard_forest.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == jaccard_brute(rows)
 
 
 def test_components(spark):
