@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import alnum_words, gram_hashes, mix, packed, paths_of, remove, row_key, rows, word_hashes, written
@@ -49,7 +49,7 @@ CROWD = 32
 BLOCK, BLOCK_CHARS, NARROW = 64, 500_000, 4
 
 #: Tables of at most this many rows (of a few longs) are broadcast, after they were counted; others are shuffled.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 
 
 def prefix_levels(sizes: list[list[int]], threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, crowd: int = CROWD) -> list[int]:
@@ -200,21 +200,23 @@ def _open_nodes(trie: DataFrame, threshold: float) -> DataFrame:
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """``cid, rk, block`` of ``cid, rk, n_chars, anchor``: runs in the order of anchors, bounded in classes and characters."""
+    """``cid, rk, block`` of ``cid, rk, n_chars, anchor``: runs in the order of anchors, bounded in classes and characters,
+    however many partitions there are (one row of each is added up to say where the next one starts)."""
+    least = BLOCK_CHARS // BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, n, chars = TaskContext.get().partitionId() << 32, 0, 0
+        part, total = TaskContext.get().partitionId(), 0
         for batch in batches:
-            out = []
-            for size in batch.column(2).to_pylist():
-                if n >= BLOCK or n and chars + size > BLOCK_CHARS:
-                    block, n, chars = block + 1, 0, 0
-                n, chars = n + 1, chars + size
-                out.append(block)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], names=["cid", "rk", "block"])
+            size = np.maximum(batch.column(2).to_numpy(), least)
+            ends = total + np.cumsum(size)
+            total = int(ends[-1]) if len(ends) else total
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.full(len(size), part), pa.int32()), pa.array(ends, pa.int64())], names=["cid", "rk", "part", "upto"])
 
     dealt = members.repartitionByRange("anchor", "cid").sortWithinPartitions("anchor", "cid")
-    return dealt.select("cid", "rk", "n_chars").mapInArrow(run, "cid long, rk binary, block long")
+    laid = written(dealt.select("cid", "rk", "n_chars").mapInArrow(run, "cid long, rk binary, part int, upto long"), "laid-out")
+    parts = laid.groupBy("part").agg(F.max("upto").alias("size"))
+    starts = parts.select("part", F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("start"))
+    return laid.join(F.broadcast(starts), "part", "left").select("cid", "rk", F.expr(f"(coalesce(start, 0L) + upto) div {BLOCK_CHARS}").alias("block"))
 
 
 def _tasks(groups: DataFrame, placed: DataFrame) -> DataFrame:
