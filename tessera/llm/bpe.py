@@ -159,10 +159,10 @@ def encode_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
-        for ids, texts in rows(batches):
+        for ids, texts, id_type in ((i, t, b.column(0).type) for b in batches for i, t in rows([b])):
             coded = [model.encode(t) for t in texts]
             out = {
-                "ids": ids,
+                "ids": pa.array(ids, id_type),
                 "n": pa.array([len(c) // 4 for c in coded], pa.int64()),
                 "sha": [hashlib.sha256(c).hexdigest() for c in coded],
                 "back": [hashlib.sha256(model.decode(c).encode()).hexdigest() for c in coded],

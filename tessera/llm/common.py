@@ -32,10 +32,13 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    """128 bits of a hash of id and text (null texts as empty ones, null ids as a value of their own)."""
-    key, text = F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit(""))
-    return F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.length(key).cast("string"), F.lit(":"), key), F.lit("-")), F.lit("\n"), text)))
+def row_key(id_col: str, text_col: str, *more: str) -> Column:
+    """128 bits of a hash of id, text and more columns (null texts as empty ones, other nulls as values of their own)."""
+    def part(name: str) -> Column:
+        x = F.col(name).cast("string")
+        return F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("-"))
+
+    return F.unhex(F.md5(F.concat(*map(part, (id_col, *more)), F.lit("\n"), F.coalesce(F.col(text_col), F.lit("")))))
 
 
 def packed(df: DataFrame, *more: Column) -> DataFrame:

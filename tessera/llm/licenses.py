@@ -1,14 +1,21 @@
 """License scans with a positional index of rare words.
 
-Templates are word lists with a mandatory key phrase. Over all documents it is counted how many hold each word of the
-templates; by these counts each key phrase's words have an IDF. The index holds, for each phrase, the positions of
-its two rarest words. A file's words are looked up for the rarest words; every hit proposes one relative position of
-a template, which the second word's posting must confirm before the key phrase is verified word for word. As a phrase
-cannot stand anywhere without its rarest word, every place is found.
-
-A verified template scores the IDF-weighted share of its words that stand at their places around the phrase; the
-file's score is the best of its templates, 0 without any. Null and empty texts have no words and no labels. Rows are
-scanned one by one; repeated rows are counted as often as they come.
+Templates are public licence texts and notices (see ``license_texts``), each with mandatory key phrases. Over all documents
+it is counted how many hold each word of the templates; these counts give the words their IDF. The index holds, for each
+word, where it stands in the templates' key phrases.
+
+Of a file's words, those in the index are ranked by IDF and looked up from the top, until ``LOOKUPS`` words of each
+template that can be there are (one with a key word that the file lacks cannot). Each posting gives relative positions of
+a template in the file; those that all looked-up words agree on are intersected, and there the template's first key
+phrase is verified word for word. As a phrase cannot stand anywhere without its rarest words, every place is found.
+
+A text, whose words may have been changed or moved a little, is then followed from that phrase to both ends; a word that is
+not at its place is sought up to ``SLACK`` words further. The text counts if the other key phrases stand within ``SLACK``
+words of their places and at least ``COVERED`` of the words' IDF is found; a notice counts by its key phrase. Each scores
+the IDF-weighted share of its words that are at their places, and the file's score is the best, 0 without any.
+
+Null and empty texts have no words and no labels. Rows are scanned one by one, repeated rows alike, and are counted as
+often as they come.
 """
 
 from __future__ import annotations
@@ -22,98 +29,133 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import alnum_words, rows
+from tessera.llm.license_texts import BASE, NOTICES, TEXTS
 
-#: label, words before the key phrase, key phrase, words after: public licence names and opening sentences.
-#: The first three phrases and labels are fixed values of the result's definition.
-BASE = (
-    ("mit", "released", "under the mit license", ""),
-    ("apache-2", "licensed under the", "apache license version 2", "0"),
-    ("cc-by-nc", "licensed under", "cc by nc", "4 0"),
-)
-MORE = (
-    ("mit", "", "permission is hereby granted free of charge to any person obtaining a copy", "of this software"),
-    ("apache-2", "", "www apache org licenses license 2 0", ""),
-    ("gpl", "this work is licensed under the", "gnu general public license", "version 3"),
-    ("gpl-3", "this work is licensed under the", "gnu general public license version 3", ""),
-    ("lgpl", "licensed under the", "gnu lesser general public license", ""),
-    ("agpl", "licensed under the", "gnu affero general public license", ""),
-    ("mpl-2", "subject to the terms of the", "mozilla public license v 2 0", ""),
-    ("bsd", "", "redistribution and use in source and binary forms with or without modification", "are permitted"),
-    ("isc", "", "permission to use copy modify and or distribute this software for any purpose", ""),
-    ("unlicense", "this is", "free and unencumbered software released into the public domain", ""),
-    ("cc-by-sa", "licensed under", "cc by sa", "4 0"),
-    ("cc-by-nd", "licensed under", "cc by nd", "4 0"),
-    ("cc0", "released under", "cc0 1 0", "universal"),
-    ("eupl", "licensed under the", "european union public licence", ""),
-)
+LOOKUPS, SLACK, COVERED = 3, 12, 0.7
 
 
 @dataclass(frozen=True)
 class Template:
+    """Words, and where each key phrase starts and how many words it has; the first one is the anchor."""
+
     label: str
     words: tuple[str, ...]
-    at: int
-    size: int
-    base: bool
+    keys: tuple[tuple[int, int], ...]
+    base: bool = False
+    whole: bool = False
 
-    @property
-    def phrase(self) -> tuple[str, ...]:
-        return self.words[self.at : self.at + self.size]
+    def phrase(self, k: int = 0) -> tuple[str, ...]:
+        at, size = self.keys[k]
+        return self.words[at : at + size]
 
 
-def _template(label: str, before: str, phrase: str, after: str, base: bool) -> Template:
+def _notice(label: str, before: str, phrase: str, after: str, base: bool) -> Template:
     a, b, c = before.split(), phrase.split(), after.split()
-    return Template(label, (*a, *b, *c), len(a), len(b), base)
+    return Template(label, (*a, *b, *c), ((len(a), len(b)),), base)
+
+
+def _text(label: str, text: str, phrases: tuple[str, ...]) -> Template:
+    words, keys = tuple(alnum_words(text)), []
+    for phrase in (tuple(p.split()) for p in phrases):
+        keys.append((next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase), len(phrase)))
+    return Template(label, words, tuple(keys), whole=True)
 
 
-TEMPLATES = tuple([_template(*t, True) for t in BASE] + [_template(*t, False) for t in MORE])
+TEMPLATES = tuple([_notice(*t, True) for t in BASE] + [_notice(*t, False) for t in NOTICES] + [_text(*t) for t in TEXTS])
 
 
 class RareWordIndex:
-    """Postings of the phrases' two rarest words under document frequencies ``df`` of ``n`` documents."""
+    """Postings of the anchors' words under document frequencies ``df`` of ``n`` documents."""
 
     def __init__(self, df: dict[str, int], n: int, templates: tuple[Template, ...] = TEMPLATES):
         self.templates = templates
-        idf = lambda w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1
-        self.weights = [[idf(w) for w in t.words] for t in templates]
-        self.rare: dict[str, list[tuple[int, int, str, int]]] = {}
+        self.idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1 for t in templates for w in t.words}
+        self.postings: dict[str, list[tuple[int, int]]] = {}
         for k, t in enumerate(templates):
-            order = sorted(range(t.size), key=lambda i: (-idf(t.phrase[i]), t.phrase[i], i))
-            first, second = order[0], order[min(1, t.size - 1)]
-            self.rare.setdefault(t.phrase[first], []).append((k, first, t.phrase[second], second))
-        self.words = frozenset(self.rare)
+            for i, w in enumerate(t.phrase()):
+                self.postings.setdefault(w, []).append((k, i))
+        self.key_words = [frozenset(w for j in range(len(t.keys)) for w in t.phrase(j)) for t in templates]
+        self.rank = {w: i for i, w in enumerate(sorted(self.postings, key=lambda w: (-self.idf[w], w)))}
+        self.total = [sum(self.idf[w] for w in t.words) for t in templates]
 
     def places(self, words: list[str]) -> list[tuple[int, int]]:
-        """(start of the key phrase, template) of every verified place."""
-        if self.words.isdisjoint(words):
+        """(start of the anchor, template) of every place where the anchor is verified."""
+        held = set(words)
+        can = {k for k, need in enumerate(self.key_words) if need <= held}
+        if not can:
             return []
-        out, n = [], len(words)
+        # the file's licence words from the rarest on, until each template has had its look-ups
+        left = {k: min(LOOKUPS, len(set(self.templates[k].phrase()))) for k in can}
+        chosen: dict[str, list[tuple[int, int]]] = {}
+        for w in sorted(held & self.rank.keys(), key=self.rank.__getitem__):
+            mine = [(k, i) for k, i in self.postings[w] if left.get(k)]
+            if mine:
+                chosen[w] = mine
+                for k in {k for k, _ in mine}:
+                    left[k] -= 1
+                if not any(left.values()):
+                    break
+        at: dict[str, list[int]] = {w: [] for w in chosen}
         for p, w in enumerate(words):
-            if w not in self.words:
-                continue
-            for k, i, other, j in self.rare[w]:
-                s, t = p - i, self.templates[k]
-                if s < 0 or s + t.size > n or words[s + j] != other:
+            if w in at:
+                at[w].append(p)
+        agreed: dict[int, set[int]] = {}
+        for w, mine in chosen.items():
+            for k in {k for k, _ in mine}:
+                if k in agreed and not agreed[k]:
                     continue
-                if tuple(words[s : s + t.size]) == t.phrase:
-                    out.append((s, k))
-        return out
+                starts = {p - i for t, i in mine if t == k for p in at[w]}
+                agreed[k] = agreed[k] & starts if k in agreed else starts
+        out = []
+        for k, starts in agreed.items():
+            phrase, size = self.templates[k].phrase(), len(self.templates[k].phrase())
+            out += [(s, k) for s in starts if s >= 0 and tuple(words[s : s + size]) == phrase]
+        return sorted(out)
 
     def coverage(self, words: list[str], s: int, k: int) -> float:
-        t, weights = self.templates[k], self.weights[k]
-        start = s - t.at
-        got = sum(x for i, (w, x) in enumerate(zip(t.words, weights)) if 0 <= start + i < len(words) and words[start + i] == w)
-        return got / sum(weights)
+        """The IDF-weighted share of a template's words that stand at their places around its anchor at ``s``."""
+        t, (at, size) = self.templates[k], self.templates[k].keys[0]
+        slack = SLACK if t.whole else 0
+        got = sum(map(self.idf.__getitem__, t.phrase()))
+        after = self._follow(words[s + size : s + size + len(t.words) - at - size + slack], t.words[at + size :], slack)
+        before = self._follow(words[max(0, s - at - slack) : s][::-1], t.words[:at][::-1], slack)
+        return (got + after + before) / self.total[k]
+
+    def _follow(self, words: list[str], wanted: tuple[str, ...], slack: int) -> float:
+        """IDF of the wanted words found in order; after a word that is not there, two in a row set the place anew."""
+        got, p = 0.0, 0
+        for i, w in enumerate(wanted):
+            if p < len(words) and words[p] == w:
+                got += self.idf[w]
+            elif slack and i + 1 < len(wanted):
+                pair = [w, wanted[i + 1]]
+                moved = next((q for q in range(max(0, p - slack), p + slack) if words[q : q + 2] == pair), None)
+                if moved is not None:
+                    got, p = got + self.idf[w], moved
+            p += 1
+        return got
+
+    def verified(self, words: list[str], s: int, k: int) -> float | None:
+        """The score of a template at an anchor, or None if a text's other key phrases or too many words are missing."""
+        t = self.templates[k]
+        score = self.coverage(words, s, k)
+        if t.whole:
+            for j, (at, size) in enumerate(t.keys[1:], 1):
+                place, phrase = s + at - t.keys[0][0], list(t.phrase(j))
+                if not any(words[q : q + size] == phrase for q in range(max(0, place - SLACK), place + SLACK + 1)):
+                    return None
+            if score < COVERED:
+                return None
+        return score
 
     def scan(self, text: str) -> tuple:
         words = alnum_words(text)
-        places = self.places(words)
-        base = [(s, self.templates[k].label) for s, k in places if self.templates[k].base]
-        base_labels = {x for _, x in base}
-        labels = base_labels | {self.templates[k].label for _, k in places}
-        score = max((self.coverage(words, s, k) for s, k in places), default=0.0)
+        found = [(s, k, x) for s, k in self.places(words) if (x := self.verified(words, s, k)) is not None]
+        base = [(s, self.templates[k].label) for s, k, _ in found if self.templates[k].base]
         starts = [s for s, _ in base]
-        return len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), score
+        labels = {self.templates[k].label for _, k, _ in found}
+        score = min(1.0, max((x for *_, x in found), default=0.0))
+        return len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in base})), ",".join(sorted(labels)), score
 
 
 def word_frequencies(docs: DataFrame, text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> tuple[dict[str, int], int]:

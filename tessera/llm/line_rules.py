@@ -2,17 +2,19 @@
 
 Per text: words, characters of words, symbols, repeated lines and words in repeated 5-word windows. Across texts:
 every line that has a word is normalised (lower case, white space collapsed, ends trimmed) and hashed together with
-its host; lines that more than ``max_docs`` rows of one host hold are over the limit. Such a line is taken away from
-every row but the one with the host's least id, so that no content is lost altogether, and a row that keeps less than
-``min_left`` of its words is depleted and rejected.
-
-Only 64-bit hashes and counts are shuffled, never texts. Counting combines before the shuffle, and the join that
-brings the few lines over the limit back to their rows is salted, so that a line that a third of all rows share is
-dealt to many tasks. Both inputs of that join are tables written to the shared folder, so Catalyst broadcasts the
-smaller one only if its measured size is under the session's limit.
-
-Null texts count as empty and fail the base rules; a null host is a host of its own; rows without an id never count
-as the row that keeps a line; identical rows are judged alike, each counting as one row. Other columns are not read.
+its host; lines that more than ``max_docs`` distinct documents (ids) of one host hold are over the limit. Such a line is
+taken away from every document but the one with the host's least id, so that no content is lost altogether, and a row
+that keeps less than ``min_left`` of its words is depleted and rejected.
+
+Only hashes, ids and counts are shuffled, never texts. Rows are counted first, with partial sums before the shuffle; only
+lines that more than ``max_docs`` rows hold can be over the limit, and of those alone distinct documents are counted, by
+(line, id) first, so that a line that a third of all rows share is dealt to all tasks. The joins that bring lines back to
+their rows are salted, and both inputs are tables written to the shared folder, so Catalyst broadcasts the smaller one
+only if its measured size is under the session's limit.
+
+Null texts count as empty and fail the base rules; a null host is a host of its own. Rows of one id are one document,
+however often they are repeated. Rows without an id neither count towards the limit nor keep a line, but lose lines over
+it. Rows that agree in id, host and text are judged alike. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import packed, row_key, written
 
 MAX_DOCS = 20
 MIN_LEFT = 0.3
@@ -45,15 +47,14 @@ def line_key(host: Column, line: Column) -> Column:
     return F.xxhash64(host, F.trim(F.regexp_replace(F.lower(line), SPACES, " ")))
 
 
-def base_features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``_id, _rk`` (hash of id and text) and the counts of each row. All array work stays inside the row; the costly
-    sort by (window, place) is only done for the few texts in which some window repeats."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    a = docs.select(F.col(id_col).alias("_id"), text.alias("t"))
-    b = a.select("_id", "t", words_of(F.col("t")).alias("w"), lines_of(F.col("t")).alias("l"))
+def base_features(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    """``id, rk`` and the counts of each row, written. All array work stays inside the row; the costly sort by (window,
+    place) is only done for the few texts in which some window repeats."""
+    a = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col, host_col).alias("rk"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    b = a.select("id", "rk", "t", words_of(F.col("t")).alias("w"), lines_of(F.col("t")).alias("l"))
     c = b.select(
-        "_id",
-        F.xxhash64("_id", "t").alias("_rk"),
+        "id",
+        "rk",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -65,50 +66,54 @@ def base_features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     at = F.expr("sort_array(transform(filter(s, (x, k) -> x.h <=> get(s, k - 1).h OR x.h <=> get(s, k + 1).h), x -> x.i))")
     f = e.withColumn("at", at).drop("s")
     n_repeat = F.expr("coalesce(aggregate(transform(at, (x, k) -> least(5, coalesce(get(at, k + 1), x + 5) - x)), 0L, (x, y) -> x + y), 0L)")
-    # equal to n_repeat, but nondeterministic for Catalyst: filters stay above this projection, else they would be
-    # pushed down with the arrays' expressions put in place inside the lambdas and worked out for each element
-    g = f.withColumn("n_repeat_words", F.greatest(n_repeat, -1 - F.monotonically_increasing_id())).drop("at")
-    return g.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    g = f.withColumn("n_repeat_words", n_repeat).drop("at")
+    # written, so that no later filter is pushed into the arrays' expressions
+    return written(g.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))), "facts")
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """``_rk, _u, _id, g, w, first``: one row per line with a word; w: its words, first: the first such line of the row."""
-    a = docs.select(F.col(id_col).alias("_id"), F.col(host_col).alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    b = a.select("_id", F.monotonically_increasing_id().alias("_u"), F.xxhash64("_id", "t").alias("_rk"), F.sort_array(F.transform(lines_of(F.col("t")), lambda x: F.struct(line_key(F.col("host"), x).alias("g"), F.size(words_of(x)).alias("w")))).alias("ls"))
-    c = b.select("_id", "_u", "_rk", F.expr("inline(transform(ls, (x, k) -> struct(x.g AS g, x.w AS w, int(k = 0 OR get(ls, k - 1).g <> x.g) AS first)))"))
-    return c
+    """``id, u, rk, g, w, first``: one row per line with a word; u: the row, w: its words, first: the first such line of the
+    row."""
+    a = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("u"), row_key(id_col, text_col, host_col).alias("rk"), F.col(host_col).alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    b = a.select("id", "u", "rk", F.sort_array(F.transform(lines_of(F.col("t")), lambda x: F.struct(line_key(F.col("host"), x).alias("g"), F.size(words_of(x)).alias("w")))).alias("ls"))
+    return b.select("id", "u", "rk", F.expr("inline(transform(ls, (x, k) -> struct(x.g AS g, x.w AS w, int(k = 0 OR get(ls, k - 1).g <> x.g) AS first)))"))
+
+
+def _salted(few: DataFrame) -> DataFrame:
+    return few.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
 
 
 def over_limit(docs: DataFrame, id_col: str, text_col: str, host_col: str, max_docs: int = MAX_DOCS) -> DataFrame:
-    """``_rk, _u, g, w``: the lines that are taken away, one row per line."""
+    """``rk, u, g, w``: the lines that are taken away, one row per line."""
     lines = written(_lines(docs, id_col, text_col, host_col), "lines")
-    often = lines.groupBy("g").agg(F.sum("first").alias("n"), F.min("_id").alias("keeper")).where(F.col("n") > max_docs)
+    maybe = written(lines.groupBy("g").agg(F.sum("first").alias("n")).where(F.col("n") > max_docs).select("g"), "lines-of-many-rows")
+    held = lines.withColumn("salt", F.pmod(F.col("u"), F.lit(SALTS)).cast("int"))
+    held = written(held.join(_salted(maybe), ["g", "salt"], "left_semi").select("id", "u", "rk", "g", "w", "salt"), "lines-held")
+    once = held.where("id IS NOT NULL").select("g", "id").distinct()
+    often = once.groupBy("g").agg(F.count("*").alias("n"), F.min("id").alias("keeper")).where(F.col("n") > max_docs)
     often = written(often.select("g", "keeper"), "lines-over-limit")
-    salted = often.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    held = lines.withColumn("salt", F.pmod(F.col("_u"), F.lit(SALTS)).cast("int"))
-    return held.join(salted, ["g", "salt"]).where(~F.col("_id").eqNullSafe(F.col("keeper"))).select("_rk", "_u", "g", "w")
+    return held.join(_salted(often), ["g", "salt"]).where(~F.col("id").eqNullSafe(F.col("keeper"))).select("rk", "u", "g", "w")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, max_docs: int, min_left: float, lines: bool) -> DataFrame:
+    """The facts of each row with ``n_removed_words``, ``kept`` and, if asked for, ``gs``, the hashes of the lines to go."""
+    gone = over_limit(docs, id_col, text_col, host_col, max_docs).groupBy("rk", "u").agg(F.sum("w").alias("r"), F.collect_set("g").alias("gs") if lines else F.lit(None).alias("gs"))
+    gone = gone.groupBy("rk").agg(F.max("r").alias("r"), F.first("gs").alias("gs"))  # rows of one key lose the same lines
+    out = base_features(docs, id_col, text_col, host_col).join(gone, "rk", "left").withColumn("n_removed_words", F.coalesce("r", F.lit(0)).cast("long")).drop("r")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_removed_words") >= min_left * F.col("n_words")))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words``."""
-    gone = over_limit(docs, id_col, text_col, host_col, max_docs).groupBy("_rk", "_u").agg(F.sum("w").alias("r")).groupBy("_rk").agg(F.max("r").alias("_gone"))
-    out = base_features(docs, id_col, text_col).join(gone, "_rk", "left").withColumn("n_removed_words", F.coalesce("_gone", F.lit(0)).cast("long"))
-    left = F.col("n_words") - F.col("n_removed_words")
-    kept = ~F.col("base_failed") & (left >= min_left * F.col("n_words"))
-    return out.select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_removed_words")
+    out = _judged(docs, id_col, text_col, host_col, max_docs, min_left, False)
+    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
 
 
 def apply_quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """The rows of ``docs`` that the rules keep, without their lines over the limit; columns stay as they are."""
-    key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
-    gone = over_limit(docs, id_col, text_col, host_col, max_docs).groupBy("_rk", "_u").agg(F.sum("w").alias("r"), F.collect_set("g").alias("gs"))
-    gone = written(gone.groupBy("_rk").agg(F.max("r").alias("_gone"), F.first("gs").alias("_gs")), "lines-gone")
-    facts = written(base_features(docs, id_col, text_col).select("_rk", "n_words", "base_failed"), "facts").where(~F.col("base_failed")).distinct()
-    kept = written(
-        facts.join(gone.select("_rk", "_gone"), "_rk", "left").where(F.col("n_words") - F.coalesce("_gone", F.lit(0)) >= min_left * F.col("n_words")).select("_rk"),
-        "rows-kept",
-    )
+    kept = written(_judged(docs, id_col, text_col, host_col, max_docs, min_left, True).where("kept").select("rk", "gs").dropDuplicates(["rk"]), "rows-kept")
     # texts are not shuffled while the keys are few; else each text moves once
-    out = docs.withColumn("_rk", key).join(kept, "_rk", "left_semi").join(gone, "_rk", "left")
-    cleaned = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x: ~x.rlike(NOT_SPACE) | ~F.array_contains("_gs", line_key(F.col(host_col), x))), "\n")
-    return out.withColumn(text_col, F.when(F.col("_gs").isNull(), F.col(text_col)).otherwise(cleaned)).select(*docs.columns)
+    out = packed(docs, row_key(id_col, text_col, host_col).alias("rk")).join(kept, "rk")
+    text, host = F.col("row")[text_col], F.col("row")[host_col]
+    cleaned = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(NOT_SPACE) | ~F.array_contains("gs", line_key(host, x))), "\n")
+    return out.select(*(F.when(F.col("gs").isNull(), text).otherwise(cleaned).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))

@@ -1,18 +1,21 @@
 """Personal data with a skip-chain conditional random field.
 
 Base spans of four kinds come from fixed patterns and checks. Beyond them, every token with a digit or an at sign is
-a node of a random field over the kinds, ``secret`` (credentials) and ``none``; base spans are nodes too. Adjacent
-nodes of a text share a chain potential; nodes whose contents are equal or similar (same letters and digits, or the
-same last ``TAIL`` digits), however far apart, share a skip potential. A content that one mention settles by itself (a
-card or phone number, a sure credential) is given in all its mentions, which many mentions without a cue cannot
-outvote; so what is personal in one place is personal wherever the text repeats it. Loopy message passing, until the
-messages no longer change, settles the other labels. Tokens without digits or at signs are
-taken as ``none``; nodes of one content are linked in a row, each with the next, so a text's links grow with its nodes.
-
-Weights are fitted by pseudo-likelihood on silver labels (base kinds; quoted or bare strings assigned to a credential
-word) of at most ``MAX_TRAIN_DOCS`` documents, a documented limit of the fit; every text is then searched as a whole.
-
-Null and empty texts have no spans. Rows are searched one by one.
+a node of a random field over the kinds, ``secret`` (credentials) and ``none``. Adjacent nodes of a text share a chain
+potential; nodes whose contents are equal or similar (same letters and digits, or the same last ``TAIL`` digits), however
+far apart, share a skip potential. Base spans are nodes whose label is observed. So is that of a content that one mention
+settles by itself (a card or phone number, a credential whose own features leave no doubt): it is observed in all its
+mentions, which many mentions without a cue cannot outvote; so what is personal in one place is personal wherever the
+text repeats it. Loopy message passing, until the messages no longer change, settles the other labels given the observed
+ones. Tokens without digits or at signs are taken as ``none``; nodes of one content are linked in a row, each with the
+next, so a text's links grow with its nodes.
+
+All potentials are fitted by pseudo-likelihood, on nodes that are not base spans. Their silver labels: ``secret`` for
+strings assigned to a credential word and their repeats, a base kind for repeats of a card's or phone number's digits,
+else ``none``. The sample is at most ``MAX_TRAIN_DOCS`` different rows (least hashes) of at most ``MAX_TRAIN_NODES`` nodes
+each, a documented limit of the fit; every text is then searched as a whole.
+
+Null and empty texts have no spans. Rows are searched one by one, repeated rows alike.
 """
 
 from __future__ import annotations
@@ -27,18 +30,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import rows
+from tessera.llm.common import row_key, rows
 
 #: Kinds in the order of the result's definition; the method's own kind follows.
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
 NONE = len(KINDS)
 RANK = {k: i for i, k in enumerate(KINDS)}
+#: Kinds whose digits are the content, wherever they are repeated; short addresses may be equal to other numbers.
+ITS_DIGITS = (RANK["card"], RANK["phone"])
 
-MAX_TRAIN_DOCS = 2000
+MAX_TRAIN_DOCS, MAX_TRAIN_NODES = 2000, 500
 #: The rounds are a bound that is warned of, not the usual end.
 ROUNDS, STILL, SURE, TAIL = 5000, 1e-4, 0.9, 7
-STEPS, RATE, L2, ATTRACTION, CERTAIN = 300, 0.1, 2e-4, 4.0, 12.0
+STEPS, RATE, L2 = 300, 0.1, 2e-4
+#: Log-potential of the labels that an observed node does not have.
+NEVER = -1e4
 
 # the definition's patterns, so written that long runs cost linear time
 _local = re.compile(r"[A-Za-z0-9._%+-]")
@@ -48,8 +55,9 @@ _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _digit = re.compile(r"[0-9]")
 
-_token = re.compile(r"[^\s\"'<>|,;=]*[0-9@][^\s\"'<>|,;=]*")
-_core = re.compile(r"[A-Za-z0-9+@(].*[A-Za-z0-9)]|[A-Za-z0-9]", re.S)
+_run = re.compile(r"[^\s\"'<>|,;=]+")
+_marked = re.compile(r"[0-9@]")
+_opens, _closes = re.compile(r"[A-Za-z0-9+@(]"), re.compile(r"[A-Za-z0-9)]")
 _cue = re.compile(r"(?i)\b(?:token|secret|passw(?:or)?d|api[_ -]?key|key|bearer|auth)\b[\s\"':=]*$")
 _silver = re.compile(r"(?i)\b(?:token|secret|passw(?:or)?d|api[_ -]?key|bearer)\b\s*[:=]\s*[\"']?([A-Za-z0-9_\-+/]{12,})")
 
@@ -82,7 +90,7 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     if "@" in text:
         out += [(s, "email", e) for s, e in _emails(text)]
     if _digit.search(text):
-        out += [(m.start(), "ip", m.end()) for m in _ip.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(m.start(), "ip", m.end()) for m in _ip.finditer(text) if all(len(d := p.lstrip("0")) < 4 and int(d or "0") <= 255 for p in m[0].split("."))]
         for m in _card.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 12 <= len(digits) <= 19 and _luhn(digits):
@@ -96,25 +104,33 @@ def joined(spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, k, e in spans)
 
 
-FEATURES = ("bias", "email", "ip", "card", "phone", "at", "digits", "letters", "hex", "long", "very_long", "cue", "assigned", "quoted", "dots", "plus", "mixed_long")
+FEATURES = ("bias", "at", "digits", "letters", "hex", "long", "very_long", "cue", "assigned", "quoted", "dots", "plus", "mixed_long")
 
 
-def nodes(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, int, np.ndarray, str, str]]:
-    """(start, end, features, content key, key of the last digits) in text order."""
+def _tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Runs between delimiters that hold a digit or an at sign, without the signs around them: each character is looked
+    at a few times, however long a run is."""
+    for m in _run.finditer(text):
+        x = m[0]
+        if _marked.search(x) and (first := _opens.search(x)) and (last := _closes.search(x[::-1])):
+            s, e = first.start(), len(x) - last.start()
+            if s < e:
+                yield m.start() + s, m.start() + e
+
+
+def nodes(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, int, np.ndarray, str, str, int]]:
+    """(start, end, features, content key, key of the last digits, base kind or -1) in text order."""
     if not base and "@" not in text and not _digit.search(text):
         return []
-    spans = {(s, e): k for s, k, e in reversed(base)}
+    spans = {(s, e): RANK[k] for s, k, e in reversed(base)}
     covered = sorted(spans)
     i = 0
-    for m in _token.finditer(text):
-        if not (c := _core.search(m[0])):
-            continue
-        s, e = m.start() + c.start(), m.start() + c.end()
+    for s, e in _tokens(text):
         while i < len(covered) and covered[i][1] <= s:
             i += 1
         if i < len(covered) and covered[i][0] < e:
             continue
-        spans[s, e] = ""
+        spans[s, e] = -1
     out = []
     for (s, e), kind in sorted(spans.items()):
         x = text[s:e]
@@ -124,17 +140,18 @@ def nodes(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, int, n
         n, letters = max(1, len(plain)), len(plain) - len(digits)
         is_hex = len(plain) >= 12 and all(ch in "0123456789abcdef" for ch in plain)
         cue = bool(_cue.search(before))
-        f = (1, kind == "email", kind == "ip", kind == "card", kind == "phone", "@" in x, len(digits) / n, letters / n, is_hex and 0 < letters, len(plain) >= 12, len(plain) >= 24, cue, before.rstrip(" \"'")[-1:] in ("=", ":"), before[-1:] in ('"', "'"), x.count(".") / 3, before[-1:] == "+", cue and len(plain) >= 12)
-        out.append((s, e, np.array(f, np.float32), plain, digits[-TAIL:] if len(digits) >= TAIL else ""))
+        f = (1, "@" in x, len(digits) / n, letters / n, is_hex and 0 < letters, len(plain) >= 12, len(plain) >= 24, cue, before.rstrip(" \"'")[-1:] in ("=", ":"), before[-1:] in ('"', "'"), x.count(".") / 3, before[-1:] == "+", cue and len(plain) >= 12)
+        out.append((s, e, np.array(f, np.float32), plain, digits[-TAIL:] if len(digits) >= TAIL else "", kind))
     return out
 
 
-def links(per_text: list[list]) -> tuple[np.ndarray, np.ndarray]:
-    """Chain and skip links (pairs of node numbers) of texts whose nodes are numbered one after the other."""
+def links(per_text: list[list[tuple[str, str]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Chain and skip links (pairs of node numbers) of texts whose nodes are numbered one after the other and given by
+    their two keys."""
     chain, skip, at = [], set(), 0
     for found in per_text:
         last: dict[str, int] = {}
-        for i, (*_, plain, tail) in enumerate(found, at):
+        for i, (plain, tail) in enumerate(found, at):
             if i > at:
                 chain.append((i - 1, i))
             for key in (plain, tail and f"#{tail}"):
@@ -159,8 +176,9 @@ class SkipChainCRF:
         self.node, self.chain, self.skip = node, chain, skip
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> SkipChainCRF:
-        """Pseudo-likelihood: each node given the labels of its neighbours."""
+    def fit(cls, x: np.ndarray, y: np.ndarray, chain: np.ndarray, skip: np.ndarray, free: np.ndarray) -> SkipChainCRF:
+        """Pseudo-likelihood of the ``free`` nodes: each given the labels of its neighbours. The skip potential is a table
+        and one strength by which equal labels attract, which all kinds share, so that rare ones learn it as well."""
         k, n = NONE + 1, len(x)
         one = np.eye(k)
         seen = [np.zeros((n, k)) for _ in range(3)]  # labels before in the chain, after it, and over skips
@@ -169,32 +187,31 @@ class SkipChainCRF:
             np.add.at(seen[1], chain[:, 0], one[y[chain[:, 1]]])
             for a, b in ((0, 1), (1, 0)):
                 np.add.at(seen[2], skip[:, a], one[y[skip[:, b]]])
-        w, c, s = np.zeros((x.shape[1], k)), np.zeros((k, k)), np.zeros((k, k))
+        w = np.zeros((x.shape[1], k))
         w[0, NONE] = 1.0
-        params, m, v = [w, c, s], [0.0] * 3, [0.0] * 3
-        for step in range(1, STEPS + 1 if n else 1):
-            w, c, s = params
-            p = _softmax(x @ w + seen[0] @ c + seen[1] @ c.T + seen[2] @ s)
-            r = (one[y] - p) / n
+        params, m, v = [w, np.zeros((k, k)), np.zeros((k, k)), np.zeros(1)], [0.0] * 4, [0.0] * 4
+        for step in range(1, STEPS + 1 if free.any() else 1):
+            w, c, s, same = params
+            p = _softmax(x @ w + seen[0] @ c + seen[1] @ c.T + seen[2] @ s + same * seen[2])
+            r = (one[y] - p) * free[:, None] / free.sum()
             gs = seen[2].T @ r
-            grads = [x.T @ r - L2 * w, seen[0].T @ r + r.T @ seen[1] - L2 * c, (gs + gs.T) / 2 - L2 * s]
+            grads = [x.T @ r - L2 * w, seen[0].T @ r + r.T @ seen[1] - L2 * c, (gs + gs.T) / 2 - L2 * s, (seen[2] * r).sum() - L2 * same]
             for i, g in enumerate(grads):
                 m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.99 * v[i] + 0.01 * g * g
                 params[i] = params[i] + RATE * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-8)
-        # equal contents attract: what a sample shows too rarely is not left at zero
-        params[2] = params[2] + np.eye(k) * ATTRACTION
-        return cls(*params)
+        w, c, s, same = params
+        return cls(w, c, s + same * np.eye(k))
 
     def marginals(self, x: np.ndarray, chain: np.ndarray, skip: np.ndarray, given: np.ndarray | None = None) -> np.ndarray:
         """Loopy message passing on the links of all texts at once; damped, until no message changes by
-        more than ``STILL``. ``given``: a kind for each node, or -1."""
+        more than ``STILL``. ``given``: the observed kind of each node, or -1."""
         unary = x @ self.node
         if not len(x):
             return unary
-        unary[:, : len(BASE_KINDS)] += CERTAIN * x[:, 1 : 1 + len(BASE_KINDS)]  # base spans are given
         if given is not None:
             at = np.flatnonzero(given >= 0)
-            unary[at, given[at]] += CERTAIN
+            unary[at] = NEVER
+            unary[at, given[at]] = 0
         a, b = np.concatenate([chain, skip]).T
         pots = np.concatenate([np.broadcast_to(self.chain, (len(chain), *self.chain.shape)), np.broadcast_to(self.skip, (len(skip), *self.skip.shape))])
         src, dst = np.concatenate([a, b]), np.concatenate([b, a])
@@ -218,23 +235,20 @@ class SkipChainCRF:
         np.add.at(belief, dst, msg)
         return _softmax(belief)
 
-    def settled(self, x: np.ndarray, per: list[list]) -> np.ndarray:
-        """The kind of each node outside base spans whose content is settled by one of its mentions in the text, or -1."""
+    def observed(self, x: np.ndarray, per: list[list]) -> np.ndarray:
+        """The kind of each node that is a base span or whose content one of its mentions in the text settles, or -1."""
         own, secret = _softmax(x @ self.node), RANK["secret"]
-        base = x[:, 1 : 1 + len(BASE_KINDS)] > 0
-        kind = np.where(own[:, secret] >= SURE, secret, NONE)
-        for k in ("phone", "card"):  # their digits are the content; short addresses may be equal to other numbers
-            kind[base[:, RANK[k]]] = RANK[k]
-        kind[base.any(1) & (kind == secret)] = NONE
         out, at = np.full(len(x), -1), 0
         for found in per:
             known: dict[str, int] = {}
-            for i, n in enumerate(found, at):
-                if kind[i] != NONE:
-                    known[n[3]] = min(kind[i], known.get(n[3], NONE))
-            for i, n in enumerate(found, at):
-                if not base[i].any():
-                    out[i] = known.get(n[3], -1)
+            for i, (*_, plain, _, kind) in enumerate(found, at):
+                if kind < 0 and own[i, secret] >= SURE:
+                    kind = secret
+                elif kind not in ITS_DIGITS:
+                    continue
+                known[plain] = min(kind, known.get(plain, NONE))
+            for i, (*_, plain, _, kind) in enumerate(found, at):
+                out[i] = kind if kind >= 0 else known.get(plain, -1)
             at += len(found)
         return out
 
@@ -245,50 +259,55 @@ class SkipChainCRF:
         if not flat:
             return [[] for _ in texts]
         x = np.stack([n[2] for n in flat]).astype(np.float64)
-        p = self.marginals(x, *links(per), self.settled(x, per))
+        p = self.marginals(x, *links([[n[3:5] for n in found] for found in per]), self.observed(x, per))
         best, sure = p.argmax(1), p.max(1) >= SURE
         out, at = [], 0
-        for found, base in zip(per, bases):
-            have = {(s, e) for s, _, e in base}
-            out.append([(n[0], KINDS[best[i]], n[1]) for i, n in enumerate(found, at) if best[i] != NONE and sure[i] and (n[0], n[1]) not in have])
+        for found in per:
+            out.append([(n[0], KINDS[best[i]], n[1]) for i, n in enumerate(found, at) if best[i] != NONE and sure[i] and n[5] < 0])
             at += len(found)
         return out
 
 
 def silver(text: str) -> tuple[list, list[int]]:
     """Nodes of a text and their training labels."""
-    base = base_spans(text)
-    kinds = {(s, e): RANK[k] for s, k, e in reversed(base)}
+    found = nodes(text, base_spans(text))
     secret = [m.span(1) for m in _silver.finditer(text)]
-    found = nodes(text, base)
-    # what is a credential in one place is one wherever the text repeats it
-    known = {n[3] for n in found if any(s < n[1] and n[0] < e for s, e in secret)}
-    return found, [kinds.get((n[0], n[1]), RANK["secret"] if n[3] in known else NONE) for n in found]
-
-
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_TRAIN_DOCS) -> SkipChainCRF:
-    """Fit on at most ``max_docs`` documents that hold a digit or an at sign (least hashes of their ids)."""
-    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]") & F.col("id").isNotNull())
-    ids = some.select("id").orderBy(F.xxhash64("id"), "id").limit(max_docs)
+    known, k = {n[3]: n[5] for n in reversed(found) if n[5] in ITS_DIGITS}, 0
+    for n in found:  # both in text order
+        while k < len(secret) and secret[k][1] <= n[0]:
+            k += 1
+        if n[5] < 0 and k < len(secret) and secret[k][0] < n[1]:
+            known.setdefault(n[3], RANK["secret"])
+    return found, [n[5] if n[5] >= 0 else known.get(n[3], NONE) for n in found]
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_TRAIN_DOCS, max_nodes: int = MAX_TRAIN_NODES) -> SkipChainCRF:
+    """Fit on at most ``max_docs`` different rows that hold a digit or an at sign (least hashes of id and text); of them,
+    those of more than ``max_nodes`` nodes are passed over, so what the driver gets is bounded."""
+    some = docs.select(row_key(id_col, text_col).alias("rk"), F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
+    chosen = some.select("rk").distinct().orderBy("rk").limit(max_docs)
+    schema = pa.schema([("rk", pa.binary()), ("x", pa.binary()), ("y", pa.list_(pa.int32())), ("base", pa.list_(pa.bool_())), ("keys", pa.list_(pa.string())), ("tails", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in batch.column(0):
+            for rk, t in zip(*batch.columns):
                 found, y = silver(t.as_py())
-                yield pa.RecordBatch.from_pydict({"x": pa.array([b"".join(n[2].tobytes() for n in found)], pa.binary()), "y": [y], "keys": [[n[3] for n in found]], "tails": [[n[4] for n in found]]}, schema=pa.schema([("x", pa.binary()), ("y", pa.list_(pa.int32())), ("keys", pa.list_(pa.string())), ("tails", pa.list_(pa.string()))]))
+                if len(found) <= max_nodes:
+                    yield pa.RecordBatch.from_pydict({"rk": [rk.as_py()], "x": [b"".join(n[2].tobytes() for n in found)], "y": [y], "base": [[n[5] >= 0 for n in found]], "keys": [[n[3] for n in found]], "tails": [[n[4] for n in found]]}, schema=schema)
 
-    got = some.join(F.broadcast(ids.distinct()), "id", "left_semi").select("text").mapInArrow(run, "x binary, y array<int>, keys array<string>, tails array<string>").collect()
-    got = sorted((bytes(r.x), list(r.y), list(r.keys), list(r.tails)) for r in got)
-    x = np.frombuffer(b"".join(g[0] for g in got), np.float32).reshape(-1, len(FEATURES)).astype(np.float64)
-    chain, skip = links([[(None, *z) for z in zip(k, t)] for _, _, k, t in got])
-    return SkipChainCRF.fit(x, np.array([y for g in got for y in g[1]], np.int64), chain, skip)
+    rows_ = some.join(F.broadcast(chosen), "rk", "left_semi").mapInArrow(run, "rk binary, x binary, y array<int>, base array<boolean>, keys array<string>, tails array<string>")
+    got = sorted(rows_.dropDuplicates(["rk"]).collect(), key=lambda r: bytes(r["rk"]))  # rows of one key have equal nodes
+    x = np.frombuffer(b"".join(bytes(r["x"]) for r in got), np.float32).reshape(-1, len(FEATURES)).astype(np.float64)
+    flat = lambda c, kind: np.array([v for r in got for v in r[c]], kind)
+    return SkipChainCRF.fit(x, flat("y", np.int64), *links([list(zip(r["keys"], r["tails"])) for r in got]), ~flat("base", bool))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: SkipChainCRF | None = None) -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` of each row."""
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_spans`` of each row; ``n_secret`` and ``n_spans``
+    count all spans of that kind and of any."""
     model = model or train(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    names = [id_col, *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"]
+    names = [id_col, *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "n_secret", "n_spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,10 +315,12 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
                 bases = [base_spans(t) for t in texts]
                 more = model.added(texts, bases)
                 n = [pa.array([sum(x[1] == k for x in b) for b in bases], pa.int64()) for k in BASE_KINDS]
-                full = [joined(sorted(b + m, key=lambda x: (x[0], RANK[x[1]], x[2]))) for b, m in zip(bases, more)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), *n, pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in bases]), pa.array(full, pa.string())], names=names)
+                full = [sorted(b + m, key=lambda x: (x[0], RANK[x[1]], x[2])) for b, m in zip(bases, more)]
+                sums = [pa.array([sum(x[1] == "secret" for x in f) for f in full], pa.int64()), pa.array(map(len, full), pa.int64())]
+                sha = pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in bases])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), *n, sha, pa.array(map(joined, full), pa.string()), *sums], names=names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, n_spans long")
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: SkipChainCRF | None = None) -> DataFrame:

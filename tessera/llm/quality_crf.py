@@ -4,12 +4,16 @@ Every line is good or bad; a line's potential comes from its own features and th
 lines share a transition potential. The document's quality is the mean of the lines' marginal probabilities of being
 good (forward-backward), weighted by line length, then mapped by a logistic curve fitted on the training documents.
 
-Training lines take the label of their document. The sample is bounded by ``MAX_TRAIN_DOCS`` labelled documents (the
-least hashes of their ids), a documented limit of the fit; scoring reads every line of every text.
+Only documents have labels, so the labels of training lines are hidden: a document's label pulls each of its lines by
+``COUPLING`` times the line's share of the length, and the fit raises the probability of the documents' labels with the
+lines summed out (two forward-backward passes, one for each label). A bad document may hold good lines, and chains switch
+where features say so. The sample is bounded by ``MAX_TRAIN_DOCS`` labelled documents (the least hashes of their ids) of
+at most ``MAX_TRAIN_LINES`` lines, a documented limit of the fit; scoring reads every line of every text.
 
 Lines are \\n-split lines with a word; null, empty and blank texts have none and score 0. Labels that are null, that
-repeat with both values, or that belong to no document are passed over. Without labels of both kinds every document
-with a line scores the share of good labels (0.5 without any). Rows are scored one by one; ids are never inputs.
+repeat with both values, or that belong to no document are passed over; an id that repeats is learnt from once (the row
+of the least hash of id and text). Without labels of both kinds every document with a line scores the share of good
+labels (0.5 without any). Rows are scored one by one; ids are never inputs.
 """
 
 from __future__ import annotations
@@ -25,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import rows
+from tessera.llm.common import row_key, rows
 
-MAX_TRAIN_DOCS = 3000
+MAX_TRAIN_DOCS, MAX_TRAIN_LINES = 3000, 2000
 HELD_OUT_OF = 5
 CUT = 0.3
-STEPS, RATE, L2 = 250, 0.1, 1e-3
+STEPS, RATE, L2, COUPLING = 250, 0.1, 1e-3, 8.0
 
 #: Features that neighbours pass on as well.
 SHARED = ("symbols", "upper", "bangs", "bars", "distinct", "repeats", "again")
@@ -108,6 +112,22 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def chain_sums(u: np.ndarray, sizes: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-partition of each chain, marginal of each line, and the four marginals of each pair of adjacent lines."""
+    a, b, odds = forward_backward(u, sizes, t)
+    last = np.cumsum(sizes) - 1
+    inner = np.ones(len(u), bool)
+    inner[last] = False
+    here = np.flatnonzero(inner)
+    grown = np.zeros(len(u))
+    grown[here] = np.logaddexp(t[0, 0], a[here] + t[1, 0])  # what the bad state's sum grows by at each step
+    logz = np.add.reduceat(grown, last + 1 - sizes) + np.logaddexp(0, a[last])
+    left, right = a[here], u[here + 1] + b[here + 1]
+    joint = np.stack([np.full(len(here), t[0, 0]), right + t[0, 1], left + t[1, 0], left + right + t[1, 1]])
+    joint = np.exp(joint - joint.max(0, initial=-np.inf))
+    return logz, _sigmoid(odds), joint / joint.sum(0)
+
+
 @dataclass
 class LineCRF:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(N_FEATURES))
@@ -125,33 +145,31 @@ class LineCRF:
             return cls(scale=0.0, shift=float(np.log(p / (1 - p))))
         x = np.concatenate([d[0] for d in docs]).astype(np.float64)
         sizes = np.array([len(d[0]) for d in docs])
-        y = np.repeat([d[2] for d in docs], sizes).astype(np.float64)
-        # a document counts once, however many lines it has
-        weight = np.repeat(1 / sizes, sizes)
+        y = np.array([d[2] for d in docs], float)
+        pull = COUPLING * np.concatenate([d[1] / d[1].sum() for d in docs])
+        doc = np.repeat(np.arange(len(docs)), sizes)
         inner = np.ones(len(x), bool)
         inner[np.cumsum(sizes) - 1] = False
-        here = np.flatnonzero(inner)
-        pair_weight = weight[here]
-        params, m, v = np.zeros(N_FEATURES + 4), 0.0, 0.0
+        pair_doc = doc[inner]
+        params, m, v = np.zeros(N_FEATURES + 5), 0.0, 0.0
         for step in range(1, STEPS + 1):
-            w, t = params[:N_FEATURES], params[N_FEATURES:].reshape(2, 2)
+            w, t, bias = params[:N_FEATURES], params[N_FEATURES:-1].reshape(2, 2), params[-1]
             u = x @ w
-            a, b, odds = forward_backward(u, sizes, t)
-            g = x.T @ (weight * (y - _sigmoid(odds)))
-            left, right = a[here], u[here + 1] + b[here + 1]
-            joint = np.stack([np.full(len(here), t[0, 0]), right + t[0, 1], left + t[1, 0], left + right + t[1, 1]])
-            joint = np.exp(joint - joint.max(0))
-            joint /= joint.sum(0)
-            seen = np.zeros_like(joint)
-            seen[0], seen[3] = 1 - y[here], y[here]
-            gt = ((seen - joint) * pair_weight).sum(1)
-            grad = np.concatenate([g, gt]) / len(docs) - L2 * params
+            (z0, m0, j0), (z1, m1, j1) = (chain_sums(u + sign * pull, sizes, t) for sign in (-1, 1))
+            r = y - _sigmoid(z1 - z0 - COUPLING + bias)  # lines that are bad agree with a bad document
+            grad = np.concatenate([x.T @ (r[doc] * (m1 - m0)), (r[pair_doc] * (j1 - j0)).sum(1), [r.sum()]]) / len(docs) - L2 * params
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
             params = params + RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        model = cls(params[:N_FEATURES], params[N_FEATURES:].reshape(2, 2))
-        model._calibrate(model.raw([d[0] for d in docs], [d[1] for d in docs]), np.array([d[2] for d in docs], float))
+        model = cls(params[:N_FEATURES], params[N_FEATURES:-1].reshape(2, 2))
+        model._calibrate(model.raw([d[0] for d in docs], [d[1] for d in docs]), y)
         return model
 
+    def lines(self, text: str) -> list[tuple[str, float]]:
+        """The lines of a text that have a word, each with its marginal probability of being good."""
+        f, _ = line_features(text)
+        odds = forward_backward(f @ self.weights, np.array([len(f)]), self.transitions)[2] if len(f) else np.empty(0)
+        return list(zip([x for x in text.split("\n") if _word.search(x)], _sigmoid(odds).tolist(), strict=True))
+
     def _calibrate(self, raw: np.ndarray, y: np.ndarray) -> None:
         z, s, c = np.log(raw / (1 - raw)), 1.0, 0.0
         for _ in range(50):  # Newton steps of a ridge logistic curve
@@ -187,22 +205,26 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string")) % HELD_OUT_OF == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = MAX_TRAIN_DOCS) -> LineCRF:
-    """Fit on at most ``max_docs`` labelled documents; their features (not texts) come to the driver."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = MAX_TRAIN_DOCS, max_lines: int = MAX_TRAIN_LINES) -> LineCRF:
+    """Fit on at most ``max_docs`` labelled documents of at most ``max_lines`` lines; their features (not texts) come to
+    the driver, one row for each id, so what it gets is bounded."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2").select("id", "y")
     sample = known.orderBy(F.xxhash64("id"), "id").limit(max_docs)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    chosen = texts.join(F.broadcast(sample), "id").select("id", "y", "text")
+    texts = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("rk"), F.col(text_col).alias("text"))
+    one = texts.join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.min("rk").alias("rk"))  # a row for each id of the sample
+    chosen = texts.drop("id").join(F.broadcast(one), "rk").select("rk", "y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             each = [line_features(t.as_py() or "") for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f.tobytes() for f, _ in each], pa.binary()), pa.array([n.tobytes() for _, n in each], pa.binary())], names=["id", "y", "f", "n"])
+            fits = [len(n) <= max_lines for _, n in each]
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f.tobytes() if ok else None for (f, _), ok in zip(each, fits)], pa.binary()), pa.array([n.tobytes() for _, n in each], pa.binary())], names=["rk", "y", "f", "n"])
+            yield out.filter(pa.array(fits, pa.bool_()))
 
-    got = chosen.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, y int, f binary, n binary").collect()
-    got = {(r.id, bytes(r.f)): r for r in got}  # a repeated row is learnt from once
-    return LineCRF.fit([(np.frombuffer(r.f, np.float32).reshape(-1, N_FEATURES), np.frombuffer(r.n, np.float32), r.y) for _, r in sorted(got.items(), key=lambda x: x[0])])
+    got = chosen.mapInArrow(run, "rk binary, y int, f binary, n binary").dropDuplicates(["rk"]).collect()
+    got = sorted(got, key=lambda r: bytes(r.rk))
+    return LineCRF.fit([(np.frombuffer(r.f, np.float32).reshape(-1, N_FEATURES), np.frombuffer(r.n, np.float32), r.y) for r in got])
 
 
 def score(docs: DataFrame, model: LineCRF, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:

@@ -20,17 +20,17 @@ SELECT c.doc_id, c.class_id, coalesce(n_links, 0) AS n_links, group_id FROM c JO
 
 NOT_SPACE = "[^\\x20\\x09-\\x0D]"
 LINE_RULES = f"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{NOT_SPACE}+') AS w FROM documents),
-gram AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM d))),
-rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 4)) AS p FROM gram WHERE n > 1) GROUP BY 1),
-line AS (SELECT doc_id, source, l, trim(regexp_replace(lower(l), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS k, len(regexp_extract_all(l, '{NOT_SPACE}+')) AS w
-  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '{NOT_SPACE}')),
-dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM line GROUP BY 1),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{NOT_SPACE}+') AS w FROM documents),
+gram AS (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS n FROM (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT r, w, unnest(generate_series(1, len(w) - 4)) AS i FROM d))),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(generate_series(i, i + 4)) AS p FROM gram WHERE n > 1) GROUP BY 1),
+line AS (SELECT r, doc_id, source, l, trim(regexp_replace(lower(l), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS k, len(regexp_extract_all(l, '{NOT_SPACE}+')) AS w
+  FROM (SELECT r, doc_id, source, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '{NOT_SPACE}')),
+dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM line GROUP BY 1),
 often AS (SELECT source, k, min(doc_id) AS keeper FROM line GROUP BY 1, 2 HAVING count(DISTINCT doc_id) > 20),
-gone AS (SELECT l.doc_id, sum(l.w) AS n FROM line l JOIN often o ON o.source = l.source AND o.k = l.k AND o.keeper <> l.doc_id GROUP BY 1),
+gone AS (SELECT l.r, sum(l.w) AS n FROM line l JOIN often o ON o.source IS NOT DISTINCT FROM l.source AND o.k = l.k AND l.doc_id IS DISTINCT FROM o.keeper GROUP BY 1),
 f AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
   coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS n_removed_words
-  FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN gone USING (doc_id)),
+  FROM d LEFT JOIN rep USING (r) LEFT JOIN dup USING (r) LEFT JOIN gone USING (r)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
 SELECT *, NOT base_failed AND n_words - n_removed_words >= 0.3e0 * n_words AS kept FROM b
 """
