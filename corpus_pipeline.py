@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import encode_texts
-from tessera.llm.common import written
+from tessera.llm.common import packed, row_key, written
 from tessera.llm.decontam import decontaminate
 from tessera.llm.jaccard_forest import keep_one_of_each_group, sized
 from tessera.llm.line_rules import apply_quality_rules
@@ -30,10 +30,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold too much of the benchmark go."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    judged = decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_key")
-    bad = written(judged.where("contaminated").select("_key").distinct(), "contaminated")
-    return keyed.join(sized(bad), "_key", "left_anti").select(*docs.columns)
+    keyed = docs.select(row_key("doc_id", "text").alias("rk"), "text")
+    judged = decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="rk")
+    bad = written(judged.where("contaminated").select("rk").distinct(), "contaminated")
+    return packed(docs, row_key("doc_id", "text").alias("rk")).join(sized(bad), "rk", "left_anti").select("row.*")
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
