@@ -46,7 +46,7 @@ TREES, ROOT, DEPTH, RECALL = 40, 5, 10, 0.9999
 #: Bits that a minhash below the root has in a signature (equal bits of unequal minhashes only add candidates).
 BITS = 60 // (DEPTH - ROOT)
 CROWD = 32
-BLOCK, BLOCK_CHARS, NARROW = 64, 500_000, 4
+BLOCK, BLOCK_CHARS, NARROW = 256, 2_000_000, 4
 
 #: Tables of at most this many rows (of a few longs) are broadcast, after they were counted; others are shuffled.
 BROADCAST_ROWS = 500_000
