@@ -46,6 +46,14 @@ def packed(df: DataFrame, *more: Column) -> DataFrame:
     return df.select(*more, F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores before it until it is none of ``taken`` (names are compared as Spark does)."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
 def paths_of(df: DataFrame) -> list[str]:
     return sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()})
 
@@ -64,6 +72,32 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+def word_hashes_128(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Low and high halves of 128-bit hashes of words."""
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), "<u8").reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def bitmap(hashes: DataFrame, n: int, least_bits: int = 1 << 20, most_bits: int = 1 << 28) -> tuple[np.ndarray, int]:
+    """Bits (packed into bytes) of the ``n`` values of column ``h``, by their low bits, and how many bits there are: 16 a value
+    within the bounds, so that what the driver and every worker hold is bounded. Bits are set in a distributed
+    grouping; the driver gets them as 64-bit words."""
+    bits = least_bits
+    while bits < most_bits and bits < 16 * n:
+        bits *= 2
+    word = F.shiftright(F.col("h").bitwiseAND(F.lit(bits - 1)), 6).alias("w")
+    got = hashes.groupBy(word).agg(F.expr(f"bit_or(shiftleft(1L, cast((h & {bits - 1}L) & 63L as int)))").alias("b")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[got["w"].to_numpy()] = got["b"].to_numpy()
+    return out.view(np.uint8), bits
+
+
+def in_bitmap(h: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
+    """Which hashes have their bit set."""
+    low = (h & np.uint64(bits - 1)).astype(np.int64)
+    return (table[low >> 3] >> (low & 7).astype(np.uint8)) & 1 > 0
+
+
 def rows(batches: Iterator[pa.RecordBatch], max_chars: int = 1_000_000) -> Iterator[tuple[list, list[str]]]:
     """(ids, texts) of two-column batches, in slices of about ``max_chars`` characters, so that memory follows the
     longest text and not the number of rows of a batch. Null texts come as empty ones."""

@@ -6,8 +6,8 @@ shares with an item has all ``W`` of its runs in common with it, so both keep th
 fingerprints of documents with those of the items finds every such span. Each hit is extended to the windows of
 ``WINDOW`` words around it, which are compared word for word, so a collision of hashes changes nothing.
 
-An item of fewer words than ``WINDOW`` is one window as a whole; it is too short for the guarantee, so its first
-word is its fingerprint.
+An item of fewer words than ``WINDOW`` is one window as a whole; it is too short for the guarantee, so the hash of all its
+words is its fingerprint, sought at every place.
 
 Documents and items with null texts have no words; items without words never occur. An item id that repeats counts
 once, and an item without an id counts in ``n_hit`` alone. Rows of documents are judged one by one.
@@ -16,14 +16,15 @@ once, and an item without an id counts in ``n_hit`` alone. Rows of documents are
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import alnum_words, gram_hashes, rows, sliding_min, word_hashes, written
+from tessera.llm.common import alnum_words, bitmap, gram_hashes, in_bitmap, mix, paths_of, remove, row_key, rows, sliding_min, word_hashes_128, written
 
 WINDOW, K = 13, 5
 W = WINDOW - K + 1
@@ -74,11 +75,11 @@ class BenchmarkIndex:
             at += len(words) + 1
         hit = np.zeros(len(flat), bool)
         found: dict[int, set] = {}
-        doc_of = lambda i: int(np.searchsorted(starts, i, "right")) - 1
+        of = np.repeat(np.arange(len(per)), [n + 1 for n in sizes])
 
         def mark(i: int, size: int, items: set) -> None:
             hit[i : i + size] = True
-            found.setdefault(doc_of(i), set()).update(items)
+            found.setdefault(int(of[i]), set()).update(items)
 
         raw = flat.tobytes()
         if len(self.prints) and len(flat) >= WINDOW:
@@ -113,6 +114,17 @@ def _batch(ids: list, rows_: list[tuple], kind: pa.DataType, names: list[str]) -
     return pa.RecordBatch.from_arrays([pa.array(ids, kind), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=names)
 
 
+#: The index that this process built last, by the name of its benchmark: tasks of one query share it.
+_built: dict[str, BenchmarkIndex] = {}
+
+
+def _index(name: str, items: list[tuple[object, str | None]]) -> BenchmarkIndex:
+    if name not in _built:
+        _built.clear()
+        _built[name] = BenchmarkIndex(items)
+    return _built[name]
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_index_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for each row of ``docs``.
 
@@ -125,10 +137,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         return decontaminate_large(docs, items, id_col, text_col)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast([tuple(r) for r in items.collect()])
-    kind, names = docs.schema[id_col].dataType, [id_col, *(f.split()[0] for f in RESULT.split(", "))]
+    kind, names, name = docs.schema[id_col].dataType, [id_col, *(f.split()[0] for f in RESULT.split(", "))], uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = BenchmarkIndex(shared.value)
+        index = _index(name, shared.value)
         for batch in batches:
             for ids, texts in rows([batch]):
                 yield _batch(ids, index.judge(texts), batch.column(0).type, names)
@@ -136,82 +148,105 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind.simpleString()}, {RESULT}")
 
 
-def fingerprints(words: list[str]) -> set[int]:
-    """What winnowing keeps of a text; for a text of fewer than ``WINDOW`` words, its first word."""
-    ids = word_hashes(words)
-    if len(ids) < WINDOW:
-        return set(ids[:1].view(np.int64).tolist())
-    h = gram_hashes(ids, K)
-    return set(h[sliding_min(h, W)].view(np.int64).tolist())
+def _halves(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [word_hashes_128(alnum_words(t)) for t in texts]
+
+
+def _window_keys(low: np.ndarray, high: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each run of ``size`` words, as two columns."""
+    return gram_hashes(low, size), gram_hashes(mix(high), size)
+
+
+def _of_items(items: DataFrame) -> DataFrame:
+    """Of each item its windows (``item_id, size, a, b``) and its fingerprints (``size, h``: the window's size and a hash)."""
+    kind = items.schema["item_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, texts in rows([batch]):
+                out: list[tuple] = []
+                for item, (low, high) in zip(ids, _halves(texts)):
+                    size = min(WINDOW, len(low))
+                    if size:
+                        a, b = _window_keys(low, high, size)
+                        out += [(item, size, x, y, None) for x, y in zip(a.view(np.int64).tolist(), b.view(np.int64).tolist())]
+                        h = gram_hashes(low, K)[sliding_min(gram_hashes(low, K), W)] if size == WINDOW else a
+                        out += [(None, size, None, None, x) for x in h.view(np.int64).tolist()]
+                cols = list(zip(*out)) or [()] * 5
+                kinds = [batch.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["item_id", "size", "a", "b", "h"])
+
+    return items.mapInArrow(run, f"item_id {kind}, size int, a long, b long, h long").distinct()
 
 
 def decontaminate_large(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """As ``decontaminate``, for a benchmark that no executor should hold as a whole.
 
-    Fingerprints of documents and of items are joined on (fingerprint, salt): a document's row takes one salt, an
-    item's row takes all of them, so that a fingerprint that very many documents have is dealt to ``salts`` tasks.
-    A candidate pair meets the two texts and is judged alone; a document's pairs then add up as bit sets of words.
+    The items' fingerprints are set in a bitmap of bounded size. Documents are read once: their own fingerprints are looked
+    up in it, and each hit is extended to the windows around it (those of items under ``WINDOW`` words are looked up at
+    every place). So only hashes of such windows leave a document, never its text, and they are joined with the items'
+    windows on 128 bits. A fuller bitmap lets more windows through to the join and changes nothing else. A document's
+    window takes one salt and an item's takes all, so that a window that very many documents have is dealt to ``salts``
+    tasks; spans and items of a document then add up.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "docs-numbered")
-    items = written(items.where(F.length("item_text") > 0).distinct().withColumn("_item", F.monotonically_increasing_id()), "items-numbered")
-
-    def prints_of(short: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for ids, texts in rows(batches):
-                at, out = [], []
-                for i, t in zip(ids, texts):
-                    words = alnum_words(t)
-                    got = fingerprints(words) if words else set()
-                    if short:  # short items are looked up by their first word
-                        got |= set(word_hashes(sorted(set(words))).view(np.int64).tolist())
-                    at += [i] * len(got)
-                    out += got
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(out, pa.int64())], names=["k", "fp"])
-
-        return run
-
-    n_words = F.size(F.regexp_extract_all(F.translate("item_text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0)))
-    any_short = bool(items.where((n_words > 0) & (n_words < WINDOW)).limit(1).count())
-    of_docs = keyed.select("_row", "text").mapInArrow(prints_of(any_short), "k long, fp long").select(F.col("k").alias("_row"), "fp", F.pmod(F.xxhash64("k"), F.lit(salts)).alias("salt"))
-    of_items = items.select("_item", "item_text").mapInArrow(prints_of(False), "k long, fp long").select(F.col("k").alias("_item"), "fp", F.explode(F.array(*(F.lit(i).cast("long") for i in range(salts)))).alias("salt"))
-    pairs = written(of_docs.join(of_items, ["fp", "salt"]).select("_row", "_item").distinct(), "pairs")
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spark = docs.sparkSession
+    of_items = written(_of_items(items.where(F.length("item_text") > 0)), "benchmark-windows")
+    windows = of_items.where("a IS NOT NULL").select("item_id", "size", "a", "b")
+    prints = of_items.where("h IS NOT NULL")
+    sizes = sorted(r["size"] for r in prints.where(f"size < {WINDOW}").select("size").distinct().collect())  # at most 12
+    maps = {}
+    for name, some in (("long", prints.where(f"size = {WINDOW}")), ("short", prints.where(f"size < {WINDOW}"))):
+        n = some.count()
+        if n:
+            maps[name] = bitmap(some, n)
+    shared = spark.sparkContext.broadcast(maps)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = shared.value
         for batch in batches:
-            out: list[tuple] = []
-            for row, item, text, item_text in zip(*(c.to_pylist() for c in batch.columns)):
-                index = BenchmarkIndex([(item, item_text)])
-                words = alnum_words(text)
-                bits = np.zeros(len(words), bool)
-                ids = np.array([index.vocab.get(w, 0) for w in words], "<u4")
-                raw = ids.tobytes()
-                for size, windows in [(WINDOW, index.windows), *index.short.items()]:
-                    for i in range(len(words) - size + 1):
-                        if ids[i] and raw[4 * i : 4 * (i + size)] in windows:
-                            bits[i : i + size] = True
-                if bits.any():
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], bits.astype(np.int8), [0]])))
-                    out.append((row, item, edge.tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], items_kind), pa.array([o[2] for o in out], pa.list_(pa.int64()))], names=["_row", "item_id", "edges"])
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    items_kind = to_arrow_type(items.schema["item_id"].dataType)
-    found = pairs.join(keyed.select("_row", "text"), "_row").join(items, "_item").select("_row", "item_id", "text", "item_text").mapInArrow(judge, f"_row long, item_id {items.schema['item_id'].dataType.simpleString()}, edges array<long>")
-    # spans of all items of a document, merged by a sweep over their starts
-    spans = found.select("_row", F.explode(F.expr("transform(sequence(0, size(edges) div 2 - 1), i -> struct(edges[2 * i] as s, edges[2 * i + 1] as e))")).alias("x")).select("_row", "x.s", "x.e").distinct()
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("_row").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
-    hits = spans.withColumn("m", F.coalesce(F.max("e").over(before), F.lit(0))).groupBy("_row").agg(F.sum(F.greatest(F.lit(0), F.col("e") - F.greatest("s", "m"))).alias("n_hit"))
-    names = found.groupBy("_row").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("names"))
-    counted = keyed.select("_row", "doc_id", F.size(F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))).cast("long").alias("n_words"))
+            both = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int32()), batch.column(2)], names=["i", "text"])
+            for at, texts in rows([both]):
+                mine, n_words, found = batch.take(pa.array(at, pa.int32())), [], []
+                for i, (low, high) in enumerate(_halves(texts)):
+                    n_words.append(len(low))
+                    if "long" in tables and len(low) >= WINDOW:
+                        h = gram_hashes(low, K)
+                        kept = sliding_min(h, W)
+                        kept = kept[in_bitmap(h[kept], *tables["long"])]
+                        if len(kept):
+                            starts = np.unique(np.clip(kept[:, None] - np.arange(W), 0, len(low) - WINDOW))
+                            a, b = _window_keys(low, high, WINDOW)
+                            found.append((i, WINDOW, starts, a[starts], b[starts]))
+                    for size in sizes:
+                        if len(low) >= size:
+                            a, b = _window_keys(low, high, size)
+                            starts = np.flatnonzero(in_bitmap(a, *tables["short"]))
+                            found.append((i, size, starts, a[starts], b[starts]))
+                n = len(at)
+                yield pa.RecordBatch.from_arrays([mine.column(0), mine.column(1), pa.array(n_words, pa.int64()), *(pa.nulls(n, k) for k in (pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=names)
+                for i, size, starts, a, b in found:
+                    n = len(starts)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(n, mine.column(0).type), pa.array([mine.column(1)[i].as_py()] * n, pa.binary()), pa.nulls(n, pa.int64()), pa.array(np.full(n, size, np.int32)), pa.array(starts.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=names)
+
+    names = ["id", "rk", "n_words", "size", "start", "a", "b"]
+    keyed = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("rk"), F.col(text_col).alias("text"))
+    seen = written(keyed.mapInArrow(run, f"id {kind}, rk binary, n_words long, size int, start long, a long, b long"), "document-windows")
+    salted = seen.where("size IS NOT NULL").select("rk", "size", "start", "a", "b", F.pmod(F.xxhash64("rk", "start"), F.lit(salts)).cast("int").alias("salt")).distinct()
+    every = windows.withColumn("salt", F.explode(F.array(*map(F.lit, range(salts)))))
+    hits = written(salted.join(every, ["size", "a", "b", "salt"]).select("rk", "start", "size", "item_id"), "hits")
+    before = Window.partitionBy("rk").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    spans = hits.select("rk", F.col("start").alias("s"), (F.col("start") + F.col("size")).alias("e")).distinct()
+    n_hit = spans.withColumn("m", F.coalesce(F.max("e").over(before), F.lit(0))).groupBy("rk").agg(F.sum(F.greatest(F.lit(0), F.col("e") - F.greatest("s", "m"))).alias("n_hit"))
+    items_of = hits.select("rk", F.col("item_id").cast("string").alias("x")).distinct().groupBy("rk").agg(F.array_sort(F.collect_list("x")).alias("names"))
+    judged = written(n_hit.join(items_of, "rk"), "judged")
+    for gone in (of_items, hits):
+        for p in paths_of(gone):
+            remove(spark, p)
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    out = counted.join(hits, "_row", "left").join(names, "_row", "left").select(
-        F.col("doc_id").alias(id_col), "n_words", n_hit.alias("n_hit"),
+    return seen.where("size IS NULL").join(judged, "rk", "left").select(
+        F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"),
         F.coalesce(F.size("names"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("names", ","), F.lit("")), 256).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
-    return out

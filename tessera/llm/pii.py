@@ -326,8 +326,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: SkipChainCRF | None = None) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; overlapping spans become one, named after the first."""
     model = model or train(docs, id_col, text_col)
-    columns = docs.columns
-    at = columns.index(text_col)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # any name may stand in the rows
+    at, plain = docs.columns.index(text_col), docs.toDF(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -344,6 +344,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                     out.append("".join([*parts, text[done:]]))
             nulls = batch.column(at).is_null().to_pylist()
             text = pa.array([None if n else t for n, t in zip(nulls, out)], batch.column(at).type)
-            yield pa.RecordBatch.from_arrays([text if i == at else c for i, c in enumerate(batch.columns)], names=columns)
+            yield pa.RecordBatch.from_arrays([text if i == at else c for i, c in enumerate(batch.columns)], names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

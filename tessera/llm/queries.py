@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import sql
 
@@ -43,6 +44,16 @@ def op4_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_tokens(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def token_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids 16 to 48 of each document of the files that op4 writes, by random access."""
+    from tessera.llm.common import shared_dir
+    from tessera.llm.repair_store import read_slices, write_shards
+
+    path = shared_dir(spark, "token-shards")
+    write_shards(table(spark, sf_dir, "documents"), path, _tokenizer("word_bpe_49k.json"))
+    return read_slices(spark, path, 16, 48).select("doc_id", F.size("ids").alias("n_ids"), F.md5(F.array_join("ids", ",")).alias("ids_md5"))
+
+
 def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.line_rules import quality_rules
 
@@ -74,15 +85,17 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.llm.compaction import shard_arrivals
+    from tessera.llm.compaction import TARGET_BYTES, shard_arrivals
 
-    return shard_arrivals(table(spark, sf_dir, "documents"))
+    # four arrivals, dealt by the remainder of the id, which SQL can follow; shards' names are of no use in a result
+    got = shard_arrivals(table(spark, sf_dir, "documents"), 4, arrival=F.pmod("doc_id", F.lit(4)))
+    return got.select("doc_id", "arrival", "text_sha256", "n_chars", (F.col("shard_bytes") <= 2 * TARGET_BYTES).alias("within_target"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_line_crf": op2_line_crf, "op3_jaccard_forest": op3_jaccard_forest, "op4_repair": op4_repair, "op5_line_rules": op5_line_rules, "op6_rare_tokens": op6_rare_tokens, "op7_skip_chain": op7_skip_chain, "op8_sparse_suffixes": op8_sparse_suffixes, "op9_winnowing": op9_winnowing, "op10_compaction": op10_compaction}
+    return {"op1_bpe": op1_bpe, "op2_line_crf": op2_line_crf, "op3_jaccard_forest": op3_jaccard_forest, "op4_repair": op4_repair, "op5_line_rules": op5_line_rules, "op6_rare_tokens": op6_rare_tokens, "op7_skip_chain": op7_skip_chain, "op8_sparse_suffixes": op8_sparse_suffixes, "op9_winnowing": op9_winnowing, "op10_compaction": op10_compaction, "token_slices": token_slices}
 
 
 def oracle_sql() -> dict[str, str]:
     """Tokenizers, random fields, scores and file layouts have no SQL form; those queries are tested in tests/llm."""
-    return {"op3_jaccard_forest": sql.JACCARD, "op5_line_rules": sql.LINE_RULES, "op8_sparse_suffixes": sql.PASSAGES, "op9_winnowing": sql.CONTAMINATION}
+    return {"op3_jaccard_forest": sql.JACCARD, "op5_line_rules": sql.LINE_RULES, "op8_sparse_suffixes": sql.PASSAGES, "op9_winnowing": sql.CONTAMINATION, "op10_compaction": sql.STORED}

@@ -311,6 +311,24 @@ def read_shards(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
     return shards.select("part", "shard", "before", "ids", "blob").mapInArrow(run, f"{id_col} {kind}, start long, n_tokens long, ids_crc32 long, shard_id string")
 
 
+def read_slices(spark: SparkSession, path: str, start: int, stop: int, id_col: str = "doc_id") -> DataFrame:
+    """``doc_id, ids``: ids ``start:stop`` of each stored document (fewer or none where it ends before), found by the lengths
+    of its symbols, without expanding what lies outside the slice."""
+    shards = spark.read.parquet(path)
+    kind = shards.schema["ids"].dataType.elementType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, shard = batch.column(0)[i].as_py(), Shard(batch.column(1)[i].as_py())
+                got = [shard.doc(k, start, stop).astype(np.int32) for k in range(len(ids))]
+                ends = np.cumsum([0, *map(len, got)])
+                flat = np.concatenate(got) if got else np.empty(0, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type.value_type), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=[id_col, "ids"])
+
+    return shards.select("ids", "blob").mapInArrow(run, f"{id_col} {kind}, ids array<int>")
+
+
 def store_tokens(df: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the token files of ``df`` to the shared folder and return what reading them back gives."""
     path = shared_dir(df.sparkSession, "token-shards")

@@ -55,3 +55,7 @@ its AS (SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS names FRO
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(pos.n, 0) AS n_hit, coalesce(its.n, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
   coalesce(pos.n, 0) > 0 AND 20 * coalesce(pos.n, 0) >= len(w) AS contaminated FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
+
+STORED = """
+SELECT doc_id, coalesce(doc_id % 4, 0)::INTEGER AS arrival, sha256(text) AS text_sha256, length(text)::BIGINT AS n_chars, TRUE AS within_target FROM documents
+"""

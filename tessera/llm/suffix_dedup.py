@@ -3,7 +3,8 @@
 Of every ``SAMPLE`` runs of ``K`` words in a row the one with the least hash is retained (content-selected minimisers),
 so equal passages retain equal places, and every passage of ``MIN_WORDS`` words has a retained place among its first
 ``SAMPLE``. Places whose run of ``K`` words occurs once in the corpus cannot match and are dropped early with a bitmap of
-fixed size (a false positive only costs work). The suffixes that start at the other places are sorted over the whole
+bounded size (a false positive only costs work); where there are too many repeated runs for it, they are joined with the
+places instead. The suffixes that start at the other places are sorted over the whole
 cluster by ranges, each is compared with its neighbours (longest common prefix), and matches are extended to the left.
 A place matches if both sides together reach ``MIN_WORDS``.
 
@@ -11,7 +12,7 @@ Neighbours up to ``NEAR`` steps away are compared. Where more suffixes than that
 the longest left side may lie further off; such places are settled exactly: each of the ``SAMPLE`` windows of ``MIN_WORDS``
 words around them is counted over the corpus, in a grouping that combines before the shuffle. So every passage of
 ``MIN_WORDS`` words that two places share is found, whatever the size of its family, and no family meets in one task:
-equal suffixes are spread by a salt, and ranges hand each other ``NEAR`` boundary rows.
+equal suffixes are spread by a salt, and ranges hand each other ``NEAR`` boundary rows in a second small shuffle.
 
 A result row has the words of the text, how many of them lie in repeated passages, and the passages as word spans.
 A passage that repeats within one text counts as well. Null and wordless texts have no passages; rows of equal id and
@@ -20,6 +21,7 @@ text count as one row. Words are compared by 64- and 32-bit hashes.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -27,10 +29,10 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import alnum_words, gram_hashes, mix, paths_of, remove, rows, word_hashes, written
+from tessera.llm.common import ALNUM_WORD, alnum_words, bitmap, gram_hashes, in_bitmap, lower_ascii, mix, packed, paths_of, remove, rows, word_hashes, written
 
 MIN_WORDS = 50
 K = 12
@@ -40,6 +42,8 @@ LEFT, RIGHT = SAMPLE - 1, MIN_WORDS
 
 #: Bits of the bitmap of repeated runs: 16 a run, within these bounds (the bitmap goes to the driver and every worker).
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+#: Boundaries that one group of the second shuffle compares, and salts of the joins on runs and windows.
+BOUNDARIES, SALTS = 64, 16
 
 
 def _retained(h: np.ndarray, w: int) -> np.ndarray:
@@ -94,50 +98,64 @@ def _runs(texts: DataFrame) -> DataFrame:
     return written(texts.select("_id", "_row", "text").mapInArrow(run, f"_id {kind}, _row long, n_words long, h long"), "runs")
 
 
-def _repeated_bitmap(runs: DataFrame) -> tuple[np.ndarray, int]:
-    """Bits (packed) of the runs retained twice or more, and the number of bits. Counting is distributed; the driver
-    gets at most ``MOST_BITS`` bits as 64-bit words."""
+def _repeated(runs: DataFrame) -> tuple[DataFrame, int]:
+    """The runs retained twice or more (``h``, written) and how many there are."""
     often = written(runs.where("h IS NOT NULL").groupBy("h").count().where("count > 1").select("h"), "repeated-runs")
-    bits = LEAST_BITS
-    n = often.count()
-    while bits < MOST_BITS and bits < 16 * n:
-        bits *= 2
-    low = F.col("h").bitwiseAND(F.lit(bits - 1))
-    packed = often.groupBy(F.shiftright(low, 6).alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast((h & {bits - 1}L) & 63L as int)))").alias("b"))
-    got = packed.toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[got["w"].to_numpy()] = got["b"].to_numpy()
-    for p in paths_of(often):
-        remove(runs.sparkSession, p)
-    return out.view(np.uint8), bits
-
-
-def _suffixes(texts: DataFrame, bitmap) -> DataFrame:
+    return often, often.count()
+
+
+def _joined_places(texts: DataFrame, often: DataFrame) -> DataFrame:
+    """``_row, text, at``: the texts with their retained places whose runs are among ``often``, by a salted join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, some in rows(batches, 2_000_000):
+            _, starts, ends, h, at = _places(some)
+            doc = np.searchsorted(ends, at, "right")
+            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(np.array(ids, np.int64)[doc]), pa.array(at - starts[doc], pa.int64())], names=["h", "_row", "pos"])
+
+    places = texts.select("_row", "text").mapInArrow(run, "h long, _row long, pos long").withColumn("salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
+    salted = often.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    at = places.join(salted, ["h", "salt"], "left_semi").distinct().groupBy("_row").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+    return texts.join(at, "_row").select("_row", "text", "at").dropDuplicates(["_row"])
+
+
+def _suffixes(texts: DataFrame, often: DataFrame, n: int) -> DataFrame:
     """``h, _row, pos, nr, nl, right, left``: the retained suffixes that may match. ``right`` is the next ``RIGHT`` words
     as big-endian 32-bit hashes, so that binary order is suffix order, and ``left`` the ``LEFT`` words before, nearest
     first; both are padded, and ``nr`` and ``nl`` say how many words the text really has there."""
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
+    small = 4 * n <= MOST_BITS
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap(often, n, LEAST_BITS, MOST_BITS) if small else None)
+    cells = lambda x: pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * x.shape[1]), len(x), [None, pa.py_buffer(x.astype(">u4").tobytes())]).cast(pa.binary())
+
+    def cut(ids: list, some: list[str], given: list | None) -> Iterator[pa.RecordBatch]:
+        flat, starts, ends, h, at = _places(some)
+        if given is None:
+            at = at[in_bitmap(h[at], *shared.value)]
+        else:
+            at = np.concatenate([np.array(g, np.int64) + s for g, s in zip(given, starts)] or [at[:0]])
+        doc = np.searchsorted(ends, at, "right")
+        nr, nl = np.minimum(ends[doc] - at, RIGHT), np.minimum(at - starts[doc], LEFT)
+        short = np.concatenate([np.zeros(LEFT, ">u4"), (flat >> np.uint64(32)).astype(">u4"), np.zeros(RIGHT, ">u4")])
+        for lo in range(0, len(at), 8192):
+            s = slice(lo, lo + 8192)
+            right = short[LEFT + at[s, None] + np.arange(RIGHT)] * (np.arange(RIGHT) < nr[s, None])
+            left = short[LEFT - 1 + at[s, None] - np.arange(LEFT)] * (np.arange(LEFT) < nl[s, None])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(h[at[s]].view(np.int64)), pa.array(np.array(ids, np.int64)[doc[s]]), pa.array(at[s] - starts[doc[s]], pa.int64()),
+                pa.array(nr[s], pa.int32()), pa.array(nl[s], pa.int32()), cells(right), cells(left),
+            ], names=["h", "_row", "pos", "nr", "nl", "right", "left"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, bits = shared.value
         for ids, some in rows(batches, 2_000_000):
-            flat, starts, ends, h, at = _places(some)
-            low = (h[at] & np.uint64(bits - 1)).astype(np.int64)
-            at = at[(table[low >> 3] >> (low & 7).astype(np.uint8)) & 1 > 0]
-            doc = np.searchsorted(ends, at, "right")
-            nr, nl = np.minimum(ends[doc] - at, RIGHT), np.minimum(at - starts[doc], LEFT)
-            short = np.concatenate([np.zeros(LEFT, ">u4"), (flat >> np.uint64(32)).astype(">u4"), np.zeros(RIGHT, ">u4")])
-            for lo in range(0, len(at), 8192):
-                s = slice(lo, lo + 8192)
-                right = short[LEFT + at[s, None] + np.arange(RIGHT)] * (np.arange(RIGHT) < nr[s, None])
-                left = short[LEFT - 1 + at[s, None] - np.arange(LEFT)] * (np.arange(LEFT) < nl[s, None])
-                cells = lambda x: pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * x.shape[1]), len(x), [None, pa.py_buffer(x.astype(">u4").tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(h[at[s]].view(np.int64)), pa.array(np.array(ids, np.int64)[doc[s]]), pa.array(at[s] - starts[doc[s]], pa.int64()),
-                    pa.array(nr[s], pa.int32()), pa.array(nl[s], pa.int32()), cells(right), cells(left),
-                ], names=["h", "_row", "pos", "nr", "nl", "right", "left"])
+            yield from cut(ids, some, None)
+
+    def run_given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield from cut([batch.column(0)[i].as_py()], [batch.column(1)[i].as_py() or ""], [batch.column(2)[i].as_py()])
 
-    return texts.select("_row", "text").mapInArrow(run, "h long, _row long, pos long, nr int, nl int, right binary, left binary")
+    kinds = "h long, _row long, pos long, nr int, nl int, right binary, left binary"
+    return texts.select("_row", "text").mapInArrow(run, kinds) if small else _joined_places(texts, often).mapInArrow(run_given, kinds)
 
 
 @dataclass
@@ -267,30 +285,45 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _over_boundaries(found: DataFrame) -> DataFrame:
-    """Spans and windows of rows that lie on both sides of a boundary. The driver sees ``2 * NEAR`` rows of each
-    partition, however large they are."""
-    ends: dict[tuple[int, int], _Block] = {}
-    got = found.where("kind >= 2").orderBy("part", "kind", "i").select("part", "kind", "_row", "start", "nr", "nl", "right", "left").toArrow()
-    for b in got.to_batches():
-        for i in range(b.num_rows):
-            key, row = (b.column(0)[i].as_py(), b.column(1)[i].as_py()), _Block.of(pa.RecordBatch.from_arrays(b.slice(i, 1).columns[2:], names=list("abcdef")))
-            ends[key] = ends[key] + row if key in ends else row
-    parts = sorted({p for p, _ in ends})
-    data = []
-    for k in range(1, len(parts)):
-        before, after = ends[parts[k - 1], 3], ends[parts[k], 2]
-        for p in parts[: k - 1][::-1]:
-            if len(before) >= NEAR:
+    """Spans and windows of rows that lie on both sides of a boundary of the sorted partitions, written. Boundaries are
+    dealt out in groups, each with the rows of the ``NEAR`` partitions on either side of it, which hold all neighbours."""
+    ends = found.where("kind >= 2").select("part", "kind", "i", "_row", "start", "nr", "nl", "right", "left")
+    ranks = ends.select("part").distinct().select("part", F.row_number().over(Window.orderBy("part")).alias("r"))  # a row for each partition
+    # the boundary before the partition of rank k is k; last rows serve the ones after theirs, first rows theirs and those before
+    first, last = F.when(F.col("kind") == 3, F.col("r") + 1).otherwise(F.greatest(F.lit(2), F.col("r") - NEAR + 1)), F.when(F.col("kind") == 3, F.col("r") + NEAR).otherwise(F.greatest(F.lit(2), F.col("r")))
+    dealt = ends.join(F.broadcast(ranks), "part").withColumn("chunk", F.explode(F.sequence(F.floor(first / BOUNDARIES), F.floor(last / BOUNDARIES))))
+
+    def judge(rank: list[int], kind: list[int], rows_: _Block, chunk: int) -> Iterator[pa.RecordBatch]:
+        rank, kind = np.array(rank), np.array(kind)
+        for k in range(max(2, chunk * BOUNDARIES), (chunk + 1) * BOUNDARIES):
+            if not (rank >= k).any():
                 break
-            before = ends[p, 3] + before
-        for p in parts[k + 1 :]:
-            if len(after) >= NEAR:
-                break
-            after = after + ends[p, 2]
-        block = before[-NEAR:] + after[:NEAR]
-        spans, windows = _compare(block, 0, len(block))
-        data += [(0, *x, None) for x in spans.tolist()] + [(1, r, s, s + MIN_WORDS, h) for r, s, h in windows.tolist()]
-    return found.sparkSession.createDataFrame(data, "kind int, _row long, start long, end long, h long")
+            before, after = np.flatnonzero((kind == 3) & (rank < k))[-NEAR:], np.flatnonzero((kind == 2) & (rank >= k))[:NEAR]
+            if len(before) and len(after) and rank[after[0]] == k:
+                pick = np.concatenate([before, after])
+                block = _Block(*(x[pick] for x in vars(rows_).values()))
+                yield from _of_compare(*_compare(block, 0, len(block)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rank, kind, held = None, [], [], None
+        for batch in batches:
+            chunks = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(chunks)]
+            for lo, hi in zip(edges, edges[1:]):
+                if lo == hi:
+                    continue
+                if now is not None and now != chunks[lo]:
+                    yield from judge(rank, kind, held, now)
+                    rank, kind, held = [], [], None
+                now, some = int(chunks[lo]), batch.slice(lo, hi - lo)
+                rank, kind = rank + some.column(1).to_pylist(), kind + some.column(2).to_pylist()
+                block = _Block.of(pa.RecordBatch.from_arrays(some.columns[3:], names=list("abcdef")))
+                held = block if held is None else held + block
+        if now is not None:
+            yield from judge(rank, kind, held, now)
+
+    ordered = dealt.repartition("chunk").sortWithinPartitions("chunk", "r", "kind", "i").select("chunk", "r", "kind", "_row", "start", "nr", "nl", "right", "left")
+    return written(ordered.mapInArrow(run, FOUND), "boundaries")
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,17 +349,79 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # suffixes that agree begin with one run, so the run's hash may lead the order: it is even and quick to compare
     order = ["h", "right", "left", "salt"]
     runs = _runs(texts)
-    suffixes = _suffixes(texts, _repeated_bitmap(runs)).withColumn("salt", F.xxhash64("_row", "pos"))
+    often, n = _repeated(runs)
+    suffixes = _suffixes(texts, often, n).withColumn("salt", F.xxhash64("_row", "pos"))
     ordered = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
     found = written(ordered.select("_row", "pos", "nr", "nl", "right", "left").mapInArrow(_neighbours, FOUND), "neighbours")
-    both = found.where("kind < 2").select("kind", "_row", "start", "end", "h").union(_over_boundaries(found))
+    edges = _over_boundaries(found)
+    both = found.where("kind < 2").union(edges).select("kind", "_row", "start", "end", "h")
     windows = both.where("kind = 1").withColumn("place", F.xxhash64("_row", "start"))
     again = written(windows.groupBy("h").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("h"), "repeated-windows")
     spans = both.where("kind = 0").select("_row", "start", "end").union(windows.join(again, "h", "left_semi").select("_row", "start", "end")).distinct()
     merged = written(spans.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("x")).mapInArrow(_merged, "_row long, n_repeated_words long, n_passages long, passages string"), "passages")
-    for gone in (found, again):
+    for gone in (often, found, edges, again):
         for p in paths_of(gone):
             remove(spark, p)
     out = runs.where("h IS NULL").join(merged, "_row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select(F.col("_id").alias(id_col), "n_words", zero("n_repeated_words"), zero("n_passages"), F.coalesce("passages", F.lit("")).alias("passages"))
+
+
+_word = re.compile(ALNUM_WORD)
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with each repeated passage in one place only: a word goes if some window of ``MIN_WORDS`` words around it also
+    stands in a row of a lesser id (null ids last, then by the hash of id and text), or earlier in its own text. The text
+    between a removed word and the next one goes with it; what comes first keeps its text, so no passage is lost.
+
+    Windows are only hashed inside repeated passages, and their first places are found in a grouping that combines before
+    the shuffle. Repeated rows are one row for this, and lose alike; null texts stay null, other columns stay as they are."""
+    spark = docs.sparkSession
+    row = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+    found = repeated_passages(docs.select(row.alias("r"), F.col(text_col).alias("t")), "r", "t").where("n_passages > 0").select("r", "passages").dropDuplicates(["r"])
+    texts = docs.select(row.alias("r"), F.col(id_col).alias("id"), F.col(text_col).alias("t")).dropDuplicates(["r"]).join(written(found, "repeated-passages"), "r")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                h = gram_hashes(word_hashes(alnum_words(batch.column(2)[i].as_py())), MIN_WORDS)
+                at = np.concatenate([np.arange(int(s), int(e) - MIN_WORDS + 1) for s, e in (x.split(":") for x in batch.column(3)[i].as_py().split(","))])
+                mine = batch.slice(i, 1).take(pa.array(np.zeros(len(at), np.int32)))
+                yield pa.RecordBatch.from_arrays([mine.column(0), mine.column(1), pa.array(at, pa.int64()), pa.array(h[at].view(np.int64))], names=["r", "id", "start", "h"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    every = written(texts.select("r", "id", "t", "passages").mapInArrow(windows, f"r long, id {kind}, start long, h long"), "passage-windows")
+    place = F.struct(F.col("id").isNull().alias("n"), "id", "r", "start")
+    first = written(every.groupBy("h").agg(F.min(place).alias("x")).select("h", F.col("x.r").alias("fr"), F.col("x.start").alias("fs")), "first-places")
+    salted = every.withColumn("salt", F.pmod(F.xxhash64("r"), F.lit(SALTS)).cast("int"))
+    again = salted.join(first.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS))))), ["h", "salt"]).where("r <> fr OR start <> fs")
+    gone = written(again.groupBy("r").agg(F.sort_array(F.collect_list("start")).alias("at")), "windows-to-remove")  # bounded by the text
+
+    @F.pandas_udf("string")
+    def cut(text, at):
+        import pandas as pd
+
+        return pd.Series([t if a is None else _without(t, a) for t, a in zip(text, at)], dtype=object)
+
+    keyed = packed(docs, row.alias("r")).join(gone, "r", "left")
+    new = F.when(F.col("at").isNull(), F.col("row")[text_col]).otherwise(cut(F.col("row")[text_col], "at"))
+    out = keyed.select(*(new.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
+    for p in paths_of(every) + paths_of(first):
+        remove(spark, p)
+    return out
+
+
+def _without(text: str, starts) -> str:
+    """A text without the words of the windows that start at ``starts``."""
+    words = [m.start() for m in _word.finditer(lower_ascii(text))]
+    drop = np.zeros(len(words) + 1, np.int64)
+    for s in starts:
+        drop[s] += 1
+        drop[s + MIN_WORDS] -= 1
+    drop = np.cumsum(drop)[:-1] > 0
+    bounds, out = [*words, len(text)], [text[: words[0]]]
+    for i, gone in enumerate(drop.tolist()):
+        if not gone:
+            out.append(text[bounds[i] : bounds[i + 1]])
+    return "".join(out)

@@ -41,42 +41,73 @@ def odd(spark):
     long = prose(rng, 5000)
     rows = [(1, None, None, "h"), (None, "some text without an id", "en", None), (None, None, None, None), (2, "", "en", "h"), (3, " \n\t ", "en", "h"), (4, long, "en", "h"), (4, long, "en", "h"), (5, long, "de", "i"), (6, "x", "en", "h"), (7, "é" * 30000, "fr", "h"), (8, "a\x00b\nc", "en", "h")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    for c in ("n_words", "rk", "cid", "label", "_row", "h", "score", "part", "token_ids", "kept", "i", "id"):
+    for c in ("n_words", "rk", "cid", "label", "_row", "h", "score", "part", "token_ids", "kept", "i", "id", "_rk", "_key", "_gone", "_gs", "gs", "row", "r", "t", "at", "u", "size", "a.b", "_shard", "arrival", "item_id", "rows", "salt"):
         df = df.withColumn(c, F.lit(1))
     return df
 
 
-# every operator on odd and on empty tables
-
+LONG = (4, 4, 5)
 
+#: What each operator gives on the odd rows: a function of its result, and the value that it must have.
 ON = {
-    "bpe": lambda d: bpe.encode_texts(d, P.path("byte_bpe_50k.json")),
-    "repair": lambda d: repair_store.store_tokens(d, P.path("word_bpe_49k.json")),
-    "rules": line_rules.quality_rules,
-    "apply_rules": line_rules.apply_quality_rules,
-    "licenses": licenses.scan_licenses,
-    "pii": pii.find_pii,
-    "redact": pii.redact,
-    "jaccard": jaccard_forest.ngram_jaccard_join,
-    "keep_one": jaccard_forest.keep_one_of_each_group,
-    "suffixes": suffix_dedup.repeated_passages,
-    "compaction": compaction.shard_arrivals,
-    "quality": lambda d: quality_crf.quality_classifier(d, d.select("doc_id", F.when(F.col("doc_id") % 2 == 0, 1).otherwise(0).alias("quality"))),
-    "decontam": lambda d: decontam.decontaminate(d, d.select(F.col("doc_id").alias("item_id"), "text")),
-    "decontam_large": lambda d: decontam.decontaminate(d, d.select(F.col("doc_id").alias("item_id"), "text"), max_index_bytes=-1),
+    "bpe": (lambda d: bpe.encode_texts(d, P.path("byte_bpe_50k.json")), lambda g: {(r.doc_id, r.n_tokens) for r in g if r.doc_id in (1, 2)} | {r.n_tokens > 5000 for r in g if r.doc_id in LONG}, {(1, 0), (2, 0), True}),
+    "repair": (lambda d: repair_store.store_tokens(d, P.path("word_bpe_49k.json")), lambda g: sorted(r.n_tokens for r in g if r.doc_id in (1, 2, 3)) + [len({r.start for r in g})], [1, 1, 1, 11]),
+    "rules": (line_rules.quality_rules, lambda g: sorted(r.doc_id for r in g if r.kept), [4, 4, 5]),
+    "apply_rules": (line_rules.apply_quality_rules, lambda g: sorted(r.doc_id for r in g), [4, 4, 5]),
+    "licenses": (licenses.scan_licenses, lambda g: {(r.n_base, r.labels, r.score) for r in g}, {(0, "", 0.0)}),
+    "pii": (pii.find_pii, lambda g: {(r.spans, r.n_spans, r.n_secret) for r in g}, {("", 0, 0)}),
+    "redact": (pii.redact, lambda g: sorted(map(len, filter(None, (r.text for r in g))))[-1], 30000),
+    "jaccard": (jaccard_forest.ngram_jaccard_join, lambda g: {r.doc_id: (r.class_id, r.n_links, r.group_id) for r in g if r.doc_id}, {1: (1, 0, 1), 2: (1, 0, 1), 3: (1, 0, 1), 4: (4, 0, 4), 5: (4, 0, 4), 6: (6, 0, 6), 7: (7, 0, 7), 8: (8, 0, 8)}),
+    "keep_one": (jaccard_forest.keep_one_of_each_group, lambda g: sorted(r.doc_id or 0 for r in g), [0, 1, 4, 6, 7, 8]),
+    "suffixes": (suffix_dedup.repeated_passages, lambda g: {(r.doc_id, r.passages) for r in g if r.passages}, {(4, "0:5000"), (5, "0:5000")}),
+    "remove_repeats": (suffix_dedup.remove_repeats, lambda g: sorted((r.doc_id, len(r.text) > 9000) for r in g if r.doc_id in LONG), [(4, True), (4, True), (5, False)]),
+    "compaction": (compaction.shard_arrivals, lambda g: sorted(r.n_chars or 0 for r in g)[-1], 30000),
+    "quality": (lambda d: quality_crf.quality_classifier(d, d.select("doc_id", F.when(F.col("doc_id") % 2 == 0, 1).otherwise(0).alias("quality"))), lambda g: {r.score for r in g if r.doc_id in (1, 2, 3)}, {0.0}),
+    "decontam": (lambda d: decontam.decontaminate(d, d.select(F.col("doc_id").alias("item_id"), "text")), lambda g: {(r.doc_id, r.n_items, r.contaminated) for r in g}, {(1, 0, False), (None, 0, False), (None, 0, True), (2, 0, False), (3, 0, False), (4, 2, True), (5, 2, True), (6, 1, True), (7, 1, True), (8, 1, True)}),
 }
+ON["decontam_large"] = (lambda d: decontam.decontaminate(d, d.select(F.col("doc_id").alias("item_id"), "text"), max_index_bytes=-1), *ON["decontam"][1:])
 DROPS = {"apply_rules", "keep_one"}
 
 
 @pytest.mark.parametrize("name", ON)
 def test_odd_rows(odd, name):
-    got = ON[name](odd).collect()
-    assert name in DROPS or len(got) == 11
+    run, seen, want = ON[name]
+    out = run(odd)
+    got = out.collect()
+    assert (name in DROPS or len(got) == 11) and seen(got) == want
+    if name in DROPS | {"redact", "remove_repeats"}:
+        assert out.columns == odd.columns and all(r[c] == 1 for r in got for c in out.columns[4:])
 
 
 @pytest.mark.parametrize("name", ON)
 def test_empty_tables(odd, name):
-    assert ON[name](odd.limit(0)).count() == 0
+    assert ON[name][0](odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+@pytest.mark.parametrize("name", ON)
+def test_ids_of_other_types(odd, name, kind):
+    if (name, kind) == ("quality", "string"):
+        return  # its labels here come from a remainder
+    run, seen, want = ON[name]
+    out = run(odd.withColumn("doc_id", F.col("doc_id").cast(kind)))
+    assert out.schema["doc_id"].dataType.simpleString() == kind
+    got = out.withColumn("doc_id", F.col("doc_id").cast("long"))
+    if name == "jaccard":
+        got = got.withColumn("class_id", F.col("class_id").cast("long")).withColumn("group_id", F.col("group_id").cast("long"))
+    assert seen(got.collect()) == want
+
+
+def test_pipeline_stages_on_odd_rows(odd, sf):
+    import corpus_pipeline as cp
+
+    want = {"quality rules": [4, 4, 5], "n-gram Jaccard join": [0, 1, 4, 6, 7, 8], "benchmark decontamination": [0, 0, 1, 2, 3, 4, 4, 5, 6, 7, 8], "PII": [0, 0, 1, 2, 3, 4, 4, 5, 6, 7, 8]}
+    docs = odd.withColumn("n_chars", F.length("text").cast("long"))
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(odd.sparkSession, docs, sf)
+        assert out.columns == docs.columns and sorted(r.doc_id or 0 for r in out.collect()) == want[name], name
+        assert stage(odd.sparkSession, docs.limit(0), sf).count() == 0
+    assert cp.STAGES[-1][1](odd.sparkSession, docs, sf).count() == 11
 
 
 # 1
@@ -306,13 +337,26 @@ def test_repair_goes_on_below_a_hot_pair():
 
 
 def test_token_files(docs, texts):
-    library, at, want = Tokenizer.from_file(P.path("word_bpe_49k.json")), 0, {}
+    library, at, want, every = Tokenizer.from_file(P.path("word_bpe_49k.json")), 0, {}, {}
     for i in sorted(texts):
-        ids = library.encode(texts[i] or "", add_special_tokens=False).ids + [2]
+        ids = every[i] = library.encode(texts[i] or "", add_special_tokens=False).ids + [2]
         want[i] = (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     got = repair_store.store_tokens(docs, P.path("word_bpe_49k.json"))
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in got.collect()} == want
+    path = shared_dir(docs.sparkSession, "token-shards")
+    repair_store.write_shards(docs, path, P.path("word_bpe_49k.json"))
+    for a, b in ((0, 10), (7, 300), (100_000, 100_010)):
+        assert {r.doc_id: r.ids for r in repair_store.read_slices(docs.sparkSession, path, a, b).collect()} == {i: x[a:b] for i, x in every.items()}
+    # the method's point: what is stored is smaller than the ids, and no frequent pair is left in any shard
+    stored = docs.sparkSession.read.parquet(path).collect()
+    assert sum(len(r.blob) for r in stored) < 0.8 * 2 * at
+    for r in stored:
+        shard = repair_store.Shard(r.blob)
+        inside = np.ones(len(shard.seq), bool)
+        inside[shard.ends - 1] = False
+        pairs = (shard.seq[:-1].astype(np.int64) << 16 | shard.seq[1:])[inside[:-1]]
+        assert len(shard.lengths) == repair_store.SYMBOLS or len(pairs) == 0 or np.unique(pairs, return_counts=True)[1].max() < 2 * repair_store.MIN_COUNT
 
 
 def test_word_pieces_are_the_library():
@@ -553,7 +597,9 @@ def repeats_brute(rows, m=50):
     return out
 
 
-def test_repeated_passages(spark, texts):
+@pytest.mark.parametrize("bits", [suffix_dedup.MOST_BITS, 4])
+def test_repeated_passages(spark, texts, monkeypatch, bits):
+    monkeypatch.setattr(suffix_dedup, "MOST_BITS", bits)  # few bits: the runs are joined
     rng = random.Random(11)
     passages = [prose(rng, n) for n in (49, 50, 51, 55, 70, 90, 200)]
     made = [" ".join([prose(rng, rng.randrange(0, 80)), rng.choice(passages), prose(rng, rng.randrange(0, 80))]) for _ in range(250)]
@@ -562,6 +608,46 @@ def test_repeated_passages(spark, texts):
     assert got == repeats_brute(rows)
 
 
+def test_passages_over_many_boundaries(spark, monkeypatch):
+    """More partitions than rows: neighbours lie many partitions apart."""
+    rng = random.Random(13)
+    passages = [prose(rng, 60) for _ in range(12)]
+    rows = [(i, f"{prose(rng, rng.randrange(0, 30))} {rng.choice(passages)} {prose(rng, rng.randrange(0, 30))}") for i in range(60)]
+    monkeypatch.setattr(suffix_dedup, "BOUNDARIES", 5)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.doc_id: (r.n_words, r.passages) for r in suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == repeats_brute(rows)
+
+
+def test_remove_repeats_keeps_the_first(spark):
+    rng = random.Random(12)
+    passages = [prose(rng, n, 3000) for n in (50, 70, 120)]
+    rows = [(i, "; ".join([prose(rng, rng.randrange(0, 40), 3000), rng.choice(passages), prose(rng, rng.randrange(0, 40), 3000)])) for i in range(40)]
+    rows += [(100, f"{passages[0]} and {passages[0]}"), (101, None), (102, ""), (103, rows[0][1]), (None, passages[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("at", F.lit(7))
+    out = suffix_dedup.remove_repeats(df)
+    got = {r.doc_id: r.text for r in out.collect()}
+    # by brute force: a word goes if a window around it stood before, in the order of ids
+    seen, want = set(), {}
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+        w = alnum_words(t)
+        gone = set()
+        for s in range(len(w) - 49):
+            key = tuple(w[s : s + 50])
+            gone |= set(range(s, s + 50)) if key in seen else set()
+            seen.add(key)
+        want[i] = [x for k, x in enumerate(w) if k not in gone]
+    assert out.columns == df.columns and {i: alnum_words(t) for i, t in got.items()} == want
+    assert got[101] is None and got[102] == "" and got[103] == "" and all(r.at == 7 for r in out.collect())
+    assert sum(passages[2] in (t or "") for t in got.values()) == 1 and suffix_dedup.repeated_passages(out).where("n_passages > 0").count() == 0
+
+
 # 9
 
 
@@ -600,17 +686,56 @@ def test_compaction(spark, docs):
     t = compaction.ShardedTable(spark, shared_dir(spark, "t"), target_bytes=200_000)
     for a in range(9):
         t.append(docs.where(F.col("doc_id") % 9 == a).repartition(3), a)
-    before = t.shards()
-    assert t.version() == 9 and t.read().count() == docs.count()
+    before, want = t.segments(), sorted(map(tuple, docs.collect()))
+    rows_of = lambda version=None: sorted(map(tuple, t.read(version).select(docs.columns).collect()))
+    assert t.version() == 9 and rows_of() == want and sum(s.files for s in before) == 27
     t.compact()
-    after = t.shards()
-    assert len(after) < len(before) and not t.runs(after) and t.read().count() == docs.count()
-    assert sorted(map(tuple, t.read().select(docs.columns).collect())) == sorted(map(tuple, docs.collect()))
-    assert t.read(t.version()).select("_shard").distinct().count() == len(after)
+    after = t.segments()
+    assert len(after) < len(before) and sum(s.files for s in after) < 9 and not t.runs(after) and rows_of() == want
+    # older versions stay readable until they are forgotten
+    assert rows_of(9) == want and rows_of(1) == sorted(map(tuple, docs.where("doc_id % 9 = 0").collect()))
+    assert t.vacuum(keep_versions=100, older_than_ms=0) == 0
+    assert t.vacuum(keep_versions=1, older_than_ms=0) >= len({s.path for s in before} - {s.path for s in after}) > 4 and t.versions() == [t.version()] and rows_of() == want
     with pytest.raises(compaction.CommitConflict):
         t.commit(t.version() - 1, [], t.schema())
-    t.append(docs.limit(2).withColumn("extra", F.lit(1)))
-    assert t.read().where("extra = 1").count() == 2 and t.vacuum(0) == 0
+    t.append(docs.limit(2).withColumn("_shard", F.lit(1)))
+    got = t.read()
+    assert got.columns[-3:] == ["_shard", "__shard", "_size"] and got.where("_shard = 1").count() == 2 and got.count() == len(want) + 2
+
+
+def test_compaction_keeps_segments_of_other_sizes_apart():
+    t = compaction.ShardedTable.__new__(compaction.ShardedTable)
+    t.target, t.fan_in = 1000, 4
+    seg = lambda k, files, size: compaction.Segment(f"p{k}", files, size, k)
+    small, tiny = [seg(k, 1, 30) for k in range(4)], [seg(10 + k, 1, 2) for k in range(3)]
+    assert t.runs(small + tiny) == [small] and t.runs(tiny) == []
+    assert t.runs([seg(0, 1, 900), seg(1, 3, 3900)]) == []  # full
+    assert t.runs([seg(0, 500, 5000)]) == [[seg(0, 500, 5000)]]  # one arrival of many small shards
+
+
+def test_compaction_with_concurrent_writers(spark):
+    import concurrent.futures
+
+    root = shared_dir(spark, "t")
+    tables = [compaction.ShardedTable(spark, root, target_bytes=50_000) for _ in range(3)]
+
+    def work(k):
+        for i in range(6):
+            if k == 2:
+                tables[k].compact()
+            else:
+                tables[k].append(spark.range(100 * (6 * k + i), 100 * (6 * k + i + 1), 1, 2).withColumn("x", F.lit(str(k))), i)
+
+    with concurrent.futures.ThreadPoolExecutor(3) as pool:
+        list(pool.map(work, range(3)))
+    tables[0].compact()
+    assert sorted(r.id for r in tables[1].read().collect()) == list(range(1200)) and len(tables[0].segments()) < 4
+
+
+def test_shard_arrivals_returns_what_is_stored(spark, docs, texts):
+    got = compaction.shard_arrivals(docs, 5, 300_000).collect()
+    assert {r.doc_id: r.text_sha256 for r in got} == {k: v if v is None else hashlib.sha256(v.encode()).hexdigest() for k, v in texts.items()}
+    assert len({r.arrival for r in got}) == 5 and max(r.shard_bytes for r in got) <= 600_000
 
 
 # queries and pipeline
