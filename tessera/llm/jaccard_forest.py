@@ -13,9 +13,8 @@ and not only off their number; where no depth gives the recall without the crowd
 others. A node that some class stops at is open: all classes below it are candidates of each other.
 
 Candidates are verified exactly on whole sets before anything is connected. Classes are laid out in blocks of at most
-``BLOCK`` in the order of their groups' least classes; a pair of blocks is a task if some open node has classes in both,
-and then it holds the classes of the nodes that do (all of both blocks, for nodes that span more than ``NARROW``
-blocks). What a task returns grows with its classes (links counted, one tie each), never with its pairs. Connected
+``BLOCK``, each beside the others that met the same least class in most trees; a pair of blocks is a task if some open node has classes in both,
+and then it holds the classes of the nodes that do (all of both blocks, for nodes of more than ``BLOCK`` classes). What a task returns grows with its classes (links counted, one tie each), never with its pairs. Connected
 components are taken of verified links alone.
 
 Each row of the result has ``class_id`` (least id of the rows with the same set), ``n_links`` (other classes of
@@ -46,7 +45,7 @@ TREES, ROOT, DEPTH, RECALL = 40, 5, 10, 0.9999
 #: Bits that a minhash below the root has in a signature (equal bits of unequal minhashes only add candidates).
 BITS = 60 // (DEPTH - ROOT)
 CROWD = 32
-BLOCK, BLOCK_CHARS, NARROW = 256, 2_000_000, 4
+BLOCK, BLOCK_CHARS = 256, 2_000_000
 
 #: Tables of at most this many rows (of a few longs) are broadcast, after they were counted; others are shuffled.
 BROADCAST_ROWS = 500_000
@@ -200,7 +199,7 @@ def _open_nodes(trie: DataFrame, threshold: float) -> DataFrame:
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """``cid, rk, block`` of ``cid, rk, n_chars, anchor``: runs in the order of anchors, bounded in classes and characters,
+    """``cid, rk, block`` of ``cid, rk, n_chars, run, anchor``: pieces of the order of runs and anchors, bounded in classes and characters,
     however many partitions there are (one row of each is added up to say where the next one starts)."""
     least = BLOCK_CHARS // BLOCK
 
@@ -212,7 +211,7 @@ def _blocks(members: DataFrame) -> DataFrame:
             total = int(ends[-1]) if len(ends) else total
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.full(len(size), part), pa.int32()), pa.array(ends, pa.int64())], names=["cid", "rk", "part", "upto"])
 
-    dealt = members.repartitionByRange("anchor", "cid").sortWithinPartitions("anchor", "cid")
+    dealt = members.repartitionByRange("run", "anchor", "cid").sortWithinPartitions("run", "anchor", "cid")
     laid = written(dealt.select("cid", "rk", "n_chars").mapInArrow(run, "cid long, rk binary, part int, upto long"), "laid-out")
     parts = laid.groupBy("part").agg(F.max("upto").alias("size"))
     starts = parts.select("part", F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("start"))
@@ -223,11 +222,12 @@ def _tasks(groups: DataFrame, placed: DataFrame) -> DataFrame:
     """``i, j, cid, rk, side``: the classes that each block (``i = j``) or pair of blocks compares."""
     of = placed.select("cid", "block")
     spans = written(groups.join(sized(of), "cid").select("g", "block", "cid"), "spans")
-    where = spans.select("g", "block").distinct()
-    wide = written(where.join(sized(written(where.groupBy("g").agg(F.count("*").alias("b")).where("b > 1"), "spanning-groups")), "g"), "group-blocks")
-    pairs = wide.select("g", "b", F.col("block").alias("i")).join(wide.select("g", F.col("block").alias("j")), "g").where("i < j")
-    few = pairs.where(F.col("b") <= NARROW).select("g", "i", "j").join(spans, "g").where("block = i OR block = j").select("i", "j", "cid").distinct()
-    many = written(pairs.where(F.col("b") > NARROW).select("i", "j").distinct(), "block-pairs")
+    where = spans.groupBy("g", "block").agg(F.count("*").alias("n"))
+    over = where.groupBy("g").agg(F.count("*").alias("b"), F.sum("n").alias("size")).where("b > 1").select("g", "size")
+    wide = written(where.select("g", "block").join(sized(written(over, "spanning-groups")), "g"), "group-blocks")
+    pairs = wide.select("g", "size", F.col("block").alias("i")).join(wide.select("g", F.col("block").alias("j")), "g").where("i < j")
+    few = pairs.where(F.col("size") <= BLOCK).select("g", "i", "j").join(spans, "g").where("block = i OR block = j").select("i", "j", "cid").distinct()
+    many = written(pairs.where(F.col("size") > BLOCK).select("i", "j").distinct(), "block-pairs")
     whole = many.withColumn("block", F.explode(F.array("i", "j"))).join(sized(of), "block").select("i", "j", "cid")
     own = of.select(F.col("block").alias("i"), F.col("block").alias("j"), "cid")
     every = few.union(whole).distinct().union(own)
@@ -243,9 +243,13 @@ def link_groups(docs: DataFrame, id_col: str, text_col: str, threshold: float =
     met = written(each.groupBy("root").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("root"), "shared-roots")
     trie = written(each.join(sized(met), "root").distinct().repartitionByRange("root", "tail").sortWithinPartitions("root", "tail"), "trie")
     groups = _open_nodes(trie, threshold)
-    lead = written(groups.groupBy("g").agg(F.min("cid").alias("lead")), "group-leads")
-    anchors = written(groups.join(sized(lead), "g").groupBy("cid").agg(F.min("lead").alias("anchor")), "anchors")
-    members = written(sig.select("cid", "rk", "n_chars").join(sized(anchors), "cid").groupBy("cid", "anchor").agg(F.min("rk").alias("rk"), F.max("n_chars").alias("n_chars")), "members")
+    lead = written(groups.groupBy("g").agg(F.min("cid").alias("lead"), F.count("*").alias("size")), "group-leads")
+    # the least class that it meets in the most trees (chance meetings are those of one tree); first of all, though, what lies
+    # in a node that no block holds goes with the largest such node, so that this node spans few blocks
+    often = groups.join(sized(lead), "g").groupBy("cid", "lead").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    most, top = F.min(F.struct((-F.col("n")).alias("n"), "lead"))["lead"], F.max(F.struct("size", "lead"))
+    anchors = written(often.groupBy("cid").agg(most.alias("anchor"), top.alias("top")).select("cid", F.when(F.col("top.size") > BLOCK, F.col("top.lead")).otherwise(F.col("anchor")).alias("run"), "anchor"), "anchors")
+    members = written(sig.select("cid", "rk", "n_chars").join(sized(anchors), "cid").groupBy("cid", "run", "anchor").agg(F.min("rk").alias("rk"), F.max("n_chars").alias("n_chars")), "members")
     placed = written(_blocks(members), "blocks")
     tasks = written(_tasks(groups, placed), "tasks")
     judged = written(_verified(keyed.select("rk", "text").join(sized(tasks), "rk"), threshold), "verified")
