@@ -41,6 +41,15 @@ def row_key(id_col: str, text_col: str, *more: str) -> Column:
     return F.unhex(F.md5(F.concat(*map(part, (id_col, *more)), F.lit("\n"), F.coalesce(F.col(text_col), F.lit("")))))
 
 
+#: Tables of at most this many rows (of a few longs) are broadcast, after they were counted; others are shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def sized(df: DataFrame, most: int | None = None) -> DataFrame:
+    """A written table, marked for broadcast only if its counted rows are few enough."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if most is None else most) else df
+
+
 def packed(df: DataFrame, *more: Column) -> DataFrame:
     """The rows of ``df`` as one column ``row`` beside ``more``, so that no name of theirs clashes with others."""
     return df.select(*more, F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))

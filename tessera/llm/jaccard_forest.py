@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import alnum_words, gram_hashes, mix, packed, paths_of, remove, row_key, rows, word_hashes, written
+from tessera.llm.common import alnum_words, gram_hashes, mix, packed, paths_of, remove, row_key, rows, sized, word_hashes, written
 from tessera.llm.components import components
 
 SHINGLE = 5
@@ -47,9 +47,6 @@ BITS = 60 // (DEPTH - ROOT)
 CROWD = 32
 BLOCK, BLOCK_CHARS = 256, 2_000_000
 
-#: Tables of at most this many rows (of a few longs) are broadcast, after they were counted; others are shuffled.
-BROADCAST_ROWS = 500_000
-
 
 def prefix_levels(sizes: list[list[int]], threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, crowd: int = CROWD) -> list[int]:
     """The level (0: ``ROOT``) at which a class matches in each tree where it is not alone at the root. ``sizes``: how many
@@ -104,11 +101,6 @@ def _signatures(df: DataFrame) -> DataFrame:
     return df.select("rk", "id", "text").mapInArrow(run, f"rk binary, id {kind}, cid long, n_chars long, trees array<struct<root: long, tail: long>>")
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast only if its counted rows are few enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _linked(sets: list[np.ndarray], side: np.ndarray, cross: bool, threshold: float) -> np.ndarray:
     """Which pairs reach the threshold; with ``cross``, only pairs of different sides count."""
     n = len(sets)

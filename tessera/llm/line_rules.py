@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import packed, row_key, written
+from tessera.llm.common import packed, row_key, sized, written
 
 MAX_DOCS = 20
 MIN_LEFT = 0.3
@@ -95,25 +95,27 @@ def over_limit(docs: DataFrame, id_col: str, text_col: str, host_col: str, max_d
     return held.join(_salted(often), ["g", "salt"]).where(~F.col("id").eqNullSafe(F.col("keeper"))).select("rk", "u", "g", "w")
 
 
-def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, max_docs: int, min_left: float, lines: bool) -> DataFrame:
-    """The facts of each row with ``n_removed_words``, ``kept`` and, if asked for, ``gs``, the hashes of the lines to go."""
-    gone = over_limit(docs, id_col, text_col, host_col, max_docs).groupBy("rk", "u").agg(F.sum("w").alias("r"), F.collect_set("g").alias("gs") if lines else F.lit(None).alias("gs"))
-    gone = gone.groupBy("rk").agg(F.max("r").alias("r"), F.first("gs").alias("gs"))  # rows of one key lose the same lines
-    out = base_features(docs, id_col, text_col, host_col).join(gone, "rk", "left").withColumn("n_removed_words", F.coalesce("r", F.lit(0)).cast("long")).drop("r")
+def _judged(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, host_col: str, min_left: float) -> DataFrame:
+    """The facts of each row with ``n_removed_words`` and ``kept``. ``gone``: the lines over the limit."""
+    lost = gone.groupBy("rk", "u").agg(F.sum("w").alias("r")).groupBy("rk").agg(F.max("r").alias("r"))  # rows of one key lose alike
+    lost = written(lost, "words-lost")
+    out = base_features(docs, id_col, text_col, host_col).join(sized(lost), "rk", "left").withColumn("n_removed_words", F.coalesce("r", F.lit(0)).cast("long")).drop("r")
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_removed_words") >= min_left * F.col("n_words")))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words``."""
-    out = _judged(docs, id_col, text_col, host_col, max_docs, min_left, False)
+    out = _judged(docs, over_limit(docs, id_col, text_col, host_col, max_docs), id_col, text_col, host_col, min_left)
     return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
 
 
 def apply_quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """The rows of ``docs`` that the rules keep, without their lines over the limit; columns stay as they are."""
-    kept = written(_judged(docs, id_col, text_col, host_col, max_docs, min_left, True).where("kept").select("rk", "gs").dropDuplicates(["rk"]), "rows-kept")
-    # texts are not shuffled while the keys are few; else each text moves once
-    out = packed(docs, row_key(id_col, text_col, host_col).alias("rk")).join(kept, "rk")
+    gone = written(over_limit(docs, id_col, text_col, host_col, max_docs), "lines-gone")
+    bad = written(_judged(docs, gone, id_col, text_col, host_col, min_left).where("NOT kept").select("rk").distinct(), "rows-rejected")
+    cut = written(gone.groupBy("rk").agg(F.collect_set("g").alias("gs")), "lines-of-rows")
+    # texts are not shuffled while these tables are few rows; else each text moves twice
+    out = packed(docs, row_key(id_col, text_col, host_col).alias("rk")).join(sized(bad), "rk", "left_anti").join(sized(cut), "rk", "left")
     text, host = F.col("row")[text_col], F.col("row")[host_col]
     cleaned = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(NOT_SPACE) | ~F.array_contains("gs", line_key(host, x))), "\n")
     return out.select(*(F.when(F.col("gs").isNull(), text).otherwise(cleaned).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 P = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
-from tessera.llm import bpe, compaction, components, decontam, jaccard_forest, licenses, line_rules, pii, quality_crf, repair_store, suffix_dedup  # noqa: E402
+from tessera.llm import bpe, common, compaction, components, decontam, jaccard_forest, licenses, line_rules, pii, quality_crf, repair_store, suffix_dedup  # noqa: E402
 from tessera.llm.common import alnum_words, shared_dir  # noqa: E402
 from tessera.llm.queries import oracle_sql, queries  # noqa: E402
 
@@ -252,9 +252,9 @@ def near_family(n, size=200, seed=3):
     return out
 
 
-@pytest.mark.parametrize("broadcast", [jaccard_forest.BROADCAST_ROWS, -1])
+@pytest.mark.parametrize("broadcast", [common.BROADCAST_ROWS, -1])
 def test_jaccard_join_is_exact(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(jaccard_forest, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
     rng = random.Random(4)
     every = near_family(300) + [prose(rng, 120) for _ in range(60)] + ["", None, "a b", "a b", "A, b!"] + near_family(5, 60, 9)
     rows = list(enumerate(every))
