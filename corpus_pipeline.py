@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import encode_texts
-from tessera.llm.common import packed, row_key, written
+from tessera.llm.common import packed, row_key, sized, written
 from tessera.llm.decontam import decontaminate
-from tessera.llm.jaccard_forest import keep_one_of_each_group, sized
+from tessera.llm.jaccard_forest import keep_one_of_each_group
 from tessera.llm.line_rules import apply_quality_rules
 from tessera.llm.pii import redact
 
