@@ -155,25 +155,52 @@ def is_greeting(text: Column) -> Column:
     return F.coalesce((F.length(t) > 0) & (F.length(t) <= 20) & t.rlike("^(?:" + "|".join(GREETINGS) + ")$"), F.lit(False))
 
 
-#: Script families for comparing a target language with a detected one: fixed values.
-FAMILY = {"Chinese": "cjk", "Japanese": "cjk", "Korean": "cjk", "Arabic": "rtl", "Persian": "rtl", "Hebrew": "rtl"}
+#: Languages with names, tags, directions or script families of their own: fixed values.
+METADATA = (
+    ("English", "English", "en", "ltr", "latin"),
+    ("Arabic", "Arabic / العربية", "ar", "rtl", "arabic"),
+    ("Persian", "Persian (Farsi / فارسی)", "fa", "rtl", "arabic"),
+    ("Hebrew", "Hebrew / עברית", "he", "rtl", "other"),
+    ("Chinese", "Chinese", "zh-Hans", "ltr", "cjk"),
+    ("Traditional Chinese", "Traditional Chinese", "zh-Hant", "ltr", "cjk"),
+    ("Japanese", "Japanese", "ja", "ltr", "cjk"),
+    ("Korean", "Korean", "ko", "ltr", "cjk"),
+)
+#: Languages that a page in another script is told from by their script alone: fixed values.
+OWN_SCRIPT = ("Arabic", "Persian", "Hindi", "Thai", "Hebrew")
+
+
+def _of_language(language: Column, at: int, other: Column) -> Column:
+    for row in METADATA:
+        other = F.when(language == row[0], F.lit(row[at])).otherwise(other)
+    return other
+
+
+def language_metadata(language: Column) -> Column:
+    """``prompt_name, html_lang, direction, script_family``; a language without an entry is written from left to right in
+    Latin script and goes by its own name, an empty one by English."""
+    own = F.coalesce(F.nullif(language, F.lit("")), F.lit("English"))
+    return F.struct(
+        _of_language(language, 1, own).alias("prompt_name"), _of_language(language, 2, F.lit(None).cast("string")).alias("html_lang"),
+        _of_language(language, 3, F.lit("ltr")).alias("direction"), _of_language(language, 4, F.lit("latin")).alias("script_family"),
+    )
 
 
 def script_family(language: Column) -> Column:
-    out = F.lit("latin")
-    for name, _ in SCRIPTS:
-        out = F.when(language == name, FAMILY.get(name, name.lower())).otherwise(out)
-    return F.when(language == "Persian", "rtl").otherwise(out)
+    return _of_language(language, 4, F.lit("latin"))
 
 
 def text_direction(language: Column) -> Column:
-    return F.when(script_family(language) == "rtl", "rtl").otherwise("ltr")
+    return _of_language(language, 3, F.lit("ltr"))
 
 
 def language_matches(content: Column, target: Column) -> Column:
-    """Whether a page may be written for a target language: front matter, code and formulas aside, the first 1500
-    characters must be of the target's script family; fewer than 20 characters pass."""
-    body = F.regexp_replace(content, r"\A---\r?\n[\s\S]*?\n---[ \t]*\n?", "")
-    body = F.regexp_replace(F.regexp_replace(body, r"(?s)```.*?```", ""), r"(?s)\$\$.*?\$\$", "")
-    sample = F.substring(F.trim(body), 1, 1500)
-    return (F.length(sample) < 20) | (script_family(detect_language(sample)) == script_family(target))
+    """Whether a page may be written for a target language, by the first 1500 characters without front matter, code and
+    formulas; fewer than 20 pass. Targets in Chinese, Japanese or Korean take each other, those with a script of their
+    own only themselves, and all others what is in neither (languages of one script family aside)."""
+    body = F.regexp_replace(content, r"\A[\s\S]{3}[\s\S]*?\n---\n", "")
+    for gone in (r"```[\s\S]*?```", r"\$\$[\s\S]*?\$\$", r"\$[^$\n]*\$"):
+        body = F.regexp_replace(body, gone, "")
+    sample = F.substring(body, 1, 1500)
+    found = F.transform(F.array(detect_language(sample)), lambda d: F.when(script_family(target) == "cjk", script_family(d) == "cjk").when(target.isin(*OWN_SCRIPT), d == target).when(d.isin(*OWN_SCRIPT), script_family(d) == script_family(target)).otherwise(script_family(d) != "cjk"))[0]
+    return (F.length(F.trim(sample)) < 20) | found

@@ -93,7 +93,7 @@ def link_id(value: Column) -> Column:
 
 def wikilinks(content: Column) -> Column:
     """Targets of all links in order, repeats kept."""
-    return F.transform(F.regexp_extract_all(content, F.lit(WIKILINK), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(content, F.lit(WIKILINK), F.lit(1)), lambda x: F.trim(x))
 
 
 def unwrap_wikilink(value: Column) -> Column:
@@ -127,7 +127,8 @@ def decode_entities(text: Column) -> Column:
 
 
 def caption_text(text: Column) -> Column:
-    return F.trim(F.translate(F.regexp_replace(text, r"\s*\n\s*", " "), "]", ")"))
+    """A caption that can stand as an image's alternative text: line ends become spaces, closing brackets round ones."""
+    return F.trim(F.translate(F.regexp_replace(text, r"[\r\n]+", " "), "]", ")"))
 
 
 def truncated(text: Column, most: int) -> Column:
@@ -135,8 +136,15 @@ def truncated(text: Column, most: int) -> Column:
 
 
 def image_src(src: Column, base: Column) -> Column:
-    """Web, data and absolute sources stay; relative ones are put under ``base``."""
-    return F.when(src.rlike(r"^(?i)(https?|data|blob|file|asset):") | is_absolute_path(src), src).otherwise(join_path(base, src))
+    """Web, data and absolute sources stay; relative ones are put under the pages' folder of the project at ``base``. Where
+    there is no project (null), or no source, it stays as it is."""
+    free = src.rlike(r"^(?i)(https?|data|blob|file|tauri):") | src.rlike(r"^(/|\\\\|[A-Za-z]:)")
+    return F.when(free | base.isNull() | (src == ""), src).otherwise(F.concat(normalize_path(base), F.lit("/wiki/"), F.regexp_replace(src, r"^\./", "")))
+
+
+def media_slug(url: Column) -> Column:
+    """The folder below ``media`` that an image lies in; it bears the stem of the image's source. Null for others."""
+    return F.nullif(F.regexp_extract(F.translate(url, "\\", "/"), "(?:^|/)media/([^/]+)/", 1), F.lit(""))
 
 
 def quoted_regex(text: Column) -> Column:
@@ -201,6 +209,30 @@ def file_category(path: Column) -> Column:
     return out
 
 
+#: Labels of page types: fixed values.
+TYPE_LABELS = {"entity": "Entity", "concept": "Concept", "query": "Query", "source": "Source", "thesis": "Thesis", "finding": "Finding", "event": "Event", "overview": "Overview"}
+
+
+def type_label(type_: Column) -> Column:
+    """What a page of a type is called; ``Page`` for other types and none."""
+    out = F.lit("Page")
+    for kind, label in TYPE_LABELS.items():
+        out = F.when(F.lower(F.trim(type_)) == kind, label).otherwise(out)
+    return out
+
+
+#: Folders whose pages without a type have that of the folder: fixed values.
+TYPE_FOLDERS = {"entities": "entity", "concepts": "concept", "sources": "source", "queries": "query", "comparisons": "comparison", "synthesis": "synthesis"}
+
+
+def page_type_or_folder(content: Column, path: Column) -> Column:
+    """The type of the front matter, else that of the first known folder of the path, else ``other``."""
+    out = F.when(file_name(path) == "overview.md", "overview").otherwise("other")
+    for folder, kind in reversed(TYPE_FOLDERS.items()):
+        out = F.when(F.contains(path, F.lit(f"/{folder}/")), kind).otherwise(out)
+    return F.when(page_type(content) != "other", page_type(content)).otherwise(out)
+
+
 def breadcrumb(path: Column) -> Column:
     """Folders of a path joined by ``>``."""
     parts = F.split(normalize_path(path), "/")

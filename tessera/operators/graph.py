@@ -2,7 +2,8 @@
 
 Nodes: ``id, title, type, path, sources``; links: ``src, target`` (raw); edges: ``src, dst``. Relevance is worked out
 for pairs that share a link, a source or a neighbour only: all other pairs score their type affinity alone, which is
-at most 1.2. Shared neighbours and sources are joined on the shared value, counted before the shuffle.
+at most 1.2. Shared neighbours and sources are joined on the shared value; the pairs of a value that very many nodes share
+are dealt to ``SALTS`` tasks. Where only some nodes are asked for, only their pairs are made.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import link_id
-from tessera.session import checkpointed
+from tessera.session import checkpointed, stored
 
 #: Weights and type affinities of the relevance rule: fixed values.
 DIRECT, SHARED_SOURCE, COMMON_NEIGHBOUR, OTHER_AFFINITY = 3.0, 4.0, 1.5, 0.5
@@ -58,6 +59,19 @@ def set_degrees(resolved: DataFrame) -> DataFrame:
     return e.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
 
 
+#: A value that more than ``HOT`` nodes share is joined in ``SALTS`` parts.
+HOT, SALTS = 1000, 32
+
+
+def _paired(left: DataFrame, right: DataFrame, on: str, left_key: str) -> DataFrame:
+    """``left`` joined with ``right`` on ``on``; of a hot value each left row takes one part, and the right rows all of them."""
+    parts = right.groupBy(on).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT).select(on, F.lit(SALTS).alias("parts"))
+    known = lambda df: df.join(parts, on, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    a = known(left).withColumn("part", F.pmod(F.xxhash64(left_key), F.col("parts")).cast("int")).drop("parts")
+    b = known(right).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return a.join(b, [on, "part"]).drop("part")
+
+
 def undirected(resolved: DataFrame) -> DataFrame:
     """One edge for each linked pair, ``a < b``."""
     return resolved.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
@@ -68,26 +82,38 @@ def neighbours(resolved: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("id"), F.col("b").alias("n")).union(e.select(F.col("b").alias("id"), F.col("a").alias("n")))
 
 
-def common_neighbours(resolved: DataFrame) -> DataFrame:
-    """``a, b, n_common, adamic_adar`` of unordered pairs with a neighbour in common."""
+def common_neighbours(resolved: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """``a, b, n_common, adamic_adar`` of pairs with a neighbour in common: unordered ones (``a < b``), or all with ``a``
+    among ``of`` (``id``)."""
     weight = set_degrees(resolved).select(F.col("id").alias("n"), (F.lit(1.0) / F.log(F.greatest(F.col("degree"), F.lit(2)).cast("double"))).alias("w"))
     nb = neighbours(resolved).join(weight, "n")
     x, y = nb.select("n", "w", F.col("id").alias("a")), nb.select("n", F.col("id").alias("b"))
-    return x.join(y, "n").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_common"), F.sum("w").alias("adamic_adar"))
+    if of is not None:
+        x = x.join(of.select(F.col("id").alias("a")).distinct(), "a", "left_semi").select("n", "w", "a")
+    pairs = _paired(x, y, "n", "a").where("a < b" if of is None else "a <> b")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n_common"), F.sum("w").alias("adamic_adar"))
 
 
-def shared_sources(nodes: DataFrame) -> DataFrame:
-    """``a, b, n_shared`` (ordered pairs): entries of b's sources, repeats included, that a's sources hold."""
+def shared_sources(nodes: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """``a, b, n_shared`` (ordered pairs): entries of b's sources, repeats included, that a's sources hold; with ``of``,
+    pairs whose ``a`` is one of it."""
     s = nodes.select("id", F.explode("sources").alias("s"))
-    return s.distinct().withColumnRenamed("id", "a").join(s.withColumnRenamed("id", "b"), "s").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n_shared"))
+    x = s.distinct().withColumnRenamed("id", "a")
+    if of is not None:
+        x = x.join(of.select(F.col("id").alias("a")).distinct(), "a", "left_semi")
+    return _paired(x, s.withColumnRenamed("id", "b"), "s", "a").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n_shared"))
 
 
-def relevance(nodes: DataFrame, resolved: DataFrame) -> DataFrame:
-    """``a, b, relevance`` of every ordered pair with a link, a source or a neighbour in common."""
+def relevance(nodes: DataFrame, resolved: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """``a, b, relevance`` of every ordered pair with a link, a source or a neighbour in common, or of those whose ``a`` is one
+    of ``of`` (``id``): then no other pair is made on the way."""
     direct = resolved.select("src", "dst").distinct().select(F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))).alias("x")).groupBy("x.a", "x.b").agg((DIRECT * F.count("*")).alias("v"))
-    shared = shared_sources(nodes).select("a", "b", (SHARED_SOURCE * F.col("n_shared")).alias("v"))
-    common = common_neighbours(resolved).select("a", "b", (COMMON_NEIGHBOUR * F.col("adamic_adar")).alias("v"))
-    common = common.union(common.select(F.col("b").alias("a"), F.col("a").alias("b"), "v"))
+    if of is not None:
+        direct = direct.join(of.select(F.col("id").alias("a")).distinct(), "a", "left_semi").select("a", "b", "v")
+    shared = shared_sources(nodes, of).select("a", "b", (SHARED_SOURCE * F.col("n_shared")).alias("v"))
+    common = common_neighbours(resolved, of).select("a", "b", (COMMON_NEIGHBOUR * F.col("adamic_adar")).alias("v"))
+    if of is None:
+        common = common.union(common.select(F.col("b").alias("a"), F.col("a").alias("b"), "v"))
     total = direct.union(shared).union(common).groupBy("a", "b").agg(F.sum("v").alias("v"))
     kinds = nodes.select("id", "type")
     typed = total.join(kinds.select(F.col("id").alias("a"), F.col("type").alias("_ta")), "a").join(kinds.select(F.col("id").alias("b"), F.col("type").alias("_tb")), "b")
@@ -154,50 +180,77 @@ def cohesion(members: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 1000, checkpoint=None) -> DataFrame:
-    """``id, community``: greedy modularity moves (resolution 1) over the whole edge table, deterministic.
+    """``id, community``: modularity (resolution 1) raised level by level over the whole edge table, deterministic.
 
-    Each round a node looks at the communities of its neighbours and moves to the one of the largest modularity gain;
-    each round another half of the nodes, by a hash of id and round, has its turn, so that two do not swap for ever.
-    Labels are the least id of a community. Each round is checkpointed through ``checkpoint`` (default: reliable
-    checkpoint of Spark). The stopping rule is that no node, on turn or not, gains by a move; an error is raised where
-    ``rounds`` do not get there.
+    On each level nodes move between communities until no node gains by it (see ``_moved``); then each community becomes
+    one node, the edges between two communities one edge, and the next level moves whole communities. The last level is
+    the one that leaves as many communities as it found. Communities are named after their least member. Each round and level is kept
+    through ``checkpoint`` (default: a table in the shared folder); an error is raised where ``rounds`` do not get there.
     """
-    keep = checkpoint or checkpointed
+    keep = checkpoint or stored
     both = edges.select(F.col("a").alias("id"), F.col("b").alias("n"), "weight").union(edges.select(F.col("b").alias("id"), F.col("a").alias("n"), "weight"))
     both = keep(both.groupBy("id", "n").agg(F.sum("weight").alias("weight")))
-    strength = keep(both.groupBy("id").agg(F.sum("weight").alias("k")))
-    total = strength.agg(F.sum("k")).first()[0] or 0.0
-    label = keep(nodes.select("id", F.col("id").alias("c")))
-    if not total:
-        return label.select("id", F.col("c").alias("community"))
+    strength = both.groupBy("id").agg(F.sum("weight").alias("k"))
+    known = keep(nodes.select("id").join(strength, "id", "left").na.fill(0.0, ["k"]))
+    total = known.agg(F.sum("k")).first()[0] or 0.0
+    member, n = nodes.select("id", F.col("id").alias("c")), known.count()
+    while total:
+        label = _moved(known, both, total, rounds, keep)
+        fewer = label.select("c").distinct().count()
+        if fewer == n:
+            break
+        n = fewer
+        member = keep(member.join(label.select(F.col("id").alias("c"), F.col("c").alias("_to")), "c").select("id", F.col("_to").alias("c")))
+        known = keep(known.join(label, "id").groupBy(F.col("c").alias("id")).agg(F.sum("k").alias("k")))
+        ends = both.join(label, "id").select(F.col("c").alias("_from"), "n", "weight").join(label.select(F.col("id").alias("n"), F.col("c").alias("_to")), "n")
+        both = keep(ends.where("_from <> _to").groupBy(F.col("_from").alias("id"), F.col("_to").alias("n")).agg(F.sum("weight").alias("weight")))
+    names = member.groupBy("c").agg(F.min("id").alias("community"))
+    return member.join(names, "c").select("id", "community")
+
+
+def _moved(known: DataFrame, both: DataFrame, total: float, rounds: int, keep) -> DataFrame:
+    """``id, c``: communities after the moves of one level. ``known``: ``id, k`` (strength);
+    ``both``: each edge in both directions.
+
+    Each round a node looks at the communities of its neighbours and moves to the one of the largest modularity gain;
+    each round some of the nodes, by a hash of id and round, have their turn: half of them at first, then fewer and fewer,
+    so that nodes do not go on moving at once to where only one of them would gain. The stopping rule is that no node, on turn or not, gains by a move.
+    """
+    label = known.select("id", F.col("id").alias("c"))
     for r in range(rounds):
-        known = label.join(strength, "id", "left").na.fill(0.0, ["k"])
-        mass = known.groupBy("c").agg(F.sum("k").alias("m"))
+        here = label.join(known, "id")
+        mass = here.groupBy("c").agg(F.sum("k").alias("m"))
         toward = both.join(label.select(F.col("id").alias("n"), "c"), "n").groupBy("id", "c").agg(F.sum("weight").alias("w"))
-        mine = known.select("id", F.col("c").alias("own"), "k")
-        options = toward.unionByName(known.select("id", "c", F.lit(0.0).alias("w"))).groupBy("id", "c").agg(F.sum("w").alias("w")).join(mass, "c").join(mine, "id")
+        mine = here.select("id", F.col("c").alias("own"), "k")
+        options = toward.unionByName(here.select("id", "c", F.lit(0.0).alias("w"))).groupBy("id", "c").agg(F.sum("w").alias("w")).join(mass, "c").join(mine, "id")
         left = F.col("m") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
         gain = F.round(F.col("w") - F.col("k") * left / total, 9)
         best = options.groupBy("id").agg(F.max(F.struct(gain.alias("g"), (F.col("c") == F.col("own")).alias("stay"), F.col("c").alias("c"))).alias("x"), F.first("own").alias("own"))
-        turn = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0
+        turn = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2 + r // 6)) == 0
         label = keep(best.select("id", F.when(turn, F.col("x.c")).otherwise(F.col("own")).alias("c"), (F.col("x.c") != F.col("own")).alias("gains")))
         done = not label.where("gains").limit(1).count()
         label = label.select("id", "c")
         if done:
-            break
-    else:
-        raise RuntimeError(f"nodes still gain by moves after {rounds} rounds")
-    names = label.groupBy("c").agg(F.min("id").alias("community"))
-    return label.join(names, "c").select("id", "community")
+            return label
+    raise RuntimeError(f"nodes still gain by moves after {rounds} rounds")
 
 
 def community_table(members: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Communities by falling size, numbered from 0, with cohesion and the five members of most links.
-    ``labels``: ``id, title, link_count``."""
+    ``labels``: ``id, title, link_count``. Numbers come from a range sort: partitions are counted first, and only how many
+    communities each has meets in one place."""
     order = Window.partitionBy("community").orderBy(F.desc("link_count"), "id")
     top = members.join(labels, "id").withColumn("r", F.row_number().over(order)).where("r <= 5").groupBy("community").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "title"))), lambda x: x["title"]).alias("top_nodes"))
     sized = cohesion(members, edges).join(top, "community")
-    return sized.withColumn("number", F.row_number().over(Window.orderBy(F.desc("n_nodes"), "community")) - 1)
+    return numbered(sized, [F.desc("n_nodes"), F.col("community")], "number")
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with its place (from 0) in a total order, without gathering the rows in one partition."""
+    laid = checkpointed(df.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = laid.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))  # a row for each partition
+    return laid.join(F.broadcast(starts), "_p").withColumn(name, F.col("_s") + F.col("_i")).drop("_p", "_i", "_s")
 
 
 def node_size(link_count: Column, most: Column) -> Column:

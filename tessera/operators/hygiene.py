@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import file_name, group_key, link_key, review_title
+from tessera.functions.text import file_name, group_key, link_key, page_sources, review_title
 
 # lists
 
@@ -89,16 +89,20 @@ def strip_dead_links(pages: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def related_pages(pages: DataFrame, sources: DataFrame) -> DataFrame:
-    """``path, source``: pages that quote a source's name, lie under a ``sources`` folder under its stem, or list it.
-
-    ``sources`` is the batch of names being deleted; it is small by nature, and broadcast only if counted as such.
-    """
-    names = sources.select("source", F.lower(F.regexp_replace("source", r"(?<=.)\.[^.]*$", "")).alias("stem")).distinct()
-    names = F.broadcast(names) if names.count() <= 10_000 else names
-    quoted = F.contains("content", F.concat(F.lit('"'), "source", F.lit('"')))
-    stem = F.col("path").rlike("(^|/)sources/") & F.startswith(F.lower(file_name(F.col("path"))), F.col("stem"))
-    listed = F.contains(F.regexp_extract("content", r"\A---\n[\s\S]*?(?m:^sources:)([\s\S]*?)\n(?:[A-Za-z_]+:|---)", 1), F.col("source"))
-    return pages.join(names, quoted | stem | listed).select("path", "source")
+    """``path, source``: pages that quote a source's name, lie under a ``sources`` folder with a name that begins with its
+    stem, or list it in their front matter. Each page gives the keys by which it can be named (what stands between
+    two quotes, the beginnings of its own name, its list), and keys meet names in equal joins, so neither side has to be
+    small. Without regard to case but for what is quoted."""
+    names = sources.select("source").distinct()
+    stems = names.select("source", F.lower(F.regexp_replace("source", r"(?<=.)\.[^.]*$", "")).alias("key"))
+    listed = pages.select("path", F.explode(F.transform(page_sources(F.col("content")), F.lower)).alias("key"))
+    parts = F.split("content", '"')
+    quoted = pages.where(F.size(parts) > 2).select("path", F.explode(F.array_distinct(F.slice(parts, 2, F.size(parts) - 2))).alias("key"))
+    own = F.lower(file_name(F.col("path")))
+    begins = pages.where(F.col("path").rlike("(^|/)sources/") & (F.length(own) > 0)).select("path", F.explode(F.transform(F.sequence(F.lit(1), F.length(own)), lambda i: F.substring(own, F.lit(1), i))).alias("key"))
+    lower = names.select("source", F.lower("source").alias("key"))
+    met = quoted.join(names.select("source", F.col("source").alias("key")), "key").union(begins.join(stems, "key").select("key", "path", "source")).union(listed.join(lower, "key"))
+    return met.select("path", "source").distinct()
 
 
 # duplicates
@@ -112,9 +116,10 @@ def valid_groups(groups: DataFrame, slugs: DataFrame, whitelist: DataFrame) -> D
 
 
 def title_duplicates(pages: DataFrame) -> DataFrame:
-    """Candidate groups without a judge: pages of one normalised title."""
-    k = pages.withColumn("key", link_key(F.col("title"))).where("key <> ''")
-    return k.groupBy("key").agg(F.sort_array(F.collect_list("slug")).alias("slugs")).where(F.size("slugs") >= 2)
+    """``key, slug, n``: candidate groups without a judge, pages of one normalised title, one row a page; ``n``: the pages of
+    the group. Only counts are grouped, so a title may be that of very many pages."""
+    k = pages.select(link_key(F.col("title")).alias("key"), "slug").where("key <> ''")
+    return k.join(k.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
 
 
 # caches

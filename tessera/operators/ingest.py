@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import markdown as M
-from tessera.functions.text import file_name, file_stem, front_matter_value, host_name, link_key, list_field, page_type, title_slug, truncated, without_front_matter
+from tessera.functions.language import language_metadata
+from tessera.functions.text import caption_text, file_name, file_stem, front_matter_value, host_name, link_key, list_field, page_type, title_slug, truncated, without_front_matter
 from tessera.operators import hygiene as H
+from tessera.session import checkpointed
 
 NOT_EMBEDDED = ("index", "log", "overview", "purpose", "schema")
 #: Known page types in the order in which they are shown: fixed values.
@@ -36,10 +38,12 @@ def embeddable(pages: DataFrame) -> DataFrame:
 
 
 def pages_by_type(pages: DataFrame) -> DataFrame:
-    """``type, n, titles`` in the order in which types are shown."""
-    order = F.array_position(F.array(*map(F.lit, TYPE_ORDER)), F.col("type"))
-    g = pages.groupBy("type").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("title")).alias("titles"))
-    return g.orderBy(F.when(order > 0, order).otherwise(len(TYPE_ORDER) + 1), "type")
+    """``type, place, n, title, path``: one row a page, sorted by the place of the type in which types are shown, then by
+    title; ``n``: the pages of the type."""
+    at = F.array_position(F.array(*map(F.lit, TYPE_ORDER)), F.col("type"))
+    place = F.when(at > 0, at).otherwise(len(TYPE_ORDER) + 1).cast("int")
+    sizes = pages.groupBy("type").agg(F.count("*").alias("n"))
+    return pages.select("type", place.alias("place"), "title", "path").join(sizes, "type").select("type", "place", "n", "title", "path").orderBy("place", "type", "title", "path")
 
 
 def paths_of_slugs(slugs: DataFrame, files: DataFrame) -> DataFrame:
@@ -62,7 +66,11 @@ def route(files: DataFrame, target_language: Column | None = None) -> DataFrame:
 
 
 def merged_pages(routed: DataFrame, existing: DataFrame, today: str, merger: Callable[[str, str], str] | None = None) -> DataFrame:
-    """``path, content, backup`` to write: routed files met with what exists; ``backup`` is the text that is replaced."""
+    """``path, content, backup`` to write: routed files met with what exists; ``backup`` is the text that is replaced.
+
+    Several files of one path (``path, name, content, action``) are folded in the order of their sources' names: log
+    entries are all appended, pages merged one after the other, and of overwritten files the last stands. What is
+    gathered is what one page is made of."""
     old = existing.select("path", F.col("content").alias("old"))
 
     @M.arrow("string")
@@ -70,46 +78,57 @@ def merged_pages(routed: DataFrame, existing: DataFrame, today: str, merger: Cal
         def one(a, n, o):
             o = o if isinstance(o, str) else None
             if a == "append":
-                return (o.rstrip("\n") + "\n\n" if o else "") + n.strip() + "\n"
-            return n if a == "overwrite" else M.merge_page(M.sanitized(n), o, merger, today)
+                return "\n\n".join([*([o.rstrip("\n")] if o else []), *(x.strip() for x in n)]) + "\n"
+            if a == "overwrite":
+                return n[-1]
+            for x in n:
+                o = M.merge_page(M.sanitized(x), o, merger, today)
+            return o
 
         return pd.Series([one(*x) for x in zip(action, new, was)])
 
-    met = routed.join(old, "path", "left").withColumn("text", run("action", "content", "old"))
+    files = F.array_sort(F.collect_list(F.struct("name", "i", "content")))
+    one = routed.groupBy("path", "action").agg(files.alias("files"))
+    met = one.join(old, "path", "left").withColumn("text", run("action", F.transform("files", lambda x: x["content"]), "old"))
     return met.where(F.col("old").isNull() | (F.col("text") != F.col("old"))).select("path", F.col("text").alias("content"), F.col("old").alias("backup"))
 
 
 def generated(sources: DataFrame, model: Callable[[str], str], column: str = "content") -> DataFrame:
-    """Sources with ``output``: what the injected model makes of the first 50 000 characters; null where it fails."""
+    """Sources with ``output``, what the injected model makes of the first 50 000 characters, and ``error``, what it raised
+    if it failed (then the output is null)."""
     fields = [f.name for f in sources.schema]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def call(text):
             try:
-                return model(text)
-            except Exception:
-                return None
+                return model(text), None
+            except Exception as e:
+                return None, f"{type(e).__name__}: {e}"
 
         for f in frames:
-            yield f.assign(output=[call((t or "")[:MOST_SOURCE_CHARS]) for t in f[column]])[[*fields, "output"]]
+            got = [call((t or "")[:MOST_SOURCE_CHARS]) for t in f[column]]
+            yield f.assign(output=[o for o, _ in got], error=[e for _, e in got])[[*fields, "output", "error"]]
 
     from pyspark.sql.types import StringType, StructField, StructType
 
-    return sources.mapInPandas(run, StructType([*sources.schema.fields, StructField("output", StringType())]))
+    return sources.mapInPandas(run, StructType([*sources.schema.fields, StructField("output", StringType()), StructField("error", StringType())]))
 
 
 def ingest(sources: DataFrame, cache: DataFrame, pages: DataFrame, model: Callable[[str], str], today: str, merger: Callable[[str, str], str] | None = None) -> dict[str, DataFrame]:
     """One batch of ingest: sources (``name, content``) that the cache does not know go to the model, its answer is
     parsed into files and reviews, files meet the existing pages. A source whose answer has no file gets a plain summary
-    page. Results: ``writes`` (path, content, backup), ``reviews``, ``cache`` (entries to add), ``warnings``."""
-    todo = generated(H.cache_misses(sources, cache, pages.select("path")), model)
+    page; one whose call failed gets nothing, is not cached, and so is tried again with the next batch. Results: ``writes``
+    (path, content, backup), ``reviews``, ``cache`` (entries to add), ``warnings``, ``failures`` (name, error). The model's
+    answers are written to the shared folder first, so that it is asked once."""
+    answers = checkpointed(generated(H.cache_misses(sources, cache, pages.select("path")), model))
+    todo = answers.where("error IS NULL")
     parsed = todo.select("name", "content", "hash", M.parse_file_blocks(F.coalesce("output", F.lit(""))).alias("f"), M.parse_review_blocks(F.coalesce("output", F.lit(""))).alias("r"))
     slug = F.coalesce(F.nullif(title_slug(file_stem(F.col("name"))), F.lit("")), F.lit("source"))
     fallback = F.array(F.struct(F.concat(F.lit("wiki/sources/"), slug, F.lit(".md")).alias("path"), F.concat(F.lit('---\ntype: source\ntitle: "'), "name", F.lit('"\nsources: ["'), "name", F.lit('"]\n---\n\n# '), "name", F.lit("\n\n"), F.substring("content", 1, 3000)).alias("content")))
-    files = parsed.select("name", "hash", F.explode(F.when(F.size("f.files") > 0, F.col("f.files")).otherwise(fallback)).alias("x")).select("name", "hash", "x.path", "x.content")
-    one = files.groupBy("path").agg(F.max_by("content", "name").alias("content"))
+    files = parsed.select("name", "hash", F.posexplode(F.when(F.size("f.files") > 0, F.col("f.files")).otherwise(fallback)).alias("i", "x")).select("name", "hash", "i", "x.path", "x.content")
     return {
-        "writes": merged_pages(route(one), pages, today, merger),
+        "writes": merged_pages(route(files), pages, today, merger),
+        "failures": answers.where("error IS NOT NULL").select("name", "error"),
         "reviews": parsed.select("name", F.explode("r").alias("x")).select("name", "x.*"),
         "cache": files.groupBy("name", "hash").agg(F.sort_array(F.collect_set("path")).alias("files_written")),
         "warnings": parsed.select("name", F.explode("f.warnings").alias("warning")),
@@ -139,6 +158,32 @@ def cascade_delete(pages: DataFrame, doomed: DataFrame, vectors: DataFrame | Non
     return out
 
 
+def delete_source_cascade(pages: DataFrame, sources: DataFrame, cache: DataFrame, day: str) -> dict[str, DataFrame]:
+    """All that deleting a batch of sources changes. Results: ``pages`` (path, content) that stay, with the sources taken off
+    their lists, links to deleted pages as text and the log page with an entry for each source; ``deleted`` (path);
+    ``cache`` without the sources' entries (``name``)."""
+    fate = delete_sources(pages, sources)
+    gone = fate.where("action = 'delete'").select("path")
+
+    @M.arrow("string")
+    def listed(content: pd.Series, left: pd.Series) -> pd.Series:
+        return pd.Series([c if k is None else M.write_list(c, "sources", list(k)) for c, k in zip(content, left)])
+
+    after = cascade_delete(pages.withColumn("file_name", file_name(F.col("path"))), gone)["pages"]
+    kept = after.join(fate.where("action = 'keep'").select("path", F.col("sources").alias("left")), "path", "left").select("path", F.when(F.col("left").isNull(), F.col("content")).otherwise(listed("content", "left")).alias("content"))
+    lines = sources.select("source").distinct().agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit(f"- {day}: deleted source "), "source"))), "\n").alias("entry"))
+    log = F.lower(file_name(F.col("path"))) == "log.md"
+    entry = F.concat(F.rtrim(F.regexp_replace("content", r"\n+\z", "")), F.lit("\n\n"), "entry", F.lit("\n"))
+    texts = kept.join(F.broadcast(lines)).select("path", F.when(log, entry).otherwise(F.col("content")).alias("content"))  # one row on the other side
+    return {"pages": texts, "deleted": gone, "cache": cache.join(sources.select(F.col("source").alias("name")).distinct(), "name", "left_anti")}
+
+
+def cleanup_cancelled(pages: DataFrame, tasks: DataFrame, vectors: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The files that cancelled tasks (``task_id, status, files_written``) had written, deleted with all that points to them."""
+    written = tasks.where("status = 'cancelled'").select(F.explode("files_written").alias("path")).distinct()
+    return cascade_delete(pages, written, vectors)
+
+
 def delete_sources(pages: DataFrame, sources: DataFrame) -> DataFrame:
     """``path, action, sources`` of pages related to deleted sources: deleted where no other source is left, kept with
     the others, or skipped where the match was loose."""
@@ -157,23 +202,45 @@ IMAGE = r"!\[([^\]]*)\]\(([^)\s]+)\)"
 def image_references(pages: DataFrame, around: int = 150) -> DataFrame:
     """``path, pos, alt, url, before, after``: each image with the text around it."""
     refs = F.regexp_extract_all("content", F.lit(IMAGE), F.lit(0))
-    each = pages.select("path", "content", F.posexplode(refs).alias("pos", "ref"))
-    at = F.instr("content", F.col("ref"))
-    return each.select(
+    found = pages.select("path", "content", refs.alias("refs"), F.split("content", IMAGE).alias("texts"))
+    each = found.select("path", "content", "refs", "texts", F.posexplode("refs").alias("pos", "ref"))
+    # an image starts after the texts up to it and the images before it, so repeated ones have places of their own
+    at = F.expr("int(aggregate(slice(texts, 1, pos + 1), 1L, (n, x) -> n + length(x)) + aggregate(slice(refs, 1, pos), 0L, (n, x) -> n + length(x)))")
+    return each.withColumn("at", at).select(
         "path", "pos", F.regexp_extract("ref", IMAGE, 1).alias("alt"), F.regexp_extract("ref", IMAGE, 2).alias("url"),
-        F.substring("content", F.greatest(F.lit(1), at - around), F.least(F.lit(around), at - 1)).alias("before"), F.substring("content", at + F.length("ref"), F.lit(around)).alias("after"),
+        F.substring("content", F.greatest(F.lit(1), F.col("at") - around), F.least(F.lit(around), F.col("at") - 1)).alias("before"), F.substring("content", F.col("at") + F.length("ref"), F.lit(around)).alias("after"),
     )
 
 
 def caption_plan(images: DataFrame, cache: DataFrame) -> DataFrame:
-    """Images (``url, sha256``, one row per URL) with their cached ``caption``; those without one are ``fresh``."""
+    """Images (``url, sha256``, one row per URL) with their cached ``caption``; those without one are to be asked for."""
     one = H.first_by(images.select("url", "sha256"), ["url"], ["sha256"])
-    return one.join(cache.select("sha256", "caption"), "sha256", "left").withColumn("fresh", F.col("caption").isNull())
+    return one.join(cache.select("sha256", "caption"), "sha256", "left").withColumn("cached", F.col("caption").isNotNull())
+
+
+def captioned(plan: DataFrame, answers: DataFrame) -> DataFrame:
+    """The plan with what the service said of images that the cache does not know (``sha256, caption``; null where it
+    failed), and ``state``: ``cached``, ``fresh`` or ``failed``."""
+    new = answers.groupBy("sha256").agg(F.min("caption").alias("new"))
+    out = plan.join(new, "sha256", "left").withColumn("caption", F.coalesce("caption", "new")).drop("new")
+    return out.withColumn("state", F.when(F.col("cached"), "cached").when(F.col("caption").isNotNull(), "fresh").otherwise("failed"))
+
 
+def caption_counts(done: DataFrame) -> DataFrame:
+    n = lambda s: F.count(F.when(F.col("state") == s, 1)).alias(s)
+    return done.agg(n("fresh"), n("cached"), n("failed"))
 
-def caption_counts(plan: DataFrame) -> DataFrame:
-    failed = F.col("fresh") & F.col("caption").isNull()
-    return plan.agg(F.count(F.when(F.col("fresh") & ~failed, 1)).alias("fresh"), F.count(F.when(~F.col("fresh"), 1)).alias("cached"), F.count(F.when(failed, 1)).alias("failed"))
+
+def with_captions(pages: DataFrame, done: DataFrame) -> DataFrame:
+    """``path, content`` with the captions of images as their alternative texts; images without one keep theirs."""
+    refs = pages.select("path", F.posexplode(F.regexp_extract_all("content", F.lit(IMAGE), F.lit(0))).alias("pos", "ref"))
+    said = done.where("caption IS NOT NULL").select("url", caption_text(F.col("caption")).alias("said"))
+    named = refs.withColumn("url", F.regexp_extract("ref", IMAGE, 2)).join(said, "url", "left")
+    new = F.when(F.col("said").isNull(), F.col("ref")).otherwise(F.concat(F.lit("!["), "said", F.lit("]("), "url", F.lit(")")))
+    each = named.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", new.alias("new")))), lambda x: x["new"]).alias("new"))
+    texts = F.split("content", IMAGE)
+    put = F.array_join(F.transform(texts, lambda t, i: F.concat(t, F.coalesce(F.get("new", i), F.lit("")))), "")
+    return pages.join(each, "path", "left").select("path", F.when(F.col("new").isNull(), F.col("content")).otherwise(put).alias("content"))
 
 
 def images_by_page(images: DataFrame) -> DataFrame:
@@ -211,12 +278,49 @@ def research_pages(tasks: DataFrame, results: DataFrame) -> DataFrame:
     return out.select(F.concat(F.lit("wiki/queries/research-"), title_slug(F.col("topic")), F.lit("-"), F.date_format("day", "yyyy-MM-dd"), F.lit(".md")).alias("path"), body.alias("content"))
 
 
-def reasoning_tokens(payload: Column) -> Column:
-    """Reasoning text of a streamed JSON payload, whichever of the usual places holds it."""
-    places = ("$.choices[0].delta.reasoning_content", "$.choices[0].delta.reasoning", "$.delta.thinking", "$.message.thinking")
-    return F.coalesce(*(F.get_json_object(payload, p) for p in places))
+#: Shape of the streamed payloads that may hold reasoning: fixed values.
+STREAMED = (
+    "struct<choices: array<struct<delta: struct<reasoning_content: string, reasoning: string>>>, delta: struct<type: string, text: string, thinking: string>, "
+    "candidates: array<struct<content: struct<parts: array<struct<text: string, thought: boolean>>>>>>"
+)
+
+
+def reasoning_texts(line: Column) -> Column:
+    """The reasoning texts of one line of a stream in order, whichever of the usual places holds them; none of lines that
+    are no data or no JSON."""
+    data = F.trim(F.substring(F.trim(line), 7, 1 << 30))
+    j = F.from_json(F.when(F.startswith(F.trim(line), F.lit("data: ")) & ~data.isin("", "[DONE]"), data), STREAMED)
+    none = F.array().cast("array<string>")
+    chosen = F.flatten(F.transform(j["choices"], lambda c: F.array(c["delta"]["reasoning_content"], c["delta"]["reasoning"])))
+    delta = F.when(j["delta"]["type"] == "thinking_delta", F.array(j["delta"]["thinking"], j["delta"]["text"]))
+    parts = F.transform(F.filter(F.flatten(F.transform(j["candidates"], lambda c: c["content"]["parts"])), lambda p: p["thought"]), lambda p: p["text"])
+    return F.array_compact(F.concat(F.coalesce(chosen, none), F.coalesce(delta, none), F.coalesce(parts, none)))
+
+
+def reasoning_chars(line: Column) -> Column:
+    """How many characters of reasoning a raw line holds, as they are escaped there."""
+    found = F.regexp_extract_all(line, F.lit(r'"reasoning(?:_content)?"\s*:\s*"((?:[^"\\]|\\.)*)"'), F.lit(1))
+    return F.aggregate(found, F.lit(0), lambda n, x: n + F.length(x))
+
+
+# prompts
+
+
+def language_directive(language: Column) -> Column:
+    """What a prompt says about the language of the answer."""
+    name = language_metadata(language)["prompt_name"]
+    return F.concat(F.lit("## Output language: "), name, F.lit("\n\nWrite the whole answer, titles included, in "), name, F.lit(", whatever the language of the sources. Proper nouns take their usual form in "), name, F.lit("."))
+
+
+def caption_prompt(before: Column, after: Column) -> Column:
+    """What a captioning service is told of the text around an image; sides without text are left out."""
+    side = lambda name, x: F.when(F.length(F.trim(x)) > 0, F.concat(F.lit(f"Text {name} the image:\n"), F.trim(x)))
+    return F.concat_ws("\n\n", F.lit("Describe the image in one sentence."), side("before", before), side("after", after))
 
 
-def recent(projects: DataFrame, most: int = 10) -> DataFrame:
-    """The newest opening of each path, newest first."""
-    return projects.groupBy("path").agg(F.max("opened").alias("opened"), F.max_by("name", "opened").alias("name")).orderBy(F.desc("opened"), "path").limit(most)
+def duplicate_prompt(summaries: DataFrame) -> DataFrame:
+    """``batch, prompt``: entity summaries (``batch, slug, type, title, description``) as the lines a judge of duplicates gets,
+    in the order of slugs. A batch is what one call takes."""
+    line = F.concat(F.lit("- "), "slug", F.lit(" ("), "type", F.lit("): "), "title", F.when(F.length("description") > 0, F.concat(F.lit(" - "), "description")).otherwise(""))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slug", line.alias("line")))), lambda x: x["line"]), "\n")
+    return summaries.groupBy("batch").agg(F.concat(F.lit("Which of these pages are about the same thing?\n\n"), lines).alias("prompt"))

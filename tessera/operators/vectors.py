@@ -36,13 +36,15 @@ def nearest(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_i
     return d.drop(vector_col).orderBy("distance", id_col).limit(k)
 
 
-def page_scores(hits: DataFrame, page_col: str = "page_id", id_col: str = "chunk_id") -> DataFrame:
-    """A page's best chunk plus a bounded share of its others, and its three best chunks."""
+def page_scores(hits: DataFrame, page_col: str | list[str] = "page_id", id_col: str = "chunk_id") -> DataFrame:
+    """A page's best chunk plus a bounded share of its others, and its three best chunks; with several columns (a query and a
+    page) for each combination. Hits are the top few of a search, so a group is small."""
+    keys = [page_col] if isinstance(page_col, str) else page_col
     top, total = F.max("score"), F.sum("score")
     best = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("score", F.col(id_col).alias("id"))))), 1, BEST_CHUNKS)
-    out = hits.groupBy(page_col).agg(top.alias("top"), total.alias("total"), F.count("*").alias("n_chunks"), best.alias("matched"))
+    out = hits.groupBy(*keys).agg(top.alias("top"), total.alias("total"), F.count("*").alias("n_chunks"), best.alias("matched"))
     bonus = F.least(TAIL_SHARE * (F.col("total") - F.col("top")), F.greatest(F.lit(0.0), 1 - F.col("top")))
-    return out.select(page_col, (F.col("top") + bonus).alias("score"), "n_chunks", "matched")
+    return out.select(*keys, (F.col("top") + bonus).alias("score"), "n_chunks", "matched")
 
 
 def search_pages(vectors: DataFrame, query: list[float], k: int = 10, page_col: str = "page_id", id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:

@@ -66,17 +66,18 @@ def graph_related(spark, sf_dir):
     "graph_expansion",
     graph_sql(
         """, near AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(relevance, 9) DESC, b) AS rank FROM rel),
-seeds AS (SELECT 'p' || page_id AS id, page_id AS pos FROM pages WHERE page_id < 10),
+seeds AS (SELECT 'p' || page_id AS id, page_id AS pos FROM pages WHERE page_id % 100 = 0),
 hits AS (SELECT n.b AS id, n.relevance, s.id AS seed, row_number() OVER (PARTITION BY n.b ORDER BY s.pos, n.rank) AS r
          FROM near n JOIN seeds s ON s.id = n.a WHERE n.rank <= 3 AND n.relevance >= 2 AND n.b NOT IN (SELECT id FROM seeds))
 SELECT id, round(relevance, 6) AS relevance, seed FROM hits WHERE r = 1"""
     ),
 )
 def graph_expansion(spark, sf_dir):
-    """Neighbours of ten seed pages, the seeds themselves excluded."""
+    """Neighbours of the pages whose id is divisible by 100, the seeds themselves excluded; only their pairs are scored."""
     nodes, links = _graph(spark, sf_dir)
-    seeds = nodes.where(F.col("id").rlike("^p[0-9]$")).select("id", F.substring("id", 2, 1).cast("int").alias("pos"))
-    return G.expand(seeds, G.relevance(nodes, links)).select("id", F.round("relevance", 6).alias("relevance"), "seed")
+    number = F.substring("id", 2, 20).try_cast("long")
+    seeds = nodes.where(F.col("path").startswith("wiki/sources/") & (number % 100 == 0)).select("id", number.alias("pos"))
+    return G.expand(seeds, G.relevance(nodes, links, seeds)).select("id", F.round("relevance", 6).alias("relevance"), "seed")
 
 
 @query("graph_type_counts", graph_sql("SELECT type, count(*) AS n, max(link_count) AS most_links FROM nodes JOIN counts USING (id) GROUP BY type"))
@@ -153,7 +154,8 @@ def graph_gaps(spark, sf_dir):
 
 @query("graph_communities")
 def graph_communities(spark, sf_dir):
-    """Communities found by distributed modularity moves, with their cohesion and best-linked members."""
+    """Communities found by distributed modularity moves, with their cohesion and best-linked members. No SQL: the tests hold
+    the operator's modularity against known partitions."""
     nodes, links = _graph(spark, sf_dir)
     edges = G.undirected(links)
     found = G.communities(nodes.select("id"), edges.withColumn("weight", F.lit(1.0)))
@@ -161,19 +163,28 @@ def graph_communities(spark, sf_dir):
     return G.community_table(found, edges, labels)
 
 
-LINT = """, inbound AS (SELECT lower(target) AS k, count(*) AS n FROM links WHERE target <> '' GROUP BY 1),
-pages_only AS (SELECT id, title FROM nodes WHERE path LIKE 'wiki/sources/%' OR length(id) % 2 = 0),
-keys AS (SELECT DISTINCT lower(id) AS k FROM pages_only)
-SELECT 'orphan' AS type, 'info' AS severity, id AS page, NULL AS link FROM pages_only LEFT JOIN inbound ON lower(id) = k WHERE n IS NULL
-UNION ALL SELECT 'no-outlinks', 'info', id, NULL FROM pages_only WHERE id NOT IN (SELECT src FROM links WHERE target <> '')
-UNION ALL SELECT 'broken-link', 'warning', src, target FROM links WHERE target <> '' AND lower(target) NOT IN (SELECT k FROM keys)
+LINT = """, said AS (SELECT src, target FROM links WHERE target <> '' UNION ALL SELECT 'p' || page_id, 'P' || (2 * page_id + 1) FROM pages UNION ALL SELECT 'p' || page_id, 'x/and.md' FROM pages),
+inbound AS (SELECT lower(target) AS k, count(*) AS n FROM said GROUP BY 1),
+keys AS (SELECT DISTINCT lower(id) AS k FROM nodes)
+SELECT 'orphan' AS type, 'info' AS severity, id AS page, NULL AS link FROM nodes LEFT JOIN inbound ON lower(id) = k WHERE n IS NULL
+UNION ALL SELECT 'no-outlinks', 'info', id, NULL FROM nodes WHERE id NOT IN (SELECT src FROM said)
+UNION ALL SELECT 'broken-link', 'warning', src, target FROM said WHERE lower(target) NOT IN (SELECT k FROM keys)
   AND lower(regexp_replace(regexp_extract(target, '([^/]*)$', 1), '\\.md$', '')) NOT IN (SELECT k FROM keys)"""
 
 
 @query("lint_structure", graph_sql(LINT))
 def lint_structure(spark, sf_dir):
-    """Orphans, pages without links and broken links, where only terms of even length count as pages."""
+    """Orphans, pages without links and broken links of all nodes. Each page also links, in capitals, to the page of twice its
+    number and one, which exists for the first half, and to a file whose name is a term."""
     from tessera.operators.hygiene import lint_structure as lint
 
-    nodes = web_nodes(spark, sf_dir).where("path LIKE 'wiki/sources/%' OR length(id) % 2 = 0")
-    return lint(nodes.select(F.col("id").alias("slug")), web_links(spark, sf_dir).withColumnRenamed("src", "slug"))
+    nodes, links = web_nodes(spark, sf_dir), web_links(spark, sf_dir)
+    pages = nodes.where("path LIKE 'wiki/sources/%'").select("id", F.substring("id", 2, 20).try_cast("long").alias("n"))
+    more = pages.select("id", F.explode(F.array(F.concat(F.lit("P"), (2 * F.col("n") + 1).cast("string")), F.lit("x/and.md"))).alias("target"))
+    return lint(nodes.select(F.col("id").alias("slug")), links.union(more).withColumnRenamed("src", "slug"))
+
+
+@query("lint_severity", graph_sql(LINT.replace("SELECT 'orphan' AS type", "SELECT severity, count(*) AS n FROM (SELECT 'orphan' AS type") + ") GROUP BY severity"))
+def lint_severity(spark, sf_dir):
+    """Findings by severity."""
+    return lint_structure(spark, sf_dir).groupBy("severity").agg(F.count("*").alias("n"))

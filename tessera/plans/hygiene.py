@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import hygiene as H
 from tessera.operators import vectors as V
-from tessera.plans.corpus import document_pages, table
+from tessera.plans.corpus import table
 from tessera.plans.registry import query
 
 
@@ -26,10 +26,12 @@ def exact_duplicates(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
 
 
-@query("title_duplicates", "SELECT key, list_sort(list(slug)) AS slugs FROM (SELECT regexp_replace(lower(left(text, 12)), '[\\s\\-_]+', '', 'g') AS key, 'd' || doc_id AS slug FROM documents) WHERE key <> '' GROUP BY key HAVING count(*) >= 2".replace("list_sort(list(slug)) AS slugs", "array_to_string(list_sort(list(slug)), ',') AS slugs"))
+@query("title_duplicates", "WITH t AS (SELECT regexp_replace(lower(string_split(text, chr(10))[1]), '[\\s\\-_]+', '', 'g') AS key, 'd' || doc_id AS slug FROM documents) SELECT md5(key) AS key, slug, n FROM (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM t WHERE key <> '') WHERE n > 1")
 def title_duplicates(spark, sf_dir):
-    pages = table(spark, sf_dir, "documents").select(F.substring("text", 1, 12).alias("title"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("slug"))
-    return H.title_duplicates(pages).select("key", F.array_join("slugs", ",").alias("slugs"))
+    """Documents of one first line."""
+    pages = table(spark, sf_dir, "documents").select(F.split("text", "\n")[0].alias("title"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("slug"))
+    return H.title_duplicates(pages).select(F.md5("key").alias("key"), "slug", "n")
+
 
 
 @query(
@@ -115,7 +117,18 @@ def first_urls(spark, sf_dir):
     return H.first_by(pages, ["host"], ["page_id"]).select("host", "url", "page_id")
 
 
-@query("related_source_pages", "SELECT 'wiki/' || source || '-' || doc_id || '.md' AS path, 'src1' AS source FROM documents WHERE contains(text, '\"src1\"')")
+@query(
+    "related_source_pages",
+    """SELECT path, source FROM (SELECT 'wiki/' || CASE WHEN doc_id % 3 = 0 THEN 'sources/Src1-x' ELSE 'd' END || doc_id || '.md' AS path, 'src1.pdf' AS source FROM documents WHERE doc_id % 3 = 0
+  UNION ALL SELECT 'wiki/' || CASE WHEN doc_id % 3 = 0 THEN 'sources/Src1-x' ELSE 'd' END || doc_id || '.md', source || '.pdf' FROM documents WHERE doc_id % 2 = 0 AND source IN ('src1', 'src2')
+  UNION ALL SELECT 'wiki/' || CASE WHEN doc_id % 3 = 0 THEN 'sources/Src1-x' ELSE 'd' END || doc_id || '.md', 'src2.pdf' FROM documents WHERE doc_id % 5 = 0) GROUP BY ALL""",
+)
 def related_source_pages(spark, sf_dir):
-    sources = spark.range(1).select(F.lit("src1").alias("source"))
-    return H.related_pages(document_pages(spark, sf_dir), sources)
+    """Two deleted sources: pages under their stem, pages that list them (in capitals), pages that quote one."""
+    i = F.col("doc_id")
+    path = F.concat(F.lit("wiki/"), F.when(i % 3 == 0, "sources/Src1-x").otherwise("d"), i.cast("string"), F.lit(".md"))
+    head = F.when(i % 2 == 0, F.concat(F.lit("---\nsources: ["), F.upper("source"), F.lit(".PDF, b.pdf]\n---\n"))).otherwise(F.lit(""))
+    end = F.when(i % 5 == 0, F.lit(' from "src2.pdf"')).otherwise(F.lit(" not src2.pdf"))
+    pages = table(spark, sf_dir, "documents").select(path.alias("path"), F.concat(head, F.translate("text", '"', ""), end).alias("content"))
+    sources = spark.range(1).select(F.explode(F.array(F.lit("src1.pdf"), F.lit("src2.pdf"))).alias("source"))
+    return H.related_pages(pages, sources)

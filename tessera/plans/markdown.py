@@ -25,7 +25,7 @@ def document_chunks(spark, sf_dir):
 
 @query(
     "page_projection",
-    "SELECT doc_id, 'Doc ' || doc_id AS title, CASE WHEN doc_id % 2 = 0 THEN 'concept' ELSE 'entity' END AS type, 'a.pdf,' || source AS sources, 'x,' || lang AS tags, 'a.pdf,' || source AS parsed_sources, left('# Doc' || chr(10) || chr(10) || text, 100) AS body FROM documents",
+    "SELECT doc_id, 'Doc ' || doc_id AS title, CASE WHEN doc_id % 2 = 0 THEN 'concept' ELSE 'entity' END AS type, 'a.pdf,' || source AS sources, 'x,' || lang AS tags, 'a.pdf,' || source AS parsed_sources, md5('# Doc' || chr(10) || chr(10) || text) AS body FROM documents",
 )
 def page_projection(spark, sf_dir):
     """Title, type and lists of pages, by expressions and by the YAML parser."""
@@ -34,18 +34,18 @@ def page_projection(spark, sf_dir):
     c = F.col("content")
     return fm.select(
         "doc_id", T.page_title(c, F.lit("x.md")).alias("title"), T.page_type(c).alias("type"), F.array_join(T.page_sources(c), ",").alias("sources"),
-        F.array_join(T.list_field(c, "tags"), ",").alias("tags"), F.array_join(F.col("fm.lists")["sources"], ",").alias("parsed_sources"), F.substring(F.ltrim(F.translate(F.substring("fm.body", 1, 1), "\n", "")), 1, 1).alias("_x"),
-        F.substring(F.regexp_replace("fm.body", r"\A\n+", ""), 1, 100).alias("body"),
-    ).drop("_x")
+        F.array_join(T.list_field(c, "tags"), ",").alias("tags"), F.array_join(F.col("fm.lists")["sources"], ",").alias("parsed_sources"), F.md5(F.regexp_replace("fm.body", r"\A\n+", "")).alias("body"),
+    )
 
 
 @query(
     "file_and_review_blocks",
-    "SELECT doc_id, 'wiki/d' || doc_id || '.md' AS path, md5(text) AS hash, 1 AS n_warnings, CASE WHEN doc_id % 2 = 0 THEN 'duplicate' ELSE 'confirm' END AS review_type, 'a.md,b.md' AS pages FROM documents WHERE NOT regexp_matches(text, '(?m)^\\s*(---|```|~~~)')",
+    "SELECT doc_id, 'wiki/d' || doc_id || '.md' AS path, md5('> ' || replace(text, chr(10), chr(10) || '> ')) AS hash, 1 AS n_warnings, CASE WHEN doc_id % 2 = 0 THEN 'duplicate' ELSE 'confirm' END AS review_type, 'a.md,b.md' AS pages FROM documents",
 )
 def file_and_review_blocks(spark, sf_dir):
-    """Generated text with one good file, one unsafe file and one review, parsed back."""
-    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"(?m)^\s*(---|```|~~~)"))
+    """Generated text with one good file (a whole document, quoted, so that its lines are no fences), one unsafe file and one
+    review, parsed back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("> "), F.replace("text", F.lit("\n"), F.lit("\n> "))).alias("text"))
     out = F.concat(
         F.lit("---FILE: wiki/d"), F.col("doc_id").cast("string"), F.lit(".md---\n"), "text", F.lit("\n---END FILE---\n---FILE: ../x.md---\nno\n---END FILE---\n---REVIEW: "),
         F.when(F.col("doc_id") % 2 == 0, "duplicate").otherwise("other"), F.lit(" | Title ---\nBody\nOPTIONS: A | B\nPAGES: a.md, b.md\n---END REVIEW---\n"),
@@ -57,10 +57,15 @@ def file_and_review_blocks(spark, sf_dir):
     )
 
 
-@query("page_markdown")
+@query(
+    "page_markdown",
+    """SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(t, '[ \\t]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))) AS hash FROM (
+  SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '<h1>', chr(10) || chr(10) || '# '), '</h1>', ''), '<p>', chr(10) || chr(10)), '</p>', ''),
+    '<b>', '**'), '<br>', chr(10)), '&amp;', '&'), '&quot;', '"') AS t FROM pages)""",
+)
 def page_markdown(spark, sf_dir):
-    """Web pages as markdown."""
-    return table(spark, sf_dir, "pages").select("page_id", markdown("html").alias("markdown"))
+    """The main content of web pages as markdown."""
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(markdown("html")).alias("hash"))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import retrieval as R
@@ -19,29 +20,48 @@ def _tokens_sql(expr: str) -> str:
     return f"list_filter(string_split_regex(lower({expr}), '{PUNCT}'), lambda t: length(t) > 1 AND NOT list_contains([{STOP}], t))"
 
 
-@query("query_tokens", f"SELECT conv_id, turn, array_to_string(list_sort(list_distinct({_tokens_sql('text')})), ' ') AS tokens FROM conversations WHERE role = 'user'")
+#: Questions with Han and odd punctuation, and their terms.
+ASKED = [
+    ("注意力机制", "力 力机 制 机 机制 意 意力 注 注意 注意力机制"), ("什么是 attention", "attention 么是 什 什么 什么是 么"), ("的 是", ""), ("默会知识。", "会 会知 知 知识 识 默 默会 默会知识"),
+    ("The KV-cache!", "cache! kv"), ("a b cd", "cd"), ("注意", "注意"), ("", ""),
+]
+ASKED = [(q, " ".join(sorted(t.split()))) for q, t in ASKED]
+
+
+@query(
+    "query_tokens",
+    f"SELECT conv_id, turn, array_to_string(list_sort(list_distinct({_tokens_sql('text')})), ' ') AS tokens FROM conversations WHERE role = 'user' UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-1 - i}, 0, '{t}')" for i, (_, t) in enumerate(ASKED)) + ")",
+)
 def query_tokens(spark, sf_dir):
-    users = table(spark, sf_dir, "conversations").where("role = 'user'")
-    return users.select("conv_id", "turn", F.array_join(F.array_sort(R.query_tokens(F.col("text"))), " ").alias("tokens"))
+    users = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
+    more = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(-1 - i).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit(q).alias("text")) for i, (q, _) in enumerate(ASKED)))).alias("x")).select("x.*")
+    return users.union(more).select("conv_id", "turn", F.array_join(F.array_sort(R.query_tokens(F.col("text"))), " ").alias("tokens"))
 
 
 TERMS = ["andthe", "thation", "heting"]
 PHRASE = "the andthe thation, of heting"
-_held = lambda col: " + ".join(f"contains({col}, '{t}')::INT" for t in TERMS)
-SCORED = f"""
+
+
+def scored_sql(phrase: str, terms: list[str], query: str) -> str:
+    """The top pages of one query (without Han), ``top``, with where their snippets start, ``placed``."""
+    held = lambda col: " + ".join(f"contains({col}, '{t}')::INT" for t in terms)
+    return f"""
 scored AS (
-  SELECT 'wiki/' || f AS path, t AS title, content, s.tt > 0 OR contains(lt, '{PHRASE}') AS title_match,
-         (CASE WHEN lower(regexp_replace(f, '\\.md$', '')) = '{PHRASE}' THEN 200 ELSE 0 END + CASE WHEN contains(lt, '{PHRASE}') THEN 50 ELSE 0 END
+  SELECT 'wiki/' || f AS path, t AS title, content, s.tt > 0 OR contains(lt, '{phrase}') AS title_match,
+         (CASE WHEN lower(regexp_replace(f, '\\.md$', '')) = '{phrase}' THEN 200 ELSE 0 END + CASE WHEN contains(lt, '{phrase}') THEN 50 ELSE 0 END
           + 20 * least(occ, 10) + 5 * s.tt + s.ct)::DOUBLE AS score, occ, lc
-  FROM (SELECT *, {_held('lt')} AS tt, {_held('lc')} AS ct, ((length(lc) - length(replace(lc, '{PHRASE}', ''))) // length('{PHRASE}'))::INT AS occ
+  FROM (SELECT *, {held('lt')} AS tt, {held('lc')} AS ct, ((length(lc) - length(replace(lc, '{phrase}', ''))) // length('{phrase}'))::INT AS occ
         FROM (SELECT source || '-' || doc_id || '.md' AS f, replace(source || '-' || doc_id, '-', ' ') AS t, text AS content, lower(text) AS lc,
                      lower(replace(source || '-' || doc_id, '-', ' ') || ' ' || source || '-' || doc_id || '.md') AS lt FROM documents)) s),
 top AS (SELECT * FROM scored WHERE score > 0 ORDER BY score DESC, path LIMIT 20),
-anchored AS (SELECT *, CASE WHEN occ > 0 THEN '{PHRASE}' {' '.join(f"WHEN contains(lc, '{t}') THEN '{t}'" for t in TERMS)} ELSE '{QUERY}' END AS anchor FROM top),
+anchored AS (SELECT *, CASE WHEN occ > 0 THEN '{phrase}' {' '.join(f"WHEN contains(lc, '{t}') THEN '{t}'" for t in terms)} ELSE '{query}' END AS anchor FROM top),
 placed AS (SELECT *, instr(lc, anchor) - 1 AS p FROM anchored)
 """
 
 
+SCORED = scored_sql(PHRASE, TERMS, QUERY)
+
+
 @query(
     "search_lexical",
     f"""WITH {SCORED}
@@ -56,32 +76,45 @@ def search_lexical(spark, sf_dir):
     return R.top_pages(R.score_pages(document_pages(spark, sf_dir), QUERY))
 
 
-def _query_vector(spark, sf_dir, vec_id=0):
-    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").take(1)
-    return [float(x) for x in rows[0][0]] if rows else []
-
-
+#: Distances of every query vector (ids divisible by 100) to all others, the nearest 30 of each.
 KNN = """
-q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
-hits AS (SELECT vec_id, label, sqrt(list_sum(list_transform(list_zip(embedding, q), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))) AS d
-         FROM embeddings, q WHERE len(embedding) = len(q) ORDER BY d, vec_id LIMIT {k})
+near AS (SELECT query_id, vec_id, label, d, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM (
+  SELECT a.vec_id AS query_id, b.vec_id, b.label, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))) AS d
+  FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)),
+hits AS (SELECT query_id, vec_id, label, d, 1e0 / (1e0 + d) AS s FROM near WHERE rank <= 30)
 """
 
 
-@query("vector_nearest", f"WITH {KNN.format(k=30).strip()} SELECT vec_id, label, round(1e0 / (1e0 + d), 6) AS score FROM hits")
+def _hits(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    found = V.nearest_of_many(e, e.where("vec_id % 100 = 0"), 30)
+    return found.join(e.select("vec_id", "label"), "vec_id").withColumn("score", V.similarity(F.col("distance")))
+
+
+@query("vector_nearest", f"WITH {KNN.strip()} SELECT query_id, vec_id, label, round(s, 6) AS score FROM hits")
 def vector_nearest(spark, sf_dir):
-    hits = V.nearest(table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), 30)
-    return hits.select("vec_id", "label", F.round("score", 6).alias("score"))
+    """The thirty nearest chunks of every query."""
+    return _hits(spark, sf_dir).select("query_id", "vec_id", "label", F.round("score", 6).alias("score"))
+
+
+@query("vector_nearest_to_one", "SELECT vec_id, label, round(1e0 / (1e0 + d), 6) AS score FROM (SELECT vec_id, label, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS d FROM embeddings) ORDER BY d, vec_id LIMIT 30")
+def vector_nearest_to_one(spark, sf_dir):
+    """The top thirty for one given vector, the origin."""
+    e = table(spark, sf_dir, "embeddings")
+    size = e.select(F.size("embedding").alias("n")).limit(1).collect()
+    return V.nearest(e, [0.0] * (size[0].n if size else 1), 30).select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
 @query(
     "vector_page_scores",
-    f"""WITH {KNN.format(k=30).strip()}, s AS (SELECT label, 1e0 / (1e0 + d) AS s FROM hits)
-SELECT label, round(max(s) + least(0.3e0 * (sum(s) - max(s)), greatest(0e0, 1 - max(s))), 6) AS score, count(*) AS n_chunks FROM s GROUP BY label ORDER BY 2 DESC, 1 LIMIT 10""",
+    f"""WITH {KNN.strip()}, p AS (SELECT query_id, label, max(s) + least(0.3e0 * (sum(s) - max(s)), greatest(0e0, 1 - max(s))) AS score, count(*) AS n_chunks FROM hits GROUP BY 1, 2)
+SELECT query_id, label, round(score, 6) AS score, n_chunks FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, label) AS r FROM p) WHERE r <= 10""",
 )
 def vector_page_scores(spark, sf_dir):
-    found = V.search_pages(table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), 10, "label", "vec_id")
-    return found.select("label", F.round("score", 6).alias("score"), "n_chunks")
+    """The ten best pages of every query."""
+    found = V.page_scores(_hits(spark, sf_dir), ["query_id", "label"], "vec_id")
+    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "label")
+    return found.withColumn("r", F.row_number().over(best)).where("r <= 10").select("query_id", "label", F.round("score", 6).alias("score"), "n_chunks")
 
 
 @query(
@@ -100,22 +133,26 @@ def vector_nearest_of_many(spark, sf_dir):
 
 @query(
     "search_hybrid",
-    f"""WITH {SCORED.strip()}, {KNN.format(k=30).strip()},
-lex AS (SELECT path, row_number() OVER (ORDER BY score DESC, path) AS rank FROM top),
-vec AS (SELECT 'wiki/' || d.source || '-' || d.doc_id || '.md' AS path, row_number() OVER (ORDER BY h.d, h.vec_id) AS rank FROM hits h JOIN documents d ON d.doc_id = h.vec_id)
-SELECT coalesce(l.path, v.path) AS path, l.rank AS lexical_rank, v.rank AS vector_rank,
-  round(coalesce(1e0 / (60 + l.rank), 0) + coalesce(1e0 / (60 + v.rank), 0), 9) AS rrf
-FROM lex l FULL JOIN vec v ON l.path = v.path ORDER BY rrf DESC, path LIMIT 20""",
+    f"""WITH {SCORED.strip()}, {KNN.strip()},
+lex AS (SELECT query_id, path, rank FROM (SELECT path, row_number() OVER (ORDER BY score DESC, path) AS rank FROM top), (SELECT DISTINCT query_id FROM hits)),
+vec AS (SELECT query_id, 'wiki/' || d.source || '-' || d.doc_id || '.md' AS path, row_number() OVER (PARTITION BY query_id ORDER BY h.d, h.vec_id) AS rank FROM hits h JOIN documents d ON d.doc_id = h.vec_id),
+fused AS (SELECT query_id, path, l.rank AS lexical_rank, v.rank AS vector_rank, round(coalesce(1e0 / (60 + l.rank), 0) + coalesce(1e0 / (60 + v.rank), 0), 9) AS rrf FROM lex l FULL JOIN vec v USING (query_id, path))
+SELECT query_id, path, lexical_rank, vector_rank, rrf FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, path) AS r FROM fused) WHERE r <= 20""",
 )
 def search_hybrid(spark, sf_dir):
-    """Lexical and vector lists fused by rank; vector hits count only if their page exists."""
+    """For every query vector its list and the lexical list of one question, fused by rank; vector hits count only if their
+    page exists."""
     pages = document_pages(spark, sf_dir)
-    lex = R.ranked(R.score_pages(pages, QUERY).select("path", "score"), keep=R.TOP)
-    hits = V.nearest(table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), 30)
+    hits = _hits(spark, sf_dir)
+    lex = R.ranked(R.score_pages(pages, QUERY).select("path", "score"), keep=R.TOP).join(F.broadcast(hits.select("query_id").distinct()))  # 20 rows, and the stated queries
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("wiki/"), "source", F.lit("-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"))
-    vec = docs.join(F.broadcast(hits), F.col("doc_id") == F.col("vec_id")).select("path", "vec_id", (-F.col("distance")).alias("score"))
-    vec = R.ranked(vec, tie="vec_id")
-    return R.fuse(lex, vec, "path").withColumn("rrf", F.round("rrf", 9))
+    order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    vec = docs.join(hits, F.col("doc_id") == F.col("vec_id")).withColumn("rank", F.row_number().over(order)).select("query_id", "path", "rank")
+    part = lambda c: F.coalesce(F.lit(1.0) / (R.RRF_K + F.col(c)), F.lit(0.0))
+    fused = lex.select("query_id", "path", F.col("rank").alias("lexical_rank")).join(vec.withColumnRenamed("rank", "vector_rank"), ["query_id", "path"], "full_outer")
+    fused = fused.withColumn("rrf", F.round(part("lexical_rank") + part("vector_rank"), 9))
+    best = Window.partitionBy("query_id").orderBy(F.desc("rrf"), "path")
+    return fused.withColumn("r", F.row_number().over(best)).where(F.col("r") <= R.TOP).drop("r")
 
 
 @query(

@@ -27,14 +27,27 @@ def _commands(events):
     return events.select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), c.alias("command"))
 
 
-@query("queue_states")
+STEPS = """
+cmd AS (SELECT user_id AS task_id, CASE event_type WHEN 'view' THEN 'enqueue' WHEN 'signup' THEN 'enqueue' WHEN 'click' THEN 'start' WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'finish' ELSE 'restore' END AS c,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+run AS (SELECT DISTINCT user_id AS task_id, NULL::VARCHAR AS s, 0 AS r, 0::BIGINT AS i FROM events
+  UNION ALL SELECT run.task_id,
+    CASE WHEN c = 'enqueue' THEN coalesce(s, 'pending') WHEN c = 'start' AND s = 'pending' THEN 'processing' WHEN c = 'fail' AND s = 'processing' THEN CASE WHEN r >= 2 THEN 'failed' ELSE 'pending' END
+      WHEN c = 'restore' AND s = 'processing' THEN 'pending' WHEN c = 'finish' AND s = 'processing' THEN NULL ELSE s END,
+    CASE WHEN s IS NULL THEN 0 WHEN c = 'fail' AND s = 'processing' THEN r + 1 WHEN c = 'finish' AND s = 'processing' THEN 0 ELSE r END, cmd.i
+  FROM run JOIN cmd ON cmd.task_id = run.task_id AND cmd.i = run.i + 1),
+states AS (SELECT task_id, coalesce(arg_max(coalesce(s, ''), i), '') AS s, arg_max(r, i) AS r, max(i) AS n FROM run GROUP BY 1)
+"""
+
+
+@query("queue_states", f"WITH RECURSIVE {STEPS.strip()} SELECT task_id, CASE WHEN s = '' THEN 'done' ELSE s END AS status, r AS retries, n AS n_commands FROM states")
 def queue_states(spark, sf_dir):
     """Users as tasks, their events as commands: the state of each after the whole stream."""
     out = S.replay(_events(spark, sf_dir), lambda e: S.queue_states(_commands(e)), shared_dir(spark, "queue"), shared_dir(spark, "queue-checkpoint"), "update")
     return S.latest(out, "task_id")
 
 
-@query("queue_summary")
+@query("queue_summary", f"WITH RECURSIVE {STEPS.strip()} SELECT count(*) FILTER (WHERE s = 'pending') AS pending, count(*) FILTER (WHERE s = 'processing') AS processing, count(*) FILTER (WHERE s = 'failed') AS failed, count(*) AS total FROM states WHERE s <> ''")
 def queue_summary(spark, sf_dir):
     return S.queue_summary(queue_states(spark, sf_dir).where("status <> 'done'"))
 
@@ -59,3 +72,19 @@ def stream_reviews(spark, sf_dir):
     items = lambda e: e.groupBy(F.col("event_type").alias("type"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("title")).agg(F.count("*").alias("n_merged"))
     out = S.replay(_events(spark, sf_dir), items, shared_dir(spark, "reviews"), shared_dir(spark, "reviews-checkpoint"), "update")
     return out.groupBy("type", "title").agg(F.max_by("n_merged", "batch").alias("n_merged"))
+
+
+@query(
+    "save_sessions",
+    """SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (
+  SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, g""",
+)
+def save_sessions(spark, sf_dir):
+    """Changes of a user that follow each other within an hour are saved together, as a stream; a watermark beyond the span of
+    the table keeps every row."""
+    e = table(spark, sf_dir, "events").agg(F.max("ts").alias("b"), F.min("ts").alias("a")).first()
+    hours = int((e.b - e.a).total_seconds() // 3600) + 24
+    late = lambda s: S.sessions(s.withColumn("ts", F.col("ts").cast("timestamp")), "1 hour", f"{hours} hours")
+    out = S.replay(_events(spark, sf_dir), late, shared_dir(spark, "sessions"), shared_dir(spark, "sessions-checkpoint"), "complete")
+    last = out.agg(F.max("batch").alias("last"))
+    return out.join(F.broadcast(last), F.col("batch") == F.col("last")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")

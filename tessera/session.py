@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -27,13 +28,22 @@ _own_dir: dict[str, str] = {}
 def shared_dir(spark: SparkSession, name: str | None = None) -> str:
     """A fresh folder that the driver and every executor can reach (without a name, the folder that holds them).
 
-    It lies in the folder that the session names in ``spark.checkpoint.dir``; only where that is unset (tests, a
-    single machine) a temporary folder of this machine serves, and it is set as the checkpoint folder.
+    It lies in the folder that the session names in ``spark.checkpoint.dir``, or that was set as its checkpoint folder.
+    Where there is neither, a temporary folder of this machine serves a local session and is set as the checkpoint
+    folder; on a cluster, whose executors could not see it, that is an error.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_dir.get(spark.sparkContext.applicationId)
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or _own_dir.get(context.applicationId)
     if not base:
-        base = _own_dir[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(base)
+        given = context._jsc.sc().getCheckpointDir()
+        if given.isDefined():
+            base = given.get()
+        elif re.fullmatch(r"local(\[.*\])?", context.master or ""):
+            base = "file://" + tempfile.mkdtemp(prefix="tessera-")
+            context.setCheckpointDir(base)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        _own_dir[context.applicationId] = base
     return base.rstrip("/") + (f"/{name}-{uuid.uuid4().hex[:12]}" if name else "")
 
 
@@ -43,6 +53,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, read again: unlike a checkpoint it carries no constraints of the plan that
+    made it, which pile up where each round of a loop is built on the one before."""
+    path = shared_dir(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(cores: int = 8, memory: str = "8g", shuffle_partitions: int = 8) -> SparkSession:
     """A session on this machine, for tests and the bench. On a cluster, pass the cluster's own session instead."""
     spark = (

@@ -128,11 +128,109 @@ class _Markdown(html.parser.HTMLParser):
             self.out.append(text)
 
 
+class _Container:
+    """A block that may be a page's main content: where it lies, its points, its text and how much of that is links."""
+
+    def __init__(self, tag: str, start: int, up: _Container | None):
+        self.tag, self.start, self.end, self.up = tag, start, -1, up
+        self.points, self.text, self.linked = 0.0, 0, 0
+
+
+class _Outline(html.parser.HTMLParser):
+    """The containers of a page. Paragraphs give points to the container they are in, and half of them to the one around
+    it: one, one for each comma, and up to three for their length. Boilerplate elements count for nothing."""
+
+    HOLD = ("article", "main", "section", "div", "td", "body")
+    VOID = ("br", "img", "hr", "input", "meta", "link", "wbr", "source", "col")
+
+    def __init__(self, page: str):
+        super().__init__(convert_charrefs=True)
+        self.starts = [0, *(m.end() for m in re.finditer("\n", page))]
+        self.size, self.open, self.now, self.found, self.skip, self.links = len(page), [], None, [], 0, 0
+        self.paragraph: list[str] | None = None
+
+    def at(self) -> int:
+        line, column = self.getpos()
+        return self.starts[line - 1] + column
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.VOID:
+            return
+        hidden = tag in _Markdown.SKIP or bool(set(dict(attrs).get("class", "").split() if dict(attrs).get("class") else ()) & set(CLASSES.split("|")))
+        if self.paragraph is not None and tag in ("p", *self.HOLD):
+            self._paragraph()
+        if tag in self.HOLD:
+            self.now = _Container(tag, self.at() + len(self.get_starttag_text()), self.now)
+            self.found.append(self.now)
+        elif tag in ("p", "pre", "blockquote") and not self.skip:
+            self.paragraph = []
+        self.skip += hidden
+        self.links += tag == "a"
+        self.open.append((tag, hidden))
+
+    def handle_endtag(self, tag):
+        if tag not in [t for t, _ in self.open]:
+            return
+        while True:
+            t, hidden = self.open.pop()
+            if t in ("p", "pre", "blockquote"):
+                self._paragraph()
+            if t in self.HOLD:
+                self._paragraph()
+                self.now.end, self.now = self.at(), self.now.up
+            self.skip -= hidden
+            self.links -= t == "a"
+            if t == tag:
+                return
+
+    def handle_data(self, data):
+        if self.skip or self.now is None:
+            return
+        n, c = len(data.strip()), self.now
+        while c is not None:
+            c.text += n
+            c.linked += n if self.links else 0
+            c = c.up
+        if self.paragraph is not None:
+            self.paragraph.append(data)
+
+    def _paragraph(self) -> None:
+        text = "".join(self.paragraph or ()).strip()
+        self.paragraph = None
+        if len(text) >= 25 and self.now is not None:
+            points = 1 + text.count(",") + text.count("，") + min(3, len(text) // 100)
+            self.now.points += points
+            if self.now.up is not None:
+                self.now.up.points += points / 2
+
+    def main(self) -> tuple[int, int]:
+        """Where the main content lies: the only article or main element if it has some text, else the container of the most
+        points, less its share of links, else the whole page."""
+        for c in self.found:
+            c.end = self.size if c.end < 0 else c.end
+        for tag in ("article", "main"):
+            named = [c for c in self.found if c.tag == tag and c.text >= 140]
+            if len(named) == 1:
+                return named[0].start, named[0].end
+        best = max(self.found, key=lambda c: c.points * (1 - c.linked / max(c.text, 1)), default=None)
+        return (best.start, best.end) if best is not None and best.points > 0 else (0, self.size)
+
+
+def main_content(page: str) -> str:
+    """The part of a page that holds its main content, as HTML."""
+    o = _Outline(page)
+    o.feed(page)
+    o.close()
+    start, end = o.main()
+    return page[start:end]
+
+
 def to_markdown(page: str | None) -> str | None:
+    """The main content of a page as markdown."""
     if page is None:
         return None
     p = _Markdown()
-    p.feed(page)
+    p.feed(main_content(page))
     p.close()
     lines = [x.rstrip() for x in "".join(p.out).split("\n")]
     return re.sub(r"\n{3,}", "\n\n", "\n".join(x if x.startswith(("  ", "|")) else x.strip() for x in lines)).strip()
