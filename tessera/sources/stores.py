@@ -97,6 +97,15 @@ def read_state(spark: SparkSession, path: str, schema: str, keep_last: int | Non
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep_last).drop("_r")
 
 
+def reembed(store: VectorStore, pages: DataFrame, call: Callable[[str], list[float]]) -> None:
+    """The chunks of changed pages (``page_id, title, content``) embedded anew; rows of other pages stay."""
+    from tessera.functions.markdown import chunks
+
+    each = pages.select("page_id", "title", F.explode(chunks()("content")).alias("c"))
+    rows = each.select(F.concat_ws("#", "page_id", F.col("c.index").cast("string")).alias("chunk_id"), "page_id", F.col("c.index").alias("chunk_index"), F.col("c.text").alias("chunk_text"), F.col("c.heading_path").alias("heading_path"), "title")
+    store.upsert(embed(rows, call))
+
+
 # interfaces of services that need a network: the caller injects the call
 
 SHORTEST, TRIES = 64, 3

@@ -66,6 +66,12 @@ def queue_summary(states: DataFrame) -> DataFrame:
     return states.agg(n("pending"), n("processing"), n("failed"), F.count("*").alias("total"))
 
 
+def sweep_due(states: DataFrame, processed: int) -> bool:
+    """Whether the sweep that follows a drained queue is due: tasks were processed since the last one, and none waits or runs.
+    For the end of a stream's batch, which knows how many tasks it finished."""
+    return processed > 0 and not states.where(F.col("status").isin("pending", "processing")).limit(1).count()
+
+
 def enqueued_once(tasks: DataFrame, key: str, watermark: str | None = None, time_col: str = "ts") -> DataFrame:
     """Tasks whose key did not come before; with a watermark, state older than it is dropped."""
     return tasks.withWatermark(time_col, watermark).dropDuplicatesWithinWatermark([key]) if watermark else tasks.dropDuplicates([key])
