@@ -18,11 +18,22 @@ ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _alnum = re.compile(ALNUM_WORD)
 
 
+ARROW_ROWS = 1000
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends there, and Catalyst knows the size."""
+    """``df`` written to the shared folder and read again: lineage ends there, and Catalyst knows the size. While it is
+    written, rows go to Python workers in batches of at most ``ARROW_ROWS``, which bounds what a task holds of long texts
+    outside the heap; the session's setting is put back afterwards."""
     spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
+    path, setting = shared_dir(spark, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    if int(before) <= 0 or int(before) > ARROW_ROWS:
+        spark.conf.set(setting, str(ARROW_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -46,7 +57,8 @@ BROADCAST_ROWS = 500_000
 
 
 def sized(df: DataFrame, most: int | None = None) -> DataFrame:
-    """A written table, marked for broadcast only if its counted rows are few enough."""
+    """A table, marked for broadcast only if its counted rows are few enough. It is worked out twice, so it should be written
+    or follow from a written one by little work."""
     return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if most is None else most) else df
 
 

@@ -216,7 +216,7 @@ def _tasks(groups: DataFrame, placed: DataFrame) -> DataFrame:
     spans = written(groups.join(sized(of), "cid").select("g", "block", "cid"), "spans")
     where = spans.groupBy("g", "block").agg(F.count("*").alias("n"))
     over = where.groupBy("g").agg(F.count("*").alias("b"), F.sum("n").alias("size")).where("b > 1").select("g", "size")
-    wide = written(where.select("g", "block").join(sized(written(over, "spanning-groups")), "g"), "group-blocks")
+    wide = written(where.select("g", "block").join(sized(over), "g"), "group-blocks")
     pairs = wide.select("g", "size", F.col("block").alias("i")).join(wide.select("g", F.col("block").alias("j")), "g").where("i < j")
     few = pairs.where(F.col("size") <= BLOCK).select("g", "i", "j").join(spans, "g").where("block = i OR block = j").select("i", "j", "cid").distinct()
     many = written(pairs.where(F.col("size") > BLOCK).select("i", "j").distinct(), "block-pairs")
@@ -235,13 +235,13 @@ def link_groups(docs: DataFrame, id_col: str, text_col: str, threshold: float =
     met = written(each.groupBy("root").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("root"), "shared-roots")
     trie = written(each.join(sized(met), "root").distinct().repartitionByRange("root", "tail").sortWithinPartitions("root", "tail"), "trie")
     groups = _open_nodes(trie, threshold)
-    lead = written(groups.groupBy("g").agg(F.min("cid").alias("lead"), F.count("*").alias("size")), "group-leads")
+    lead = groups.groupBy("g").agg(F.min("cid").alias("lead"), F.count("*").alias("size"))
     # the least class that it meets in the most trees (chance meetings are those of one tree); first of all, though, what lies
     # in a node that no block holds goes with the largest such node, so that this node spans few blocks
-    often = groups.join(sized(lead), "g").groupBy("cid", "lead").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    often = groups.join(lead, "g").groupBy("cid", "lead").agg(F.count("*").alias("n"), F.max("size").alias("size"))
     most, top = F.min(F.struct((-F.col("n")).alias("n"), "lead"))["lead"], F.max(F.struct("size", "lead"))
     anchors = written(often.groupBy("cid").agg(most.alias("anchor"), top.alias("top")).select("cid", F.when(F.col("top.size") > BLOCK, F.col("top.lead")).otherwise(F.col("anchor")).alias("run"), "anchor"), "anchors")
-    members = written(sig.select("cid", "rk", "n_chars").join(sized(anchors), "cid").groupBy("cid", "run", "anchor").agg(F.min("rk").alias("rk"), F.max("n_chars").alias("n_chars")), "members")
+    members = sig.select("cid", "rk", "n_chars").join(sized(anchors), "cid").groupBy("cid", "run", "anchor").agg(F.min("rk").alias("rk"), F.max("n_chars").alias("n_chars"))
     placed = written(_blocks(members), "blocks")
     tasks = written(_tasks(groups, placed), "tasks")
     judged = written(_verified(keyed.select("rk", "text").join(sized(tasks), "rk"), threshold), "verified")
@@ -249,7 +249,7 @@ def link_groups(docs: DataFrame, id_col: str, text_col: str, threshold: float =
     links = judged.groupBy("cid").agg(F.sum("n").alias("n_links"))
     found = links.join(joined.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "n_links", F.coalesce("comp", "cid").alias("gid"))
     found = written(found, "link-groups")
-    for gone in (met, trie, groups, lead, anchors, members, placed, tasks, judged):
+    for gone in (met, trie, groups, anchors, placed, tasks, judged):
         for p in paths_of(gone):
             remove(spark, p)
     return sig.select("rk", "id", "cid"), found
@@ -276,6 +276,6 @@ def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: st
     odd = written(marked.where("NOT stays OR copies > 1"), "rows-to-drop")
     keyed = packed(docs, row_key(id_col, text_col).alias("rk"))
     single = keyed.join(sized(odd).select("rk"), "rk", "left_anti").select("row")
-    again = keyed.join(sized(written(odd.where("stays").select("rk"), "rows-that-repeat")), "rk", "left_semi")
+    again = keyed.join(sized(odd.where("stays").select("rk")), "rk", "left_semi")
     once = again.groupBy("rk").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
     return single.union(once).select("row.*")

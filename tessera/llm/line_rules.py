@@ -98,14 +98,13 @@ def over_limit(docs: DataFrame, id_col: str, text_col: str, host_col: str, max_d
 def _judged(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, host_col: str, min_left: float) -> DataFrame:
     """The facts of each row with ``n_removed_words`` and ``kept``. ``gone``: the lines over the limit."""
     lost = gone.groupBy("rk", "u").agg(F.sum("w").alias("r")).groupBy("rk").agg(F.max("r").alias("r"))  # rows of one key lose alike
-    lost = written(lost, "words-lost")
     out = base_features(docs, id_col, text_col, host_col).join(sized(lost), "rk", "left").withColumn("n_removed_words", F.coalesce("r", F.lit(0)).cast("long")).drop("r")
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_removed_words") >= min_left * F.col("n_words")))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words``."""
-    out = _judged(docs, over_limit(docs, id_col, text_col, host_col, max_docs), id_col, text_col, host_col, min_left)
+    out = _judged(docs, written(over_limit(docs, id_col, text_col, host_col, max_docs), "lines-gone"), id_col, text_col, host_col, min_left)
     return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
 
 
@@ -113,7 +112,7 @@ def apply_quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows of ``docs`` that the rules keep, without their lines over the limit; columns stay as they are."""
     gone = written(over_limit(docs, id_col, text_col, host_col, max_docs), "lines-gone")
     bad = written(_judged(docs, gone, id_col, text_col, host_col, min_left).where("NOT kept").select("rk").distinct(), "rows-rejected")
-    cut = written(gone.groupBy("rk").agg(F.collect_set("g").alias("gs")), "lines-of-rows")
+    cut = gone.groupBy("rk").agg(F.collect_set("g").alias("gs"))
     # texts are not shuffled while these tables are few rows; else each text moves twice
     out = packed(docs, row_key(id_col, text_col, host_col).alias("rk")).join(sized(bad), "rk", "left_anti").join(sized(cut), "rk", "left")
     text, host = F.col("row")[text_col], F.col("row")[host_col]
