@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import markdown as M
 from tessera.functions.language import language_metadata
-from tessera.functions.text import caption_text, file_name, file_stem, front_matter_value, host_name, link_key, list_field, page_type, title_slug, truncated, without_front_matter
+from tessera.functions.text import caption_text, file_name, file_stem, front_matter_value, host_name, link_key, list_field, page_type, title_slug, truncated, wikilinks, without_front_matter
 from tessera.operators import hygiene as H
 from tessera.session import checkpointed
 
@@ -178,6 +178,46 @@ def delete_source_cascade(pages: DataFrame, sources: DataFrame, cache: DataFrame
     return {"pages": texts, "deleted": gone, "cache": cache.join(sources.select(F.col("source").alias("name")).distinct(), "name", "left_anti")}
 
 
+def merge_duplicates(pages: DataFrame, merges: DataFrame, today: str) -> dict[str, DataFrame]:
+    """Groups of duplicates made into one page each. ``merges``: ``group_id, canonical, slugs, merged`` (the text that a judge
+    made of the group). Results: ``writes`` (path, content, backup): the canonical pages, with the list fields of all
+    members united and the day, and every other page whose links or ``related`` entries named a page that goes, led to the
+    canonical one, index lines of such pages taken out; ``deletes`` (path, backup). What a page names is joined with the
+    slugs that go, so neither pages nor merges have to be few; a group is what one call of a judge took."""
+    own = pages.select("path", "content", file_stem(F.col("path")).alias("slug"))
+    member = merges.select("group_id", "canonical", F.explode(F.array_distinct("slugs")).alias("slug"))
+    held = own.join(member, "slug")
+    to = member.where("slug <> canonical").groupBy("slug").agg(F.min("canonical").alias("to"))
+
+    @M.arrow("string")
+    def united(merged: pd.Series, texts: pd.Series) -> pd.Series:
+        def one(out, have):
+            for t in have:
+                out = M.union_lists(out, t)
+            return M.set_scalar(out, "updated", today)
+
+        return pd.Series([one(*x) for x in zip(merged, texts)], dtype=object)
+
+    @M.arrow("string")
+    def led(content: pd.Series, names: pd.Series, goals: pd.Series) -> pd.Series:
+        return pd.Series([c if n is None else M.redirected(c, dict(zip(n, g))) for c, n, g in zip(content, names, goals)], dtype=object)
+
+    texts = held.groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("slug", "content"))), lambda x: x["content"]).alias("texts"))
+    made = merges.select("group_id", "canonical", "merged").join(texts, "group_id").withColumn("new", united("merged", "texts"))
+    canonical = held.where("slug = canonical").select("group_id", "path", F.col("content").alias("backup")).join(made.select("group_id", "new"), "group_id").select("path", F.col("new").alias("content"), "backup")
+    others = own.join(member.select("slug").distinct(), "slug", "left_anti")
+    index = F.lower(file_name(F.col("path"))) == "index.md"
+    keys = to.select(link_key(F.col("slug")).alias("key")).where("key <> ''").distinct()
+    lines = H.clean_index(others.where(index), keys).withColumnRenamed("content", "clean")
+    others = others.join(lines, "path", "left").withColumn("now", F.coalesce("clean", "content"))
+    named = others.select("path", F.explode(F.array_distinct(F.concat(wikilinks(F.col("now")), list_field(F.col("now"), "related")))).alias("slug"))
+    led_to = named.join(to, "slug").groupBy("path").agg(F.collect_list(F.struct("slug", "to")).alias("m"))
+    both = others.join(led_to, "path", "left")
+    part = lambda name: F.transform("m", lambda x: x[name])
+    rewritten = both.withColumn("new", F.when(F.col("m").isNull(), F.col("now")).otherwise(led("now", part("slug"), part("to")))).where("new <> content").select("path", F.col("new").alias("content"), F.col("content").alias("backup"))
+    return {"writes": canonical.unionByName(rewritten), "deletes": held.where("slug <> canonical").select("path", F.col("content").alias("backup"))}
+
+
 def cleanup_cancelled(pages: DataFrame, tasks: DataFrame, vectors: DataFrame | None = None) -> dict[str, DataFrame]:
     """The files that cancelled tasks (``task_id, status, files_written``) had written, deleted with all that points to them."""
     written = tasks.where("status = 'cancelled'").select(F.explode("files_written").alias("path")).distinct()
@@ -260,6 +300,11 @@ def with_image_section(content: Column, section: Column) -> Column:
 # pages of other kinds
 
 
+def backups(writes: DataFrame, now: Column) -> DataFrame:
+    """``path, content`` of the texts that ``writes`` (``path, backup``) replace, under names of the history folder."""
+    return writes.where("backup IS NOT NULL").select(backup_path(F.col("path"), now).alias("path"), F.col("backup").alias("content"))
+
+
 def backup_path(path: Column, now: Column) -> Column:
     return F.concat(F.lit("history/"), F.regexp_replace(path, r"[^A-Za-z0-9._-]+", "_"), F.lit("."), F.date_format(now, "yyyy-MM-dd'T'HH-mm-ss"), F.lit(".md"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.text import list_field, page_title, page_type
+from tessera.functions.text import front_matter_value, list_field, page_title, page_type
 from tessera.operators import ingest as N
 from tessera.plans.corpus import table
 from tessera.plans.registry import query
@@ -137,3 +137,29 @@ def duplicate_prompts(spark, sf_dir):
 def caption_prompts(spark, sf_dir):
     before = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" "), "lang")).otherwise("  ")
     return table(spark, sf_dir, "documents").select("doc_id", N.caption_prompt(before, F.lit("")).alias("prompt"), N.language_directive(F.col("lang")).alias("directive"))
+
+
+MERGED = "doc_id % 10 = 0 AND doc_id + 1 <= (SELECT max(doc_id) FROM documents)"
+
+
+@query(
+    "merged_duplicates",
+    f"""WITH g AS (SELECT doc_id AS k FROM documents WHERE {MERGED}),
+src AS (SELECT doc_id, source || '.pdf' AS s, doc_id // 2 AS half FROM documents)
+SELECT 'wiki/d-' || (k + 1) || '.md' AS path, CASE WHEN a.s = b.s THEN a.s || ',b.pdf' ELSE b.s || ',' || a.s || ',b.pdf' END AS sources, '2024-01-01' AS updated, NULL AS link, TRUE AS written FROM g JOIN src a ON a.doc_id = k JOIN src b ON b.doc_id = k + 1
+UNION ALL SELECT 'wiki/d-' || doc_id || '.md', CASE WHEN doc_id % 2 = 0 THEN s || ',b.pdf' ELSE s END, '', 'd-' || (half + 1), TRUE FROM src WHERE half IN (SELECT k FROM g) AND doc_id NOT IN (SELECT k FROM g) AND doc_id - 1 NOT IN (SELECT k FROM g)
+UNION ALL SELECT 'wiki/d-' || k || '.md', NULL, NULL, NULL, FALSE FROM g""",
+)
+def merged_duplicates(spark, sf_dir):
+    """Every tenth document merged into the next one: canonical pages, pages whose links are led on, pages that go."""
+    pages = _pages(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    last = docs.agg(F.max("doc_id").alias("last"))
+    name = lambda n: F.concat(F.lit("d-"), n.cast("string"))
+    i = F.col("doc_id")
+    merges = docs.join(F.broadcast(last)).where((i % 10 == 0) & (i < F.col("last"))).select(i.alias("group_id"), name(i + 1).alias("canonical"), F.array(name(i), name(i + 1)).alias("slugs"), F.lit("---\ntype: concept\nsources: []\n---\n\nboth").alias("merged"))
+    out = N.merge_duplicates(pages, merges, "2024-01-01")
+    link = F.nullif(F.regexp_extract("content", r"\[\[([^\]|]+)\|two\]\]", 1), F.lit(""))
+    writes = out["writes"].select("path", F.array_join(list_field(F.col("content"), "sources"), ",").alias("sources"), front_matter_value(F.col("content"), "updated").alias("updated"), link.alias("link"), F.lit(True).alias("written"))
+    none = F.lit(None).cast("string")
+    return writes.union(out["deletes"].select("path", none, none, none, F.lit(False)))

@@ -88,6 +88,23 @@ def upsert_by_key(table: KeyedTable, incoming: DataFrame, key: str) -> None:
     table.replace(table.read().join(incoming.select(key).distinct(), key, "left_anti").unionByName(incoming))
 
 
+NOT_DUPLICATES = "key string, slugs array<string>"
+
+
+def declare_different(table: KeyedTable, groups: DataFrame) -> int:
+    """Add groups of pages (``slugs``) that are no duplicates to a table of schema ``NOT_DUPLICATES``; a group that is there
+    already, in any order and case, is not added again. Returns how many were new."""
+    from tessera.functions.text import group_key
+
+    have = table.read()
+    new = groups.where(F.size(F.array_distinct(F.transform("slugs", F.lower))) > 1).select(group_key(F.array_distinct(F.transform("slugs", F.lower))).alias("key"), F.array_sort("slugs").alias("slugs"))
+    new = new.groupBy("key").agg(F.min("slugs").alias("slugs")).join(have.select("key"), "key", "left_anti")
+    n = new.count()
+    if n:
+        table.replace(have.unionByName(new))
+    return n
+
+
 def read_state(spark: SparkSession, path: str, schema: str, keep_last: int | None = None, by: str | None = None, order: str | None = None) -> DataFrame:
     """A JSON state document as rows; of each group only the last ``keep_last`` if asked for."""
     df = spark.read.schema(schema).option("multiLine", True).json(path)

@@ -196,3 +196,18 @@ def test_failed_calls_are_tried_again(spark):
     assert [r.name for r in out["failures"].collect()] == ["b.txt"] and [r.name for r in out["cache"].collect()] == ["a.txt"]
     again = N.ingest(sources, out["cache"], spark.createDataFrame([("wiki/concepts/c.md", "# c")], "path string, content string"), lambda t: "none", "2024-01-01")
     assert [r.path for r in again["writes"].collect()] == ["wiki/sources/b.md"]
+
+
+def test_groups_are_declared_different_once(spark, tmp_path):
+    table = stores.KeyedTable(spark, str(tmp_path / "n"), stores.NOT_DUPLICATES)
+    groups = lambda *g: spark.createDataFrame([(list(x),) for x in g], "slugs array<string>")
+    assert stores.declare_different(table, groups(("b", "a"), ("A", "b"), ("x",))) == 1 and stores.declare_different(table, groups(("B", "A"), ("c", "a"))) == 1
+    assert {r.key for r in table.read().collect()} == {"a,b", "a,c"}
+    stores.upsert_by_key(table, spark.createDataFrame([("a,b", ["z"])], stores.NOT_DUPLICATES), "key")
+    assert {(r.key, tuple(r.slugs)) for r in table.read().collect()} == {("a,b", ("z",)), ("a,c", ("a", "c"))}
+
+
+def test_replaced_texts_are_kept(spark):
+    writes = spark.createDataFrame([("wiki/a b.md", "new", "old"), ("wiki/c.md", "new", None)], "path string, content string, backup string")
+    got = N.backups(writes, F.lit("2024-05-06 07:08:09").cast("timestamp")).collect()
+    assert [(r.path, r.content) for r in got] == [("history/wiki_a_b.md.2024-05-06T07-08-09.md", "old")]
