@@ -15,6 +15,9 @@ import functools
 import hashlib
 import heapq
 import json
+import re
+import struct
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +36,26 @@ PIECES = (
 
 
 
+#: Bits of an id, and what stands for a pair that is never merged.
+BITS, NEVER = 20, 1 << 60
+
+
 def _byte_chars() -> dict[str, int]:
     """The format's stand-in character of each byte: itself if printable Latin-1, else the next free one from 256."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in set(plain)]
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
+#: Texts below this character are cut into pieces by a pattern that lists the letters and digits, which is quicker.
+LISTED = 0x250
+
+
+def _listed_pieces() -> re.Pattern:
+    """The pattern of the format for characters below ``LISTED``."""
+    of = {kind: "".join(re.escape(c) for c in map(chr, range(LISTED)) if unicodedata.category(c)[0] == kind) for kind in "LN"}
+    space = r"\t-\r \x85\xa0"
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{of['L']}]+| ?[{of['N']}]+| ?[^{space}{of['L']}{of['N']}]+|[{space}]+(?![^{space}])|[{space}]+")
+
 
 class ForcedBoundaryBPE:
     """The vocabulary, its merge ranks, and the table of byte pairs that lie inside some token."""
@@ -66,33 +83,30 @@ class ForcedBoundaryBPE:
         # one pattern that finds the gaps between bytes that no token spans
         self.cut = [bytes(np.flatnonzero(~inside[a]).astype(np.uint8)) for a in range(256)]
         self.never = [frozenset(c) for c in self.cut]
-        self.pieces = regex.compile(PIECES)
+        self.pieces, self.listed, self.unlisted = regex.compile(PIECES), _listed_pieces(), re.compile(f"[^\\x00-{chr(LISTED - 1)}]")
+        # both ids of a pair in one number, and its rank with the id it makes in another
+        self.pairs = {a << BITS | b: rank << BITS | made for (a, b), (rank, made) in self.ranks.items()}
         self.stop = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.fragment = Bounded(self._merge, 100_000)
         self.piece = Bounded(self._piece, 250_000)
 
     def _merge(self, raw: bytes) -> bytes:
-        """Ids of one fragment: the lowest-ranked pair is merged first, the leftmost of equals."""
-        ids, ranks = [self.byte_id[b] for b in raw], self.ranks
+        """Ids of one fragment: the lowest-ranked pair is merged first, the leftmost of equals. What can be merged is kept
+        beside the ids, and each merge looks up the two pairs that it changes."""
+        ids, get = list(map(self.byte_id.__getitem__, raw)), self.pairs.get
         if len(ids) > 48:
             ids = self._merge_long(ids)
         else:
-            while len(ids) > 1:
-                found = [(r, i) for i in range(len(ids) - 1) if (r := ranks.get((ids[i], ids[i + 1]))) is not None]
-                if not found:
-                    break
-                (_, made), _ = best = min(found)
-                pair = (ids[best[1]], ids[best[1] + 1])
-                out, i = [], 0
-                while i < len(ids):
-                    if i + 1 < len(ids) and ids[i] == pair[0] and ids[i + 1] == pair[1]:
-                        out.append(made)
-                        i += 2
-                    else:
-                        out.append(ids[i])
-                        i += 1
-                ids = out
-        return np.array(ids, "<u4").tobytes()
+            can = [get(a << BITS | b, NEVER) for a, b in zip(ids, ids[1:])]
+            while can and (best := min(can)) != NEVER:
+                i, made = can.index(best), best & (1 << BITS) - 1
+                ids[i : i + 2] = (made,)
+                del can[i]
+                if i:
+                    can[i - 1] = get(ids[i - 1] << BITS | made, NEVER)
+                if i < len(can):
+                    can[i] = get(made << BITS | ids[i + 1], NEVER)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """As above with a heap over a linked list: n log n for fragments of any length."""
@@ -134,7 +148,8 @@ class ForcedBoundaryBPE:
         return b"".join(map(self.fragment.__getitem__, parts))
 
     def _plain(self, text: str) -> bytes:
-        return b"".join(map(self.piece.__getitem__, self.pieces.findall(text)))
+        pieces = self.pieces if self.unlisted.search(text) else self.listed
+        return b"".join(map(self.piece.__getitem__, pieces.findall(text)))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""

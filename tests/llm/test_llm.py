@@ -117,6 +117,9 @@ def test_bpe_is_the_library(texts):
     path = P.path("byte_bpe_50k.json")
     model, library = bpe.load(path), Tokenizer.from_file(path)
     more = ["", " ", "a<|endoftext|>b <|endoftext|><|endoftext|>", "x" * 500, "日本語 текст x\x85y　", "it's I'LL 'twas don't", "a\r\n\n  b \t"]
+    rng = random.Random(16)
+    kinds = ["abcdefgh ", "the and ing tion ", " \n\t\r", "'s't're'll", "0123 ", "éüßñçø ÀÉ", "\xa0\x85\u3000", "日本語の文", ".,!?#$%&*()[]", "".join(map(chr, range(1, 0x260)))]
+    more += ["".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randrange(1, 80))) for _ in range(3000)]
     for t in [*texts.values(), *more]:
         ids = library.encode(t, add_special_tokens=False).ids
         got = model.encode(t)
