@@ -21,17 +21,19 @@ _alnum = re.compile(ALNUM_WORD)
 ARROW_ROWS = 1000
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, keys: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends there, and Catalyst knows the size. While it is
     written, rows go to Python workers in batches of at most ``ARROW_ROWS``, which bounds what a task holds of long texts
-    outside the heap; the session's setting is put back afterwards."""
+    outside the heap; the session's setting is put back afterwards. A table of ``keys`` alone (no texts or signatures) is
+    written by an eighth of the tasks that shuffles of texts are set to, so that it does not come in as many tiny files."""
     spark = df.sparkSession
     path, setting = shared_dir(spark, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(setting)
     if int(before) <= 0 or int(before) > ARROW_ROWS:
         spark.conf.set(setting, str(ARROW_ROWS))
+    out = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)) if keys else df
     try:
-        df.write.parquet(path)
+        out.write.parquet(path)
     finally:
         spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(path)

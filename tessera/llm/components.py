@@ -44,10 +44,10 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     ``most_rounds`` raise an error.
     """
     spark = edges.sparkSession
-    now = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    now = written(edges.select("a", "b").where("a <> b").distinct(), "edges", True)
     before = _state(now)
     for _ in range(most_rounds if before[0] else 0):
-        after = written(_small_star(_large_star(now)), "edges")
+        after = written(_small_star(_large_star(now)), "edges", True)
         for p in paths_of(now):
             remove(spark, p)
         now, state = after, _state(after)

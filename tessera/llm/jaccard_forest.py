@@ -165,7 +165,7 @@ def _open_nodes(trie: DataFrame, threshold: float) -> DataFrame:
     level = F.explode(F.sequence(F.lit(0), F.lit(DEPTH - ROOT))).alias("level")
     nodes = trie.select("cid", "root", "tail", level)
     nodes = nodes.select("cid", "root", "level", F.xxhash64("root", "level", F.expr(f"shiftright(tail, {BITS} * ({DEPTH - ROOT} - level))")).alias("node"))
-    sizes = written(nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "node-sizes")
+    sizes = written(nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "node-sizes", True)
     # a class has at most TREES paths of a few levels each
     paths = nodes.join(sized(sizes), "node").groupBy("cid").agg(F.collect_list(F.struct("root", "level", "node", "n")).alias("path"))
 
@@ -181,9 +181,9 @@ def _open_nodes(trie: DataFrame, threshold: float) -> DataFrame:
                         out.append(tree[at][0])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["node"])
 
-    opened = written(paths.select("path").mapInArrow(stops, "node long").distinct(), "open-nodes")
+    opened = written(paths.select("path").mapInArrow(stops, "node long").distinct(), "open-nodes", True)
     first = nodes.join(sized(opened), "node").groupBy("cid", "root").agg(F.min(F.struct("level", "node")).alias("x"))
-    out = written(first.select(F.col("x.node").alias("g"), "cid"), "candidate-groups")
+    out = written(first.select(F.col("x.node").alias("g"), "cid"), "candidate-groups", True)
     for gone in (sizes, opened):
         for p in paths_of(gone):
             remove(trie.sparkSession, p)
@@ -213,13 +213,13 @@ def _blocks(members: DataFrame) -> DataFrame:
 def _tasks(groups: DataFrame, placed: DataFrame) -> DataFrame:
     """``i, j, cid, rk, side``: the classes that each block (``i = j``) or pair of blocks compares."""
     of = placed.select("cid", "block")
-    spans = written(groups.join(sized(of), "cid").select("g", "block", "cid"), "spans")
+    spans = written(groups.join(sized(of), "cid").select("g", "block", "cid"), "spans", True)
     where = spans.groupBy("g", "block").agg(F.count("*").alias("n"))
     over = where.groupBy("g").agg(F.count("*").alias("b"), F.sum("n").alias("size")).where("b > 1").select("g", "size")
-    wide = written(where.select("g", "block").join(sized(over), "g"), "group-blocks")
+    wide = written(where.select("g", "block").join(sized(over), "g"), "group-blocks", True)
     pairs = wide.select("g", "size", F.col("block").alias("i")).join(wide.select("g", F.col("block").alias("j")), "g").where("i < j")
     few = pairs.where(F.col("size") <= BLOCK).select("g", "i", "j").join(spans, "g").where("block = i OR block = j").select("i", "j", "cid").distinct()
-    many = written(pairs.where(F.col("size") > BLOCK).select("i", "j").distinct(), "block-pairs")
+    many = written(pairs.where(F.col("size") > BLOCK).select("i", "j").distinct(), "block-pairs", True)
     whole = many.withColumn("block", F.explode(F.array("i", "j"))).join(sized(of), "block").select("i", "j", "cid")
     own = of.select(F.col("block").alias("i"), F.col("block").alias("j"), "cid")
     every = few.union(whole).distinct().union(own)
@@ -240,15 +240,15 @@ def link_groups(docs: DataFrame, id_col: str, text_col: str, threshold: float =
     # in a node that no block holds goes with the largest such node, so that this node spans few blocks
     often = groups.join(lead, "g").groupBy("cid", "lead").agg(F.count("*").alias("n"), F.max("size").alias("size"))
     most, top = F.min(F.struct((-F.col("n")).alias("n"), "lead"))["lead"], F.max(F.struct("size", "lead"))
-    anchors = written(often.groupBy("cid").agg(most.alias("anchor"), top.alias("top")).select("cid", F.when(F.col("top.size") > BLOCK, F.col("top.lead")).otherwise(F.col("anchor")).alias("run"), "anchor"), "anchors")
+    anchors = written(often.groupBy("cid").agg(most.alias("anchor"), top.alias("top")).select("cid", F.when(F.col("top.size") > BLOCK, F.col("top.lead")).otherwise(F.col("anchor")).alias("run"), "anchor"), "anchors", True)
     members = sig.select("cid", "rk", "n_chars").join(sized(anchors), "cid").groupBy("cid", "run", "anchor").agg(F.min("rk").alias("rk"), F.max("n_chars").alias("n_chars"))
-    placed = written(_blocks(members), "blocks")
-    tasks = written(_tasks(groups, placed), "tasks")
+    placed = written(_blocks(members), "blocks", True)
+    tasks = written(_tasks(groups, placed), "tasks", True)
     judged = written(_verified(keyed.select("rk", "text").join(sized(tasks), "rk"), threshold), "verified")
     joined = components(judged.where("cid <> lead").select(F.col("cid").alias("a"), F.col("lead").alias("b")))
     links = judged.groupBy("cid").agg(F.sum("n").alias("n_links"))
     found = links.join(joined.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "n_links", F.coalesce("comp", "cid").alias("gid"))
-    found = written(found, "link-groups")
+    found = written(found, "link-groups", True)
     for gone in (met, trie, groups, anchors, placed, tasks, judged):
         for p in paths_of(gone):
             remove(spark, p)
@@ -259,7 +259,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``doc_id, class_id, n_links, group_id`` for each row of ``docs``."""
     sig, groups = link_groups(docs, id_col, text_col, threshold)
     classes = sig.groupBy("cid").agg(F.min("id").alias("class_id"))
-    of = written(classes.join(groups, "cid", "left").select("cid", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("gid", "cid").alias("gid")), "classes")
+    of = written(classes.join(groups, "cid", "left").select("cid", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("gid", "cid").alias("gid")), "classes", True)
     ids = of.groupBy("gid").agg(F.min("class_id").alias("group_id"))
     of = of.join(ids, "gid").select("cid", "class_id", "n_links", "group_id")
     return sig.join(of, "cid").select(F.col("id").alias(id_col), "class_id", "n_links", "group_id")
@@ -273,7 +273,7 @@ def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: st
     per_row = ranked.groupBy("gid", "rk", "id").agg(F.count("*").alias("copies"))
     first = per_row.groupBy("gid").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "rk")).alias("x")).select("gid", F.col("x.rk").alias("keep"))
     marked = per_row.join(first, "gid").select("rk", (F.col("rk") == F.col("keep")).alias("stays"), "copies")
-    odd = written(marked.where("NOT stays OR copies > 1"), "rows-to-drop")
+    odd = written(marked.where("NOT stays OR copies > 1"), "rows-to-drop", True)
     keyed = packed(docs, row_key(id_col, text_col).alias("rk"))
     single = keyed.join(sized(odd).select("rk"), "rk", "left_anti").select("row")
     again = keyed.join(sized(odd.where("stays").select("rk")), "rk", "left_semi")

@@ -86,12 +86,12 @@ def _salted(few: DataFrame) -> DataFrame:
 def over_limit(docs: DataFrame, id_col: str, text_col: str, host_col: str, max_docs: int = MAX_DOCS) -> DataFrame:
     """``rk, u, g, w``: the lines that are taken away, one row per line."""
     lines = written(_lines(docs, id_col, text_col, host_col), "lines")
-    maybe = written(lines.groupBy("g").agg(F.sum("first").alias("n")).where(F.col("n") > max_docs).select("g"), "lines-of-many-rows")
+    maybe = written(lines.groupBy("g").agg(F.sum("first").alias("n")).where(F.col("n") > max_docs).select("g"), "lines-of-many-rows", True)
     held = lines.withColumn("salt", F.pmod(F.col("u"), F.lit(SALTS)).cast("int"))
     held = written(held.join(_salted(maybe), ["g", "salt"], "left_semi").select("id", "u", "rk", "g", "w", "salt"), "lines-held")
     once = held.where("id IS NOT NULL").select("g", "id").distinct()
     often = once.groupBy("g").agg(F.count("*").alias("n"), F.min("id").alias("keeper")).where(F.col("n") > max_docs)
-    often = written(often.select("g", "keeper"), "lines-over-limit")
+    often = written(often.select("g", "keeper"), "lines-over-limit", True)
     return held.join(_salted(often), ["g", "salt"]).where(~F.col("id").eqNullSafe(F.col("keeper"))).select("rk", "u", "g", "w")
 
 
@@ -111,7 +111,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def apply_quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """The rows of ``docs`` that the rules keep, without their lines over the limit; columns stay as they are."""
     gone = written(over_limit(docs, id_col, text_col, host_col, max_docs), "lines-gone")
-    bad = written(_judged(docs, gone, id_col, text_col, host_col, min_left).where("NOT kept").select("rk").distinct(), "rows-rejected")
+    bad = written(_judged(docs, gone, id_col, text_col, host_col, min_left).where("NOT kept").select("rk").distinct(), "rows-rejected", True)
     cut = gone.groupBy("rk").agg(F.collect_set("g").alias("gs"))
     # texts are not shuffled while these tables are few rows; else each text moves twice
     out = packed(docs, row_key(id_col, text_col, host_col).alias("rk")).join(sized(bad), "rk", "left_anti").join(sized(cut), "rk", "left")
