@@ -32,7 +32,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents that hold too much of the benchmark go."""
     keyed = docs.select(row_key("doc_id", "text").alias("rk"), "text")
     judged = decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="rk")
-    bad = written(judged.where("contaminated").select("rk").distinct(), "contaminated")
+    bad = written(judged.where("contaminated").select("rk").distinct(), "contaminated", True)
     return packed(docs, row_key("doc_id", "text").alias("rk")).join(sized(bad), "rk", "left_anti").select("row.*")
 
 
