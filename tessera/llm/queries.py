@@ -92,6 +92,12 @@ def op10_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "arrival", "text_sha256", "n_chars", (F.col("shard_bytes") <= 2 * TARGET_BYTES).alias("within_target"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.order_minhash import edited_fingerprints
 
@@ -108,9 +114,9 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_line_crf": op2_line_crf, "op3_jaccard_forest": op3_jaccard_forest, "op4_repair": op4_repair, "op5_line_rules": op5_line_rules, "op6_rare_tokens": op6_rare_tokens, "op7_skip_chain": op7_skip_chain, "op8_sparse_suffixes": op8_sparse_suffixes, "op9_winnowing": op9_winnowing, "op10_compaction": op10_compaction, "op12_order_minhash": op12_order_minhash, "op13_whitening": op13_whitening, "token_slices": token_slices}
+    return {"op1_bpe": op1_bpe, "op2_line_crf": op2_line_crf, "op3_jaccard_forest": op3_jaccard_forest, "op4_repair": op4_repair, "op5_line_rules": op5_line_rules, "op6_rare_tokens": op6_rare_tokens, "op7_skip_chain": op7_skip_chain, "op8_sparse_suffixes": op8_sparse_suffixes, "op9_winnowing": op9_winnowing, "op10_compaction": op10_compaction, "op11_source_divergence": op11_source_divergence, "op12_order_minhash": op12_order_minhash, "op13_whitening": op13_whitening, "token_slices": token_slices}
 
 
 def oracle_sql() -> dict[str, str]:
     """Tokenizers, random fields, scores and file layouts have no SQL form; those queries are tested in tests/llm."""
-    return {"op3_jaccard_forest": sql.JACCARD, "op5_line_rules": sql.LINE_RULES, "op8_sparse_suffixes": sql.PASSAGES, "op9_winnowing": sql.CONTAMINATION, "op10_compaction": sql.STORED}
+    return {"op3_jaccard_forest": sql.JACCARD, "op5_line_rules": sql.LINE_RULES, "op8_sparse_suffixes": sql.PASSAGES, "op9_winnowing": sql.CONTAMINATION, "op10_compaction": sql.STORED, "op11_source_divergence": sql.DIVERGENCE}

@@ -59,3 +59,21 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(pos.n, 0) AS n_hit, coalesc
 STORED = """
 SELECT doc_id, coalesce(doc_id % 4, 0)::INTEGER AS arrival, sha256(text) AS text_sha256, length(text)::BIGINT AS n_chars, TRUE AS within_target FROM documents
 """
+
+TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+SHARE = "(1 + (1000000000::HUGEINT * ({n} + 1)) // ({total} + v))"
+DIVERGENCE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {TERMS} AS w FROM documents),
+t AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS k FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY 1, 2, 3),
+kept AS (SELECT lang, term, sum(n) AS n FROM t GROUP BY 1, 2 HAVING sum(k) >= 3),
+l AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT lang, source, sum(t.n) AS n FROM t JOIN kept USING (lang, term) GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(t.n, 0) AS n, {SHARE.format(n="coalesce(t.n, 0)", total="coalesce(s.n, 0)")} AS p, {SHARE.format(n="kept.n", total="l.n")} AS q
+  FROM g JOIN l USING (lang) JOIN kept USING (lang) LEFT JOIN s ON s.lang = g.lang AND s.source = g.source LEFT JOIN t ON t.lang = g.lang AND t.source = g.source AND t.term = kept.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+ranked AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, term) FROM (SELECT lang, source, term, ((p - q) * (p - q) // q)::BIGINT AS value FROM p WHERE n > 0 AND p > q))
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
