@@ -100,7 +100,7 @@ def pair_sums(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.concatenate([divergence(p[i : i + step, None, :], q[None, :, :]).sum(-1) for i in range(0, len(p), step)])
 
 
-def _tile(top: int):
+def _tile(top: int, block_groups: int):
     def run(f: pd.DataFrame) -> pd.DataFrame:
         lang, a, b = f["lang"].iat[0], f["a"].iat[0], f["b"].iat[0]
         is_group = f["term"].isna().to_numpy()
@@ -111,7 +111,7 @@ def _tile(top: int):
         counts = np.zeros((len(g), len(terms)), np.int64)
         counts[np.searchsorted(g, cells["g"].to_numpy()), codes] = cells["n"].to_numpy(np.int64)
         p = shares(counts, (n + v)[:, None]) if len(terms) else counts
-        side = (g // BLOCK_GROUPS).astype(int)
+        side = (g // block_groups).astype(int)
         out = []
         for x, y in {(a, b), (b, a)}:
             ix, iy = np.flatnonzero(side == x), np.flatnonzero(side == y)
@@ -131,7 +131,7 @@ def _tile(top: int):
     return run
 
 
-def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
+def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = MIN_DOCS, top: int = TOP, block_terms: int = BLOCK_TERMS, block_groups: int = BLOCK_GROUPS) -> DataFrame:
     """``lang, source, part, item, value, rank``: for each source the divergence from every other source of its language
     (part ``pair``), and its ``top`` terms above the language's share (part ``term``)."""
     counts = term_counts(docs, text_col, lang_col, source_col)
@@ -147,16 +147,16 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
     numbered = numbered.withColumn("g", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1)
     last = F.max("g").over(Window.partitionBy("lang"))
     facts = numbered.select("lang", "source", "g", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("n_lang", F.lit(0)).alias("n_lang"), last.alias("last"))
-    facts = written(facts.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("v") / BLOCK_TERMS)).cast("int")), "groups")
+    facts = written(facts.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("v") / block_terms)).cast("int")), "groups")
     places = sized(facts.select("lang", "source", "g", "last", "blocks"))
     cells = kept.join(places, ["lang", "source"]).select("lang", "source", "g", "last", F.pmod(F.xxhash64("term"), "blocks").cast("int").alias("block"), "term", "n", "n_term", F.lit(None).cast("long").alias("v"), F.lit(None).cast("long").alias("n_lang"))
     # every tile gets all its groups, also those that hold none of its terms
     marks = facts.select("lang", "source", "g", "last", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(None).cast("string").alias("term"), "n", F.lit(None).cast("long").alias("n_term"), "v", "n_lang")
-    mine = F.floor(F.col("g") / BLOCK_GROUPS).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / BLOCK_GROUPS).cast("int")))
+    mine = F.floor(F.col("g") / block_groups).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / block_groups).cast("int")))
     dealt = cells.unionByName(marks).withColumn("mine", mine).withColumn("other", other)
     dealt = dealt.withColumn("a", F.least("mine", "other")).withColumn("b", F.greatest("mine", "other")).drop("mine", "other", "last")
-    tiles = written(dealt.groupBy("lang", "a", "b", "block").applyInPandas(_tile(top), "lang string, source string, part string, item string, value long"), "tiles")
+    tiles = written(dealt.groupBy("lang", "a", "b", "block").applyInPandas(_tile(top, block_groups), "lang string, source string, part string, item string, value long"), "tiles")
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = tiles.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value")).withColumn("rank", F.row_number().over(order))
     terms = tiles.where("part = 'term'").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
