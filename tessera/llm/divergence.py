@@ -111,11 +111,16 @@ def _tile(top: int, block_groups: int):
         counts = np.zeros((len(g), len(terms)), np.int64)
         counts[np.searchsorted(g, cells["g"].to_numpy()), codes] = cells["n"].to_numpy(np.int64)
         p = shares(counts, (n + v)[:, None]) if len(terms) else counts
+        # terms of the block that only sources of other blocks hold: alike for all of them
+        others = int(groups["m"].fillna(0).iat[0]) - len(terms)
+        bare = shares(np.zeros((len(g), 1), np.int64), (n + v)[:, None]) if others else None
         side = (g // block_groups).astype(int)
         out = []
         for x, y in {(a, b), (b, a)}:
             ix, iy = np.flatnonzero(side == x), np.flatnonzero(side == y)
             value = pair_sums(p[ix], p[iy])
+            if others:
+                value = value + others * pair_sums(bare[ix], bare[iy])
             i, j = np.nonzero(g[ix][:, None] != g[iy][None, :])
             out.append(pd.DataFrame({"source": names[ix][i], "part": "pair", "item": names[iy][j], "value": value[i, j]}))
         if a == b and len(terms):
@@ -136,22 +141,25 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
     (part ``pair``), and its ``top`` terms above the language's share (part ``term``)."""
     counts = term_counts(docs, text_col, lang_col, source_col)
     by_term = Window.partitionBy("lang", "term")
-    kept = counts.withColumn("held", F.sum("docs").over(by_term)).withColumn("n_term", F.sum("n").over(by_term)).where(F.col("held") >= min_docs)
-    kept = written(kept.select("lang", "source", "term", "n", "n_term"), "kept-terms")
+    kept = counts.withColumn("held", F.sum("docs").over(by_term)).withColumn("n_term", F.sum("n").over(by_term)).withColumn("once", F.min("source").over(by_term) == F.col("source"))
+    kept = written(kept.where(F.col("held") >= min_docs).select("lang", "source", "term", "n", "n_term", "once"), "kept-terms")
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     groups = docs.select(empty(lang_col).alias("lang"), empty(source_col).alias("source")).distinct()
     per_group = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"))
-    per_term = kept.groupBy("lang", "term").agg(F.first("n_term").alias("n_term"))
-    per_lang = written(per_term.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n_term").alias("n_lang")), "languages")
-    numbered = groups.join(per_group, ["lang", "source"], "left").join(sized(per_lang), "lang", "left")
+    per_lang = kept.where("once").groupBy("lang").agg(F.count("*").alias("v"), F.sum("n_term").alias("n_lang"))
+    numbered = groups.join(per_group, ["lang", "source"], "left").join(sized(written(per_lang, "languages")), "lang", "left")
     numbered = numbered.withColumn("g", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1)
     last = F.max("g").over(Window.partitionBy("lang"))
     facts = numbered.select("lang", "source", "g", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("n_lang", F.lit(0)).alias("n_lang"), last.alias("last"))
     facts = written(facts.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("v") / block_terms)).cast("int")), "groups")
-    places = sized(facts.select("lang", "source", "g", "last", "blocks"))
-    cells = kept.join(places, ["lang", "source"]).select("lang", "source", "g", "last", F.pmod(F.xxhash64("term"), "blocks").cast("int").alias("block"), "term", "n", "n_term", F.lit(None).cast("long").alias("v"), F.lit(None).cast("long").alias("n_lang"))
+    block = F.pmod(F.xxhash64("term"), "blocks").cast("int").alias("block")
+    nothing = F.lit(None).cast("long")
+    cells = kept.join(sized(facts.select("lang", "source", "g", "last", "blocks")), ["lang", "source"])
+    cells = cells.select("lang", "source", "g", "last", block, "term", "n", "n_term", nothing.alias("v"), nothing.alias("n_lang"), nothing.alias("m"))
+    in_block = kept.where("once").join(sized(facts.select("lang", "blocks").distinct()), "lang").groupBy("lang", block).agg(F.count("*").alias("m"))
     # every tile gets all its groups, also those that hold none of its terms
-    marks = facts.select("lang", "source", "g", "last", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(None).cast("string").alias("term"), "n", F.lit(None).cast("long").alias("n_term"), "v", "n_lang")
+    marks = facts.select("lang", "source", "g", "last", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(None).cast("string").alias("term"), "n", nothing.alias("n_term"), "v", "n_lang")
+    marks = marks.join(sized(written(in_block, "blocks")), ["lang", "block"], "left")
     mine = F.floor(F.col("g") / block_groups).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / block_groups).cast("int")))
     dealt = cells.unionByName(marks).withColumn("mine", mine).withColumn("other", other)
