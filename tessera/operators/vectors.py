@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.vector_index import brute_force, exact_tile, usable
+
 TAIL_SHARE, BEST_CHUNKS, LEAST_CHUNKS, OVER_FETCH = 0.3, 3, 30, 3
 #: Queries of one matrix: rows times dimensions.
 MAX_QUERY_CELLS = 16_000_000
@@ -53,38 +55,33 @@ def search_pages(vectors: DataFrame, query: list[float], k: int = 10, page_col:
 
 
 def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``query_id, vec_id, distance, rank``: the ``k`` nearest others of each query. Queries are taken in blocks of a
-    bounded matrix; each block is one pass over the vectors."""
+    """``query_id, vec_id, distance, rank``: the ``k`` nearest others of each query. Queries of a bounded matrix (counted first) are
+    broadcast and meet each batch of vectors; more of them are dealt out in blocks, so that neither the driver nor a task
+    holds all."""
     ids = queries.select(F.col(id_col).alias("id"), vector_col)
     size = ids.agg(F.count("*").alias("n"), F.max(F.size(vector_col)).alias("d")).first()
     if not size.n:
         return vectors.select(F.col(id_col).alias("query_id"), F.col(id_col), F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).limit(0)
-    blocks = max(1, -(-size.n * size.d // MAX_QUERY_CELLS))
     kind = vectors.schema[id_col].dataType.simpleString()
-    parts = []
-    for b in range(blocks):
-        block = ids.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()
-        shared = vectors.sparkSession.sparkContext.broadcast((block["id"].to_pylist(), np.array(block[vector_col].to_pylist(), np.float64)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            qid, q = shared.value
-            if not len(qid):
-                return
-            for batch in batches:
-                for at in range(0, batch.num_rows, 4096):
-                    part = batch.slice(at, 4096)
-                    vid = np.array(part.column(0).to_pylist(), object)
-                    x = np.array(part.column(1).to_pylist(), np.float64)
-                    d = np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T, 0)
-                    m = min(k + 1, d.shape[1])
-                    near = np.argpartition(d, m - 1, axis=1)[:, :m]
-                    out = [(qid[i], vid[j], float(np.sqrt(((q[i] - x[j]) ** 2).sum()))) for i in range(len(qid)) for j in near[i] if vid[j] != qid[i]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (part.column(0).type, part.column(0).type, pa.float64()))], names=["query_id", id_col, "distance"]) if out else pa.RecordBatch.from_arrays([pa.array([], part.column(0).type), pa.array([], part.column(0).type), pa.array([], pa.float64())], names=["query_id", id_col, "distance"])
-
-        parts.append(vectors.where(F.size(vector_col) == size.d).select(id_col, vector_col).mapInArrow(run, f"query_id {kind}, {id_col} {kind}, distance double"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
+    if size.n * size.d > MAX_QUERY_CELLS:
+        asked = usable(queries, id_col, vector_col, size.d).select(F.col("id").alias("qid"), "v")
+        found = brute_force(usable(vectors, id_col, vector_col, size.d), asked, k, size.d)
+        return found.select(F.col("qid").alias("query_id"), F.col("id").alias(id_col), "distance", "rank")
+    block = ids.toArrow()
+    shared = vectors.sparkSession.sparkContext.broadcast((block["id"].to_pylist(), np.array(block[vector_col].to_pylist(), np.float64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qid, q = shared.value
+        asked = pa.table({"qid": pa.array(qid), "v": pa.array(list(q))})
+        compare = exact_tile(k, size.d)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                got = compare(pa.table({"id": part.column(0), "v": part.column(1)}), asked).combine_chunks()
+                yield pa.RecordBatch.from_arrays([got["qid"].combine_chunks().cast(part.column(0).type), got["id"].combine_chunks(), got["distance"].combine_chunks()], names=["query_id", id_col, "distance"])
+
+    good = usable(vectors, id_col, vector_col, size.d).withColumnRenamed("id", id_col)
+    found = good.mapInArrow(run, f"query_id {kind}, {id_col} {kind}, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", id_col)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.operators import retrieval as R
 from tessera.operators import vectors as V
+from tessera.operators.vector_index import VectorIndex, recall
 from tessera.plans.corpus import document_pages, table
 from tessera.plans.registry import query
+from tessera.session import shared_dir
 
 QUERY = "the andthe thation, of heting"
 STOP = ", ".join(f"'{w}'" for w in R.STOP_WORDS)
@@ -131,6 +133,26 @@ def vector_nearest_of_many(spark, sf_dir):
     return found.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
 
 
+def _index(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return VectorIndex.build(shared_dir(spark, "vector-index"), e), e.where("vec_id % 100 = 0")
+
+
+@query("vector_index_nearest", f"WITH {KNN.strip()} SELECT query_id, vec_id, round(d, 6) AS distance, rank FROM near WHERE rank <= 10")
+def vector_index_nearest(spark, sf_dir):
+    """The ten nearest rows of every query, from an index of which all lists are probed."""
+    index, asked = _index(spark, sf_dir)
+    return index.search(asked, 10, exact=True).select("query_id", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"), "rank")
+
+
+@query("vector_index_recall", "SELECT count(*) AS n_queries, TRUE AS reached FROM embeddings WHERE vec_id % 100 = 0")
+def vector_index_recall(spark, sf_dir):
+    """Whether the index, probed as it was measured to need, finds nine in ten of the true ten nearest rows of the queries."""
+    index, asked = _index(spark, sf_dir)
+    got = recall(index.search(asked, 10), index.search(asked, 10, exact=True))
+    return asked.agg(F.count("*").alias("n_queries")).crossJoin(got.select((10 * F.col("n_found") >= 9 * F.col("n_true")).alias("reached")))  # one row each
+
+
 @query(
     "search_hybrid",
     f"""WITH {SCORED.strip()}, {KNN.strip()},
