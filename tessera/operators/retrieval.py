@@ -105,12 +105,19 @@ def ranked(df: DataFrame, by: str = "score", tie: str = "path", keep: int | None
     return df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(by), tie)))
 
 
-def fuse(lexical: DataFrame, vector: DataFrame, key: str, n: int = TOP, k: int = RRF_K) -> DataFrame:
-    """Reciprocal rank fusion of two ranked lists (``key, rank``): ``key, lexical_rank, vector_rank, rrf``."""
-    a = lexical.select(key, F.col("rank").alias("lexical_rank"))
-    b = vector.select(key, F.col("rank").alias("vector_rank"))
+def fuse(lexical: DataFrame, vector: DataFrame, key: str, n: int = TOP, k: int = RRF_K, by: str | None = None) -> DataFrame:
+    """Reciprocal rank fusion of two ranked lists (``key, rank``), the best ``n``: ``key, lexical_rank, vector_rank, rrf``. With
+    ``by``, a column of both, each of its values has lists of its own."""
+    keys = [by, key] if by else [key]
+    a = lexical.select(*keys, F.col("rank").alias("lexical_rank"))
+    b = vector.select(*keys, F.col("rank").alias("vector_rank"))
     part = lambda c: F.coalesce(F.lit(1.0) / (k + F.col(c)), F.lit(0.0))
-    return a.join(b, key, "full_outer").withColumn("rrf", part("lexical_rank") + part("vector_rank")).orderBy(F.desc("rrf"), key).limit(n)
+    fused = a.join(b, keys, "full_outer").withColumn("rrf", part("lexical_rank") + part("vector_rank"))
+    if not by:
+        return fused.orderBy(F.desc("rrf"), key).limit(n)
+    # sums of equal ranks come out alike, whichever list gives them
+    best = Window.partitionBy(by).orderBy(F.desc(F.round("rrf", 12)), key)
+    return fused.withColumn("r", F.row_number().over(best)).where(F.col("r") <= n).drop("r")
 
 
 def image_hits(pages: DataFrame, query: str) -> DataFrame:

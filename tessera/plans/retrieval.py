@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import retrieval as R
 from tessera.operators import vectors as V
+from tessera.operators.text_index import TextIndex
 from tessera.operators.vector_index import VectorIndex, recall
 from tessera.plans.corpus import document_pages, table
 from tessera.plans.registry import query
@@ -153,28 +154,60 @@ def vector_index_recall(spark, sf_dir):
     return asked.agg(F.count("*").alias("n_queries")).crossJoin(got.select((10 * F.col("n_found") >= 9 * F.col("n_true")).alias("reached")))  # one row each
 
 
+#: Every page against the user turns of conversations whose id is divisible by 100, and the twenty best of each.
+ASK = f"""
+asked AS (SELECT conv_id, turn, conv_id || ':' || turn AS qid, text AS question, regexp_replace(lower(trim(text)), '^{PUNCT}|{PUNCT}$', '', 'g') AS phrase, {_tokens_sql('text')} AS toks
+  FROM conversations WHERE role = 'user' AND conv_id % 100 = 0 AND text IS NOT NULL),
+q AS (SELECT *, CASE WHEN len(toks) > 0 THEN toks ELSE [lower(question)] END AS terms FROM asked),
+pg AS (SELECT 'wiki/' || source || '-' || doc_id || '.md' AS path, replace(source || '-' || doc_id, '-', ' ') AS title, text AS content, lower(text) AS lc,
+  lower(replace(source || '-' || doc_id, '-', ' ') || ' ' || source || '-' || doc_id || '.md') AS lt, lower(source || '-' || doc_id) AS stem FROM documents WHERE text IS NOT NULL),
+held AS (SELECT q.*, pg.*, list_sum(list_transform(list_distinct(terms), lambda x: contains(lt, x)::INT)) AS tt, list_sum(list_transform(list_distinct(terms), lambda x: contains(lc, x)::INT)) AS ct,
+  ((length(lc) - length(replace(lc, phrase, ''))) // greatest(length(phrase), 1))::INT AS occ FROM q, pg),
+graded AS (SELECT *, (tt > 0 OR (phrase <> '' AND contains(lt, phrase))) AS title_match, (CASE WHEN stem = phrase THEN 200 ELSE 0 END + CASE WHEN phrase <> '' AND contains(lt, phrase) THEN 50 ELSE 0 END + 20 * least(occ, 10) + 5 * tt + ct)::DOUBLE AS score FROM held),
+topped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, path) AS rank FROM graded WHERE score > 0) WHERE rank <= 20)
+"""
+
+
+def questions(spark, sf_dir):
+    """The stated questions: user turns of conversations whose id is divisible by 100."""
+    return table(spark, sf_dir, "conversations").where("role = 'user' AND conv_id % 100 = 0").select("conv_id", "turn", F.concat_ws(":", "conv_id", "turn").alias("qid"), "text")
+
+
+@query(
+    "search_questions",
+    f"""WITH {ASK.strip()}, anchored AS (SELECT *, CASE WHEN occ > 0 THEN phrase ELSE coalesce(list_filter(terms, lambda x: contains(lc, x))[1], question) END AS anchor FROM topped),
+placed AS (SELECT *, instr(lc, lower(anchor)) - 1 AS p FROM anchored)
+SELECT qid, rank, path, title, title_match, score,
+  CASE WHEN p < 0 THEN replace(substr(content, 1, 160), chr(10), ' ')
+  ELSE (CASE WHEN p > 80 THEN '...' ELSE '' END) || replace(substr(content, greatest(0, p - 80) + 1, least(length(content), p + length(anchor) + 80) - greatest(0, p - 80)), chr(10), ' ')
+       || (CASE WHEN p + length(anchor) + 80 < length(content) THEN '...' ELSE '' END) END AS snippet
+FROM placed""",
+)
+def search_questions(spark, sf_dir):
+    """The twenty best pages of every stated question, from a positional index of all pages."""
+    index = TextIndex.build(shared_dir(spark, "text-index"), document_pages(spark, sf_dir))
+    return index.search(questions(spark, sf_dir))
+
+
 @query(
     "search_hybrid",
-    f"""WITH {SCORED.strip()}, {KNN.strip()},
-lex AS (SELECT query_id, path, rank FROM (SELECT path, row_number() OVER (ORDER BY score DESC, path) AS rank FROM top), (SELECT DISTINCT query_id FROM hits)),
+    f"""WITH {ASK.strip()}, {KNN.strip()},
+lex AS (SELECT conv_id AS query_id, path, rank FROM topped WHERE turn = 0 AND conv_id IN (SELECT vec_id FROM embeddings)),
 vec AS (SELECT query_id, 'wiki/' || d.source || '-' || d.doc_id || '.md' AS path, row_number() OVER (PARTITION BY query_id ORDER BY h.d, h.vec_id) AS rank FROM hits h JOIN documents d ON d.doc_id = h.vec_id),
-fused AS (SELECT query_id, path, l.rank AS lexical_rank, v.rank AS vector_rank, round(coalesce(1e0 / (60 + l.rank), 0) + coalesce(1e0 / (60 + v.rank), 0), 9) AS rrf FROM lex l FULL JOIN vec v USING (query_id, path))
-SELECT query_id, path, lexical_rank, vector_rank, rrf FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, path) AS r FROM fused) WHERE r <= 20""",
+fused AS (SELECT query_id, path, l.rank AS lexical_rank, v.rank AS vector_rank, coalesce(1e0 / (60 + l.rank), 0) + coalesce(1e0 / (60 + v.rank), 0) AS rrf FROM lex l FULL JOIN vec v USING (query_id, path))
+SELECT query_id, path, lexical_rank, vector_rank, round(rrf, 9) AS rrf FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, path) AS r FROM fused) WHERE r <= 20""",
 )
 def search_hybrid(spark, sf_dir):
-    """For every query vector its list and the lexical list of one question, fused by rank; vector hits count only if their
-    page exists."""
-    pages = document_pages(spark, sf_dir)
-    hits = _hits(spark, sf_dir)
-    lex = R.ranked(R.score_pages(pages, QUERY).select("path", "score"), keep=R.TOP).join(F.broadcast(hits.select("query_id").distinct()))  # 20 rows, and the stated queries
+    """For every query vector its nearest pages and those of its own question (the first turn of the conversation of its id, if
+    there is one), fused by rank; vector hits count only if their page exists."""
+    pages, e = document_pages(spark, sf_dir), table(spark, sf_dir, "embeddings")
+    index = TextIndex.build(shared_dir(spark, "text-index"), pages)
+    own = questions(spark, sf_dir).where("turn = 0").join(e.select(F.col("vec_id").alias("conv_id")).distinct(), "conv_id")
+    lex = index.search(own, "conv_id").select(F.col("qid").alias("query_id"), "path", "rank")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("wiki/"), "source", F.lit("-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"))
     order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    vec = docs.join(hits, F.col("doc_id") == F.col("vec_id")).withColumn("rank", F.row_number().over(order)).select("query_id", "path", "rank")
-    part = lambda c: F.coalesce(F.lit(1.0) / (R.RRF_K + F.col(c)), F.lit(0.0))
-    fused = lex.select("query_id", "path", F.col("rank").alias("lexical_rank")).join(vec.withColumnRenamed("rank", "vector_rank"), ["query_id", "path"], "full_outer")
-    fused = fused.withColumn("rrf", F.round(part("lexical_rank") + part("vector_rank"), 9))
-    best = Window.partitionBy("query_id").orderBy(F.desc("rrf"), "path")
-    return fused.withColumn("r", F.row_number().over(best)).where(F.col("r") <= R.TOP).drop("r")
+    vec = docs.join(_hits(spark, sf_dir), F.col("doc_id") == F.col("vec_id")).withColumn("rank", F.row_number().over(order)).select("query_id", "path", "rank")
+    return R.fuse(lex, vec, "path", by="query_id").withColumn("rrf", F.round("rrf", 9))
 
 
 @query(
