@@ -97,6 +97,7 @@ def _best(qid: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> tuple[np.n
     d = np.where(qid[:, None] == ids[None, :], np.inf, d)
     m = min(k, d.shape[1])
     last = np.partition(d, m - 1, axis=1)[:, m - 1]
+    last = np.where(np.isfinite(last), last, np.finfo(float).max / 2)
     return np.nonzero((d <= last[:, None] * (1 + 1e-9)) & np.isfinite(d))
 
 
@@ -272,35 +273,53 @@ class VectorIndex:
         asked = usable(queries, id_col, vector_col, self.d or -1).select(F.col("id").alias("qid"), "v")
         rows = self.rows
         qkind, kind = dict(asked.dtypes)["qid"], dict(rows.dtypes)["id"]
+        # lists meet queries in groups of about a part's rows, so that a query's best are kept once for many lists
+        groups = max(1, min(len(self.centres), -(-self.n // PART_ROWS)))
+        group = F.pmod("list", F.lit(groups)).cast("int").alias("group")
         if exact:
-            everywhere = asked.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(len(self.centres) - 1))))
-            full = meet(rows.select("id", F.col("v").cast("array<double>").alias("v"), "list"), everywhere, "list", exact_tile(k, self.d), f"qid {qkind}, id {kind}, distance double")
+            everywhere = asked.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+            full = meet(rows.select("id", F.col("v").cast("array<double>").alias("v"), group), everywhere, "group", exact_tile(k, self.d), f"qid {qkind}, id {kind}, distance double")
             return ranked(full, k).select(F.col("qid").alias("query_id"), "id", "distance", "rank")
         probes = min(len(self.centres), probes or self.probes)
         depth = max(k, depth or self.depth * -(-k // NEIGHBOURS))
         centres, codebook, d = self.centres, self.codebook, self.d
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """A row for each query and group, with the lists of the group that the query probes."""
             for batch in batches:
                 near = _nearest(_matrix(batch.column(1), d), centres, probes)
-                at = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(near.ravel(), pa.int32())], names=["qid", "v", "list"])
+                at, lists = np.repeat(np.arange(batch.num_rows), near.shape[1]), near.ravel()
+                order = np.lexsort((lists, lists % groups, at))
+                at, lists = at[order], lists[order]
+                first = np.flatnonzero(np.diff(at * groups + lists % groups, prepend=-1))
+                some = pa.ListArray.from_arrays(pa.array(np.append(first, len(lists)), pa.int32()), pa.array(lists, pa.int32()))
+                who = pa.array(at[first])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array(lists[first] % groups, pa.int32()), some], names=["qid", "v", "group", "lists"])
 
         def tile(codes: pa.Table, some: pa.Table) -> pa.Table:
             out = []
             if codes.num_rows and some.num_rows:
-                ids, qid, lst = codes["id"].to_numpy(), some["qid"].to_numpy(), some["list"][0].as_py()
-                q = _matrix(some["v"], d) - centres[lst]
+                ids, qid, lst = codes["id"].to_numpy(), some["qid"].to_numpy(), codes["list"].to_numpy()
+                q, lists = _matrix(some["v"], d), some["lists"].to_pylist()
                 code = np.frombuffer(b"".join(codes["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
+                rows_of = {int(x): np.flatnonzero(lst == x) for x in np.unique(lst)}
                 step = max(1, CELLS // len(ids))
                 for at in range(0, len(q), step):
-                    approx = _coded(q[at : at + step], codebook, code)
+                    part = q[at : at + step]
+                    approx = np.full((len(part), len(ids)), np.inf)
+                    asking: dict[int, list[int]] = {}
+                    for i, mine in enumerate(lists[at : at + step]):
+                        for x in mine:
+                            asking.setdefault(x, []).append(i)
+                    for x, here in rows_of.items():
+                        if who := asking.get(x):
+                            approx[np.ix_(who, here)] = _coded(part[who] - centres[x], codebook, code[here])
                     i, j = _best(qid[at : at + step], ids, approx, depth)
-                    out.append(pa.table({"qid": some["qid"].combine_chunks().take(pa.array(i + at)), "id": codes["id"].combine_chunks().take(pa.array(j)), "list": pa.array(np.full(len(i), lst), pa.int32()), "approx": approx[i, j]}))
+                    out.append(pa.table({"qid": some["qid"].combine_chunks().take(pa.array(i + at)), "id": codes["id"].combine_chunks().take(pa.array(j)), "list": pa.array(lst[j], pa.int32()), "approx": approx[i, j]}))
             return pa.concat_tables(out) if out else pa.table({"qid": some["qid"].slice(0, 0), "id": codes["id"].slice(0, 0), "list": pa.array([], pa.int32()), "approx": pa.array([], pa.float64())})
 
-        probed = asked.mapInArrow(probe, f"qid {qkind}, v array<double>, list int")
-        few = meet(rows.select("id", "code", "list"), probed, "list", tile, f"qid {qkind}, id {kind}, list int, approx double")
+        probed = asked.mapInArrow(probe, f"qid {qkind}, v array<double>, group int, lists array<int>")
+        few = meet(rows.select("id", "code", "list", group), probed, "group", tile, f"qid {qkind}, id {kind}, list int, approx double")
         best = Window.partitionBy("qid").orderBy("approx", "id")
         kept = few.withColumn("r", F.row_number().over(best)).where(F.col("r") <= depth).select("qid", "id", "list").distinct()
         vectors = kept.join(rows.select("list", "id", F.col("v").cast("array<double>").alias("v")), ["list", "id"]).join(asked.withColumnRenamed("v", "q"), "qid")
