@@ -8,6 +8,9 @@ from tessera.functions.text import front_matter_value, list_field, page_title, p
 from tessera.operators import ingest as N
 from tessera.plans.corpus import table
 from tessera.plans.registry import query
+from tessera.session import shared_dir
+from tessera.sources import journal as J
+from tessera.sources.versions import KeyedTable
 
 
 def _pages(spark, sf_dir):
@@ -142,6 +145,15 @@ def caption_prompts(spark, sf_dir):
 MERGED = "doc_id % 10 = 0 AND doc_id + 1 <= (SELECT max(doc_id) FROM documents)"
 
 
+def _merges(spark, sf_dir):
+    """Every tenth document and the next one as duplicates, of which the next one stays."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    last = docs.agg(F.max("doc_id").alias("last"))
+    name = lambda n: F.concat(F.lit("d-"), n.cast("string"))
+    i = F.col("doc_id")
+    return docs.join(F.broadcast(last)).where((i % 10 == 0) & (i < F.col("last"))).select(i.alias("group_id"), name(i + 1).alias("canonical"), F.array(name(i), name(i + 1)).alias("slugs"), F.lit("---\ntype: concept\nsources: []\n---\n\nboth").alias("merged"))
+
+
 @query(
     "merged_duplicates",
     f"""WITH g AS (SELECT doc_id AS k FROM documents WHERE {MERGED}),
@@ -153,13 +165,25 @@ UNION ALL SELECT 'wiki/d-' || k || '.md', NULL, NULL, NULL, FALSE FROM g""",
 def merged_duplicates(spark, sf_dir):
     """Every tenth document merged into the next one: canonical pages, pages whose links are led on, pages that go."""
     pages = _pages(spark, sf_dir)
-    docs = table(spark, sf_dir, "documents").select("doc_id")
-    last = docs.agg(F.max("doc_id").alias("last"))
-    name = lambda n: F.concat(F.lit("d-"), n.cast("string"))
-    i = F.col("doc_id")
-    merges = docs.join(F.broadcast(last)).where((i % 10 == 0) & (i < F.col("last"))).select(i.alias("group_id"), name(i + 1).alias("canonical"), F.array(name(i), name(i + 1)).alias("slugs"), F.lit("---\ntype: concept\nsources: []\n---\n\nboth").alias("merged"))
+    merges = _merges(spark, sf_dir)
     out = N.merge_duplicates(pages, merges, "2024-01-01")
     link = F.nullif(F.regexp_extract("content", r"\[\[([^\]|]+)\|two\]\]", 1), F.lit(""))
     writes = out["writes"].select("path", F.array_join(list_field(F.col("content"), "sources"), ",").alias("sources"), front_matter_value(F.col("content"), "updated").alias("updated"), link.alias("link"), F.lit(True).alias("written"))
     none = F.lit(None).cast("string")
     return writes.union(out["deletes"].select("path", none, none, none, F.lit(False)))
+
+
+@query(
+    "executed_merges",
+    f"""WITH g AS (SELECT doc_id AS k FROM documents WHERE {MERGED}),
+src AS (SELECT doc_id, source || '.pdf' AS s, doc_id // 2 AS half FROM documents)
+SELECT 'wiki/d-' || (k + 1) || '.md' AS path, CASE WHEN a.s = b.s THEN a.s || ',b.pdf' ELSE b.s || ',' || a.s || ',b.pdf' END AS sources, '2024-01-01' AS updated, NULL AS link FROM g JOIN src a ON a.doc_id = k JOIN src b ON b.doc_id = k + 1
+UNION ALL SELECT 'wiki/d-' || doc_id || '.md', CASE WHEN doc_id % 2 = 0 THEN s || ',b.pdf' ELSE s END, '', 'd-' || (CASE WHEN half IN (SELECT k FROM g) THEN half + 1 ELSE half END) FROM src WHERE doc_id NOT IN (SELECT k FROM g) AND doc_id - 1 NOT IN (SELECT k FROM g)""",
+)
+def executed_merges(spark, sf_dir):
+    """The same merges carried out through the journal: what the table of pages holds afterwards."""
+    tables = {"pages": KeyedTable(spark, shared_dir(spark, "wiki-pages"), J.PAGES), "history": KeyedTable(spark, shared_dir(spark, "wiki-history"), J.HISTORY)}
+    tables["pages"].replace(_pages(spark, sf_dir).select("path", "content"))
+    J.execute_merges(J.Journal(spark, shared_dir(spark, "journal"), tables), _merges(spark, sf_dir), "2024-01-01", F.lit("2024-01-01").cast("timestamp"))
+    link = F.nullif(F.regexp_extract("content", r"\[\[([^\]|]+)\|two\]\]", 1), F.lit(""))
+    return tables["pages"].read().select("path", F.array_join(list_field(F.col("content"), "sources"), ",").alias("sources"), front_matter_value(F.col("content"), "updated").alias("updated"), link.alias("link"))

@@ -1,9 +1,7 @@
-"""Tables kept as Parquet folders: vectors by page, keyed caches, JSON state; and the interfaces of outer services."""
+"""Tables kept by key: vectors by page, groups that are no duplicates; JSON state; and the interfaces of outer services."""
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,81 +9,28 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.vectors import checked_chunks, delete_pages, upsert_pages
+from tessera.operators.vectors import checked_chunks
+from tessera.sources.versions import KeyedTable
 
 CHUNK_SCHEMA = "chunk_id string, page_id string, chunk_index long, chunk_text string, heading_path string, vector array<float>"
 
 
-class KeyedTable:
-    """A Parquet table replaced as a whole: a change is written to a new folder, and a pointer file is then renamed over
-    the old one, so readers see the old or the new table. One writer at a time."""
-
-    def __init__(self, spark: SparkSession, root: str, schema: str):
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _current(self) -> str | None:
-        at = self._path(f"{self.root}/_current")
-        if not self._fs.exists(at):
-            return None
-        stream = self._fs.open(at)
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["folder"]
-        finally:
-            stream.close()
-
-    def read(self) -> DataFrame:
-        folder = self._current()
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{folder}") if folder else self.spark.createDataFrame([], self.schema)
-
-    def replace(self, df: DataFrame) -> None:
-        old, new = self._current(), uuid.uuid4().hex
-        df.write.parquet(f"{self.root}/{new}")
-        draft = self._path(f"{self.root}/_draft-{new}")
-        out = self._fs.create(draft, True)
-        out.write(bytearray(json.dumps({"folder": new}).encode()))
-        out.close()
-        at = self._path(f"{self.root}/_current")
-        rename = getattr(self.spark._jvm.org.apache.hadoop.fs, "Options$Rename")
-        how = self.spark.sparkContext._gateway.new_array(rename, 1)
-        how[0] = rename.OVERWRITE
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        context.rename(draft, at, how)
-        if old:
-            self._fs.delete(self._path(f"{self.root}/{old}"), True)
-
-    def count(self) -> int:
-        return self.read().count() if self._current() else 0
-
-    def drop(self) -> None:
-        self._fs.delete(self._path(self.root), True)
-
-
 class VectorStore(KeyedTable):
     """Chunks of pages with their vectors."""
 
     def __init__(self, spark: SparkSession, root: str, dim: int):
-        super().__init__(spark, root, CHUNK_SCHEMA)
+        super().__init__(spark, root, CHUNK_SCHEMA, "page_id")
         self.dim = dim
 
-    def upsert(self, chunks: DataFrame) -> None:
+    def upsert(self, incoming: DataFrame) -> int:
         """Replace the rows of the pages that come; an empty batch changes nothing, wrong dimensions are an error."""
-        n = chunks.count()
+        n = incoming.count()
         if not n:
-            return
-        good = checked_chunks(chunks, self.dim)
+            return self.newest()
+        good = checked_chunks(incoming, self.dim)
         if good.count() != n:
             raise ValueError(f"every row needs a page id and a vector of {self.dim} numbers")
-        self.replace(upsert_pages(self.read(), good))
-
-    def delete(self, pages: DataFrame) -> None:
-        if self._current():
-            self.replace(delete_pages(self.read(), pages))
-
-
-def upsert_by_key(table: KeyedTable, incoming: DataFrame, key: str) -> None:
-    table.replace(table.read().join(incoming.select(key).distinct(), key, "left_anti").unionByName(incoming))
+        return super().upsert(good)
 
 
 NOT_DUPLICATES = "key string, slugs array<string>"
@@ -101,7 +46,7 @@ def declare_different(table: KeyedTable, groups: DataFrame) -> int:
     new = new.groupBy("key").agg(F.min("slugs").alias("slugs")).join(have.select("key"), "key", "left_anti")
     n = new.count()
     if n:
-        table.replace(have.unionByName(new))
+        table.upsert(new)
     return n
 
 

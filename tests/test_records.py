@@ -203,7 +203,7 @@ def test_groups_are_declared_different_once(spark, tmp_path):
     groups = lambda *g: spark.createDataFrame([(list(x),) for x in g], "slugs array<string>")
     assert stores.declare_different(table, groups(("b", "a"), ("A", "b"), ("x",))) == 1 and stores.declare_different(table, groups(("B", "A"), ("c", "a"))) == 1
     assert {r.key for r in table.read().collect()} == {"a,b", "a,c"}
-    stores.upsert_by_key(table, spark.createDataFrame([("a,b", ["z"])], stores.NOT_DUPLICATES), "key")
+    table.upsert(spark.createDataFrame([("a,b", ["z"])], stores.NOT_DUPLICATES))
     assert {(r.key, tuple(r.slugs)) for r in table.read().collect()} == {("a,b", ("z",)), ("a,c", ("a", "c"))}
 
 
