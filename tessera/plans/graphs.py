@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from tessera.operators import graph as G
 from tessera.operators import insights as I
+from tessera.operators.graph_versions import GraphVersions
 from tessera.plans.corpus import graph_sql, web_links, web_nodes
 from tessera.plans.registry import query
+from tessera.session import shared_dir
 
 
 def _graph(spark, sf_dir):
@@ -53,6 +55,22 @@ def graph_relevance(spark, sf_dir):
     return G.relevance(*_graph(spark, sf_dir)).withColumn("relevance", F.round("relevance", 6))
 
 
+@query("graph_versions", graph_sql("SELECT a, b, round(relevance, 6) AS relevance FROM rel"))
+def graph_versions(spark, sf_dir):
+    """The same relevance, reached in three versions: pages that lack, change and lose links and sources on the way."""
+    nodes = web_nodes(spark, sf_dir)
+    links = web_links(spark, sf_dir).groupBy(F.col("src").alias("id")).agg(F.collect_list("target").alias("links"))
+    pages = nodes.join(links, "id", "left").select("id", "type", "sources", F.coalesce("links", F.array().cast("array<string>")).alias("links"))
+    part = F.pmod(F.xxhash64("id"), F.lit(50))
+    graph = GraphVersions(spark, shared_dir(spark, "graph"))
+    other = pages.where(part == 1).select(F.concat(F.lit("gone-"), "id").alias("id"), "type", "sources", "links")
+    changed = pages.where(part == 2).select("id", F.lit("query").alias("type"), F.array(F.lit("elsewhere"), F.lit("elsewhere")).alias("sources"), F.slice("links", 1, 1).alias("links"))
+    graph.advance(pages.where(part > 2).unionByName(other).unionByName(changed))
+    graph.advance(pages.where(part <= 1))
+    graph.advance(pages.where(part == 2), other.select("id"))
+    return graph.relevance().withColumn("relevance", F.round("relevance", 6))
+
+
 RELATED = "SELECT a, b, round(relevance, 6) AS relevance, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(relevance, 9) DESC, b) AS rank FROM rel WHERE relevance >= 2) WHERE rank <= 3"
 
 
