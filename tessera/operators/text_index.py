@@ -1,16 +1,16 @@
 """Substring search over many questions at once, from a positional index of three-character runs.
 
-``build`` deals pages into shards of bounded text and inverts each shard: for every run of three characters of the lower-case
-content (field 0) and of title and file name (field 1), the places where it stands, as differences in the narrowest of
-1, 2, 4 or 8 bytes. Two blanks that no text holds follow each page, so that every place starts a run, and a needle of
-one or two characters is a range of runs. Posting rows lie in folders by a hash of their first two characters and are
-sorted by run, so a search reads the folders of its needles alone.
-
-``search`` deals questions into parts. Each (part, shard) pair is one task: it gets the postings that the part's needles
-need and its questions, finds each needle once by intersecting places of its runs from the rarest on (which is exact, so
-no text is read), scores its pages as ``score_pages`` does, and gives its best ``n`` of each question; the best of all shards
-are joined to their texts for snippets. What is shuffled are postings of needed runs for each part, and ``n`` rows for
-each question and shard. Neither depends on how many pages hold a term.
+``build`` deals pages into shards of bounded text, in one pass without a shuffle, and inverts each shard: for every run of
+three characters of the lower-case content (field 0) and of title and file name (field 1), the places where it stands, as
+differences in the narrowest of 1, 2, 4 or 8 bytes. Two blanks that no text holds follow each page, so that every place
+starts a run, and a needle of one or two characters is a range of runs. A shard is one row; its postings lie in ``BUCKETS``
+columns by a hash of the run's first two characters, so a search reads the columns of its needles alone.
+
+``search`` deals questions into parts, and each shard meets each part in one row: without a shuffle where the questions
+are few enough to be broadcast (they are counted), by their part beyond. A needle is found once for each shard and part by
+intersecting places of its runs from the rarest on (which is exact, so no text is read), pages are scored as
+``score_pages`` does, and the best ``n`` of each question leave the shard; the best of all are joined to their texts for
+snippets. What is shuffled are ``n`` rows for each question and shard, however many pages hold a term.
 
 Pages without content are not indexed, questions without text find nothing; repeated paths are pages of their own, ties
 are broken by path.
@@ -29,12 +29,16 @@ from pyspark.sql import functions as F
 from tessera.functions.text import page_title
 from tessera.operators import retrieval as R
 
-#: Characters and pages of a shard (a longer page is a shard of its own), questions of a part, and folders.
-SHARD_CHARS, SHARD_PAGES, PART_QUESTIONS, BUCKETS = 2_000_000, 4096, 256, 64
+#: Characters and pages of a shard (a longer page is a shard of its own), questions of a part, and columns of postings.
+SHARD_CHARS, SHARD_PAGES, PART_QUESTIONS, BUCKETS = 1_000_000, 4096, 1024, 32
+#: Questions beyond this are not broadcast.
+FEW_QUESTIONS = 16_384
 RUN = 3
 #: Beyond Unicode: follows each page.
 BLANK = 0x1FFFFF
-POSTINGS = "shard long, run long, field int, n long, places binary, paths array<string>, names array<string>, bucket int"
+COLUMNS = [f"b{i}" for i in range(BUCKETS)]
+PAGE = "path string, title string, content string, shard long, doc int"
+SHARD = "shard long, starts array<binary>, paths array<string>, names array<string>, " + ", ".join(f"{c} binary" for c in COLUMNS)
 
 
 def _points(text: str) -> np.ndarray:
@@ -54,7 +58,7 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def bucket_of(run: np.ndarray | int) -> np.ndarray | int:
-    """The folder of a run, by its first two characters."""
+    """The column of a run, by its first two characters."""
     first, second = run >> 42, (run >> 21) & BLANK
     return (first * 31 + second) % BUCKETS
 
@@ -71,74 +75,110 @@ def inverted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return runs, first, order, starts.astype(np.int64)
 
 
-def _invert(t: pa.Table) -> pa.Table:
-    t = t.sort_by("doc")
-    shard = t["shard"][0].as_py()
-    out = [(shard, -1, f, t.num_rows, packed(np.empty(0, np.int64)), t["path"].to_pylist() if f == 0 else None, t["name"].to_pylist() if f == 0 else None, -1) for f in (0, 1)]
-    for f, column in enumerate(("content_lower", "title_lower")):
-        runs, first, order, starts = inverted(t[column].to_pylist())
-        out[f] = (*out[f][:4], packed(starts), *out[f][5:])
-        buckets = bucket_of(runs)
-        for run, a, b, folder in zip(runs.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], buckets.tolist()):
-            out.append((shard, run, f, b - a, packed(order[a:b]), None, None, folder))
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int32())
-    return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[c.split()[0] for c in POSTINGS.split(", ")])
+def _bytes(parts: list[tuple[np.ndarray, np.ndarray, list[bytes]]]) -> bytes:
+    """Postings of one bucket, for each field (runs, how many places, packed places), as one value."""
+    out = []
+    for runs, n, places in parts:
+        out += [np.array([len(runs)], "<i8").tobytes(), runs.astype("<i8").tobytes(), n.astype("<i8").tobytes(), np.array([len(p) for p in places], "<i8").tobytes(), *places]
+    return b"".join(out)
+
+
+def _opened(data: bytes) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each field: runs, how many places, where their bytes begin and end."""
+    out, at = [], 0
+    for _ in (0, 1):
+        k = int(np.frombuffer(data, "<i8", 1, at)[0])
+        runs, n, sizes = (np.frombuffer(data, "<i8", k, at + 8 + 8 * k * i) for i in range(3))
+        at += 8 + 24 * k
+        ends = at + np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        at = int(ends[-1])
+        out.append((runs, n, ends))
+    return out
+
+
+def _shard_row(shard: int, pages: list[tuple]) -> dict:
+    """``pages``: path, title, content, name, content_lower, title_lower."""
+    starts, buckets = [], [[] for _ in COLUMNS]
+    for f in (4, 5):
+        runs, first, order, at = inverted([p[f] for p in pages])
+        starts.append(packed(at))
+        ends, which = np.append(first[1:], len(order)), bucket_of(runs)
+        for i, own in enumerate(buckets):
+            mine = np.flatnonzero(which == i)
+            own.append((runs[mine], ends[mine] - first[mine], [packed(order[a:b]) for a, b in zip(first[mine].tolist(), ends[mine].tolist())]))
+    return {"shard": shard, "starts": starts, "paths": [p[0] for p in pages], "names": [p[3] for p in pages]} | {c: _bytes(b) for c, b in zip(COLUMNS, buckets)}
+
+
+def _built(most_chars: int):
+    """Pages as rows of kind ``pages`` with their shard and place in it, and each full shard as a row of kind ``shards``."""
+    page_kinds = [("path", pa.string()), ("title", pa.string()), ("content", pa.string()), ("shard", pa.int64()), ("doc", pa.int32())]
+    shard_kinds = [("starts", pa.list_(pa.binary())), ("paths", pa.list_(pa.string())), ("names", pa.list_(pa.string())), *((c, pa.binary()) for c in COLUMNS)]
+    schema = pa.schema([*page_kinds, *shard_kinds, ("kind", pa.string())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number, pages, chars = TaskContext.get().partitionId(), 0, [], 0
 
-def _shards(most_chars: int):
-    """Rows with the shard they belong to (column 0 holds their length) and their place in it."""
+        def full() -> Iterator[pa.RecordBatch]:
+            shard = task << 32 | number
+            rows = [{"path": p[0], "title": p[1], "content": p[2], "shard": shard, "doc": i, "kind": "pages"} for i, p in enumerate(pages)]
+            yield pa.RecordBatch.from_pylist([*rows, _shard_row(shard, pages) | {"kind": "shards"}], schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, shard, chars, pages = TaskContext.get().partitionId(), 0, 0, 0
         for batch in batches:
-            shards, docs = [], []
-            for n in batch.column(0).to_pylist():
-                if pages and (chars + n > most_chars or pages >= SHARD_PAGES):
-                    shard, chars, pages = shard + 1, 0, 0
-                shards.append(task << 32 | shard)
-                docs.append(pages)
-                chars, pages = chars + n, pages + 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(shards, pa.int64()), pa.array(docs, pa.int32())], names=[*batch.schema.names[1:], "shard", "doc"])
+            for i in range(batch.num_rows):
+                page = tuple(c[i].as_py() for c in batch.columns)
+                if pages and (chars + len(page[4]) > most_chars or len(pages) >= SHARD_PAGES):
+                    yield from full()
+                    number, pages, chars = number + 1, [], 0
+                pages.append(page)
+                chars += len(page[4])
+        if pages:
+            yield from full()
 
     return run
 
 
 class Shard:
-    """Postings of one shard that some questions need."""
-
-    def __init__(self, t: pa.Table):
-        self.runs: list[np.ndarray] = []
-        self.data: list[list[bytes]] = []
-        runs, fields = t["run"].to_numpy(), t["field"].to_numpy()
-        places, n = t["places"].to_pylist(), t["n"].to_numpy()
-        head = {int(fields[i]): int(i) for i in np.flatnonzero(runs < 0)}
-        self.starts = [unpacked(places[head[f]]) for f in (0, 1)]
-        self.paths, self.names = t["paths"][head[0]].as_py(), t["names"][head[0]].as_py()
-        self.sizes: list[np.ndarray] = []
-        for f in (0, 1):
-            at = np.flatnonzero((runs >= 0) & (fields == f))
-            at = at[np.argsort(runs[at], kind="stable")]
-            self.runs.append(runs[at])
-            self.sizes.append(n[at])
-            self.data.append([places[i] for i in at])
+    """A shard's row with the columns that some questions need."""
+
+    def __init__(self, row: dict):
+        self.starts = [unpacked(x) for x in row["starts"]]
+        self.paths, self.names = row["paths"], row["names"]
+        self.data = {i: row[c] for i, c in enumerate(COLUMNS) if c in row}
+        self.open: dict[int, list] = {}
         self.seen: dict[tuple[str, int], np.ndarray] = {}
 
+    def _field(self, bucket: int, f: int) -> tuple:
+        if bucket not in self.open:
+            self.open[bucket] = _opened(self.data[bucket])
+        return self.open[bucket][f]
+
+    def _unpacked(self, bucket: int, f: int, i: int) -> np.ndarray:
+        ends = self._field(bucket, f)[2]
+        return unpacked(self.data[bucket][ends[i] : ends[i + 1]])
+
     def places(self, needle: str, f: int) -> np.ndarray:
         """Where a needle of at least one character stands, rising."""
-        p, runs = _points(needle), self.runs[f]
+        p = _points(needle)
         none = np.empty(0, np.int64)
         if len(p) < RUN:
             low = int(p[0]) << 42 | (int(p[1]) << 21 if len(p) > 1 else 0)
-            a, b = np.searchsorted(runs, [low, low + (1 << (21 if len(p) > 1 else 42))])
-            return np.sort(np.concatenate([unpacked(d) for d in self.data[f][a:b]])) if b > a else none
+            high, out = low + (1 << (21 if len(p) > 1 else 42)), []
+            for bucket in [bucket_of(low)] if len(p) > 1 else sorted(self.data):
+                a, b = np.searchsorted(self._field(bucket, f)[0], [low, high])
+                out += [self._unpacked(bucket, f, i) for i in range(a, b)]
+            return np.sort(np.concatenate(out)) if out else none
         offsets = np.unique(np.append(np.arange(0, len(p) - RUN + 1, RUN), len(p) - RUN))
-        wanted = p[offsets] << 42 | p[offsets + 1] << 21 | p[offsets + 2]
-        at = np.searchsorted(runs, wanted)
-        if not len(runs) or (runs[np.minimum(at, len(runs) - 1)] != wanted).any():
-            return none
+        found = []
+        for offset, run in zip(offsets.tolist(), (p[offsets] << 42 | p[offsets + 1] << 21 | p[offsets + 2]).tolist()):
+            bucket = bucket_of(run)
+            runs, n, _ = self._field(bucket, f)
+            i = int(np.searchsorted(runs, run))
+            if i == len(runs) or runs[i] != run:
+                return none
+            found.append((int(n[i]), offset, bucket, i))
         out = None
-        for i in np.argsort(self.sizes[f][at], kind="stable"):
-            here = unpacked(self.data[f][at[i]]) - offsets[i]
+        for _, offset, bucket, i in sorted(found):
+            here = self._unpacked(bucket, f, i) - offset
             if out is None:
                 out = here
             else:
@@ -173,47 +213,58 @@ class Shard:
         return n
 
 
-def _tile(n: int):
-    def run(postings: pa.Table, questions: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if postings.num_rows and questions.num_rows:
-            shard = Shard(postings)
-            by_name: dict[str, list[int]] = {}
-            for i, name in enumerate(shard.names):
-                by_name.setdefault(name, []).append(i)
-            in_shard = postings["shard"][0].as_py()
-            for qid, phrase, terms in zip(questions["qid"].to_pylist(), questions["phrase"].to_pylist(), questions["terms"].to_pylist()):
-                held = np.zeros(len(shard.paths), np.int64)
-                titled, first = held.copy(), np.full(len(held), -1)
-                for i in reversed(range(len(terms))):
-                    here = shard.pages(terms[i], 0)
-                    held[here] += 1
-                    first[here] = i
-                    titled[shard.pages(terms[i], 1)] += 1
-                occ = np.minimum(shard.occurrences(phrase), R.MOST_OCCURRENCES)
-                in_title = np.zeros(len(held), bool)
-                in_title[shard.pages(phrase, 1) if phrase else []] = True
-                named = np.zeros(len(held), bool)
-                named[by_name.get(phrase, [])] = True
-                score = R.FILE_NAME * named + R.PHRASE_IN_TITLE * in_title + R.PHRASE_IN_CONTENT * occ + R.TITLE_TOKEN * titled + R.CONTENT_TOKEN * held
-                good = np.flatnonzero(score > 0)
-                if len(good) > n:
-                    least = np.partition(score[good], len(good) - n)[len(good) - n]
-                    good = good[score[good] >= least]
-                best = sorted(good.tolist(), key=lambda i: (-score[i], shard.paths[i] is not None, shard.paths[i] or ""))[:n]
-                out += [(qid, in_shard, i, shard.paths[i], float(score[i]), bool(titled[i] or in_title[i]), phrase if occ[i] else terms[first[i]] if first[i] >= 0 else None) for i in best]
-        columns = zip(*out) if out else [[]] * 7
-        kinds = (questions.schema.field("qid").type, pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.bool_(), pa.string())
-        return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["qid", "shard", "doc", "path", "score", "title_match", "anchor"])
+def _answered(n: int, columns: list[str], kind: pa.DataType):
+    kinds = (kind, pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.bool_(), pa.string())
+    names = ["qid", "shard", "doc", "path", "score", "title_match", "anchor"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = {c: batch.column(i)[at].as_py() for i, c in enumerate(columns)}
+                out = _answers(Shard(row), row["questions"], n, row["shard"])
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=names)
 
     return run
 
 
-def _needed(needle: Column) -> Column:
-    """Of a needle, the runs that cover it (SQL of an array of longs); of a short one, nothing."""
-    code = "ascii(substr(needle, {i}, 1))"
-    run = " | ".join(f"shiftleft(cast({code.format(i=f'i + {k}')} as bigint), {42 - 21 * k})" for k in range(RUN))
-    return F.expr(f"CASE WHEN length(needle) >= {RUN} THEN transform(array_distinct(concat(sequence(1, length(needle) - {RUN - 1}, {RUN}), array(length(needle) - {RUN - 1}))), i -> {run}) END")
+def _answers(shard: Shard, questions: list[dict], n: int, number: int) -> list[tuple]:
+    """The best ``n`` pages of a shard for each question."""
+    by_name: dict[str, list[int]] = {}
+    for i, name in enumerate(shard.names):
+        by_name.setdefault(name, []).append(i)
+    out: list[tuple] = []
+    for question in questions:
+        phrase, terms = question["phrase"], question["terms"]
+        held = np.zeros(len(shard.paths), np.int64)
+        titled, first = held.copy(), np.full(len(held), -1)
+        for i in reversed(range(len(terms))):
+            here = shard.pages(terms[i], 0)
+            held[here] += 1
+            first[here] = i
+            titled[shard.pages(terms[i], 1)] += 1
+        occ = np.minimum(shard.occurrences(phrase), R.MOST_OCCURRENCES)
+        in_title = np.zeros(len(held), bool)
+        in_title[shard.pages(phrase, 1) if phrase else []] = True
+        named = np.zeros(len(held), bool)
+        named[by_name.get(phrase, [])] = True
+        score = R.FILE_NAME * named + R.PHRASE_IN_TITLE * in_title + R.PHRASE_IN_CONTENT * occ + R.TITLE_TOKEN * titled + R.CONTENT_TOKEN * held
+        good = np.flatnonzero(score > 0)
+        if len(good) > n:
+            least = np.partition(score[good], len(good) - n)[len(good) - n]
+            good = good[score[good] >= least]
+        best = sorted(good.tolist(), key=lambda i: (-score[i], shard.paths[i] is not None, shard.paths[i] or ""))[:n]
+        out += [(question["qid"], number, i, shard.paths[i], float(score[i]), bool(titled[i] or in_title[i]), phrase if occ[i] else terms[first[i]] if first[i] >= 0 else None) for i in best]
+    return out
+
+
+def _columns(needle: str) -> Column:
+    """The postings columns of a needle's runs (SQL of an array of ints); of a single character, all."""
+    code = lambda i: f"ascii(substr({needle}, {i}, 1))"
+    bucket = lambda i: f"cast(({code(i)} * 31 + {code(f'{i} + 1')}) % {BUCKETS} as int)"
+    last = f"length({needle}) - {RUN - 1}"
+    runs = f"transform(concat(sequence(1, {last}, {RUN}), array({last})), i -> {bucket('i')})"
+    return F.expr(f"CASE WHEN length({needle}) >= {RUN} THEN {runs} WHEN length({needle}) = 2 THEN array({bucket('1')}) WHEN length({needle}) = 1 THEN sequence(0, {BUCKETS - 1}) ELSE array() END")
 
 
 class TextIndex:
@@ -225,55 +276,39 @@ class TextIndex:
     @property
     def pages(self) -> DataFrame:
         """``path, title, content, shard, doc``."""
-        return self.spark.read.schema("path string, title string, content string, shard long, doc int").parquet(f"{self.path}/pages")
+        return self.spark.read.schema(f"{PAGE}, kind string").parquet(self.path).where("kind = 'pages'").drop("kind")
 
-    def postings(self, buckets: list[int] | None = None) -> DataFrame:
-        """Posting rows, of some folders alone if they are given; folder -1 has a head row for each shard and field."""
-        rows = self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings")
-        return rows if buckets is None else rows.where(F.col("bucket").isin([-1, *buckets]))
+    def shards(self, buckets: list[int] | None = None) -> DataFrame:
+        """A row for each shard, with the postings of all buckets or of those given."""
+        rows = self.spark.read.schema(f"{SHARD}, kind string").parquet(self.path).where("kind = 'shards'").drop("kind")
+        return rows if buckets is None else rows.select("shard", "starts", "paths", "names", *(f"b{i}" for i in buckets))
 
     @classmethod
     def build(cls, path: str, pages: DataFrame, shard_chars: int = SHARD_CHARS) -> TextIndex:
         """``pages``: ``path, file_name, content``."""
-        self = cls(pages.sparkSession, path)
         base = pages.where("content IS NOT NULL").select("path", "file_name", "content", page_title(F.col("content"), F.col("file_name")).alias("title"))
-        named = base.select(F.length("content").alias("chars"), "path", "title", "content", F.lower(F.regexp_replace("file_name", r"\.md$", "")).alias("name"), F.lower(F.concat_ws(" ", "title", "file_name")).alias("title_lower"))
-        dealt = named.mapInArrow(_shards(shard_chars), "path string, title string, content string, name string, title_lower string, shard long, doc int")
-        dealt.write.parquet(f"{self.path}/pages")
-        written = self.spark.read.schema(dealt.schema).parquet(f"{self.path}/pages")
-        each = written.select("shard", "doc", "path", "name", F.lower("content").alias("content_lower"), "title_lower")
-        postings = each.groupBy("shard").applyInArrow(_invert, POSTINGS)
-        partitions = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        postings.repartitionByRange(partitions, "bucket", "run", "shard").sortWithinPartitions("bucket", "run", "shard").write.partitionBy("bucket").parquet(f"{self.path}/postings")
-        runs = self.postings().where("bucket >= 0").select("run", "bucket").distinct()
-        runs.select("run", "bucket", F.shiftright("run", 42).alias("first"), F.shiftright("run", 21).alias("two")).write.parquet(f"{self.path}/runs")
-        return self
-
-    def search(self, questions: DataFrame, id_col: str = "qid", text_col: str = "text", n: int = R.TOP, few: int = 64) -> DataFrame:
-        """``qid, rank, path, title, title_match, score, snippet``: the ``n`` best pages of every question. Where at most ``few`` folders
-        are needed, they alone are read."""
+        named = base.select("path", "title", "content", F.lower(F.regexp_replace("file_name", r"\.md$", "")).alias("name"), F.lower("content").alias("content_lower"), F.lower(F.concat_ws(" ", "title", "file_name")).alias("title_lower"))
+        built = named.mapInArrow(_built(shard_chars), f"{PAGE}, {SHARD.split(', ', 1)[1]}, kind string")
+        # small row groups: a shard is a long row
+        built.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).partitionBy("kind").parquet(path)
+        return cls(pages.sparkSession, path)
+
+    def search(self, questions: DataFrame, id_col: str = "qid", text_col: str = "text", n: int = R.TOP) -> DataFrame:
+        """``qid, rank, path, title, title_match, score, snippet``: the ``n`` best pages of every question."""
         text = F.col(text_col)
         asked = questions.where(text.isNotNull()).select(F.col(id_col).alias("qid"), text.alias("question"))
         asked = asked.withColumn("phrase", R.query_phrase(F.col("question"))).withColumn("terms", R.query_terms(F.col("question")))
-        parts = max(1, -(-asked.count() // PART_QUESTIONS))
-        asked = asked.withColumn("part", F.pmod(F.xxhash64("qid", "question"), F.lit(parts)).cast("int"))
-        needles = asked.select("part", F.explode(F.array_distinct(F.concat("terms", F.array("phrase")))).alias("needle")).where("needle <> ''").distinct()
-        long = needles.select("part", F.explode(_needed(F.col("needle"))).alias("run"))
-        runs = self.spark.read.schema("run long, bucket int, first long, two long").parquet(f"{self.path}/runs")
-        point = lambda i: F.ascii(F.substring("needle", i, 1)).cast("long")
-        ones = needles.where("length(needle) = 1").select("part", point(1).alias("first")).distinct().join(runs, "first").select("part", "run")
-        twos = needles.where("length(needle) = 2").select("part", F.shiftleft(point(1), 21).bitwiseOR(point(2)).alias("two")).distinct().join(runs, "two").select("part", "run")
-        needed = long.union(ones).union(twos).distinct().join(runs.select("run", "bucket"), "run")
-        folders = [r.bucket for r in needed.select("bucket").distinct().limit(few + 1).collect()]
-        rows = self.postings(folders if len(folders) <= few else None)
-        # every part of the questions goes to every shard
-        each_part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
-        heads = rows.where("bucket = -1").select("shard", "run", "field", "n", "places", "paths", "names", each_part)
-        found = rows.where("bucket >= 0").join(needed.select("part", "run"), "run").select("shard", "run", "field", "n", "places", "paths", "names", "part")
-        dealt = asked.select("part", "qid", "phrase", "terms").join(self.postings([]).where("field = 0").select("shard", each_part), "part")
+        count = asked.count()
+        parts = max(1, -(-count // PART_QUESTIONS))
+        needles = asked.select(F.explode(F.array_distinct(F.concat("terms", F.array("phrase")))).alias("needle"))
+        buckets = sorted(r.b for r in needles.select(F.explode(_columns("needle")).alias("b")).distinct().collect())
+        packs = asked.select(F.pmod(F.xxhash64("qid", "question"), F.lit(parts)).cast("int").alias("part"), F.struct("qid", "phrase", "terms").alias("q")).groupBy("part").agg(F.collect_list("q").alias("questions"))
+        rows = self.shards(buckets).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        met = rows.join(F.broadcast(packs) if count <= FEW_QUESTIONS else packs, "part").drop("part")
         kind = dict(asked.dtypes)["qid"]
-        tiles = heads.unionByName(found).groupBy("part", "shard").cogroup(dealt.groupBy("part", "shard")).applyInArrow(_tile(n), f"qid {kind}, shard long, doc int, path string, score double, title_match boolean, anchor string")
+        arrow = questions.limit(0).select(F.col(id_col).alias("q")).toArrow().schema.field("q").type
+        found = met.mapInArrow(_answered(n, met.columns, arrow), f"qid {kind}, shard long, doc int, path string, score double, title_match boolean, anchor string")
         order = Window.partitionBy("qid").orderBy(F.desc("score"), "path", "shard", "doc")
-        top = tiles.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("path")
+        top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("path")
         texts = top.join(self.pages, ["shard", "doc"]).join(asked.select("qid", "question"), "qid")
         return texts.select("qid", "rank", "path", "title", "title_match", "score", R.snippet(F.col("content"), F.coalesce("anchor", "question")).alias("snippet"))

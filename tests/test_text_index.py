@@ -58,18 +58,19 @@ def test_every_user_turn_and_small_shards(spark, sf, monkeypatch):
     assert index.pages.select("shard").distinct().count() > 3
 
 
-def test_folders_read_shrink_with_the_needles(spark, index, monkeypatch):
-    asked, postings = [], index.postings
-    monkeypatch.setattr(index, "postings", lambda folders=None: asked.append(folders) or postings(folders))
-
-    def files(q):
-        asked.clear()
-        got = index.search(spark.createDataFrame([(1, q)], "qid int, text string")).orderBy("rank").collect()
-        return postings(asked[0]).select(F.input_file_name()).distinct().count(), [r.path for r in got]
-
-    few, found = files("xyz")
-    many, _ = files("attention weighs tokens, keys and values")
-    assert found == ["wiki/long.md"] and few < many < postings().select(F.input_file_name()).distinct().count()
+def test_columns_read_shrink_with_the_needles(spark, index, monkeypatch):
+    asked, shards = [], index.shards
+    monkeypatch.setattr(index, "shards", lambda buckets=None: asked.append(buckets) or shards(buckets))
+
+    def columns(q):
+        got = index.search(spark.createDataFrame([(1, q)], "qid int, text string")).orderBy("rank")
+        return len(asked.pop()), [r.path for r in got.collect()], got._jdf.queryExecution().executedPlan().toString()
+
+    few, found, plan = columns("xyz")
+    many, _, _ = columns("attention weighs tokens, keys and values")
+    assert found == ["wiki/long.md"] and 1 <= few < many < T.BUCKETS and columns("a.b c")[0] <= T.BUCKETS
+    held = {c for c in T.COLUMNS if f"{c}:binary" in plan}
+    assert len(held) <= few  # of the postings, the scan reads those columns alone
 
 
 def test_empty_index_and_no_questions(spark, index):
