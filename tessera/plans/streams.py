@@ -8,6 +8,7 @@ from tessera.plans.corpus import table
 from tessera.plans.registry import query
 from tessera.session import shared_dir
 from tessera.streaming import queues as S
+from tessera.streaming import task_queue as Q
 
 
 def _events(spark, sf_dir, per_trigger: int | None = None):
@@ -20,11 +21,11 @@ def _events(spark, sf_dir, per_trigger: int | None = None):
 COMMANDS = {"view": "enqueue", "signup": "enqueue", "click": "start", "error": "fail", "purchase": "finish"}
 
 
-def _commands(events):
+def _commands(events, *more):
     c = F.lit("restore")
     for k, v in COMMANDS.items():
         c = F.when(F.col("event_type") == k, v).otherwise(c)
-    return events.select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), c.alias("command"))
+    return events.select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), c.alias("command"), *more)
 
 
 STEPS = """
@@ -47,6 +48,17 @@ def queue_states(spark, sf_dir):
     return S.latest(out, "task_id")
 
 
+@query("task_queue", f"WITH RECURSIVE {STEPS.strip()} SELECT task_id, CASE WHEN s = '' THEN 'done' ELSE s END AS status, r AS retries, n AS n_commands FROM states")
+def task_queue(spark, sf_dir):
+    """The same tasks in a processor that takes commands in any order, one file a batch; no row is late within the table's span."""
+    e = table(spark, sf_dir, "events").agg(F.max("ts").alias("b"), F.min("ts").alias("a")).first()
+    hours = int((e.b - e.a).total_seconds() // 3600) + 24 if e.a else 24
+    commands = lambda x: _commands(x, F.col("ts").cast("timestamp").alias("ts"))
+    with Q.timed_state(spark):
+        out = S.replay(_events(spark, sf_dir, 1), lambda x: Q.task_states(commands(x), f"{hours} hours", keep=(hours + 1) * 3600 * 1000), shared_dir(spark, "tasks"), shared_dir(spark, "tasks-checkpoint"), "update")
+    return Q.newest_states(out)
+
+
 @query("queue_summary", f"WITH RECURSIVE {STEPS.strip()} SELECT count(*) FILTER (WHERE s = 'pending') AS pending, count(*) FILTER (WHERE s = 'processing') AS processing, count(*) FILTER (WHERE s = 'failed') AS failed, count(*) AS total FROM states WHERE s <> ''")
 def queue_summary(spark, sf_dir):
     return S.queue_summary(queue_states(spark, sf_dir).where("status <> 'done'"))

@@ -112,6 +112,18 @@ class KeyedTable(Versions):
     def update(self, change: Callable[[dict], dict | None]) -> int:
         raise TypeError("change rows by upsert, delete or replace")
 
+    def _keep(self, change: Callable[[dict], dict | None]) -> int:
+        """Change what a state holds beside its folders."""
+        while True:
+            v = self.newest()
+            state = change(self.state(v))
+            if state is None:
+                return v
+            try:
+                return self.commit(v, state)
+            except Conflict:
+                continue
+
     def _write(self, rows: DataFrame, n: int, size: int) -> dict[str, str]:
         """Rows by bucket in a new folder: bucket -> folder. A large bucket is several files, written by several tasks."""
         name, files = f"rows/{uuid.uuid4().hex}", max(1, size // (FILE_ROWS * n))
@@ -120,8 +132,9 @@ class KeyedTable(Versions):
         found = [f.getPath().getName() for f in self._fs.listStatus(self._path(f"{self.root}/{name}"))]
         return {f[3:]: f"{name}/{f}" for f in found if f.startswith("_b=")}
 
-    def _change(self, keys: DataFrame, change: Callable[[DataFrame], DataFrame]) -> int:
-        """Replace the rows in the buckets of ``keys`` (a column) by ``change`` of them. Returns the version."""
+    def _change(self, keys: DataFrame, change: Callable[[DataFrame], DataFrame], extra: Callable[[dict], dict] | None = None) -> int:
+        """Replace the rows in the buckets of ``keys`` (a column) by ``change`` of them. ``extra`` gives what else the version holds, from
+        the state before it. Returns the version."""
         while True:
             base = self.newest()
             state = self.state(base)
@@ -134,13 +147,13 @@ class KeyedTable(Versions):
             while True:
                 rest = {b: f for b, f in folders.items() if b not in touched}
                 try:
-                    return self.commit(base, {"n": n, "folders": rest | new, "at": time.time()})
+                    return self.commit(base, {**state, "n": n, "folders": rest | new, "at": time.time(), **(extra(state) if extra else {})})
                 except Conflict:
                     now = self.newest()
                     latest = self.state(now)
                     if latest.get("n", n) != n or any(latest.get("folders", {}).get(b) != folders.get(b) for b in touched):
                         break  # the same buckets: once more from the start
-                    base, folders = now, latest["folders"]
+                    base, state, folders = now, latest, latest.get("folders", {})
 
     def upsert(self, incoming: DataFrame) -> int:
         """All rows of the keys that come replaced by them. Doing it twice is doing it once."""
@@ -156,7 +169,7 @@ class KeyedTable(Versions):
     def replace(self, df: DataFrame) -> int:
         """The whole table; it wins over whatever was there."""
         new = self._write(df, self.buckets, df.count())
-        return Versions.update(self, lambda _: {"n": self.buckets, "folders": new, "at": time.time()})
+        return self._keep(lambda state: {**state, "n": self.buckets, "folders": new, "at": time.time()})
 
     def count(self) -> int:
         return self.read().count()
