@@ -14,88 +14,6 @@ from tessera.plans.corpus import table, web_nodes
 from tessera.plans.registry import query
 
 
-def literal_rows(spark, rows: list[tuple], names: list[str]):
-    """A table of literals, in the plan itself."""
-    one = lambda r: F.struct(*(F.lit(v).alias(n) for v, n in zip(r, names)))
-    return spark.range(1).select(F.explode(F.array(*map(one, rows))).alias("x")).select("x.*")
-
-
-def values(rows: list[tuple], names: list[str]) -> str:
-    """The same as DuckDB VALUES."""
-    cell = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"
-    return f"(VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) t({', '.join(names)})"
-
-
-LABELS = [("entity", "Entity"), (" Concept ", "Concept"), ("QUERY", "Query"), ("source", "Source"), ("thesis", "Thesis"), ("finding", "Finding"), ("event", "Event"), ("overview", "Overview"), ("other", "Page"), ("", "Page")]
-
-
-@query("type_labels", f"SELECT kind, label FROM {values(LABELS, ['kind', 'label'])}")
-def type_labels(spark, sf_dir):
-    return literal_rows(spark, LABELS, ["kind", "_"]).select("kind", T.type_label(F.col("kind")).alias("label"))
-
-
-IMAGES = [
-    ("https://x.org/a.png", "https://x.org/a.png", None), ("DATA:image/png;base64,AA", "DATA:image/png;base64,AA", None), ("/abs/a.png", "/abs/a.png", None), ("C:\\d\\a.png", "C:\\d\\a.png", None),
-    ("media/rope/img-1.png", "/w/p/wiki/media/rope/img-1.png", "rope"), ("./media/a b/i.png", "/w/p/wiki/media/a b/i.png", "a b"), ("../x.png", "/w/p/wiki/../x.png", None), ("/home/u/wiki/media/s/i.png", "/home/u/wiki/media/s/i.png", "s"), ("", "", None),
-]
-
-
-@query("image_sources", f"SELECT src, resolved, slug, src AS unbased FROM {values(IMAGES, ['src', 'resolved', 'slug'])}")
-def image_sources(spark, sf_dir):
-    """Where images lie, and which source's media folder holds them; without a project sources stay as they are."""
-    src = F.col("src")
-    return literal_rows(spark, [r[:1] for r in IMAGES], ["src"]).select("src", T.image_src(src, F.lit("/w\\p")).alias("resolved"), T.media_slug(src).alias("slug"), T.image_src(src, F.lit(None).cast("string")).alias("unbased"))
-
-
-METADATA = [
-    ("English", "English", "en", "ltr", "latin"), ("Arabic", "Arabic / العربية", "ar", "rtl", "arabic"), ("Persian", "Persian (Farsi / فارسی)", "fa", "rtl", "arabic"), ("Hebrew", "Hebrew / עברית", "he", "rtl", "other"),
-    ("Japanese", "Japanese", "ja", "ltr", "cjk"), ("Traditional Chinese", "Traditional Chinese", "zh-Hant", "ltr", "cjk"), ("Russian", "Russian", None, "ltr", "latin"), ("", "English", None, "ltr", "latin"),
-]
-META_NAMES = ["language", "prompt_name", "html_lang", "direction", "script_family"]
-
-
-@query("language_metadata", f"SELECT * FROM {values(METADATA, META_NAMES)}")
-def language_metadata(spark, sf_dir):
-    return literal_rows(spark, [r[:1] for r in METADATA], ["language"]).select("language", L.language_metadata(F.col("language")).alias("m")).select("language", "m.*")
-
-
-LONG_EN, LONG_ZH, LONG_AR = "a page of plain words that is long enough to be judged", "这是一个相当长的中文页面它有足够多的字可以用来判断它是哪一种语言", "هذا نص طويل بما يكفي للحكم على لغته من دون أي شك"
-MATCHES = [
-    (LONG_EN, "English", True), (LONG_EN, "French", True), (LONG_EN, "Chinese", False), (LONG_ZH, "Japanese", True), (LONG_ZH, "English", False), (LONG_AR, "Arabic", True), (LONG_AR, "Persian", False),
-    (LONG_AR, "English", False), (LONG_EN, "Arabic", False), ("short 短", "English", True), ("---\ntitle: x\n---\n" + LONG_ZH, "English", False), ("```" + LONG_ZH + "``` code", "English", True), ("$$" + LONG_ZH + "$$ " + LONG_EN, "English", True),
-]
-
-
-@query("language_matches", f"SELECT content, target, fits = 1 AS fits FROM {values([(c, t, int(ok)) for c, t, ok in MATCHES], ['content', 'target', 'fits'])}")
-def language_matches(spark, sf_dir):
-    rows = literal_rows(spark, [r[:2] for r in MATCHES], ["content", "target"])
-    return rows.select("content", "target", L.language_matches(F.col("content"), F.col("target")).alias("fits"))
-
-
-STREAM = [
-    ('data: {"choices":[{"delta":{"reasoning_content":"a\\\\nb","reasoning":"c"}}]}', "a\nb|c", 5), ('data: {"delta":{"type":"thinking_delta","thinking":"t","text":"u"}}', "t|u", 0), ('data: {"delta":{"type":"text_delta","thinking":"t"}}', "", 0),
-    ('data: {"candidates":[{"content":{"parts":[{"text":"x","thought":true},{"text":"y"}]}}]}', "x", 0), ("data: [DONE]", "", 0), ("event: ping", "", 0), ("data: {broken", "", 0), ('  data: {"choices":[]}  ', "", 0),
-]
-STREAM = [(a.replace("\\\\n", "\\n"), b, c) for a, b, c in STREAM]
-
-
-@query("reasoning_of_streams", f"SELECT line, texts, chars FROM {values(STREAM, ['line', 'texts', 'chars'])}")
-def reasoning_of_streams(spark, sf_dir):
-    line = F.col("line")
-    return literal_rows(spark, [r[:1] for r in STREAM], ["line"]).select("line", F.array_join(N.reasoning_texts(line), "|").alias("texts"), N.reasoning_chars(line).alias("chars"))
-
-
-SHOWN = [
-    ("see [[a|the a]] and [[b]]", "see [the a](wikilink:a) and [b](wikilink:b)"), ("broken [[c] here", "broken [c](wikilink:c) here"), ("angle \\alpha, $\\alpha$", "angle α, $\\alpha$"),
-    ("\\begin{x}1\\end{x}", "$$\n\\begin{x}1\\end{x}\n$$"), ("$$\\begin{x}1\\end{x}$$", "$$\\begin{x}1\\end{x}$$"), ("plain", "plain"),
-]
-
-
-@query("shown_markdown", f"SELECT source, shown FROM {values(SHOWN, ['source', 'shown'])}")
-def shown_markdown(spark, sf_dir):
-    return literal_rows(spark, [r[:1] for r in SHOWN], ["source"]).select("source", M.apply_text(M.display_markdown)("source").alias("shown"))
-
-
 @query(
     "name_functions",
     """SELECT doc_id, lang || '-n-' || doc_id || '-2024-05-06-070809.md' AS query_file, 'history/wiki_d_' || doc_id || '.md.2024-05-06T07-08-09.md' AS backup,
@@ -221,60 +139,3 @@ def redirected_lists(spark, sf_dir):
     to = F.create_map(F.lit("a"), F.lit("b"), F.lit("c2"), F.lit("c"))
     have = F.when(F.col("doc_id") % 2 == 0, F.array(*map(F.lit, ("a", "b", "C", "c2")))).otherwise(F.array(*map(F.lit, ("a", "C", "c2", "z"))))
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(H.redirected(have, to), ",").alias("related"))
-
-
-#: Text functions: name, what it is given, what it must give. A function of several arguments has them here.
-TEXTS = [
-    ("linked_markdown", M.linked_markdown, [("a [[x|the x]] `[[y]]` [[z w]]", "a [the x](#x) `[[y]]` [z w](#z%20w)"), ("```\n[[q]]\n```", "```\n[[q]]\n```")]),
-    ("latex_as_unicode", M.latex_as_unicode, [("so $\\alpha \\leq \\beta$.", "so α ≤ β."), ("$\\frac{1}{2}$ and $$\\infty$$", "$\\frac{1}{2}$ and ∞"), ("5$", "5$")]),
-    ("sanitized", M.sanitized, [("```markdown\n---\na: b\n---\nx\n```", "---\na: b\n---\nx"), ("frontmatter:\n---\nrelated: [[a]], [[b]]\n---\nx", '---\nrelated: ["[[a]]", "[[b]]"]\n---\nx'), ("plain", "plain")]),
-    ("first_json_object", M.first_json_object, [('```json\n{"a": "}", "b": {"c": 1}} more', '{"a": "}", "b": {"c": 1}}'), ("none", ""), ('x {"a": 1} {"b": 2}', '{"a": 1}'), ('{"open": 1', "")]),
-    ("set_scalar", lambda t: M.set_scalar(t, "updated", "d2"), [("---\ntitle: T\nupdated: d1\n---\nx", "---\ntitle: T\nupdated: d2\n---\nx"), ("---\ntitle: T\n---\nx", "---\ntitle: T\nupdated: d2\n---\nx"), ("x", "x")]),
-    ("write_list", lambda t: M.write_list(t, "tags", ["a", "b"]), [("---\ntags:\n  - x\n  - y\nz: 1\n---\nt", '---\ntags: ["a", "b"]\nz: 1\n---\nt'), ("---\nz: 1\n---\nt", '---\nz: 1\ntags: ["a", "b"]\n---\nt'), ("t", "t")]),
-    ("read_list", lambda t: "|".join(M.read_list(t, "tags")), [("---\ntags:\n  - x\n  - \"y z\"\n---\n", "x|y z"), ("---\ntags: [a, 'b']\n---\n", "a|b"), ("tags: [a]", "")]),
-    ("union_lists", lambda t: M.union_lists(t, "---\ntags: [A, c]\n---\n"), [("---\ntags: [a, b]\n---\n", '---\ntags: ["A", "c", "b"]\n---\n')]),
-    ("merge_page", lambda t: M.merge_page(t, "---\ntitle: Old\nsources: [a]\n---\nbody", lambda o, n: n.replace("new", "both"), "d"), [("---\ntitle: New\nsources: [b]\n---\nnew body", '---\ntitle: Old\nsources: ["a", "b"]\nupdated: d\n---\nboth body'), ("---\ntitle: New\nsources: [b]\n---\nbody", '---\ntitle: New\nsources: ["a", "b"]\n---\nbody')]),
-    ("enriched", lambda t: M.enriched(t, [("rope", "rope"), ("KV cache", "kv-cache"), ("rope", "rope")]), [("a rope and a rope, KV cache", "a [[rope]] and a rope, [[kv-cache|KV cache]]"), ("[[rope]] rope", "[[rope]] [[rope]]"), ("---\nt: rope\n---\nx", "---\nt: rope\n---\nx")]),
-    ("redirected", lambda t: M.redirected(t, {"a": "b"}), [("[[a]] [[a|x]] [[c]]", "[[b]] [[b|x]] [[c]]"), ("---\nrelated: [a, B]\n---\n", '---\nrelated: ["b"]\n---\n')]),
-    ("without_entries", lambda t: M.without_entries(t, ["gone"]), [("- [[gone|x]]\n- [[stays]]\n- (a/gone.md)\n- begone.mdx", "- [[stays]]\n- begone.mdx")]),
-    ("research_topic", lambda t: "|".join([M.research_topic(t, "d")[0], *M.research_topic(t, "d")[1]]), [("TOPIC: Ropes\nQUERY: a\nQUERY: b \nQUERY: c\nQUERY: e", "Ropes|a|b|c"), ("nothing", "d|d")]),
-    ("lint_blocks", lambda t: "|".join(f"{b['type']},{b['severity']},{b['title']},{b['detail']},{'+'.join(b['pages'])}" for b in M.lint_blocks(t)), [("---LINT: stale | Warning | Old dates ---\nsee\nPAGES: a.md, b.md\n---END LINT---\nx\n---LINT: gap | info | No page---\ny---END LINT---", "stale,warning,Old dates,see,a.md+b.md|gap,info,No page,y,"), ("---LINT: open | info | x ---\n", "")]),
-    ("review_blocks", lambda t: "|".join(f"{b['type']},{b['title']},{b['description']},{'+'.join(b['options'])}" for b in M.review_blocks(t)), [("---REVIEW: Duplicate | A | B ---\nboth\nOPTIONS: Merge | Keep\n---END REVIEW---", "duplicate,A | B,both,Merge+Keep"), ("---REVIEW: odd | T ---\n---END REVIEW---", "confirm,T,,Approve+Skip"), ("---REVIEW: x ---\n---END REVIEW---", "")]),
-    ("sse_lines", lambda t: "|".join(M.sse_lines([t[:7], t[7:]])), [("data: {\"a\":1}\nevent: x\ndata: [DONE]\n", '{"a":1}|[DONE]'), ("data:tail", "tail")]),
-]
-TEXT_ROWS = [(name, given, want) for name, _, cases in TEXTS for given, want in cases]
-
-
-@query("text_functions", f"SELECT f, given, got FROM {values(TEXT_ROWS, ['f', 'given', 'got'])}")
-def text_functions(spark, sf_dir):
-    """What the sequential text functions make of one text each, through Arrow batches."""
-    rows = literal_rows(spark, [r[:2] for r in TEXT_ROWS], ["f", "given"])
-    got = F.lit(None).cast("string")
-    for name, f, _ in TEXTS:
-        got = F.when(F.col("f") == name, M.apply_text(f)("given")).otherwise(got)
-    return rows.select("f", "given", got.alias("got"))
-
-
-COLUMNS = [
-    ("strip_thinking", "<think>a\nb</think> c <thinking>d", "c"), ("thinking", "<think>a</think> b <thinking>c", "a|c"), ("entities", "&amp;lt; &quot;x&#39;s&apos; &#x27;", "< \"x's' '"), ("category", "a/b.TSX", "code"), ("category", "x.parquet", "unknown"),
-    ("category", "r.PDF", "pdf"), ("category", "d.key", "document"), ("phrase", " 「默会知识」。 ", "「默会知识」"), ("phrase", "(Attention!?)", "attention!?"), ("terms", "the of", "the of"), ("terms", "Rope scaling", "rope|scaling"),
-    ("action", "wiki/log.md", "append"), ("action", "wiki/index.md", "overwrite"), ("action", "wiki/concepts/a.md", "merge"), ("stem", "a/.hidden", ".hidden"), ("stem", "a/b.tar.gz", "b.tar"), ("crumbs", "raw//sources\\x.md", "raw > sources"), ("slug", "  Café & KV-Cache ②! ", "Café-KV-Cache-②".lower()),
-]
-
-
-@query("column_functions", f"SELECT f, given, got FROM {values(COLUMNS, ['f', 'given', 'got'])}")
-def column_functions(spark, sf_dir):
-    """What column expressions make of one text each."""
-    from tessera.operators import retrieval as R
-
-    x = F.col("given")
-    made = {
-        "strip_thinking": T.strip_thinking(x), "thinking": F.array_join(T.thinking(x), "|"), "entities": T.decode_entities(x), "category": T.file_category(x), "phrase": R.query_phrase(x), "terms": F.array_join(R.query_terms(x), "|"),
-        "stem": T.file_stem(x), "crumbs": T.breadcrumb(x), "slug": T.unicode_slug(x),
-    }
-    rows = literal_rows(spark, [r[:2] for r in COLUMNS], ["f", "given"])
-    routed = N.route(rows.select("f", "given", x.alias("path"), F.lit("x").alias("content")))
-    got = F.col("action")
-    for name, c in made.items():
-        got = F.when(F.col("f") == name, c).otherwise(got)
-    return routed.select("f", "given", got.alias("got"))

@@ -120,21 +120,3 @@ def normalised_keys(spark, sf_dir):
         "doc_id", F.md5(T.review_title(F.concat(F.lit("Missing page: "), t))).alias("review_title"), F.md5(T.link_key(t)).alias("link_key"),
         T.group_key(F.array("source", "lang", F.lit("B"))).alias("group_key"), T.truncated(t, 60).alias("summary"), F.sha2("text", 256).alias("hash"),
     )
-
-
-
-PATHS = [
-    "wiki/entities/a-b.md", "wiki/../x.md", "/etc/x", "C:\\\\docs\\\\r.pdf", "wiki/concepts/kv cache.md", "raw/sources/deck.pptx", "a//b///c.tar.gz", ".hidden", "wiki/media/p/img-1.png", "notes.txt", "data/table.csv", "clip.MP4", "",
-]
-
-
-@query(
-    "path_functions",
-    "SELECT p, regexp_replace(replace(p, '\\', '/'), '/{2,}', '/', 'g') AS path, regexp_matches(replace(p, '\\', '/'), '^wiki/.') AND NOT regexp_matches(replace(p, '\\', '/'), '(^|/)\\.\\.(/|$)') AS safe, regexp_matches(p, '^[\\p{L}\\p{N}_.-]{1,256}$') AS page_id FROM (SELECT unnest(["
-    + ", ".join(f"'{p.replace(chr(92) * 2, chr(92))}'" for p in PATHS)
-    + "]) AS p)",
-)
-def path_functions(spark, sf_dir):
-    p = F.col("p")
-    names = spark.range(1).select(F.explode(F.array(*(F.lit(x.replace("\\\\", "\\")) for x in PATHS))).alias("p"))
-    return names.select("p", T.normalize_path(p).alias("path"), T.is_safe_page_path(p).alias("safe"), T.is_page_id(p).alias("page_id"))
