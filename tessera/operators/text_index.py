@@ -30,7 +30,7 @@ from tessera.functions.text import page_title
 from tessera.operators import retrieval as R
 
 #: Characters and pages of a shard (a longer page is a shard of its own), questions of a part, and columns of postings.
-SHARD_CHARS, SHARD_PAGES, PART_QUESTIONS, BUCKETS = 1_000_000, 4096, 1024, 32
+SHARD_CHARS, SHARD_PAGES, PART_QUESTIONS, BUCKETS = 500_000, 2048, 1024, 32
 #: Questions beyond this are not broadcast.
 FEW_QUESTIONS = 16_384
 RUN = 3
@@ -45,16 +45,7 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
 
 
-def packed(places: np.ndarray) -> bytes:
-    """Rising places as differences of the least width that holds them; the first byte is the width."""
-    steps = np.diff(places, prepend=0)
-    most = int(steps.max()) if len(steps) else 0
-    width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w - (w == 8)))
-    return bytes([width]) + steps.astype(f"<u{width}").tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64).cumsum()
+WIDTHS = (1, 2, 4, 8)
 
 
 def bucket_of(run: np.ndarray | int) -> np.ndarray | int:
@@ -64,49 +55,73 @@ def bucket_of(run: np.ndarray | int) -> np.ndarray | int:
 
 
 def inverted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of a field of a shard: (run, first posting, places sorted by run, starts of the pages)."""
+    """Runs of a field of a shard, sorted: the runs, where each one's places begin, all places, and the starts of the pages."""
     points = [np.append(_points(t), [BLANK, BLANK]) for t in texts]
-    starts = np.concatenate([[0], np.cumsum([len(p) for p in points])[:-1]]) if points else np.empty(0, np.int64)
+    starts = np.concatenate([[0], np.cumsum([len(p) for p in points])[:-1]]).astype(np.int64) if points else np.empty(0, np.int64)
     p = np.concatenate([*points, [BLANK, BLANK]]) if points else np.empty(0, np.int64)
-    run = p[:-2] << 42 | p[1:-1] << 21 | p[2:]
     at = np.flatnonzero(p[:-2] != BLANK)
-    order = at[np.argsort(run[at], kind="stable")]
-    runs, first = np.unique(run[order], return_index=True)
-    return runs, first, order, starts.astype(np.int64)
-
-
-def _bytes(parts: list[tuple[np.ndarray, np.ndarray, list[bytes]]]) -> bytes:
-    """Postings of one bucket, for each field (runs, how many places, packed places), as one value."""
+    letters, code = np.unique(p, return_inverse=True)
+    k, bits = max(1, len(letters)), max(1, int(len(p)).bit_length())
+    if k**3 << bits < 1 << 63:  # run and place in one number, which sorts fast
+        run = (code[:-2] * k + code[1:-1]) * k + code[2:]
+        both = np.sort(run[at] << bits | at)
+        order, run = both & ((1 << bits) - 1), both >> bits
+        first = np.flatnonzero(np.diff(run, prepend=-1))
+        at = order[first]
+    else:
+        run = p[:-2] << 42 | p[1:-1] << 21 | p[2:]
+        order = at[np.argsort(run[at], kind="stable")]
+        first = np.flatnonzero(np.diff(run[order], prepend=-1))
+        at = order[first]
+    return p[at] << 42 | p[at + 1] << 21 | p[at + 2], first, order, starts
+
+
+def bucketed(runs: np.ndarray, first: np.ndarray, places: np.ndarray) -> list[bytes]:
+    """Postings by bucket, and in it by the width that the differences of a run's places need: how many runs, the runs, how many
+    places each has, and the differences of all."""
+    n = np.diff(np.append(first, len(places)))
+    steps = np.diff(places, prepend=0)
+    steps[first] = places[first]
+    most = np.maximum.reduceat(steps, first) if len(first) else np.empty(0, np.int64)
+    width, bucket = np.searchsorted([1 << 8, 1 << 16, 1 << 32], most, "right"), bucket_of(runs)
+    order = np.lexsort((runs, width, bucket))
+    n, runs, kind = n[order], runs[order], bucket[order] * len(WIDTHS) + width[order]
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    steps = steps[np.repeat(first[order] - np.append(0, ends[:-1]), n) + np.arange(total)] if total else steps
+    cut = np.searchsorted(kind, np.arange(BUCKETS * len(WIDTHS) + 1))
+    edge = np.append(0, ends)
     out = []
-    for runs, n, places in parts:
-        out += [np.array([len(runs)], "<i8").tobytes(), runs.astype("<i8").tobytes(), n.astype("<i8").tobytes(), np.array([len(p) for p in places], "<i8").tobytes(), *places]
-    return b"".join(out)
+    for b in range(BUCKETS):
+        parts = []
+        for w, size in enumerate(WIDTHS):
+            i, j = cut[b * len(WIDTHS) + w], cut[b * len(WIDTHS) + w + 1]
+            parts += [np.array([j - i, edge[j] - edge[i]], "<i8").tobytes(), runs[i:j].astype("<i8").tobytes(), n[i:j].astype("<i4").tobytes(), steps[edge[i] : edge[j]].astype(f"<u{size}").tobytes()]
+        out.append(b"".join(parts))
+    return out
 
 
-def _opened(data: bytes) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each field: runs, how many places, where their bytes begin and end."""
+def opened(data: bytes) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of one field's postings in a bucket, for each width: runs, where each one's differences begin and end, and those."""
     out, at = [], 0
-    for _ in (0, 1):
-        k = int(np.frombuffer(data, "<i8", 1, at)[0])
-        runs, n, sizes = (np.frombuffer(data, "<i8", k, at + 8 + 8 * k * i) for i in range(3))
-        at += 8 + 24 * k
-        ends = at + np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        at = int(ends[-1])
-        out.append((runs, n, ends))
+    for size in WIDTHS:
+        k, total = (int(x) for x in np.frombuffer(data, "<i8", 2, at))
+        runs, n = np.frombuffer(data, "<i8", k, at + 16), np.frombuffer(data, "<i4", k, at + 16 + 8 * k)
+        at += 16 + 12 * k
+        out.append((runs, np.append(0, np.cumsum(n, dtype=np.int64)), np.frombuffer(data, f"<u{size}", total, at)))
+        at += size * total
     return out
 
 
 def _shard_row(shard: int, pages: list[tuple]) -> dict:
     """``pages``: path, title, content, name, content_lower, title_lower."""
-    starts, buckets = [], [[] for _ in COLUMNS]
+    starts, fields = [], []
     for f in (4, 5):
-        runs, first, order, at = inverted([p[f] for p in pages])
-        starts.append(packed(at))
-        ends, which = np.append(first[1:], len(order)), bucket_of(runs)
-        for i, own in enumerate(buckets):
-            mine = np.flatnonzero(which == i)
-            own.append((runs[mine], ends[mine] - first[mine], [packed(order[a:b]) for a, b in zip(first[mine].tolist(), ends[mine].tolist())]))
-    return {"shard": shard, "starts": starts, "paths": [p[0] for p in pages], "names": [p[3] for p in pages]} | {c: _bytes(b) for c, b in zip(COLUMNS, buckets)}
+        runs, first, places, at = inverted([p[f] for p in pages])
+        starts.append(at.astype("<i8").tobytes())
+        fields.append(bucketed(runs, first, places))
+    both = {c: len(x).to_bytes(8, "little") + x + y for c, x, y in zip(COLUMNS, *fields)}
+    return {"shard": shard, "starts": starts, "paths": [p[0] for p in pages], "names": [p[3] for p in pages]} | both
 
 
 def _built(most_chars: int):
@@ -137,127 +152,159 @@ def _built(most_chars: int):
     return run
 
 
+class Needle:
+    """A needle's runs and where they stand in it, worked out once for all shards."""
+
+    def __init__(self, text: str):
+        p = _points(text)
+        self.short = None
+        if len(p) < RUN:
+            low = int(p[0]) << 42 | (int(p[1]) << 21 if len(p) > 1 else 0)
+            self.short = low, low + (1 << (21 if len(p) > 1 else 42)), [bucket_of(low)] if len(p) > 1 else list(range(BUCKETS))
+        else:
+            offsets = np.unique(np.append(np.arange(0, len(p) - RUN + 1, RUN), len(p) - RUN))
+            self.runs = list(zip(offsets.tolist(), (p[offsets] << 42 | p[offsets + 1] << 21 | p[offsets + 2]).tolist()))
+
+
 class Shard:
     """A shard's row with the columns that some questions need."""
 
     def __init__(self, row: dict):
-        self.starts = [unpacked(x) for x in row["starts"]]
+        self.starts = [np.frombuffer(x, "<i8") for x in row["starts"]]
         self.paths, self.names = row["paths"], row["names"]
-        self.data = {i: row[c] for i, c in enumerate(COLUMNS) if c in row}
-        self.open: dict[int, list] = {}
-        self.seen: dict[tuple[str, int], np.ndarray] = {}
-
-    def _field(self, bucket: int, f: int) -> tuple:
-        if bucket not in self.open:
-            self.open[bucket] = _opened(self.data[bucket])
-        return self.open[bucket][f]
-
-    def _unpacked(self, bucket: int, f: int, i: int) -> np.ndarray:
-        ends = self._field(bucket, f)[2]
-        return unpacked(self.data[bucket][ends[i] : ends[i + 1]])
-
-    def places(self, needle: str, f: int) -> np.ndarray:
+        self.at: list[dict[int, tuple[np.ndarray, int, int]]] = [{}, {}]
+        self.sorted: list[dict[int, np.ndarray]] = [{}, {}]
+        for b, c in enumerate(COLUMNS):
+            if c in row:
+                cut = 8 + int.from_bytes(row[c][:8], "little")
+                for f, data in enumerate((row[c][8:cut], row[c][cut:])):
+                    found = opened(data)
+                    for runs, ends, steps in found:
+                        e = ends.tolist()
+                        self.at[f].update(zip(runs.tolist(), zip([steps] * len(runs), e, e[1:])))
+                    self.sorted[f][b] = np.sort(np.concatenate([runs for runs, _, _ in found]))
+        self.open: list[dict[int, np.ndarray]] = [{}, {}]
+
+    def _places(self, run: int, f: int) -> np.ndarray:
+        got = self.open[f].get(run)
+        if got is None:
+            steps, a, b = self.at[f][run]
+            got = self.open[f][run] = np.cumsum(steps[a:b], dtype=np.int64)
+        return got
+
+    def places(self, needle: Needle, f: int) -> np.ndarray:
         """Where a needle of at least one character stands, rising."""
-        p = _points(needle)
-        none = np.empty(0, np.int64)
-        if len(p) < RUN:
-            low = int(p[0]) << 42 | (int(p[1]) << 21 if len(p) > 1 else 0)
-            high, out = low + (1 << (21 if len(p) > 1 else 42)), []
-            for bucket in [bucket_of(low)] if len(p) > 1 else sorted(self.data):
-                a, b = np.searchsorted(self._field(bucket, f)[0], [low, high])
-                out += [self._unpacked(bucket, f, i) for i in range(a, b)]
+        none, known = np.empty(0, np.int64), self.at[f]
+        if needle.short:
+            low, high, buckets = needle.short
+            out = []
+            for b in buckets:
+                runs = self.sorted[f][b]
+                out += [self._places(int(r), f) for r in runs[np.searchsorted(runs, low) : np.searchsorted(runs, high)]]
             return np.sort(np.concatenate(out)) if out else none
-        offsets = np.unique(np.append(np.arange(0, len(p) - RUN + 1, RUN), len(p) - RUN))
         found = []
-        for offset, run in zip(offsets.tolist(), (p[offsets] << 42 | p[offsets + 1] << 21 | p[offsets + 2]).tolist()):
-            bucket = bucket_of(run)
-            runs, n, _ = self._field(bucket, f)
-            i = int(np.searchsorted(runs, run))
-            if i == len(runs) or runs[i] != run:
+        for offset, run in needle.runs:
+            held = known.get(run)
+            if held is None:
                 return none
-            found.append((int(n[i]), offset, bucket, i))
-        out = None
-        for _, offset, bucket, i in sorted(found):
-            here = self._unpacked(bucket, f, i) - offset
-            if out is None:
-                out = here
-            else:
-                k = np.searchsorted(here, out)
-                out = out[(k < len(here)) & (here[np.minimum(k, len(here) - 1)] == out)]
+            found.append((held[2] - held[1], offset, run))
+        found.sort()
+        out = self._places(found[0][2], f) - found[0][1]
+        for _, offset, run in found[1:]:
+            here = self._places(run, f)
+            want = out + offset
+            k = here.searchsorted(want)
+            k[k == len(here)] = 0
+            out = out[here[k] == want]
             if not len(out):
                 break
         return out
 
-    def pages(self, needle: str, f: int) -> np.ndarray:
-        """Pages that hold a needle; every page holds the empty one."""
-        key = needle, f
-        if key not in self.seen:
-            self.seen[key] = self.page_of(self.places(needle, f), f) if needle else np.arange(len(self.paths))
-        return self.seen[key]
-
     def page_of(self, places: np.ndarray, f: int) -> np.ndarray:
-        hit = np.zeros(len(self.paths), bool)
-        hit[np.searchsorted(self.starts[f], places, "right") - 1] = True
-        return np.flatnonzero(hit)
+        return self.starts[f].searchsorted(places, "right") - 1
+
+    def held(self, needles: list[Needle | None], f: int) -> np.ndarray:
+        """Which pages hold which needle (rows); every page holds the empty one (None)."""
+        out = np.zeros((len(needles), len(self.paths)), bool)
+        for i, needle in enumerate(needles):
+            if needle is None:
+                out[i] = True
+            else:
+                places = self.places(needle, f)
+                if len(places):
+                    out[i, self.page_of(places, f)] = True
+        return out
 
-    def occurrences(self, phrase: str) -> np.ndarray:
+    def occurrences(self, phrase: Needle | None, length: int) -> np.ndarray:
         """Of each page's content, without overlaps, from the left."""
         n = np.zeros(len(self.paths), np.int64)
         if phrase:
             places = self.places(phrase, 0)
             end = -1
-            for at, page in zip(places.tolist(), (np.searchsorted(self.starts[0], places, "right") - 1).tolist()):
+            for at, page in zip(places.tolist(), self.page_of(places, 0).tolist()):
                 if at >= end:
                     n[page] += 1
-                    end = at + len(phrase)
+                    end = at + length
         return n
 
 
+class Asked:
+    """The questions of a part, their needles numbered."""
+
+    def __init__(self, questions: list[dict]):
+        texts: dict[str, int] = {}
+        self.questions = [(q["qid"], q["phrase"], q["terms"], np.array([texts.setdefault(t, len(texts)) for t in q["terms"]]), texts.setdefault(q["phrase"], len(texts))) for q in questions]
+        self.needles = [Needle(t) if t else None for t in texts]
+
+    def answers(self, shard: Shard, n: int, number: int) -> list[tuple]:
+        """The best ``n`` pages of a shard for each question."""
+        by_name: dict[str, list[int]] = {}
+        for i, name in enumerate(shard.names):
+            by_name.setdefault(name, []).append(i)
+        in_content, in_titles = (shard.held(self.needles, f) for f in (0, 1))
+        out: list[tuple] = []
+        for qid, phrase, terms, at, p in self.questions:
+            here = in_content[at]
+            titled = in_titles[at].sum(0)
+            score = R.CONTENT_TOKEN * here.sum(0) + R.TITLE_TOKEN * titled
+            occ = None
+            if phrase:
+                score = score + R.PHRASE_IN_TITLE * in_titles[p]
+                if in_content[p].any():
+                    occ = np.minimum(shard.occurrences(self.needles[p], len(phrase)), R.MOST_OCCURRENCES)
+                    score = score + R.PHRASE_IN_CONTENT * occ
+            if phrase in by_name:
+                score[by_name[phrase]] += R.FILE_NAME
+            good = np.flatnonzero(score > 0)
+            if len(good) > n:
+                some = score[good]
+                good = good[some >= np.partition(some, len(good) - n)[len(good) - n]]
+            best = sorted(good.tolist(), key=lambda i: (-score[i], shard.paths[i] is not None, shard.paths[i] or ""))[:n]
+            for i in best:
+                first = here[:, i]
+                anchor = phrase if occ is not None and occ[i] else terms[int(first.argmax())] if first.any() else None
+                out.append((qid, number, i, shard.paths[i], float(score[i]), bool(titled[i] or (phrase and in_titles[p, i])), anchor))
+        return out
+
+
 def _answered(n: int, columns: list[str], kind: pa.DataType):
     kinds = (kind, pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.bool_(), pa.string())
     names = ["qid", "shard", "doc", "path", "score", "title_match", "anchor"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: dict[int, Asked] = {}
         for batch in batches:
             for at in range(batch.num_rows):
-                row = {c: batch.column(i)[at].as_py() for i, c in enumerate(columns)}
-                out = _answers(Shard(row), row["questions"], n, row["shard"])
+                row = {c: batch.column(i)[at].as_py() for i, c in enumerate(columns) if c != "questions"}
+                if row["part"] not in asked:
+                    asked[row["part"]] = Asked(batch.column(columns.index("questions"))[at].as_py())
+                out = asked[row["part"]].answers(Shard(row), n, row["shard"])
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=names)
 
     return run
 
 
-def _answers(shard: Shard, questions: list[dict], n: int, number: int) -> list[tuple]:
-    """The best ``n`` pages of a shard for each question."""
-    by_name: dict[str, list[int]] = {}
-    for i, name in enumerate(shard.names):
-        by_name.setdefault(name, []).append(i)
-    out: list[tuple] = []
-    for question in questions:
-        phrase, terms = question["phrase"], question["terms"]
-        held = np.zeros(len(shard.paths), np.int64)
-        titled, first = held.copy(), np.full(len(held), -1)
-        for i in reversed(range(len(terms))):
-            here = shard.pages(terms[i], 0)
-            held[here] += 1
-            first[here] = i
-            titled[shard.pages(terms[i], 1)] += 1
-        occ = np.minimum(shard.occurrences(phrase), R.MOST_OCCURRENCES)
-        in_title = np.zeros(len(held), bool)
-        in_title[shard.pages(phrase, 1) if phrase else []] = True
-        named = np.zeros(len(held), bool)
-        named[by_name.get(phrase, [])] = True
-        score = R.FILE_NAME * named + R.PHRASE_IN_TITLE * in_title + R.PHRASE_IN_CONTENT * occ + R.TITLE_TOKEN * titled + R.CONTENT_TOKEN * held
-        good = np.flatnonzero(score > 0)
-        if len(good) > n:
-            least = np.partition(score[good], len(good) - n)[len(good) - n]
-            good = good[score[good] >= least]
-        best = sorted(good.tolist(), key=lambda i: (-score[i], shard.paths[i] is not None, shard.paths[i] or ""))[:n]
-        out += [(question["qid"], number, i, shard.paths[i], float(score[i]), bool(titled[i] or in_title[i]), phrase if occ[i] else terms[first[i]] if first[i] >= 0 else None) for i in best]
-    return out
-
-
 def _columns(needle: str) -> Column:
     """The postings columns of a needle's runs (SQL of an array of ints); of a single character, all."""
     code = lambda i: f"ascii(substr({needle}, {i}, 1))"
@@ -289,8 +336,8 @@ class TextIndex:
         base = pages.where("content IS NOT NULL").select("path", "file_name", "content", page_title(F.col("content"), F.col("file_name")).alias("title"))
         named = base.select("path", "title", "content", F.lower(F.regexp_replace("file_name", r"\.md$", "")).alias("name"), F.lower("content").alias("content_lower"), F.lower(F.concat_ws(" ", "title", "file_name")).alias("title_lower"))
         built = named.mapInArrow(_built(shard_chars), f"{PAGE}, {SHARD.split(', ', 1)[1]}, kind string")
-        # small row groups: a shard is a long row
-        built.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).partitionBy("kind").parquet(path)
+        # a shard is a long row: row groups are small, and their size is looked at after few rows
+        built.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).option("parquet.page.size.row.check.min", 4).partitionBy("kind").parquet(path)
         return cls(pages.sparkSession, path)
 
     def search(self, questions: DataFrame, id_col: str = "qid", text_col: str = "text", n: int = R.TOP) -> DataFrame:
@@ -304,7 +351,7 @@ class TextIndex:
         buckets = sorted(r.b for r in needles.select(F.explode(_columns("needle")).alias("b")).distinct().collect())
         packs = asked.select(F.pmod(F.xxhash64("qid", "question"), F.lit(parts)).cast("int").alias("part"), F.struct("qid", "phrase", "terms").alias("q")).groupBy("part").agg(F.collect_list("q").alias("questions"))
         rows = self.shards(buckets).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        met = rows.join(F.broadcast(packs) if count <= FEW_QUESTIONS else packs, "part").drop("part")
+        met = rows.join(F.broadcast(packs) if count <= FEW_QUESTIONS else packs, "part")
         kind = dict(asked.dtypes)["qid"]
         arrow = questions.limit(0).select(F.col(id_col).alias("q")).toArrow().schema.field("q").type
         found = met.mapInArrow(_answered(n, met.columns, arrow), f"qid {kind}, shard long, doc int, path string, score double, title_match boolean, anchor string")

@@ -80,16 +80,19 @@ def test_empty_index_and_no_questions(spark, index):
     assert empty.search(spark.createDataFrame([(1, "a word")], "qid int, text string")).collect() == []
 
 
-def test_places_are_packed_without_loss():
+def test_postings_are_packed_without_loss():
     rng = np.random.default_rng(1)
-    for most in (3, 300, 70_000, 5_000_000_000):
-        places = np.unique(rng.integers(0, most, 500))
-        assert (T.unpacked(T.packed(places)) == places).all()
-    assert len(T.unpacked(T.packed(np.empty(0, np.int64)))) == 0
-    runs, first, order, starts = T.inverted(["abcab", "", "ab"])
-    at = dict(zip(runs.tolist(), first.tolist()))
-    assert starts.tolist() == [0, 7, 9] and len(order) == 7
-    assert order[at[ord("a") << 42 | ord("b") << 21 | ord("c")]] == 0
+    for letters in ("ab", "abcdefgh é😀", [chr(c) for c in range(0x4E00, 0x8E00)]):
+        texts = ["".join(rng.choice(list(letters), n)) for n in (0, 1, 2, 3, 400, 70_000)]
+        runs, first, places, starts = T.inverted(texts)
+        assert len(places) == sum(map(len, texts)) and starts[0] == 0 and (np.diff(runs) > 0).all()
+        got = {}
+        for data in T.bucketed(runs, first, places):
+            for some, ends, steps in T.opened(data):
+                got |= {int(r): np.cumsum(steps[a:b], dtype=np.int64) for r, a, b in zip(some, ends, ends[1:])}
+        last = [*first[1:], len(places)]
+        assert len(got) == len(runs) and all((got[int(r)] == places[a:b]).all() and (np.diff(places[a:b]) > 0).all() for r, a, b in zip(runs, first, last))
+    assert [len(x) > 0 for x in T.bucketed(*T.inverted([])[:3])] == [True] * T.BUCKETS
 
 
 def test_lists_are_fused_for_each_query(spark):
