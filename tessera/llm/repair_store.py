@@ -2,9 +2,10 @@
 
 Texts are encoded, an end id is appended to each, and documents are laid out in ascending id order in shards of about
 ``SHARD_TOKENS`` ids. In each shard the id pairs that stand most often beside each other within documents are
-replaced by nonterminals, round after round, until no pair is frequent any more or the nonterminals of the shard are
-used up (symbols stay below 2**16). A shard stores its rules, the length that each rule expands to, where each
-document's symbols end, and the symbols; so a document, or a slice of one, is decoded without its neighbours.
+replaced by nonterminals, round after round, until no pair is frequent any more. Symbols have 16 bits as long as those
+are enough, and 32 from then on; stored, they have as many bits as the largest one needs. A shard stores its rules, the
+length that each rule expands to, where each document's symbols end, and the symbols; so a document, or a slice of one,
+is decoded without its neighbours.
 
 Order: ids ascending, null ids first; rows with one id in the order of their texts' hashes. A null text counts as
 empty and holds the end id alone; repeated rows are stored as often as they come. An empty table gives no shards.
@@ -30,10 +31,11 @@ from tessera.llm.common import rows, shared_dir
 
 SHARD_TOKENS = 1 << 20
 MIN_COUNT = 6
+#: Below this, symbols have 16 bits while pairs are replaced.
 SYMBOLS = 1 << 16
 #: Pieces and characters of each of the cache's two generations.
 CACHED, CACHED_CHARS = 600_000, 16_000_000
-MAGIC = b"RPR1"
+MAGIC = b"RPR2"
 
 
 class WordBPE:
@@ -122,16 +124,17 @@ def load(path: str) -> WordBPE:
 def compress(seq: np.ndarray, last: np.ndarray, first_symbol: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Symbols, the flags of documents' last symbols, and the rules of each round as rows (left, right).
 
-    Each round counts all pairs inside documents and replaces every pair that is frequent enough, most frequent
-    pairs first if room is short; where chosen pairs overlap, every other one of the run is taken. Rounds go on until no
-    pair stands ``min_count`` times or the symbols are used up, however little a round saves.
+    Each round counts all pairs inside documents and replaces every pair that is frequent enough; where chosen pairs overlap,
+    every other one of the run is taken. Rounds go on until no pair stands ``min_count`` times, however little one saves.
     """
     rounds, free = [], first_symbol
-    while free < SYMBOLS and len(seq) > 1:
-        key = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
+    while len(seq) > 1:
+        half, number = (16, np.uint32) if seq.dtype == np.uint16 else (32, np.uint64)
+        key = (seq[:-1].astype(number) << number(half)) | seq[1:]
+        spread = lambda x, number=number, half=half: (x * number(0x9E3779B1 if half == 16 else 0x9E3779B97F4A7C15)) >> number(2 * half - 20)
         ok = ~last[:-1]
-        bucket = (key * np.uint32(0x9E3779B1)) >> np.uint32(12)
-        heavy = np.bincount(bucket[ok], minlength=1 << 20) >= min_count  # a frequent pair fills its bucket
+        bucket = spread(key)
+        heavy = np.bincount(bucket[ok].astype(np.int64), minlength=1 << 20) >= min_count  # a frequent pair fills its bucket
         at = np.flatnonzero(ok & heavy[bucket])
         if not len(at):
             break
@@ -143,12 +146,13 @@ def compress(seq: np.ndarray, last: np.ndarray, first_symbol: int, min_count: in
         chosen = np.flatnonzero(n >= floor)
         if not len(chosen):
             break
-        if len(chosen) > SYMBOLS - free:
-            chosen = chosen[np.argsort(-n[chosen], kind="stable")[: SYMBOLS - free]]
+        if half == 16 and free + len(chosen) > SYMBOLS:
+            seq = seq.astype(np.uint32)  # the round begins again with wider symbols
+            continue
         chosen = chosen[np.argsort(n[chosen], kind="stable")]
         # one pair for each bucket, the most frequent one; others have their turn in a later round
         table = np.full(1 << 20, -1, np.int32)
-        table[(pairs[chosen] * np.uint32(0x9E3779B1)) >> np.uint32(12)] = np.arange(len(chosen))
+        table[spread(pairs[chosen])] = np.arange(len(chosen))
         which = table[bucket]
         hit = (which >= 0) & (pairs[chosen][which] == key)
         at, which = at[hit], which[hit]
@@ -162,12 +166,12 @@ def compress(seq: np.ndarray, last: np.ndarray, first_symbol: int, min_count: in
         worth = used >= 3  # a rule costs about as much as two symbols
         if not worth.any():
             break
-        number = np.cumsum(worth) - 1
+        place = np.cumsum(worth) - 1
         at, which = at[worth[which]], which[worth[which]]
         rules = pairs[chosen[worth]]
-        rounds.append(np.stack([rules >> np.uint32(16), rules & np.uint32(0xFFFF)], 1).astype("<u2"))
+        rounds.append(np.stack([rules >> number(half), rules & number((1 << half) - 1)], 1).astype(np.uint32))
         seq, last = seq.copy(), last.copy()
-        seq[at] = free + number[which]
+        seq[at] = free + place[which]
         last[at] = last[at + 1]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
@@ -176,31 +180,37 @@ def compress(seq: np.ndarray, last: np.ndarray, first_symbol: int, min_count: in
     return seq, last, rounds
 
 
+def _planes(symbols: np.ndarray, n: int) -> bytes:
+    """The low 16 bits of each symbol, then its ``n`` higher ones, each as a row of bits."""
+    return b"".join([symbols.astype("<u2").tobytes(), *(np.packbits((symbols >> np.uint32(16 + k)) & np.uint32(1)).tobytes() for k in range(n))])
+
+
 def pack(docs: list[bytes], first_symbol: int, min_count: int = MIN_COUNT) -> bytes:
     """One shard of documents, each little-endian unsigned 16-bit ids with at least one id."""
     seq = np.frombuffer(b"".join(docs), "<u2").astype(np.uint16)
     last = np.zeros(len(seq), bool)
     last[np.cumsum([len(d) // 2 for d in docs]) - 1] = True
     seq, last, rounds = compress(seq, last, first_symbol, min_count)
-    rules = np.concatenate(rounds) if rounds else np.empty((0, 2), "<u2")
+    rules = np.concatenate(rounds) if rounds else np.empty((0, 2), np.uint32)
     lengths = np.ones(first_symbol + len(rules), np.uint32)
     at = first_symbol
     for r in rounds:
         lengths[at : at + len(r)] = lengths[r[:, 0]] + lengths[r[:, 1]]
         at += len(r)
-    head = struct.pack("<4sIIIII", MAGIC, first_symbol, len(rounds), len(rules), len(docs), len(seq))
-    parts = [np.array([len(r) for r in rounds], "<u4"), rules, lengths[first_symbol:].astype("<u4"), np.flatnonzero(last).astype("<u4") + 1, seq.astype("<u2")]
-    return head + b"".join(np.ascontiguousarray(p).tobytes() for p in parts)
+    high = max(0, (first_symbol + len(rules) - 1).bit_length() - 16)
+    head = struct.pack("<4sIIIIII", MAGIC, first_symbol, len(rounds), len(rules), len(docs), len(seq), high)
+    parts = [np.array([len(r) for r in rounds], "<u4"), lengths[first_symbol:].astype("<u4"), np.flatnonzero(last).astype("<u4") + 1]
+    return head + b"".join(np.ascontiguousarray(p).tobytes() for p in parts) + _planes(rules.ravel(), high) + _planes(seq.astype(np.uint32), high)
 
 
 class Shard:
     """A stored shard; expansions are gathered, never replayed symbol by symbol."""
 
     def __init__(self, blob: bytes):
-        magic, self.first, n_rounds, n_rules, self.n_docs, n_seq = struct.unpack_from("<4sIIIII", blob)
+        magic, self.first, n_rounds, n_rules, self.n_docs, n_seq, high = struct.unpack_from("<4sIIIIII", blob)
         if magic != MAGIC:
             raise ValueError("not a shard of token ids")
-        at = struct.calcsize("<4sIIIII")
+        at = struct.calcsize("<4sIIIIII")
 
         def take(n: int, kind: str) -> np.ndarray:
             nonlocal at
@@ -208,9 +218,16 @@ class Shard:
             at += out.nbytes
             return out
 
-        rounds, rules = take(n_rounds, "<u4"), take(2 * n_rules, "<u2").reshape(-1, 2)
-        self.lengths = np.concatenate([np.ones(self.first, np.int64), take(n_rules, "<u4").astype(np.int64)])
-        self.ends, self.seq = take(self.n_docs, "<u4").astype(np.int64), take(n_seq, "<u2")
+        def symbols(n: int) -> np.ndarray:
+            out = take(n, "<u2").astype(np.uint32)
+            for k in range(high):
+                out |= np.unpackbits(take(-(-n // 8), "u1"), count=n).astype(np.uint32) << np.uint32(16 + k)
+            return out
+
+        rounds, lengths = take(n_rounds, "<u4"), take(n_rules, "<u4")
+        self.ends = take(self.n_docs, "<u4").astype(np.int64)
+        rules, self.seq = symbols(2 * n_rules).reshape(-1, 2), symbols(n_seq)
+        self.lengths = np.concatenate([np.ones(self.first, np.int64), lengths.astype(np.int64)])
         self.offset = np.concatenate([np.arange(self.first), self.first + np.cumsum(self.lengths[self.first :]) - self.lengths[self.first :]])
         self.table = np.empty(self.first + int(self.lengths[self.first :].sum()), np.uint16)
         self.table[: self.first] = np.arange(self.first)

@@ -323,6 +323,14 @@ def test_repair_round_trip_and_random_access():
         assert (shard.doc(i, a, b) == s[a:b]).all() and (shard.doc(i) == s).all()
 
 
+def most_frequent(shard):
+    """How often the most frequent pair within documents stands in a shard."""
+    inside = np.ones(len(shard.seq), bool)
+    inside[shard.ends - 1] = False
+    pairs = (shard.seq[:-1].astype(np.int64) << 32 | shard.seq[1:])[inside[:-1]]
+    return np.unique(pairs, return_counts=True)[1].max() if len(pairs) else 0
+
+
 def test_repair_goes_on_below_a_hot_pair():
     rng = np.random.default_rng(2)
     ids = rng.integers(10, 49408, 300_000)
@@ -332,11 +340,31 @@ def test_repair_goes_on_below_a_hot_pair():
         ids[at[5_120 + 10 * k : 5_130 + 10 * k]] = 5
         ids[at[5_120 + 10 * k : 5_130 + 10 * k] + 1] = 10 + k
     shard = repair_store.Shard(repair_store.pack([x.astype("<u2").tobytes() for x in np.split(ids, 100)], 49408))
-    assert (np.concatenate(list(shard.docs())) == ids).all() and len(shard.lengths) < repair_store.SYMBOLS
-    inside = np.ones(len(shard.seq), bool)
-    inside[shard.ends - 1] = False
-    pairs = (shard.seq[:-1].astype(np.int64) << 16 | shard.seq[1:])[inside[:-1]]
-    assert np.unique(pairs, return_counts=True)[1].max() < 6
+    assert (np.concatenate(list(shard.docs())) == ids).all()
+    assert most_frequent(shard) < repair_store.MIN_COUNT
+
+
+def test_repair_has_as_many_rules_as_it_needs():
+    """More rules than 16 bits have room for: pairs of 30 000 ids, six times each, and pairs of those."""
+    rng = np.random.default_rng(6)
+    words = rng.permutation(np.arange(10, 49_000))[:40_000].reshape(-1, 2)
+    ids = np.concatenate([words[rng.permutation(20_000)].ravel() for _ in range(7)])
+    blob = repair_store.pack([x.astype("<u2").tobytes() for x in np.split(ids, 100)], 49408)
+    shard = repair_store.Shard(blob)
+    assert len(shard.lengths) > repair_store.SYMBOLS and int(shard.seq.max()) >= repair_store.SYMBOLS and most_frequent(shard) < repair_store.MIN_COUNT
+    assert (np.concatenate(list(shard.docs())) == ids).all() and (shard.doc(3, 10, 500) == np.split(ids, 100)[3][10:500]).all()
+
+
+def test_no_frequent_pair_is_left_in_large_shards(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    path = shared_dir(spark, "token-shards")
+    repair_store.write_shards(docs.coalesce(2), path, P.path("word_bpe_49k.json"))
+    rules = []
+    for r in spark.read.parquet(path).select("blob").toLocalIterator():
+        shard = repair_store.Shard(r.blob)
+        rules.append(len(shard.lengths) - shard.first)
+        assert most_frequent(shard) < repair_store.MIN_COUNT
+    assert max(rules) > repair_store.SYMBOLS - 49408  # 16 bits would not have been enough
 
 
 def test_token_files(docs, texts):
@@ -355,11 +383,7 @@ def test_token_files(docs, texts):
     stored = docs.sparkSession.read.parquet(path).collect()
     assert sum(len(r.blob) for r in stored) < 0.8 * 2 * at
     for r in stored:
-        shard = repair_store.Shard(r.blob)
-        inside = np.ones(len(shard.seq), bool)
-        inside[shard.ends - 1] = False
-        pairs = (shard.seq[:-1].astype(np.int64) << 16 | shard.seq[1:])[inside[:-1]]
-        assert len(shard.lengths) == repair_store.SYMBOLS or len(pairs) == 0 or np.unique(pairs, return_counts=True)[1].max() < 2 * repair_store.MIN_COUNT
+        assert most_frequent(repair_store.Shard(r.blob)) < repair_store.MIN_COUNT
 
 
 def test_word_pieces_are_the_library():
