@@ -58,10 +58,11 @@ def row_key(id_col: str, text_col: str, *more: str) -> Column:
 BROADCAST_ROWS = 500_000
 
 
-def sized(df: DataFrame, most: int | None = None) -> DataFrame:
-    """A table, marked for broadcast only if its counted rows are few enough. It is worked out twice, so it should be written
-    or follow from a written one by little work."""
-    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if most is None else most) else df
+def sized(df: DataFrame, most: int | None = None, items: Column | None = None) -> DataFrame:
+    """A table, marked for broadcast only if its counted rows are few enough; rows with arrays count as so many as their
+    ``items``. It is worked out twice, so it should be written or follow from a written one by little work."""
+    n = df.count() if items is None else df.agg(F.sum(1 + items).alias("n")).first().n or 0
+    return F.broadcast(df) if n <= (BROADCAST_ROWS if most is None else most) else df
 
 
 def packed(df: DataFrame, *more: Column) -> DataFrame:
@@ -179,14 +180,19 @@ def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
 
 
 class Bounded(dict):
-    """A cache with a bound: emptied when full; ``make`` fills what is missing."""
+    """A cache of what ``make`` gives, emptied when it holds ``most`` keys or their lengths add up to more than ``most_chars``; a
+    key that is longer than ``longest`` is worked out each time."""
 
-    def __init__(self, make, most: int = 400_000):
+    def __init__(self, make, most: int = 400_000, most_chars: int = 8_000_000, longest: int = 1000):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.most_chars, self.longest, self.held = make, most, most_chars, longest, 0
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        if len(key) > self.longest:
+            return self.make(key)
+        if len(self) >= self.most or self.held > self.most_chars:
             self.clear()
+            self.held = 0
         self[key] = v = self.make(key)
+        self.held += len(key)
         return v

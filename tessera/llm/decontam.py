@@ -131,7 +131,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     The benchmark's size is measured first. Up to ``max_index_bytes`` it is one broadcast index, and documents are
     judged where they lie, without a shuffle. Beyond that see ``decontaminate_large``.
     """
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("item_text"))
+    # items without text have no windows; those that are left are counted before any of them is fetched
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("item_text")).where("length(item_text) > 0")
     size = items.agg(F.sum(F.octet_length("item_text") + F.lit(64)).alias("n")).first()["n"] or 0
     if size > max_index_bytes:
         return decontaminate_large(docs, items, id_col, text_col)

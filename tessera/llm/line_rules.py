@@ -114,7 +114,7 @@ def apply_quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bad = written(_judged(docs, gone, id_col, text_col, host_col, min_left).where("NOT kept").select("rk").distinct(), "rows-rejected", True)
     cut = gone.groupBy("rk").agg(F.collect_set("g").alias("gs"))
     # texts are not shuffled while these tables are few rows; else each text moves twice
-    out = packed(docs, row_key(id_col, text_col, host_col).alias("rk")).join(sized(bad), "rk", "left_anti").join(sized(cut), "rk", "left")
+    out = packed(docs, row_key(id_col, text_col, host_col).alias("rk")).join(sized(bad), "rk", "left_anti").join(sized(cut, items=F.size("gs")), "rk", "left")
     text, host = F.col("row")[text_col], F.col("row")[host_col]
     cleaned = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(NOT_SPACE) | ~F.array_contains("gs", line_key(host, x))), "\n")
     return out.select(*(F.when(F.col("gs").isNull(), text).otherwise(cleaned).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))

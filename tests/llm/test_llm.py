@@ -135,6 +135,34 @@ def test_forced_boundaries_cut_only_between_tokens():
     assert all((a[-1], b[0]) not in inside for a, b in zip(parts, parts[1:]))
 
 
+def test_bpe_keeps_no_long_pieces():
+    model = bpe.load(P.path("byte_bpe_50k.json"))
+    long = "ab" * 5_000_000
+    assert len(model.encode(long)) > 1_000_000
+    for cache in (model.piece, model.fragment):
+        assert max(map(len, cache), default=0) <= cache.longest and cache.held <= cache.most_chars + cache.longest
+    small = common.Bounded(str.upper, 10, 20, 5)
+    for x in ("a" * 30, *(c * 4 for c in "bcdefghi")):
+        assert small[x] == x.upper() and sum(map(len, small)) <= 24
+
+
+def test_rows_with_arrays_count_by_their_items(spark):
+    df = spark.range(3).withColumn("gs", F.sequence(F.lit(1), F.lit(1000)))
+    hinted = lambda x: "broadcast" in x._jdf.queryExecution().logical().toString().lower()
+    assert hinted(common.sized(df, 100)) and not hinted(common.sized(df, 100, F.size("gs"))) and hinted(common.sized(df, 4000, F.size("gs")))
+    assert hinted(common.sized(df.limit(0), 0, F.size("gs")))
+
+
+def test_lines_taken_away_from_a_text_of_many_lines(spark, monkeypatch):
+    """A text of 100 000 lines over the limit, whose line hashes are more than may be broadcast."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 1000)
+    lines = [f"a{i} b{i} c{i}" for i in range(100_000)]
+    rows = [(i, "\n".join(lines), "h") for i in range(3)] + [(9, "\n".join(["one two three four five six seven eight nine ten eleven", lines[5]]), "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in line_rules.apply_quality_rules(docs, max_docs=2).collect()}
+    assert len(got) == 2 and got[0] == rows[0][1] and got[9] == rows[3][1].split("\n")[0]
+
+
 def test_bpe_rows(docs, texts):
     path = P.path("byte_bpe_50k.json")
     got = bpe.encode_texts(docs, path)
