@@ -149,13 +149,17 @@ def merge_reviews(items: DataFrame) -> DataFrame:
     source win, pages and queries are united, id and title are the first's."""
     k = items.withColumn("key", review_title(F.col("title")))
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.col("seq")))
-    pairs = lambda c: F.array_sort(F.collect_list(F.struct("seq", F.col(c).alias("v"))))
     g = k.groupBy("type", "key").agg(
-        F.min_by("id", "seq").alias("id"), F.min_by("title", "seq").alias("title"), last("description").alias("description"), last("source_path").alias("source_path"),
-        pairs("affected_pages").alias("_p"), pairs("search_queries").alias("_q"), F.count("*").alias("n_merged"),
+        F.min_by("id", "seq").alias("id"), F.min_by("title", "seq").alias("title"), last("description").alias("description"), last("source_path").alias("source_path"), F.count("*").alias("n_merged"),
     )
-    flat = lambda c: F.array_distinct(F.flatten(F.transform(F.filter(c, lambda x: x["v"].isNotNull()), lambda x: x["v"])))
-    return g.select("id", "type", "title", "key", "description", "source_path", flat("_p").alias("affected_pages"), flat("_q").alias("search_queries"), "n_merged")
+    for c in ("affected_pages", "search_queries"):
+        # values are made distinct as rows, so that a title of very many items never has all their lists in one row
+        each = k.select("type", "key", "seq", F.posexplode(c).alias("pos", "v")).groupBy("type", "key", "v").agg(F.min(F.struct("seq", "pos")).alias("at"))
+        united = each.groupBy("type", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias(c))
+        kind = k.schema[c].dataType.simpleString()
+        right = united.select(F.col("type").alias("_t"), F.col("key").alias("_k"), c)
+        g = g.join(right, F.col("type").eqNullSafe(F.col("_t")) & F.col("key").eqNullSafe(F.col("_k")), "left").drop("_t", "_k").withColumn(c, F.coalesce(c, F.array().cast(kind)))
+    return g.select("id", "type", "title", "key", "description", "source_path", "affected_pages", "search_queries", "n_merged")
 
 
 def resolved_by_rule(reviews: DataFrame, pages: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from tessera.functions import markdown as M
 from tessera.functions.language import language_metadata
 from tessera.functions.text import caption_text, file_name, file_stem, front_matter_value, host_name, link_key, list_field, page_type, title_slug, truncated, wikilinks, without_front_matter
 from tessera.operators import hygiene as H
+from tessera.operators.graph import numbered
 from tessera.session import checkpointed
 
 NOT_EMBEDDED = ("index", "log", "overview", "purpose", "schema")
@@ -174,7 +175,8 @@ def delete_source_cascade(pages: DataFrame, sources: DataFrame, cache: DataFrame
     lines = sources.select("source").distinct().agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit(f"- {day}: deleted source "), "source"))), "\n").alias("entry"))
     log = F.lower(file_name(F.col("path"))) == "log.md"
     entry = F.concat(F.rtrim(F.regexp_replace("content", r"\n+\z", "")), F.lit("\n\n"), "entry", F.lit("\n"))
-    texts = kept.join(F.broadcast(lines)).select("path", F.when(log, entry).otherwise(F.col("content")).alias("content"))  # one row on the other side
+    logged = kept.where(log).crossJoin(lines).select("path", entry.alias("content"))  # log pages, and one row on the other side
+    texts = kept.where(~log).unionByName(logged)
     return {"pages": texts, "deleted": gone, "cache": cache.join(sources.select(F.col("source").alias("name")).distinct(), "name", "left_anti")}
 
 
@@ -363,6 +365,15 @@ def caption_prompt(before: Column, after: Column) -> Column:
     return F.concat_ws("\n\n", F.lit("Describe the image in one sentence."), side("before", before), side("after", after))
 
 
+#: Pages that one call of a judge of duplicates takes.
+JUDGED_PAGES = 200
+
+
+def judged_batches(summaries: DataFrame, most: int = JUDGED_PAGES) -> DataFrame:
+    """Summaries with ``batch``: at most ``most`` in the order of slugs, so neighbours in name are judged together."""
+    return numbered(summaries, [F.col("slug")], "_n").withColumn("batch", F.floor(F.col("_n") / most)).drop("_n")
+
+
 def duplicate_prompt(summaries: DataFrame) -> DataFrame:
     """``batch, prompt``: entity summaries (``batch, slug, type, title, description``) as the lines a judge of duplicates gets,
     in the order of slugs. A batch is what one call takes."""

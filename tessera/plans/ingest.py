@@ -68,12 +68,12 @@ def _ingested(spark, sf_dir):
     return N.ingest(docs.drop("doc_id"), cache, log, _model, "2024-01-01")
 
 
-@query("ingest_failures", "SELECT 'doc-' || doc_id || '.txt' AS name, 'TimeoutError: no answer' AS error FROM documents WHERE doc_id % 3 <> 0 AND length(text) % 11 = 0")
+@query("ingest_failures", "SELECT 'doc-' || doc_id || '.txt' AS name, 'TimeoutError: no answer' AS error FROM documents WHERE doc_id % 3 <> 0 AND least(length(text), 50000) % 11 = 0")
 def ingest_failures(spark, sf_dir):
     return _ingested(spark, sf_dir)["failures"]
 
 
-@query("ingest_cached", "SELECT 'doc-' || doc_id || '.txt' AS name, sha256(text) AS hash, CASE WHEN length(text) % 2 = 0 THEN 'wiki/concepts/n' || (length(text) % 50) || '.md,wiki/log.md' ELSE 'wiki/sources/doc-' || doc_id || '.md' END AS files FROM documents WHERE doc_id % 3 <> 0 AND length(text) % 11 <> 0")
+@query("ingest_cached", "SELECT 'doc-' || doc_id || '.txt' AS name, sha256(text) AS hash, CASE WHEN n % 2 = 0 THEN 'wiki/concepts/n' || (n % 50) || '.md,wiki/log.md' ELSE 'wiki/sources/doc-' || doc_id || '.md' END AS files FROM (SELECT *, least(length(text), 50000) AS n FROM documents) WHERE doc_id % 3 <> 0 AND n % 11 <> 0")
 def ingest_cached(spark, sf_dir):
     """What a batch adds to the cache: sources whose call failed are not among them."""
     return _ingested(spark, sf_dir)["cache"].select("name", "hash", F.array_join("files_written", ",").alias("files"))
@@ -81,7 +81,7 @@ def ingest_cached(spark, sf_dir):
 
 @query(
     "ingest_batch",
-    """WITH t AS (SELECT doc_id, 'doc-' || doc_id || '.txt' AS name, length(text) AS n, text FROM documents WHERE doc_id % 3 <> 0 AND length(text) % 11 <> 0),
+    """WITH t AS (SELECT doc_id, 'doc-' || doc_id || '.txt' AS name, least(length(text), 50000) AS n, text FROM documents WHERE doc_id % 3 <> 0 AND least(length(text), 50000) % 11 <> 0),
 f AS (SELECT name, n, 'wiki/concepts/n' || (n % 50) || '.md' AS path, row_number() OVER (PARTITION BY n % 50 ORDER BY name) AS r FROM t WHERE n % 2 = 0)
 SELECT path, md5(string_agg(n::VARCHAR, ',' ORDER BY r)) AS hash, count(*) AS n_sources FROM (SELECT path, n, min(r) AS r FROM f GROUP BY 1, 2) GROUP BY path
 UNION ALL SELECT 'wiki/sources/doc-' || doc_id || '.md', md5(name), 1 FROM t WHERE n % 2 = 1
@@ -129,10 +129,10 @@ def source_cascade(spark, sf_dir):
     return out.select("path", F.array_join(list_field(F.col("content"), "sources"), ",").alias("sources"), F.contains("content", F.lit("[[d-")).alias("linked"), F.when(F.col("path") == "wiki/log.md", F.col("content")).alias("log"))
 
 
-@query("duplicate_prompts", "SELECT doc_id % 4 AS batch, md5('Which of these pages are about the same thing?' || chr(10) || chr(10) || string_agg('- d-' || doc_id || ' (' || CASE WHEN doc_id % 3 = 0 THEN 'source' ELSE 'concept' END || '): Doc ' || doc_id || ' - [[d-' || (doc_id // 2) || '|two]] text', chr(10) ORDER BY 'd-' || doc_id)) AS hash FROM documents GROUP BY 1")
+@query("duplicate_prompts", "SELECT batch, md5('Which of these pages are about the same thing?' || chr(10) || chr(10) || string_agg('- d-' || doc_id || ' (' || CASE WHEN doc_id % 3 = 0 THEN 'source' ELSE 'concept' END || '): Doc ' || doc_id || ' - [[d-' || (doc_id // 2) || '|two]] text', chr(10) ORDER BY 'd-' || doc_id)) AS hash FROM (SELECT doc_id, (row_number() OVER (ORDER BY 'd-' || doc_id) - 1) // 200 AS batch FROM documents) GROUP BY 1")
 def duplicate_prompts(spark, sf_dir):
-    """What a judge of duplicates is asked, for four batches of pages."""
-    s = N.entity_summaries(_pages(spark, sf_dir)).withColumn("batch", F.substring("slug", 3, 20).cast("long") % 4)
+    """What a judge of duplicates is asked, for batches of as many pages as one call takes."""
+    s = N.judged_batches(N.entity_summaries(_pages(spark, sf_dir)))
     return N.duplicate_prompt(s).select("batch", F.md5("prompt").alias("hash"))
 
 
