@@ -9,8 +9,8 @@ columns by a hash of the run's first two characters, so a search reads the colum
 ``search`` deals questions into parts, and each shard meets each part in one row: without a shuffle where the questions
 are few enough to be broadcast (they are counted), by their part beyond. A needle is found once for each shard and part by
 intersecting places of its runs from the rarest on (which is exact, so no text is read), pages are scored as
-``score_pages`` does, and the best ``n`` of each question leave the shard; the best of all are joined to their texts for
-snippets. What is shuffled are ``n`` rows for each question and shard, however many pages hold a term.
+``score_pages`` does, and the best ``n`` of each question in all shards of a task leave it; the best of all are joined to
+their texts for snippets. What is shuffled are ``n`` rows for each question and task, however many pages hold a term.
 
 Pages without content are not indexed, questions without text find nothing; repeated paths are pages of their own, ties
 are broken by path.
@@ -30,9 +30,11 @@ from tessera.functions.text import page_title
 from tessera.operators import retrieval as R
 
 #: Characters and pages of a shard (a longer page is a shard of its own), questions of a part, and columns of postings.
-SHARD_CHARS, SHARD_PAGES, PART_QUESTIONS, BUCKETS = 500_000, 2048, 1024, 32
-#: Questions beyond this are not broadcast.
+SHARD_CHARS, SHARD_PAGES, PART_QUESTIONS, BUCKETS = 1_200_000, 4096, 1024, 32
+#: Questions beyond this, and their best pages, are not broadcast.
 FEW_QUESTIONS = 16_384
+#: Pages that a task keeps as the best so far before it passes them on.
+KEPT = 200_000
 RUN = 3
 #: Beyond Unicode: follows each page.
 BLANK = 0x1FFFFF
@@ -293,14 +295,27 @@ def _answered(n: int, columns: list[str], kind: pa.DataType):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: dict[int, Asked] = {}
+        best: dict = {}  # of each question, over the shards of the task
+
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            out = [(qid, *x) for qid, some in best.items() for x in some]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=names)
+
         for batch in batches:
             for at in range(batch.num_rows):
                 row = {c: batch.column(i)[at].as_py() for i, c in enumerate(columns) if c != "questions"}
                 if row["part"] not in asked:
                     asked[row["part"]] = Asked(batch.column(columns.index("questions"))[at].as_py())
-                out = asked[row["part"]].answers(Shard(row), n, row["shard"])
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=names)
+                for qid, *x in asked[row["part"]].answers(Shard(row), n, row["shard"]):
+                    best.setdefault(qid, []).append(x)
+                for qid, some in best.items():
+                    if len(some) > n:
+                        best[qid] = sorted(some, key=lambda x: (-x[3], x[2] is not None, x[2] or "", x[0], x[1]))[:n]
+                if n * len(best) > KEPT:
+                    yield from passed_on()
+                    best = {}
+        yield from passed_on()
 
     return run
 
@@ -357,5 +372,6 @@ class TextIndex:
         found = met.mapInArrow(_answered(n, met.columns, arrow), f"qid {kind}, shard long, doc int, path string, score double, title_match boolean, anchor string")
         order = Window.partitionBy("qid").orderBy(F.desc("score"), "path", "shard", "doc")
         top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("path")
-        texts = top.join(self.pages, ["shard", "doc"]).join(asked.select("qid", "question"), "qid")
+        top = top.join(asked.select("qid", "question"), "qid")
+        texts = self.pages.join(F.broadcast(top) if count <= FEW_QUESTIONS else top, ["shard", "doc"])
         return texts.select("qid", "rank", "path", "title", "title_match", "score", R.snippet(F.col("content"), F.coalesce("anchor", "question")).alias("snippet"))
