@@ -9,6 +9,7 @@ from tessera.plans.registry import query
 from tessera.session import shared_dir
 from tessera.streaming import queues as S
 from tessera.streaming import task_queue as Q
+from tessera.streaming import token_stream as T
 
 
 def _events(spark, sf_dir, per_trigger: int | None = None):
@@ -100,3 +101,19 @@ def save_sessions(spark, sf_dir):
     out = S.replay(_events(spark, sf_dir), late, shared_dir(spark, "sessions"), shared_dir(spark, "sessions-checkpoint"), "complete")
     last = out.agg(F.max("batch").alias("last"))
     return out.join(F.broadcast(last), F.col("batch") == F.col("last")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("streamed_messages", "SELECT conv_id || ':' || turn AS message_id, md5(regexp_replace(text, '\\r(\\n|\\z)', '\\1', 'g')) AS text, len(string_split(text, chr(10)))::BIGINT AS n_lines FROM conversations WHERE text IS NOT NULL")
+def streamed_messages(spark, sf_dir):
+    """Every turn sent as an event stream whose bytes are cut without regard to lines and characters, in three batches out of
+    order, and put together again."""
+    turns = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    pieces = turns.select(F.concat_ws(":", "conv_id", "turn").alias("message_id"), F.explode(T.cut(F.col("text"), 97)).alias("p")).select("message_id", "p.*")
+    folder = shared_dir(spark, "pieces")
+    for k in (2, 0, 1):
+        pieces.where(F.pmod("seq", F.lit(3)) == k).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(pieces.schema).parquet(folder)
+    with Q.timed_state(spark):
+        lines = S.replay(stream, lambda x: T.said_lines(x), shared_dir(spark, "lines"), shared_dir(spark, "lines-checkpoint"))
+    n = lines.groupBy("message_id").agg(F.count("*").alias("n_lines"))
+    return T.messages(lines).join(n, "message_id").select("message_id", F.md5("text").alias("text"), "n_lines")
