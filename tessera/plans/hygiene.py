@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import hygiene as H
 from tessera.operators import vectors as V
+from tessera.operators.entities import similar_names
+from tessera.operators.linking import linked, title_matches
 from tessera.plans.corpus import table
 from tessera.plans.registry import query
 
@@ -132,3 +134,27 @@ def related_source_pages(spark, sf_dir):
     pages = table(spark, sf_dir, "documents").select(path.alias("path"), F.concat(head, F.translate("text", '"', ""), end).alias("content"))
     sources = spark.range(1).select(F.explode(F.array(F.lit("src1.pdf"), F.lit("src2.pdf"))).alias("source"))
     return H.related_pages(pages, sources)
+
+
+@query(
+    "similar_titles",
+    """WITH t AS (SELECT page_id, regexp_replace(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[^\\x00-\\x7F]', '_', 'g') AS x FROM pages WHERE html IS NOT NULL),
+n AS (SELECT DISTINCT x FROM (SELECT x FROM t UNION ALL SELECT substr(x, 1, 4) || substr(x, 6) FROM t WHERE page_id % 3 = 0) WHERE x <> '')
+SELECT a.x AS a, b.x AS b, levenshtein(a.x, b.x)::INTEGER AS distance FROM n a JOIN n b ON a.x < b.x AND abs(length(a.x) - length(b.x)) <= greatest(length(a.x), length(b.x)) // 10 AND levenshtein(a.x, b.x) <= greatest(length(a.x), length(b.x)) // 10""",
+)
+def similar_titles(spark, sf_dir):
+    """Titles of web pages, and of every third one a misspelt form, that are alike but for a tenth of their letters. DuckDB's
+    edit distance is one of bytes, so letters of two bytes are one sign here."""
+    title = F.lower(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    pages = table(spark, sf_dir, "pages").where("html IS NOT NULL").select("page_id", F.regexp_replace(title, r"[^\x00-\x7F]", "_").alias("name"))
+    misspelt = pages.where("page_id % 3 = 0").select("page_id", F.concat(F.substring("name", 1, 4), F.expr("substr(name, 6)")).alias("name"))
+    return similar_names(pages.unionByName(misspelt))
+
+
+@query("linked_titles", None)
+def linked_titles(spark, sf_dir):
+    """Documents with links to the web pages whose titles stand in them; tested against brute force."""
+    titles = table(spark, sf_dir, "pages").where("html IS NOT NULL").select(F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("target"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    found = title_matches(docs, titles)
+    return linked(docs, titles).join(found.select("doc_id", F.size("places").alias("n_places")), "doc_id").select("doc_id", "n_places", F.md5("content").alias("content_md5"))
