@@ -120,6 +120,26 @@ def relevance(nodes: DataFrame, resolved: DataFrame, of: DataFrame | None = None
     return typed.select("a", "b", (F.col("v") + affinity(F.col("_ta"), F.col("_tb"))).alias("relevance"))
 
 
+def relevance_between(nodes: DataFrame, resolved: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``a, b, relevance`` of the given ordered pairs alone: what they share is looked up from one side to the other, so no other
+    pair is made, and a hub costs its pairs times its neighbours."""
+    p = pairs.select("a", "b").distinct()
+    weight = set_degrees(resolved).select(F.col("id").alias("n"), (F.lit(1.0) / F.log(F.greatest(F.col("degree"), F.lit(2)).cast("double"))).alias("w"))
+    nb = neighbours(resolved)
+    near = p.join(nb.select(F.col("id").alias("a"), "n"), "a").join(nb.select(F.col("id").alias("b"), "n"), ["b", "n"], "left_semi").join(weight, "n")
+    common = near.select("a", "b", (COMMON_NEIGHBOUR * F.col("w")).alias("v"))
+    s = nodes.select("id", F.explode("sources").alias("s"))
+    mine, theirs = s.distinct().select(F.col("id").alias("a"), "s"), s.groupBy(F.col("id").alias("b"), "s").agg(F.count("*").alias("m"))
+    shared = p.join(mine, "a").join(theirs, ["b", "s"]).select("a", "b", (SHARED_SOURCE * F.col("m")).alias("v"))
+    e = resolved.select("src", "dst").distinct()
+    both = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(e.select("dst", "src"))
+    direct = both.join(p, ["a", "b"], "left_semi").select("a", "b", F.lit(DIRECT).alias("v"))
+    total = direct.unionByName(shared).unionByName(common).groupBy("a", "b").agg(F.sum("v").alias("v"))
+    kinds = nodes.select("id", "type")
+    typed = total.join(kinds.select(F.col("id").alias("a"), F.col("type").alias("_ta")), "a").join(kinds.select(F.col("id").alias("b"), F.col("type").alias("_tb")), "b")
+    return typed.select("a", "b", (F.col("v") + affinity(F.col("_ta"), F.col("_tb"))).alias("relevance"))
+
+
 def related(scores: DataFrame, k: int = 5, least: float = 0.0) -> DataFrame:
     """The ``k`` most relevant of each node, ``rank`` from 1. Exact where ``least`` exceeds any affinity (1.2)."""
     w = Window.partitionBy("a").orderBy(F.desc(F.round("relevance", 9)), "b")
@@ -138,7 +158,8 @@ def display_graph(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFr
     """Nodes (query pages hidden) with ``link_count`` and undirected edges with ``weight``."""
     shown = nodes.where("type <> 'query'")
     resolved = resolve_links(shown, links.join(shown.select(F.col("id").alias("src")), "src", "left_semi"))
-    edges = undirected(resolved).join(relevance(nodes, resolve_links(nodes, links)), ["a", "b"], "left")
+    linked = undirected(resolved)
+    edges = linked.join(relevance_between(nodes, resolve_links(nodes, links), linked), ["a", "b"], "left")
     return shown.join(link_counts(shown, resolved), "id"), edges.select("a", "b", F.coalesce("relevance", F.lit(1.0)).alias("weight"))
 
 

@@ -147,7 +147,8 @@ SELECT a, b, score::INT AS score, a || ':::' || b AS key FROM s WHERE score >= 3
 def graph_surprising(spark, sf_dir):
     nodes, links = _graph(spark, sf_dir)
     full = nodes.join(G.link_counts(nodes, links), "id").join(_communities(nodes), "id")
-    weights = G.undirected(links).join(G.relevance(nodes, links), ["a", "b"], "left").select("a", "b", F.coalesce("relevance", F.lit(1.0)).alias("weight"))
+    edges = G.undirected(links)
+    weights = edges.join(G.relevance_between(nodes, links, edges), ["a", "b"], "left").select("a", "b", F.coalesce("relevance", F.lit(1.0)).alias("weight"))
     return I.surprising(full, weights).select("a", "b", "score", "key")
 
 

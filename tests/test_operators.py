@@ -1,6 +1,7 @@
 import io
 import json
 import os
+import random
 import zipfile
 from datetime import datetime, timedelta
 
@@ -251,3 +252,13 @@ def test_vector_store(spark, tmp_path):
         return [1.0]
 
     assert stores.embed_with_retries("x" * 700, call, lambda e: True) == [1.0] and calls == [700, 350, 175]
+
+
+def test_relevance_of_given_pairs_is_that_of_all(spark):
+    rng = random.Random(7)
+    nodes = spark.createDataFrame([(f"n{i}", f"n{i}", rng.choice(["entity", "concept", "source", "x"]), f"wiki/n{i}.md", [f"s{rng.randrange(6)}" for _ in range(rng.randrange(4))]) for i in range(40)], "id string, title string, type string, path string, sources array<string>")
+    links = spark.createDataFrame([(f"n{rng.randrange(40)}", f"n{int(40 * rng.random() ** 2)}") for _ in range(120)], "src string, dst string").where("src <> dst")
+    every = {(r.a, r.b): round(r.relevance, 9) for r in G.relevance(nodes, links).collect()}
+    asked = spark.createDataFrame([(f"n{i}", f"n{j}") for i in range(40) for j in range(40) if (i + 3 * j) % 4 == 0 and i != j] * 2, "a string, b string")
+    got = {(r.a, r.b): round(r.relevance, 9) for r in G.relevance_between(nodes, links, asked).collect()}
+    assert got == {p: every[p] for p in map(tuple, asked.distinct().collect()) if p in every} and len(got) > 50
