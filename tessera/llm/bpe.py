@@ -87,8 +87,8 @@ class ForcedBoundaryBPE:
         # both ids of a pair in one number, and its rank with the id it makes in another
         self.pairs = {a << BITS | b: rank << BITS | made for (a, b), (rank, made) in self.ranks.items()}
         self.stop = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.fragment = Bounded(self._merge, 100_000)
-        self.piece = Bounded(self._piece, 250_000)
+        self.fragment = Bounded(self._merge, 50_000)
+        self.piece = Bounded(self._piece, 120_000)
 
     def _merge(self, raw: bytes) -> bytes:
         """Ids of one fragment: the lowest-ranked pair is merged first, the leftmost of equals. What can be merged is kept
