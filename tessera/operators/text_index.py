@@ -367,6 +367,8 @@ class TextIndex:
         packs = asked.select(F.pmod(F.xxhash64("qid", "question"), F.lit(parts)).cast("int").alias("part"), F.struct("qid", "phrase", "terms").alias("q")).groupBy("part").agg(F.collect_list("q").alias("questions"))
         rows = self.shards(buckets).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
         met = rows.join(F.broadcast(packs) if count <= FEW_QUESTIONS else packs, "part")
+        # no more tasks than shuffles have: each passes on its best of every question
+        met = met.coalesce(int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         kind = dict(asked.dtypes)["qid"]
         arrow = questions.limit(0).select(F.col(id_col).alias("q")).toArrow().schema.field("q").type
         found = met.mapInArrow(_answered(n, met.columns, arrow), f"qid {kind}, shard long, doc int, path string, score double, title_match boolean, anchor string")
