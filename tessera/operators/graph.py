@@ -8,6 +8,9 @@ are dealt to ``SALTS`` tasks. Where only some nodes are asked for, only their pa
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,7 +66,7 @@ def set_degrees(resolved: DataFrame) -> DataFrame:
 HOT, SALTS = 1000, 32
 
 
-def _paired(left: DataFrame, right: DataFrame, on: str, left_key: str) -> DataFrame:
+def _paired(left: DataFrame, right: DataFrame, on: str, left_key: str | Column) -> DataFrame:
     """``left`` joined with ``right`` on ``on``; of a hot value each left row takes one part, and the right rows all of them."""
     parts = right.groupBy(on).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT).select(on, F.lit(SALTS).alias("parts"))
     known = lambda df: df.join(parts, on, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
@@ -82,62 +85,182 @@ def neighbours(resolved: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("id"), F.col("b").alias("n")).union(e.select(F.col("b").alias("id"), F.col("a").alias("n")))
 
 
+class Twins(NamedTuple):
+    """A graph with its twins folded: nodes that are linked from and to the same nodes, and stand with the same sources and types
+    in ``nodes``, score alike with all others, so pairs are worked out between classes. ``members``: ``id, c, m`` (class and its
+    size); a class ``c`` is named after its least member, and marked where it has more. ``edges``: ``src, dst`` (classes)."""
+
+    members: DataFrame
+    edges: DataFrame
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        """Rows with an ``id``, those of the least members alone, with their class ``c`` in its place."""
+        return rows.join(self.members.where(F.col("id") == F.col("c.name")).select("id", "c"), "id").drop("id")
+
+    def sizes(self) -> DataFrame:
+        return self.members.where(F.col("id") == F.col("c.name")).select("c", "m")
+
+    def weights(self) -> DataFrame:
+        """``n, m, w``: classes with their size and the weight of one member as a common neighbour."""
+        m = self.sizes()
+        size = lambda end, other: self.edges.select(F.col(end).alias("n"), F.col(other).alias("c")).join(m, "c").select("n", "m")
+        degree = size("src", "dst").union(size("dst", "src")).groupBy("n").agg(F.sum("m").alias("degree"))
+        return degree.join(m.withColumnRenamed("c", "n"), "n").select("n", "m", (F.lit(1.0) / F.log(F.greatest(F.col("degree"), F.lit(2)).cast("double"))).alias("w"))
+
+    def spread(self, pairs: DataFrame, ordered: bool = True, of: DataFrame | None = None) -> DataFrame:
+        """Pairs of classes (``a, b`` and values) as pairs of different members: in both orders where ``ordered`` (then ``pairs``
+        has both), else with ``a < b``. With ``of`` (``id``), only those whose ``a`` is among it. Members meet in blocks,
+        which become rows where they are put out, so no pair of members is shuffled."""
+        values = [F.col(c) for c in pairs.columns if c not in ("a", "b")]
+        block = F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / BLOCK)).alias("k")
+        blocks = lambda ms, side: ms.groupBy(F.col("c").alias(side), block).agg(F.collect_list("id").alias(f"{side}s")).withColumnRenamed("k", f"{side}k")
+        left = self.members if of is None else self.members.join(of.select("id").distinct(), "id", "left_semi")
+        twins = F.col("a.twin") | F.col("b.twin")
+        parts = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8 * pairs.sparkSession.sparkContext.defaultParallelism)
+        met = pairs.where(twins).join(blocks(left, "a"), "a").join(blocks(self.members, "b"), "b").repartition(parts, "a", "ak", "b", "bk")
+        each = met.select("a", "b", "bs", F.explode("as").alias("x"), *values).select((F.col("a") == F.col("b")).alias("own"), "x", F.explode("bs").alias("y"), *values)
+        lone = pairs.where(~twins & (F.col("a") != F.col("b"))).select(F.lit(False).alias("own"), F.col("a.name").alias("x"), F.col("b.name").alias("y"), *values)
+        if of is not None:
+            lone = lone.join(of.select(F.col("id").alias("x")).distinct(), "x", "left_semi").select("own", "x", "y", *values)
+        both = each.union(lone)
+        if ordered:
+            return both.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"), *values)
+        return both.where("NOT own OR x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), *values)
+
+
+#: Members of a class that meet others at once.
+BLOCK = 256
+
+
+def twins(resolved: DataFrame | None, nodes: DataFrame | None = None, types: bool = True) -> Twins:
+    """The classes of a graph, by 128 bits of a hash of all that a node is known by: links, and what ``nodes`` has of it. The
+    tables lie in the shared folder."""
+    spark = (nodes if resolved is None else resolved).sparkSession
+    e = spark.createDataFrame([], "src string, dst string") if resolved is None else stored(resolved.where("src <> dst").select("src", "dst").distinct())
+    fact = lambda rows, id_, kind, x: rows.select(F.col(id_).alias("id"), F.lit(kind).alias("kind"), F.col(x).cast("string").alias("x"))
+    facts = [fact(e, "src", "to", "dst"), fact(e, "dst", "from", "src")]
+    if nodes is not None:
+        facts += [fact(nodes.select("id", F.explode("sources").alias("s")), "id", "source", "s"), *([fact(nodes, "id", "type", "type")] * types)]
+    told = reduce(DataFrame.union, facts).groupBy("id", "kind", "x").agg(F.count("*").alias("n"))
+    key = told.groupBy("id").agg(*(F.bit_xor(F.xxhash64(F.lit(k), "kind", "x", "n")).alias(f"h{k}") for k in (0, 1)))
+    # the least id and the size of a class are found by counting, not by gathering its members
+    named = key.groupBy("h0", "h1").agg(F.min("id").alias("name"), F.count("*").alias("m"))
+    members = stored(key.join(named, ["h0", "h1"]).select("id", F.struct((F.col("m") > 1).alias("twin"), "name").alias("c"), "m"))
+    c = members.select("id", "c")
+    folded = e.join(c.select(F.col("id").alias("src"), F.col("c").alias("_s")), "src").join(c.select(F.col("id").alias("dst"), F.col("c").alias("_d")), "dst")
+    return Twins(members, stored(folded.select(F.col("_s").alias("src"), F.col("_d").alias("dst")).distinct()) if resolved is not None else folded.select(F.col("_s").alias("src"), F.col("_d").alias("dst")))
+
+
+def _both_orders(pairs: DataFrame) -> DataFrame:
+    """Pairs with ``a <= b``, and those of two classes the other way round too."""
+    side = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
+    ways = F.when(F.col("a") == F.col("b"), F.array(side("a", "b"))).otherwise(F.array(side("a", "b"), side("b", "a")))
+    rest = [c for c in pairs.columns if c not in ("a", "b")]
+    return pairs.select(F.explode(ways).alias("_x"), *rest).select("_x.*", *rest)
+
+
+def _common(t: Twins, of: DataFrame | None = None) -> DataFrame:
+    """``a, b, m, w``: classes with the members of a class that is a neighbour of both and their weight, ``a <= b``, or all with
+    ``a`` among ``of`` (``a``)."""
+    nb = neighbours(t.edges)
+    x, y = nb.join(t.weights(), "n").select("n", "m", "w", F.col("id").alias("a")), nb.select("n", F.col("id").alias("b"))
+    if of is not None:
+        x = x.join(of, "a", "left_semi").select("n", "m", "w", "a")
+    pairs = _paired(x, y, "n", F.col("a.name")).where("a <= b" if of is None else "true")
+    return pairs.where("a <> b OR a.twin").select("a", "b", "m", (F.col("m") * F.col("w")).alias("w"))
+
+
+def _classes_of(t: Twins, of: DataFrame | None) -> DataFrame | None:
+    return None if of is None else t.members.join(of.select("id").distinct(), "id", "left_semi").select(F.col("c").alias("a")).distinct()
+
+
 def common_neighbours(resolved: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """``a, b, n_common, adamic_adar`` of pairs with a neighbour in common: unordered ones (``a < b``), or all with ``a``
     among ``of`` (``id``)."""
-    weight = set_degrees(resolved).select(F.col("id").alias("n"), (F.lit(1.0) / F.log(F.greatest(F.col("degree"), F.lit(2)).cast("double"))).alias("w"))
-    nb = neighbours(resolved).join(weight, "n")
-    x, y = nb.select("n", "w", F.col("id").alias("a")), nb.select("n", F.col("id").alias("b"))
+    t = twins(resolved)
+    pairs = _common(t, _classes_of(t, of)).groupBy("a", "b").agg(F.sum("m").alias("n_common"), F.sum("w").alias("adamic_adar"))
+    return t.spread(pairs, of is not None, of)
+
+
+def _shared(t: Twins, nodes: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """``a, b`` (classes, ordered): a row for each entry of b's sources that a's sources hold."""
+    s = t.of(nodes.select("id", F.explode("sources").alias("s")))
+    x = s.distinct().select("s", F.col("c").alias("a"))
     if of is not None:
-        x = x.join(of.select(F.col("id").alias("a")).distinct(), "a", "left_semi").select("n", "w", "a")
-    pairs = _paired(x, y, "n", "a").where("a < b" if of is None else "a <> b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n_common"), F.sum("w").alias("adamic_adar"))
+        x = x.join(of, "a", "left_semi").select("s", "a")
+    return _paired(x, s.select("s", F.col("c").alias("b")), "s", F.col("a.name")).where("a <> b OR a.twin").select("a", "b")
 
 
 def shared_sources(nodes: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """``a, b, n_shared`` (ordered pairs): entries of b's sources, repeats included, that a's sources hold; with ``of``,
     pairs whose ``a`` is one of it."""
-    s = nodes.select("id", F.explode("sources").alias("s"))
-    x = s.distinct().withColumnRenamed("id", "a")
-    if of is not None:
-        x = x.join(of.select(F.col("id").alias("a")).distinct(), "a", "left_semi")
-    return _paired(x, s.withColumnRenamed("id", "b"), "s", "a").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n_shared"))
+    t = twins(None, nodes, types=False)
+    return t.spread(_shared(t, nodes, _classes_of(t, of)).groupBy("a", "b").agg(F.count("*").alias("n_shared")), True, of)
+
+
+def _typed(t: Twins, nodes: DataFrame, total: DataFrame) -> DataFrame:
+    """``a, b, relevance`` of pairs of classes (``a, b, v``) with the affinity of their types."""
+    kinds = t.of(nodes.select("id", "type"))
+    typed = total.join(kinds.select(F.col("c").alias("a"), F.col("type").alias("_ta")), "a").join(kinds.select(F.col("c").alias("b"), F.col("type").alias("_tb")), "b")
+    return typed.select("a", "b", (F.col("v") + affinity(F.col("_ta"), F.col("_tb"))).alias("relevance"))
+
+
+def _linked(t: Twins) -> DataFrame:
+    """``a, b, v``: classes by the links between a member of each, in both orders."""
+    return t.edges.select("src", "dst").union(t.edges.select("dst", "src")).toDF("a", "b").withColumn("v", F.lit(DIRECT))
+
+
+def _scored(t: Twins, nodes: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """``a, b, relevance`` of every ordered pair of classes, a class of twins with itself too."""
+    direct = _linked(t) if of is None else _linked(t).join(of, "a", "left_semi").select("a", "b", "v")
+    shared = _shared(t, nodes, of).withColumn("v", F.lit(SHARED_SOURCE))
+    common = _common(t, of).select("a", "b", (COMMON_NEIGHBOUR * F.col("w")).alias("v"))
+    common = _both_orders(common) if of is None else common
+    return _typed(t, nodes, direct.union(shared).unionByName(common).groupBy("a", "b").agg(F.sum("v").alias("v")))
 
 
 def relevance(nodes: DataFrame, resolved: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """``a, b, relevance`` of every ordered pair with a link, a source or a neighbour in common, or of those whose ``a`` is one
     of ``of`` (``id``): then no other pair is made on the way."""
-    direct = resolved.select("src", "dst").distinct().select(F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))).alias("x")).groupBy("x.a", "x.b").agg((DIRECT * F.count("*")).alias("v"))
-    if of is not None:
-        direct = direct.join(of.select(F.col("id").alias("a")).distinct(), "a", "left_semi").select("a", "b", "v")
-    shared = shared_sources(nodes, of).select("a", "b", (SHARED_SOURCE * F.col("n_shared")).alias("v"))
-    common = common_neighbours(resolved, of).select("a", "b", (COMMON_NEIGHBOUR * F.col("adamic_adar")).alias("v"))
-    if of is None:
-        common = common.union(common.select(F.col("b").alias("a"), F.col("a").alias("b"), "v"))
-    total = direct.union(shared).union(common).groupBy("a", "b").agg(F.sum("v").alias("v"))
-    kinds = nodes.select("id", "type")
-    typed = total.join(kinds.select(F.col("id").alias("a"), F.col("type").alias("_ta")), "a").join(kinds.select(F.col("id").alias("b"), F.col("type").alias("_tb")), "b")
-    return typed.select("a", "b", (F.col("v") + affinity(F.col("_ta"), F.col("_tb"))).alias("relevance"))
+    t = twins(resolved, nodes)
+    return t.spread(_scored(t, nodes, _classes_of(t, of)), True, of)
 
 
 def relevance_between(nodes: DataFrame, resolved: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``a, b, relevance`` of the given ordered pairs alone: what they share is looked up from one side to the other, so no other
-    pair is made, and a hub costs its pairs times its neighbours."""
-    p = pairs.select("a", "b").distinct()
-    weight = set_degrees(resolved).select(F.col("id").alias("n"), (F.lit(1.0) / F.log(F.greatest(F.col("degree"), F.lit(2)).cast("double"))).alias("w"))
-    nb = neighbours(resolved)
-    near = p.join(nb.select(F.col("id").alias("a"), "n"), "a").join(nb.select(F.col("id").alias("b"), "n"), ["b", "n"], "left_semi").join(weight, "n")
-    common = near.select("a", "b", (COMMON_NEIGHBOUR * F.col("w")).alias("v"))
-    s = nodes.select("id", F.explode("sources").alias("s"))
-    mine, theirs = s.distinct().select(F.col("id").alias("a"), "s"), s.groupBy(F.col("id").alias("b"), "s").agg(F.count("*").alias("m"))
+    """``a, b, relevance`` of the given ordered pairs alone: what their classes share is looked up from the one of fewer neighbours
+    to the other, so no other pair is made."""
+    t = twins(resolved, nodes)
+    c = t.members.select("id", "c")
+    given = stored(pairs.select("a", "b").distinct().join(c.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(c.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b"))
+    p = given.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    nb = neighbours(t.edges)
+    wide = nb.groupBy("id").agg(F.count("*").alias("d"))
+    far = p.join(wide.select(F.col("id").alias("a"), F.col("d").alias("da")), "a").join(wide.select(F.col("id").alias("b"), F.col("d").alias("db")), "b")
+    less = F.col("da") <= F.col("db")
+    turned = far.select("a", "b", F.when(less, F.col("a")).otherwise(F.col("b")).alias("few"), F.when(less, F.col("b")).otherwise(F.col("a")).alias("many"))
+    near = turned.join(nb.select(F.col("id").alias("few"), "n"), "few").join(nb.select(F.col("id").alias("many"), "n"), ["many", "n"], "left_semi").join(t.weights(), "n")
+    common = near.select("a", "b", (COMMON_NEIGHBOUR * F.col("m") * F.col("w")).alias("v"))
+    s = t.of(nodes.select("id", F.explode("sources").alias("s")))
+    mine, theirs = s.distinct().select(F.col("c").alias("a"), "s"), s.groupBy(F.col("c").alias("b"), "s").agg(F.count("*").alias("m"))
     shared = p.join(mine, "a").join(theirs, ["b", "s"]).select("a", "b", (SHARED_SOURCE * F.col("m")).alias("v"))
-    e = resolved.select("src", "dst").distinct()
-    both = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(e.select("dst", "src"))
-    direct = both.join(p, ["a", "b"], "left_semi").select("a", "b", F.lit(DIRECT).alias("v"))
-    total = direct.unionByName(shared).unionByName(common).groupBy("a", "b").agg(F.sum("v").alias("v"))
-    kinds = nodes.select("id", "type")
-    typed = total.join(kinds.select(F.col("id").alias("a"), F.col("type").alias("_ta")), "a").join(kinds.select(F.col("id").alias("b"), F.col("type").alias("_tb")), "b")
-    return typed.select("a", "b", (F.col("v") + affinity(F.col("_ta"), F.col("_tb"))).alias("relevance"))
+    direct = _linked(t).join(p, ["a", "b"], "left_semi").select("a", "b", "v")
+    scores = _typed(t, nodes, direct.unionByName(shared).unionByName(common).groupBy("a", "b").agg(F.sum("v").alias("v")))
+    return given.join(scores.select(F.col("a").alias("ca"), F.col("b").alias("cb"), "relevance"), ["ca", "cb"]).select("a", "b", "relevance")
+
+
+def most_related(nodes: DataFrame, resolved: DataFrame, k: int = 5, least: float = 0.0) -> DataFrame:
+    """What ``related`` finds among all pairs, ``a, b, relevance, rank``, without making them: all members of a class have the same
+    best of every other class, and of their own the first ones but for themselves."""
+    t = twins(resolved, nodes)
+    scores = _scored(t, nodes).where(F.col("relevance") >= least)
+    best = [F.desc(F.round("relevance", 9)), "b"]
+    order = Window.partitionBy("c").orderBy("id")
+    first = t.members.withColumn("i", F.row_number().over(order)).where(F.col("i") <= k + 1).select(F.col("c").alias("b"), F.col("id").alias("_b"))
+    named = scores.select(F.col("a").alias("c"), "b", "relevance").join(first, "b").select("c", (F.col("c") == F.col("b")).alias("own"), F.col("_b").alias("b"), "relevance")
+    # a window for each class and kind; of one's own class all first ones stay, since each member leaves itself out
+    few = named.withColumn("rank", F.row_number().over(Window.partitionBy("c", "own").orderBy(*best))).where(F.col("own") | (F.col("rank") <= k))
+    each = t.members.select(F.col("id").alias("a"), "c").join(few.select("c", "b", "relevance"), "c").where("a <> b")
+    return related(each.select("a", "b", "relevance"), k, least)
 
 
 def related(scores: DataFrame, k: int = 5, least: float = 0.0) -> DataFrame:

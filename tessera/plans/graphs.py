@@ -76,7 +76,7 @@ RELATED = "SELECT a, b, round(relevance, 6) AS relevance, rank FROM (SELECT *, r
 
 @query("graph_related", graph_sql(RELATED))
 def graph_related(spark, sf_dir):
-    found = G.related(G.relevance(*_graph(spark, sf_dir)), 3, 2.0)
+    found = G.most_related(*_graph(spark, sf_dir), 3, 2.0)
     return found.select("a", "b", F.round("relevance", 6).alias("relevance"), "rank")
 
 
