@@ -136,8 +136,9 @@ def title_matches(pages: DataFrame, titles: DataFrame, part_chars: int = PART_CH
     return rows.join(found, "_row", "left").withColumn("places", settle("found")).drop("_row", "found")
 
 
-def linked(pages: DataFrame, titles: DataFrame, own: str | None = None, part_chars: int = PART_CHARS) -> DataFrame:
-    """``pages`` with ``content`` enriched by links to the titles' targets. ``own``: the column that names a page as a target."""
+def linked(pages: DataFrame, titles: DataFrame, own: str | None = None, part_chars: int = PART_CHARS, count: str | None = None) -> DataFrame:
+    """``pages`` with ``content`` enriched by links to the titles' targets. ``own``: the column that names a page as a target;
+    ``count``: a column to add with how many places a page has."""
     names = pages.withColumn("_own", F.col(own).cast("string") if own else F.lit(None).cast("string"))
 
     @F.pandas_udf("string")
@@ -145,4 +146,5 @@ def linked(pages: DataFrame, titles: DataFrame, own: str | None = None, part_cha
         return pd.Series([None if c is None else with_links(c, [(p["start"], p["end"], p["target"]) for p in f], m) for c, f, m in zip(content, found, me)], dtype=object)
 
     met = title_matches(names, titles, part_chars)
-    return met.withColumn("content", write("content", "places", "_own")).select(*pages.columns)
+    places = [] if count is None else [F.size("places").alias(count)]
+    return met.withColumn("content", write("content", "places", "_own")).select(*pages.columns, *places)

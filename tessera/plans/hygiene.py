@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import hygiene as H
 from tessera.operators import vectors as V
 from tessera.operators.entities import similar_names
-from tessera.operators.linking import linked, title_matches
+from tessera.operators.linking import linked
 from tessera.plans.corpus import table
 from tessera.plans.registry import query
 
@@ -156,5 +156,4 @@ def linked_titles(spark, sf_dir):
     """Documents with links to the web pages whose titles stand in them; tested against brute force."""
     titles = table(spark, sf_dir, "pages").where("html IS NOT NULL").select(F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("target"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
-    found = title_matches(docs, titles)
-    return linked(docs, titles).join(found.select("doc_id", F.size("places").alias("n_places")), "doc_id").select("doc_id", "n_places", F.md5("content").alias("content_md5"))
+    return linked(docs, titles, count="n_places").select("doc_id", "n_places", F.md5("content").alias("content_md5"))

@@ -63,3 +63,12 @@ def test_links_are_made_once_and_not_in_closed_places(spark):
         assert [r.content for r in own] == [w for _, w in texts]
     none = titles.limit(0)
     assert [r.content for r in K.linked(pages.drop("places"), none).orderBy("i").collect()] == [t for t, _ in texts]
+
+
+def test_texts_are_not_shuffled(spark, sf):
+    """Documents get their links and the number of places in one pass, where they lie."""
+    from tessera.plans import QUERIES
+
+    df = QUERIES["linked_titles"](spark, sf)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and df.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
