@@ -9,7 +9,7 @@ from tessera.operators import insights as I
 from tessera.operators.graph_versions import GraphVersions
 from tessera.plans.corpus import graph_sql, web_links, web_nodes
 from tessera.plans.registry import query
-from tessera.session import shared_dir
+from tessera.session import shared_dir, stored
 
 
 def _graph(spark, sf_dir):
@@ -60,7 +60,7 @@ def graph_versions(spark, sf_dir):
     """The same relevance, reached in three versions: pages that lack, change and lose links and sources on the way."""
     nodes = web_nodes(spark, sf_dir)
     links = web_links(spark, sf_dir).groupBy(F.col("src").alias("id")).agg(F.collect_list("target").alias("links"))
-    pages = nodes.join(links, "id", "left").select("id", "type", "sources", F.coalesce("links", F.array().cast("array<string>")).alias("links"))
+    pages = stored(nodes.join(links, "id", "left").select("id", "type", "sources", F.coalesce("links", F.array().cast("array<string>")).alias("links")))
     part = F.pmod(F.xxhash64("id"), F.lit(50))
     graph = GraphVersions(spark, shared_dir(spark, "graph"))
     other = pages.where(part == 1).select(F.concat(F.lit("gone-"), "id").alias("id"), "type", "sources", "links")

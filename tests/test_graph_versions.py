@@ -62,3 +62,17 @@ def test_work_follows_the_change(spark, tmp_path):
     assert degrees["n102"] == 3 and degrees["n101"] == 1 and degrees["n50"] == 2
     near = g.table("near", keys=spark.createDataFrame([("n100",)], "id string"))
     assert {r.id for r in near.where(F.col("o") + F.col("i") > 0).collect()} == {"n99", "n102"}
+
+
+def test_pairs_are_kept_between_classes(spark, tmp_path):
+    """Sixty pages of one site are one class: as few pairs as of two pages; some leave it, go or come, and the rest goes on as it was."""
+    pages = {f"p{i:02}": ("source", ["site"], ["hub", "t"]) for i in range(60)} | {"hub": ("entity", ["h"], []), "t": ("concept", ["h"], ["p07"])}
+    g = GraphVersions(spark, str(tmp_path / "g"))
+    same = lambda: {(r.a, r.b): round(r.relevance, 6) for r in g.relevance().collect()} == rebuilt(spark, pages)
+    g.advance(frame(spark, pages))
+    assert same() and g.table("pairs").count() < 12 and g.table("marks").count() == 4
+    change = {f"p{i:02}": ("source", ["other", "other"], ["hub"]) for i in (0, 1)} | {"p60": ("source", ["site"], ["hub", "t"]), "p03": ("query", ["site"], ["hub", "t"])}
+    pages |= change
+    del pages["p02"]
+    g.advance(frame(spark, change), spark.createDataFrame([("p02",)], "id string"))
+    assert same() and g.table("pairs").count() < 30 and g.table("marks").count() == 6
