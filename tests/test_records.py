@@ -217,3 +217,29 @@ def test_replaced_texts_are_kept(spark):
     writes = spark.createDataFrame([("wiki/a b.md", "new", "old"), ("wiki/c.md", "new", None)], "path string, content string, backup string")
     got = N.backups(writes, F.lit("2024-05-06 07:08:09").cast("timestamp")).collect()
     assert [(r.path, r.content) for r in got] == [("history/wiki_a_b.md.2024-05-06T07-08-09.md", "old")]
+
+
+def test_many_merges_into_one_page_are_those_one_by_one(monkeypatch):
+    """Without a merger lists are gathered and written once, front matter is not parsed; the text is that of merging in turn."""
+    import random
+
+    from tessera.functions import markdown as M
+
+    rng = random.Random(4)
+    item = lambda: rng.choice(["a", "A", "b", "c d", "e,f", '"g', "h]", " i", "é", "[j"])
+    heads = [lambda v: f"sources: [{', '.join(v)}]", lambda v: "sources:\n" + "\n".join(f"  - {x}" for x in v), lambda v: f"tags: [{', '.join(v)}]\nrelated: []", lambda v: "", lambda v: f"sources: [{v[0]},\n  {v[-1]}]\ntags: []", lambda v: f'related: ["{v[0]}"]\nrelated:\n  - z', lambda v: f"sources: [{v[0]}]\ntitle: x"]
+    page = lambda k: f"---\ntype: concept\n{rng.choice(heads[:k])([item() for _ in range(rng.randrange(1, 4))])}\n---\n\n{rng.choice('xyz')}"
+
+    def one_by_one(xs, old):
+        for x in xs:
+            old = M.merge_page(M.sanitized(x), old, None, "2024-01-01")
+        return old
+
+    for i in range(3000):
+        xs, old = [page(1 if i % 2 else 7) for _ in range(rng.randrange(1, 6))] + ["no front matter"] * (i % 50 == 0), rng.choice([None, "", "# old", page(7)])
+        assert M.merged_in_turn(xs, old, None, "2024-01-01") == one_by_one(xs, old), (xs, old)
+    written = []
+    monkeypatch.setattr(M, "write_list", lambda *a, f=M.write_list: written.append(a) or f(*a))
+    monkeypatch.setattr(M, "parse_front_matter", None)
+    many = [f'---\ntype: concept\nsources: ["{i}"]\n---\n\n# {i}' for i in range(2000)]
+    assert M.read_list(M.merged_in_turn(many, None, None, "2024-01-01"), "sources") == [str(i) for i in range(2000)] and len(written) == 1
