@@ -72,3 +72,62 @@ def test_texts_are_not_shuffled(spark, sf):
     df = QUERIES["linked_titles"](spark, sf)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan and df.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_many_titles_leave_texts_where_they_lie(spark):
+    """Where titles are more than one part, those that stand somewhere are found first; texts are shuffled only if these are more as well."""
+    titles = spark.range(400).select(F.concat(F.lit("Title number "), F.col("id").cast("string")).alias("title"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("target"))
+    texts = ["see Title number 7, Title number 71 and Title number 399", "Title number 4000 `Title number 8`", "", None] * 3
+    pages = spark.createDataFrame(list(enumerate(texts)), "i int, content string")
+    want = sorted(tuple(r) for r in K.linked(pages, titles, count="n").collect())
+    assert want[0] == (0, "see [[t7|Title number 7]], [[t71|Title number 71]] and [[t399|Title number 399]]", 3) and [w[2] for w in want[1:4]] == [0, 0, 0]
+    for part_chars, joins in ((200, False), (20, True)):
+        df = K.linked(pages, titles, part_chars=part_chars, count="n")
+        assert ("Join" in df._jdf.queryExecution().optimizedPlan().toString()) == joins
+        assert sorted(tuple(r) for r in df.collect()) == want
+
+
+def odd_texts_and_titles():
+    """Texts of few letters, scripts and gaps, copies, and titles of 4 to 70 characters cut out of them or not; with the titles' targets."""
+    import random
+
+    rnd = random.Random(4)
+    draw = lambda n: "".join(rnd.choice("ab  -é注意😀") for _ in range(n))
+    texts = [draw(rnd.randint(0, 300)) for _ in range(60)]
+    texts += [None, "", "ab", "x" * 40 + " tail", "head", "tail", *texts[:20], "".join(texts)]
+    titles = {texts[rnd.randrange(60)][i : i + rnd.randint(4, 70)] for i in range(0, 200, 3)} | {draw(4) for _ in range(300)} | {"tailhead", "headtail", "x" * 40}
+    rows = [(t, f"t{i}") for i, t in enumerate(sorted(titles))]
+    terms = {}
+    for t, target in rows:
+        if len(t.strip(" ")) >= K.SHORTEST:
+            terms[t.strip(" ")] = min(terms.get(t.strip(" "), target), target)
+    return texts, rows, terms
+
+
+@pytest.mark.parametrize("mark_bits", [K.MARK_BITS, 1 << 8])
+def test_titles_of_all_lengths_and_scripts(spark, monkeypatch, mark_bits):
+    """On each path; a table that lets nearly all pass changes nothing."""
+    monkeypatch.setattr(K, "MARK_BITS", mark_bits)
+    texts, rows, terms = odd_texts_and_titles()
+    pages, titles = spark.createDataFrame(list(enumerate(texts)), "i int, content string"), spark.createDataFrame(rows, "title string, target string")
+    want = {i: brute(t or "", terms) for i, t in enumerate(texts)}
+    for part_chars in (K.PART_CHARS, K._chars(K._terms(titles)) - 1, 50):
+        got = {r.i: [tuple(p) for p in r.places] for r in K.title_matches(pages, titles, part_chars).collect()}
+        assert got == want and sum(map(len, want.values())) > 100
+
+
+def test_long_texts_are_read_by_windows(monkeypatch):
+    import numpy as np
+
+    texts, _, terms = odd_texts_and_titles()
+    lengths = sorted(map(len, terms))
+
+    def found():
+        table = np.zeros(1 << 10, np.uint64)
+        for words, marks in K._marks(list(terms), 1 << 16):
+            np.bitwise_or.at(table, words, marks)
+        return {(i, s, e) for i, f in K.standing(texts, table, sorted(set(lengths))) for s, e in f if texts[i][s:e] in terms}
+
+    whole = found()
+    monkeypatch.setattr(K, "AT_ONCE", 7)
+    assert found() == whole and len(whole) > 500
